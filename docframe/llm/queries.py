@@ -17,8 +17,20 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docframe.llm.quality import perplexity_bands
+
+    return perplexity_bands(table(spark, sf_dir, "documents"))
+
+
+def op9_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docframe.llm.katz import katz_scores
+
+    return katz_scores(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {"op2_minhash": op2_minhash}
+    return {"op2_minhash": op2_minhash, "op6_quality": op6_quality, "op9_katz": op9_katz}
 
 
 def oracle_sql() -> dict[str, str]:
