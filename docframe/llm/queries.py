@@ -23,6 +23,12 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perplexity_bands(table(spark, sf_dir, "documents"))
 
 
+def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docframe.llm.langid import languages
+
+    return languages(table(spark, sf_dir, "documents"))
+
+
 def op9_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docframe.llm.katz import katz_scores
 
@@ -30,7 +36,7 @@ def op9_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op2_minhash": op2_minhash, "op6_quality": op6_quality, "op9_katz": op9_katz}
+    return {"op2_minhash": op2_minhash, "op6_quality": op6_quality, "op7_langid": op7_langid, "op9_katz": op9_katz}
 
 
 def oracle_sql() -> dict[str, str]:
