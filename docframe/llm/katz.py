@@ -89,7 +89,7 @@ def katz_scores(docs: DataFrame, order: int = ORDER, cutoff: int = CUTOFF, least
             texts = column(b, "text")
             none = np.asarray(texts.is_null())
             n, total = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows)
-            for i, j, data, offsets in slices(texts) if made else ():
+            for i, j, data, offsets in slices(texts, 1 << 20) if made else ():
                 code, first = ngrams.codes(data, offsets, order)
                 total[i:j] = np.add.reduceat(made.score(code), first[:-1], dtype=np.float64)
                 n[i:j] = np.diff(first)

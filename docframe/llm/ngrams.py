@@ -82,7 +82,7 @@ def counts(docs: DataFrame, order: int, blocks: int, text: str = "text", lang: s
             names = b.column(0)
             for name in names.unique().to_pylist():
                 texts = b.column(1).filter(pa.compute.equal(names, name))
-                for _, _, data, offsets in slices(texts):
+                for _, _, data, offsets in slices(texts, 2 << 20):
                     held[name].append(runs(codes(data, offsets, order)[0]))
                     size[name] += len(held[name][-1][0])
                     if size[name] > 2 * len(held[name][0][0]) + 2_000_000:

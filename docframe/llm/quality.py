@@ -84,7 +84,7 @@ def scored(docs: DataFrame, order: int = ORDER, text: str = "text", lang: str =
                 rows = np.flatnonzero(np.asarray(pc.and_(pc.equal(tags, name), some)))
                 if not len(rows):
                     continue
-                for i, j, data, offsets in slices(texts.take(pa.array(rows))):
+                for i, j, data, offsets in slices(texts.take(pa.array(rows)), 1 << 20):
                     code, first = ngrams.codes(data, offsets, order)
                     p = made[name].score(code)
                     n[rows[i:j]] = np.diff(first)

@@ -17,6 +17,12 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docframe.llm.suffixes import repeated_passages
+
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docframe.llm.quality import perplexity_bands
 
@@ -36,7 +42,7 @@ def op9_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op2_minhash": op2_minhash, "op6_quality": op6_quality, "op7_langid": op7_langid, "op9_katz": op9_katz}
+    return {"op2_minhash": op2_minhash, "op3_suffix_array": op3_suffix_array, "op6_quality": op6_quality, "op7_langid": op7_langid, "op9_katz": op9_katz}
 
 
 def oracle_sql() -> dict[str, str]:
