@@ -41,8 +41,14 @@ def op9_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz_scores(table(spark, sf_dir, "documents"))
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docframe.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {"op2_minhash": op2_minhash, "op3_suffix_array": op3_suffix_array, "op6_quality": op6_quality, "op7_langid": op7_langid, "op9_katz": op9_katz}
+    return {"op2_minhash": op2_minhash, "op3_suffix_array": op3_suffix_array, "op6_quality": op6_quality, "op7_langid": op7_langid, "op9_katz": op9_katz, "op10_packing": op10_packing}
 
 
 def oracle_sql() -> dict[str, str]:
