@@ -23,6 +23,12 @@ def op3_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents"))
 
 
+def op4_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docframe.llm.units import repeated_units
+
+    return repeated_units(table(spark, sf_dir, "documents"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docframe.llm.quality import perplexity_bands
 
@@ -48,7 +54,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op2_minhash": op2_minhash, "op3_suffix_array": op3_suffix_array, "op6_quality": op6_quality, "op7_langid": op7_langid, "op9_katz": op9_katz, "op10_packing": op10_packing}
+    return {"op2_minhash": op2_minhash, "op3_suffix_array": op3_suffix_array, "op4_units": op4_units, "op6_quality": op6_quality, "op7_langid": op7_langid, "op9_katz": op9_katz, "op10_packing": op10_packing}
 
 
 def oracle_sql() -> dict[str, str]:
