@@ -29,6 +29,12 @@ def op4_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_units(table(spark, sf_dir, "documents"))
 
 
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docframe.llm.html import main_text
+
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docframe.llm.quality import perplexity_bands
 
@@ -54,7 +60,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op2_minhash": op2_minhash, "op3_suffix_array": op3_suffix_array, "op4_units": op4_units, "op6_quality": op6_quality, "op7_langid": op7_langid, "op9_katz": op9_katz, "op10_packing": op10_packing}
+    return {"op2_minhash": op2_minhash, "op3_suffix_array": op3_suffix_array, "op4_units": op4_units, "op5_html": op5_html, "op6_quality": op6_quality, "op7_langid": op7_langid, "op9_katz": op9_katz, "op10_packing": op10_packing}
 
 
 def oracle_sql() -> dict[str, str]:
