@@ -47,6 +47,12 @@ def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages(table(spark, sf_dir, "documents"))
 
 
+def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docframe.llm.topk import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op9_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docframe.llm.katz import katz_scores
 
@@ -60,8 +66,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op2_minhash": op2_minhash, "op3_suffix_array": op3_suffix_array, "op4_units": op4_units, "op5_html": op5_html, "op6_quality": op6_quality, "op7_langid": op7_langid, "op9_katz": op9_katz, "op10_packing": op10_packing}
+    return {"op2_minhash": op2_minhash, "op3_suffix_array": op3_suffix_array, "op4_units": op4_units, "op5_html": op5_html, "op6_quality": op6_quality, "op7_langid": op7_langid, "op8_topk": op8_topk, "op9_katz": op9_katz, "op10_packing": op10_packing}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from docframe.llm import topk
+
+    return {"op8_topk": topk.SQL}
