@@ -5,8 +5,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from docframe.llm.common import table, written
+from docframe.llm.langid import in_declared_language
+from docframe.llm.minhash import without_near_duplicates
+from docframe.llm.packing import pack
+from docframe.llm.quality import in_band
+from docframe.llm.suffixes import without_repeated_passages
 
-STAGES: list = []
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents within their language's band of perplexity."""
+    return in_band(docs)
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that aren't surely in another language than they say."""
+    return in_declared_language(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: that of the smallest id."""
+    return without_near_duplicates(docs)
+
+
+def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that repeat an earlier one."""
+    return without_repeated_passages(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The place of each document's pieces in sequences of fixed length."""
+    return pack(docs)
+
+
+STAGES = [("quality", quality), ("language", language), ("near_duplicates", near_duplicates), ("passages", passages), ("packing", packing)]
 
 #: SQL can't express the stages; tests hold them against brute force.
 ORACLE_SQL = None

@@ -11,6 +11,13 @@ from docframe.llm.common import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids of each text, and the text that they decode to."""
+    from docframe.llm.pieces import decode, encode
+
+    return decode(encode(table(spark, sf_dir, "documents")))
+
+
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docframe.llm.minhash import near_duplicates
 
@@ -66,7 +73,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op2_minhash": op2_minhash, "op3_suffix_array": op3_suffix_array, "op4_units": op4_units, "op5_html": op5_html, "op6_quality": op6_quality, "op7_langid": op7_langid, "op8_topk": op8_topk, "op9_katz": op9_katz, "op10_packing": op10_packing}
+    return {"op1_sentencepiece": op1_sentencepiece, "op2_minhash": op2_minhash, "op3_suffix_array": op3_suffix_array, "op4_units": op4_units, "op5_html": op5_html, "op6_quality": op6_quality, "op7_langid": op7_langid, "op8_topk": op8_topk, "op9_katz": op9_katz, "op10_packing": op10_packing}
 
 
 def oracle_sql() -> dict[str, str]:
