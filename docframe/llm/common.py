@@ -41,12 +41,12 @@ def shared_dir(spark: SparkSession) -> str:
     return spark._docframe_dir
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
+def written(df: DataFrame, what: str, by: list[str] | None = None) -> DataFrame:
     """df written as a table in the shared folder and read again: cuts lineage,
     and no executor's loss takes it away. It is deleted when the process ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/docframe-{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*(by or [])).parquet(path)
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
 
     def drop() -> None:
@@ -266,3 +266,58 @@ def words_sql(text: str) -> str:
 
 def rows_of(df: DataFrame, name: str = "rows") -> int:
     return df.select(F.count("*").alias(name)).first()[0]
+
+
+# ---------------------------------------------------------------- groups of texts
+
+#: A group's texts hold about this many bytes; a longer text is a group of its own.
+GROUP_BYTES = 16 << 20
+
+
+def _ipc(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+        w.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def unpacked(blob: bytes) -> pa.Table:
+    return pa.ipc.open_stream(pa.py_buffer(blob)).read_all()
+
+
+def packed(df: DataFrame, size: str, group_bytes: int = GROUP_BYTES) -> DataFrame:
+    """(g, blob): runs of df's rows as compressed Arrow streams, each holding about
+    group_bytes of the string column `size`. g is the same whenever a task is run
+    again, so a lost executor's groups come back as they were."""
+    from pyspark import TaskContext
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pid, k = TaskContext.get().partitionId(), 0
+        held: list[pa.RecordBatch] = []
+        weight = 0
+
+        def out() -> pa.RecordBatch:
+            t = pa.Table.from_batches(held).combine_chunks()
+            b = t.to_batches()[0] if t.num_rows else held[0]
+            return pa.RecordBatch.from_arrays([pa.array([(pid << 32) + k], pa.int64()), pa.array([_ipc(b)], pa.large_binary() if b.nbytes > 1 << 31 else pa.binary())], ["g", "blob"])
+
+        for b in batches:
+            at, lo = column(b, size), 0
+            n = pa.compute.fill_null(pa.compute.binary_length(at), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            ends = np.cumsum(n)
+            while lo < b.num_rows:
+                base = ends[lo - 1] if lo else 0
+                hi = max(lo + 1, int(np.searchsorted(ends, base + max(0, group_bytes - weight), side="right")))
+                hi = min(hi, b.num_rows)
+                held.append(b.slice(lo, hi - lo))
+                weight += int(ends[hi - 1] - base)
+                lo = hi
+                if weight >= group_bytes or lo < b.num_rows:
+                    yield out()
+                    held, weight, k = [], 0, k + 1
+        if held:
+            yield out()
+
+    import pyarrow.compute  # noqa: F401
+
+    return df.mapInArrow(run, "g long, blob binary")
