@@ -224,8 +224,9 @@ def _spans(docs: DataFrame, key: str, text: str, columns: list[str], least: int,
     ranked = by_block(by_block(sample, _ranked(blocks), BLOCK_SCHEMA), _positions, _LISTS)
     one, two = fresh(docs, "suffix_from"), fresh(docs, "suffix_to")
     ranked = ranked.select(F.col("doc").alias(doc), F.col("sub").alias(sub), F.col("one").alias(one), F.col("two").alias(two))
-    # the same exchange of base by (doc, sub) serves both joins
-    open_ = base.join(ranked, [doc, sub]).select(text, doc, sub, one)
+    # all columns go along: so the exchange of base by (doc, sub) is the same in both joins, and made once
+    open_ = base.join(ranked, [doc, sub])
+    open_ = open_.select(text, doc, sub, one, *[c for c in open_.columns if c not in (text, doc, sub, one)])
     later = by_block(open_.mapInArrow(_suffixes(least, blocks), BLOCK_SCHEMA), _later(least, blocks), BLOCK_SCHEMA)
     spans = by_block(later, _unions(least), _LISTS).select(F.col("doc").alias(doc), F.col("sub").alias(sub), F.col("one").alias(one), F.col("two").alias(two))
     return base.join(spans, [doc, sub], how), one, two
