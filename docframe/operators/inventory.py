@@ -19,25 +19,27 @@ def lines(objects: DataFrame) -> DataFrame:
     return objects.select(F.format_string("%s %s:%s %d %s %s", "name", "domain", "type", "priority", place, shown).alias("line"))
 
 
-def parsed(rows: DataFrame, line: str = "line") -> DataFrame:
-    """(name, type, priority, uri, display) of inventory lines; those of another form, or
-    whose type has no ':', go. '$' at the end of a place is the name, '-' as display too."""
+def parsed(rows: DataFrame, line: str = "line", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(name, type, priority, uri, display), after the columns to keep, of inventory
+    lines; those of another form, or whose type has no ':', go. '$' at the end of a
+    place is the name, '-' as display too."""
     part = [F.regexp_extract(line, LINE, k) for k in range(1, 6)]
-    rows = rows.where(F.col(line).rlike(LINE)).select(*[p.alias(c) for p, c in zip(part, ["name", "type", "priority", "uri", "display"], strict=True)])
+    rows = rows.where(F.col(line).rlike(LINE)).select(*keep, *[p.alias(c) for p, c in zip(part, ["name", "type", "priority", "uri", "display"], strict=True)])
     rows = rows.where(F.col("type").contains(":"))
     uri = F.when(F.col("uri").endswith("$"), F.concat(F.expr("substring(uri, 1, length(uri) - 1)"), "name")).otherwise(F.col("uri"))
-    return rows.select("name", "type", F.col("priority").cast("long").alias("priority"), uri.alias("uri"), F.when(F.col("display") == "-", F.col("name")).otherwise(F.col("display")).alias("display"))
+    return rows.select(*keep, "name", "type", F.col("priority").cast("long").alias("priority"), uri.alias("uri"), F.when(F.col("display") == "-", F.col("name")).otherwise(F.col("display")).alias("display"))
 
 
-def header(project: str, version: str) -> bytes:
+def header(tool: str, project: str, version: str) -> bytes:
+    """The four lines before the compressed part; tool is the name that readers look for."""
     one = [" ".join(x.split()) for x in (project, version)]
-    return f"# Sphinx inventory version 2\n# Project: {one[0]}\n# Version: {one[1]}\n# The remainder of this file is compressed using zlib.\n".encode()
+    return f"# {tool} inventory version 2\n# Project: {one[0]}\n# Version: {one[1]}\n# The remainder of this file is compressed using zlib.\n".encode()
 
 
-def file_of(objects: DataFrame, project: str = "", version: str = "") -> bytes:
+def file_of(objects: DataFrame, tool: str, project: str = "", version: str = "") -> bytes:
     """The whole file; the driver holds one line of each object while it is compressed."""
     z = zlib.compressobj()
-    out = [header(project, version)]
+    out = [header(tool, project, version)]
     for r in lines(objects).orderBy("line").toLocalIterator():
         out.append(z.compress((r.line + "\n").encode()))
     return b"".join([*out, z.flush()])
@@ -70,7 +72,7 @@ def read_v2(files: DataFrame) -> DataFrame:
 
     body = files.select("path", "content").mapInArrow(unpack, "path string, body string")
     each = body.select("path", F.explode(F.split("body", "\n")).alias("line"))
-    return parsed(each.withColumn("line", F.concat("path", F.lit("\x01"), "line"))).select(F.split("name", "\x01")[0].alias("path"), F.split("name", "\x01")[1].alias("name"), "type", "priority", F.regexp_replace("uri", "^.*\x01", "").alias("uri"), F.regexp_replace("display", "^.*\x01", "").alias("display"))
+    return parsed(each, keep=("path",))
 
 
 def index_entries(rows: DataFrame, text: str = "entry") -> DataFrame:

@@ -137,8 +137,8 @@ def test_cache(spark):
 
 def test_inventory_round_trip(spark):
     objects = spark.createDataFrame([("mod.f", "py", "function", 1, "api.html", "mod.f", "mod.f"), ("a b", "std", "label", -1, "x.html", "", "Shown text")], "name string, domain string, type string, priority int, uri string, anchor string, display string")
-    raw = V.file_of(objects, "My  project", "1")
-    assert raw.startswith(b"# Sphinx inventory version 2\n# Project: My project\n")
+    raw = V.file_of(objects, "Docs", "My  project", "1")
+    assert raw.startswith(b"# Docs inventory version 2\n# Project: My project\n")
     assert zlib.decompress(raw.split(b"\n", 4)[4]).decode().splitlines() == ["a b std:label -1 x.html Shown text", "mod.f py:function 1 api.html#$ -"]
     files = spark.createDataFrame([("i", bytearray(raw)), ("bad", bytearray(b"nothing"))], "path string, content binary")
     assert values(V.read_v2(files)) == [("i", "a b", "std:label", -1, "x.html", "Shown text"), ("i", "mod.f", "py:function", 1, "api.html#mod.f", "mod.f")]
