@@ -117,7 +117,7 @@ def judged(rows: DataFrame, size: str, score: str, lang: F.Column, lower: float
     """rows with band_lang, middle, deviation and in_band."""
     # one row for each language: as few as the models that were broadcast
     out = rows.withColumn("band_lang", lang).join(F.broadcast(bands(rows, size, score, lang)), "band_lang", "left")
-    wide = F.sqrt(F.col("deviation") ** 2 / F.col(size) + spread**2)
+    wide = F.sqrt(F.col("deviation") ** 2 / F.nullif(F.col(size), F.lit(0)) + spread**2)
     off = F.col(score) - F.col("middle")
     return out.withColumn("in_band", F.coalesce((off >= -lower * wide) & (off <= upper * wide), F.lit(False)))
 
@@ -134,7 +134,7 @@ def perplexity_bands(docs: DataFrame, order: int = ORDER, lower: float = LOWER,
     rows, size, score = scored(base, order, keep=["doc_id", "lang"])
     rows = written(rows, "perplexities")
     out = judged(rows, size, score, ngrams.language(rows, "lang"), lower, upper, spread)
-    wide = F.sqrt(F.col("deviation") ** 2 / F.col(size) + spread**2)
+    wide = F.sqrt(F.col("deviation") ** 2 / F.nullif(F.col(size), F.lit(0)) + spread**2)
     return out.select("doc_id", "lang", F.col(size).alias("n_tokens"), F.exp(score).alias("perplexity"), F.exp(F.col("middle") - lower * wide).alias("lower"), F.exp(F.col("middle") + upper * wide).alias("upper"), F.col("in_band").alias("keep"))
 
 
