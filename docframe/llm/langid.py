@@ -33,6 +33,8 @@ FAMILIES = {
 #: one: its language's lead over the declared one is at least this many standard
 #: errors of the score.
 SURE = 8.0
+#: A language that fewer documents declare isn't learnt: a stray tag is no language.
+LEAST_DOCUMENTS = 10
 #: Fewer trigrams than this say nothing sure.
 LEAST = 50
 
@@ -79,7 +81,7 @@ def features(text: pa.Array, bits: int = BITS) -> np.ndarray:
     return out / np.maximum(out.sum(axis=1, keepdims=True), 1)
 
 
-def svm(x: np.ndarray, y: np.ndarray, regular: float = 1e-6, rounds: int = 200) -> tuple[np.ndarray, float]:
+def svm(x: np.ndarray, y: np.ndarray, regular: float = 1e-2, rounds: int = 200) -> tuple[np.ndarray, float]:
     """Weights and bias of a linear support vector machine with squared hinge
     loss, labels -1 and 1, both classes weighted alike; by accelerated gradients."""
     scale = 1 / max(1e-12, float(np.sqrt((x**2).sum(axis=1).mean())))
@@ -163,14 +165,14 @@ class Model:
 
 def train(docs: DataFrame, sample: int = SAMPLE, bits: int = BITS, text: str = "text", lang: str = "lang", families: dict[str, str] = FAMILIES) -> Model:
     """A model from at most `sample` documents of each declared language: those
-    with the smallest hashes of their texts. Languages are those declared."""
+    with the smallest hashes of their texts. Languages are those that LEAST_DOCUMENTS or more declare."""
     base = docs.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL AND length(text) >= 200")
-    each = {r[0]: r[1] for r in base.groupBy("lang").count().collect()}
+    each = {r[0]: r[1] for r in base.groupBy("lang").count().where(F.col("count") >= LEAST_DOCUMENTS).collect()}
     if not each:
         return Model([], families, [], {}, bits)
     # the sample's share of the hashes, with room for chance; then the exact number
     share = F.create_map(*[F.lit(v) for k, n in each.items() for v in (k, min(1.0, (sample + 4 * sample**0.5) / n))])
-    some = base.withColumn("h", F.xxhash64("text")).where((F.pmod("h", F.lit(1 << 32)) / (1 << 32)) < F.element_at(share, F.col("lang")))
+    some = base.where(F.col("lang").isin(list(each))).withColumn("h", F.xxhash64("text")).where((F.pmod("h", F.lit(1 << 32)) / (1 << 32)) < F.element_at(share, F.col("lang")))
     some = some.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 32)), "h"))).where(F.col("r") <= sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
