@@ -84,19 +84,27 @@ def features(text: pa.Array, bits: int = BITS) -> np.ndarray:
 def svm(x: np.ndarray, y: np.ndarray, regular: float = 1e-2, rounds: int = 200) -> tuple[np.ndarray, float]:
     """Weights and bias of a linear support vector machine with squared hinge
     loss, labels -1 and 1, both classes weighted alike; by accelerated gradients."""
-    scale = 1 / max(1e-12, float(np.sqrt((x**2).sum(axis=1).mean())))
-    x = np.hstack([x * scale, np.ones((len(x), 1), np.float32)]).astype(np.float32)
+    x = x.astype(np.float32)  # the only copy
+    scale = np.float32(1 / max(1e-12, float(np.sqrt(np.einsum("ij,ij->", x, x, dtype=np.float64) / len(x)))))
+    x *= scale
     each = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32)
-    v = np.random.default_rng(0).standard_normal(x.shape[1]).astype(np.float32)
+
+    def forward(v: np.ndarray) -> np.ndarray:
+        return x @ v[:-1] + v[-1]  # the last weight is the bias
+
+    def back(r: np.ndarray) -> np.ndarray:
+        return np.append(r @ x, r.sum()).astype(np.float32)
+
+    v = np.random.default_rng(0).standard_normal(x.shape[1] + 1).astype(np.float32)
     for _ in range(20):  # the largest curvature
-        v = x.T @ (each * (x @ v))
+        v = back(each * forward(v))
         top = float(np.linalg.norm(v))
         v /= max(top, 1e-30)
     step = 1 / (2 * top * 1.1 + regular)
-    w = z = np.zeros(x.shape[1], np.float32)
+    w = z = np.zeros(x.shape[1] + 1, np.float32)
     for t in range(rounds):
-        slack = np.maximum(0, 1 - y * (x @ z))
-        new = z - step * (x.T @ (-2 * each * y * slack) + regular * z)
+        slack = np.maximum(0, 1 - y * forward(z))
+        new = z - step * (back(-2 * each * y * slack) + regular * z)
         z = new + t / (t + 3) * (new - w)
         w = new
     return w[:-1] * scale, float(w[-1])
@@ -182,7 +190,9 @@ def train(docs: DataFrame, sample: int = SAMPLE, bits: int = BITS, text: str = "
 
     rows = some.select("lang", "text").mapInArrow(run, "lang string, x binary").toArrow()
     names = np.array(rows.column("lang").to_pylist(), object)
-    x = np.frombuffer(b"".join(rows.column("x").to_pylist()), np.float16).reshape(len(names), -1).astype(np.float32)
+    parts = [np.frombuffer(c.buffers()[2], np.float16)[c.offset << bits : (c.offset + len(c)) << bits] for c in rows.column("x").chunks if len(c)]
+    x = np.concatenate([*parts, np.zeros(0, np.float16)]).reshape(len(names), -1)
+    del rows, parts
     order = np.lexsort((x[:, 0], names))  # the same fit whatever the partitions
     names, x = names[order], x[order]
     languages = sorted(set(names))
