@@ -103,6 +103,11 @@ def _power(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
     return have
 
 
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of one odd base and of its inverse modulo 2**64, up to n."""
+    return _power(_P, n)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser."""
     x = x ^ (x >> np.uint64(33))

@@ -22,11 +22,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docframe.llm.common import GROUP_BYTES, packed, slices, unpacked, written
+from docframe.llm.common import GROUP_BYTES, mix, packed, powers, unpacked
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Words of more characters are folded in Python, by a heap or an array: the
@@ -57,6 +58,16 @@ class Vocabulary:
         self.table = {p: (i, s) for i, (p, s, k) in enumerate(zip(self.pieces, self.scores, self.kinds, strict=True)) if k in (1, 4)}
         self.longest = max(map(len, self.table), default=1)
         self.bigrams = np.array(sorted({ord(a) << 21 | ord(b) for p in self.table for a, b in zip(p, p[1:])}), np.int64)
+        # characters as small classes, and which two classes stand side by side in some piece
+        chars = sorted({ord(c) for p in self.table for c in p})
+        self.classes = np.zeros(0x110000, np.uint16)
+        self.classes[chars] = np.arange(1, len(chars) + 1)
+        self.joined = np.zeros((len(chars) + 1, len(chars) + 1), bool)
+        self.joined[self.classes[self.bigrams >> 21], self.classes[self.bigrams & 0x1FFFFF]] = True
+        self.single = np.full(0x110000, -1, np.int32)
+        for p, (i, _) in self.table.items():
+            if len(p) == 1:
+                self.single[ord(p)] = i
         of = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True)) if k == 6}
         self.bytes_ = [of.get(x, self.unknown) for x in range(256)]
         self.lowest = min((s for _, s in self.table.values()), default=0.0) - 10.0
@@ -85,17 +96,53 @@ def normalised(text: str, v: Vocabulary) -> str:
     return SPACE + s if v.prefix and s else s
 
 
+class Words:
+    """The words of many texts: where each text's begin (first), their number among
+    the distinct ones (which), and the distinct ones in the order of their hashes."""
+
+    def __init__(self, texts: list[str], v: Vocabulary):
+        whole = [normalised(t, v) for t in texts]
+        starts = np.concatenate([[0], np.cumsum([len(t) for t in whole])]).astype(np.int64)
+        s = "".join(whole)
+        marks, hashes = [], []
+        for lo, hi in _spans(starts):
+            c = np.frombuffer(s[starts[lo] : starts[hi]].encode("utf-32-le", "surrogatepass"), np.uint32)
+            cut = np.ones(len(c) + 1, bool)
+            k = v.classes[c]
+            cut[1:-1] = ~v.joined[k[:-1], k[1:]]
+            cut[starts[lo : hi + 1] - starts[lo]] = True
+            at = np.flatnonzero(cut)
+            if len(at) > 1:
+                hashes.append(code_hash(c, at))
+                marks.append(at[:-1] + starts[lo])
+        self.start = np.concatenate([*marks, [len(s)]]).astype(np.int64)
+        self.first = np.searchsorted(self.start[:-1], starts)
+        h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+        _, one, self.which = np.unique(h, return_index=True, return_inverse=True)
+        self.distinct = [s[a:b] for a, b in zip(self.start[one].tolist(), self.start[one + 1].tolist(), strict=True)]
+
+
+def _spans(starts: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Runs of texts of about `most` characters."""
+    lo, n = 0, len(starts) - 1
+    while lo < n:
+        hi = min(n, max(lo + 1, int(np.searchsorted(starts, starts[lo] + most, side="right")) - 1))
+        yield lo, hi
+        lo = hi
+
+
+def code_hash(c: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each run of characters at[i]:at[i + 1]."""
+    power, inverse = powers(len(c))
+    sums = np.zeros(len(c) + 1, np.uint64)
+    np.cumsum(mix(c.astype(np.uint64) + np.uint64(1)) * power[: len(c)], out=sums[1:])
+    return mix((sums[at[1:]] - sums[at[:-1]]) * inverse[at[:-1]] + np.diff(at).astype(np.uint64))
+
+
 def words(text: str, v: Vocabulary) -> list[str]:
-    """The normalised text, divided where no piece has both neighbours."""
-    s = normalised(text, v)
-    if not s:
-        return []
-    c = np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    pair = c[:-1] << 21 | c[1:]
-    at = np.minimum(np.searchsorted(v.bigrams, pair), max(0, len(v.bigrams) - 1))
-    apart = np.flatnonzero(v.bigrams[at] != pair) + 1 if len(v.bigrams) else np.arange(1, len(c))
-    cut = [0, *apart.tolist(), len(s)]
-    return [s[a:b] for a, b in zip(cut, cut[1:])]
+    """The words of one text."""
+    w = Words([text], v)
+    return [w.distinct[i] for i in w.which]
 
 
 def encode_long(word: str, v: Vocabulary) -> list[int]:
@@ -153,22 +200,28 @@ def encode_long(word: str, v: Vocabulary) -> list[int]:
 
 
 def piece_table(spark: SparkSession, v: Vocabulary) -> DataFrame:
-    """(piece, id, score): as many rows as the model has pieces."""
-    return spark.createDataFrame(pa.table({"piece": list(v.table), "id": pa.array([i for i, _ in v.table.values()], pa.int32()), "score": pa.array([s for _, s in v.table.values()], pa.float64())}))
+    """(piece, v): as many rows as the model has pieces. v: the id, and for a BPE model
+    over it the rank of the score, equal ones of equal rank; for a unigram one the score."""
+    ids, scores = np.array([i for i, _ in v.table.values()], np.int64), np.array([s for _, s in v.table.values()])
+    if v.bpe:
+        _, rank = np.unique(-scores, return_inverse=True)
+        return spark.createDataFrame(pa.table({"piece": list(v.table), "v": pa.array(rank.astype(np.int64) << 32 | ids)}))
+    return spark.createDataFrame(pa.table({"piece": list(v.table), "score": pa.array(scores), "id": pa.array(ids)})).select("piece", F.struct("score", "id").alias("v"))
 
 
 def lattice(distinct: DataFrame, v: Vocabulary) -> DataFrame:
-    """(word, edges): of each word the substrings that are pieces, as a map from
-    start x 1024 + end to (score, id). The join is with the piece table, which the
+    """(word, edges): of each word the substrings of two characters or more that are
+    pieces, as a map from start x 1024 + end to v of the table; and of single
+    characters too for a unigram model. The join is with the piece table, which the
     model's file bounds, so it may be broadcast; grouping by word needs no exchange,
     for words are distributed by themselves already."""
-    n = F.length("word")
-    spans = F.expr(f"flatten(transform(sequence(0, length(word) - 1), s -> transform(sequence(s + 1, least(s + {v.longest}, length(word))), e -> struct(s * 1024 + e AS at, substring(word, s + 1, e - s) AS piece))))")
-    edges = distinct.where(n <= LONG).select("word", F.explode(spans).alias("x")).select("word", "x.at", "x.piece")
+    least = 2 if v.bpe else 1
+    spans = F.expr(f"flatten(transform(sequence(0, length(word) - 1), s -> transform(filter(sequence(s + 1, least(s + {v.longest}, length(word))), e -> e >= s + {least}), e -> struct(s * 1024 + e AS at, substring(word, s + 1, e - s) AS piece))))")
+    edges = distinct.select("word", F.explode_outer(spans).alias("x")).select("word", "x.at", "x.piece")
     table = F.broadcast(piece_table(distinct.sparkSession, v))
-    # words without any edge are kept by their first character, found or not
-    met = edges.join(table, "piece", "left").where(F.col("id").isNotNull() | (F.col("at") == 1))
-    return met.groupBy("word").agg(F.map_from_entries(F.filter(F.collect_list(F.struct("at", F.struct("score", "id").alias("v"))), lambda x: x["v"]["id"].isNotNull())).alias("edges"))
+    # a word without any edge is kept by its first substring, found or not
+    met = edges.join(table, "piece", "left").where(F.col("v").isNotNull() | F.col("at").isNull() | (F.col("at") == least))
+    return met.groupBy("word").agg(F.map_from_entries(F.filter(F.collect_list(F.struct("at", "v")), lambda x: x["v"].isNotNull())).alias("edges"))
 
 
 def merged(v: Vocabulary) -> F.Column:
@@ -176,10 +229,8 @@ def merged(v: Vocabulary) -> F.Column:
     out; the best score first, the leftmost on a tie."""
     return F.expr("""
         aggregate(sequence(1, greatest(1, length(word) - 1)), sequence(0, length(word)),
-          (b, k) -> aggregate(array(array_max(transform(sequence(1, greatest(1, size(b) - 2)), i ->
-                IF(size(b) > 2 AND edges[b[i - 1] * 1024 + b[least(i + 1, size(b) - 1)]] IS NOT NULL,
-                   struct(edges[b[i - 1] * 1024 + b[least(i + 1, size(b) - 1)]].score AS score, -i AS i), NULL)))),
-             b, (x, best) -> IF(best IS NULL, x, filter(x, (y, j) -> j <> -best.i))))""")
+          (b, k) -> IF(size(b) < 3, b, aggregate(array(array_min(transform(sequence(1, size(b) - 2), i -> shiftright(edges[b[i - 1] * 1024 + b[i + 1]], 32) * 1024 + i))),
+             b, (x, best) -> IF(best IS NULL, x, filter(x, (y, j) -> j <> best % 1024)))))""")
 
 
 def viterbi(v: Vocabulary) -> F.Column:
@@ -194,34 +245,105 @@ def viterbi(v: Vocabulary) -> F.Column:
 
 
 def encoded_words(distinct: DataFrame, v: Vocabulary) -> DataFrame:
-    """(word, codes): ids, and of characters without a piece -1 - code point."""
+    """(word, codes): ids, and of single characters left over -1 - code point."""
     bounds = merged(v) if v.bpe else viterbi(v)
     cut = lattice(distinct, v).select("word", "edges", bounds.alias("b"))
-    codes = F.expr("transform(sequence(1, size(b) - 1), i -> coalesce(edges[b[i - 1] * 1024 + b[i]].id, -1 - ascii(substring(word, b[i - 1] + 1, 1))))")
-    folded = cut.select("word", F.transform(codes, lambda x: x.cast("int")).alias("codes"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([encode_long(w, v) for w in b.column(0).to_pylist()], pa.list_(pa.int32()))], ["word", "codes"])
-
-    return folded.union(distinct.where(F.length("word") > LONG).mapInArrow(run, "word string, codes array<int>"))
+    id_ = "edges[b[i - 1] * 1024 + b[i]] & 4294967295" if v.bpe else "edges[b[i - 1] * 1024 + b[i]].id"
+    return cut.select("word", F.expr(f"transform(sequence(1, size(b) - 1), i -> CAST(coalesce({id_}, -1 - ascii(substring(word, b[i - 1] + 1, 1))) AS INT))").alias("codes"))
 
 
 def expanded(codes: list[int], v: Vocabulary) -> list[int]:
-    """Characters without a piece as the ids of their bytes, or as unknown; runs of
+    """Characters as their pieces' ids, or as the ids of their bytes, or as unknown; runs of
     unknown characters are one."""
     out: list[int] = []
     for x in codes:
+        if x < 0 and v.single[-1 - x] >= 0:
+            x = int(v.single[-1 - x])
         if x >= 0:
             out.append(x)
         elif v.fallback:
-            out += [v.bytes_[y] for y in chr(-1 - x).encode()]
+            out += [v.bytes_[y] for y in chr(-1 - x).encode("utf-8", "surrogatepass")]
         elif not out or out[-1] != v.unknown:
             out.append(v.unknown)
     return out
 
 
-def encode(docs: DataFrame, model: str = MODEL, group_bytes: int = GROUP_BYTES, key: str = "doc_id", text: str = "text") -> DataFrame:
+def _asked(w: Words) -> np.ndarray:
+    """Numbers of the words that the lattice encodes."""
+    return np.flatnonzero(np.fromiter((len(x) <= LONG for x in w.distinct), bool, len(w.distinct)))
+
+
+def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(g, k, codes) to (g, part): the answers to each group of a partition together."""
+    held: dict[int, list[np.ndarray]] = {}
+    size = 0
+
+    def out() -> pa.RecordBatch:
+        gs = sorted(held)
+        return pa.RecordBatch.from_arrays([pa.array(gs, pa.int64()), pa.array([np.concatenate(held[g]).tobytes() for g in gs], pa.binary())], ["g", "part"])
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        g, k, lists = np.asarray(b.column(0)), np.asarray(b.column(1)), b.column(2)
+        flat, n = np.asarray(lists.flatten()), np.asarray(pa.compute.list_value_length(lists)).astype(np.int64)
+        at = np.concatenate([[0], np.cumsum(n)])
+        order = np.argsort(g, kind="stable")
+        edge = np.append(np.flatnonzero(np.concatenate([[True], np.diff(g[order]) != 0])), len(g))
+        for a, e in zip(edge[:-1], edge[1:], strict=True):
+            rows = order[a:e]
+            take = np.repeat(at[rows] - np.concatenate([[0], np.cumsum(n[rows])[:-1]]), n[rows]) + np.arange(n[rows].sum())
+            held.setdefault(int(g[rows[0]]), []).append(np.concatenate([[len(rows)], k[rows], n[rows], flat[take]]).astype(np.int32))
+        size += len(flat) + 2 * len(g)
+        if size > 8 << 20:
+            yield out()
+            held, size = {}, 0
+    if held:
+        yield out()
+
+
+def _answered(parts: list[bytes], w: Words, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all distinct words one after another, and where each word's begin."""
+    ks, ns, flats = [], [], []
+    for part in parts:
+        x, at = np.frombuffer(part, np.int32), 0
+        while at < len(x):
+            m = int(x[at])
+            k, n = x[at + 1 : at + 1 + m], x[at + 1 + m : at + 1 + 2 * m]
+            end = at + 1 + 2 * m + int(n.sum())
+            ks.append(k)
+            ns.append(n)
+            flats.append(x[at + 1 + 2 * m : end])
+            at = end
+    few = {i: encode_long(w.distinct[i], v) for i in range(len(w.distinct)) if len(w.distinct[i]) > LONG}
+    k = np.concatenate([*ks, list(few)]).astype(np.int64)
+    n = np.concatenate([*ns, [len(c) for c in few.values()]]).astype(np.int64)
+    flat = np.concatenate([*flats, *[np.array(c, np.int32) for c in few.values()], np.zeros(0, np.int32)])
+    low = flat < 0
+    known = v.single[np.where(low, -1 - flat, 0)]
+    odd = low & (known < 0)
+    flat = np.where(low, known, flat).astype(np.int32)
+    if odd.any():  # characters without a piece
+        start = np.concatenate([[0], np.cumsum(n)])
+        lists = []
+        raw = np.concatenate([*flats, *[np.array(c, np.int32) for c in few.values()], np.zeros(0, np.int32)])
+        which = np.unique(np.searchsorted(start, np.flatnonzero(odd), side="right") - 1)
+        done = 0
+        n = n.copy()
+        for i in which:
+            new = np.array(expanded(raw[start[i] : start[i + 1]].tolist(), v), np.int32)
+            lists += [flat[done : start[i]], new]
+            done, n[i] = start[i + 1], len(new)
+        flat = np.concatenate([*lists, flat[done:]])
+    # in the order of the words' numbers
+    order = np.argsort(k)
+    begin = np.concatenate([[0], np.cumsum(n)])
+    first = np.concatenate([[0], np.cumsum(n[order])])
+    take = np.repeat(begin[order] - first[:-1], n[order]) + np.arange(first[-1])
+    return flat[take], first
+
+
+def encode(docs: DataFrame, model: str = MODEL, group_bytes: int = GROUP_BYTES // 2, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, ids) of every row: the same ids as the model's own library gives.
 
     A null text has null ids, an empty text none. Rows that repeat an id are
@@ -232,39 +354,40 @@ def encode(docs: DataFrame, model: str = MODEL, group_bytes: int = GROUP_BYTES,
     base = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     id_type = base.schema["doc_id"].dataType
     groups = packed(base.where(F.col("text").isNotNull()), "text", group_bytes)
-    # a number of its own keeps adaptive execution from planning the two uses apart: one exchange serves both
+    # partitioned once, for the questions and for the answers
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     groups = groups.repartition(parts, "g")
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for g, blob in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                some: set[str] = set()
-                for t in unpacked(blob.as_py()).column("text").to_pylist():
-                    some.update(words(t, v))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), g)), pa.array(sorted(some), pa.string())], ["g", "word"])
-
-    asked = groups.mapInArrow(ask, "g long, word string").repartition(parts, "word")
-    distinct = asked.select("word").distinct()
-    # one binary of all codes of a word goes back to each group that has it
-    answers = asked.join(encoded_words(distinct, v), "word")
+                w = Words(unpacked(blob.as_py()).column("text").to_pylist(), v)
+                some = _asked(w)
+                for lo in range(0, len(some), 1 << 16):
+                    k = some[lo : lo + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), g)), pa.array(k.astype(np.int32)), pa.array([w.distinct[i] for i in k], pa.string())], ["g", "k", "word"])
+
+    asked = groups.mapInArrow(ask, "g long, k int, word string").repartition(parts, "word")
+    # g and k go along, so that the exchange by word is the same one as below
+    distinct = asked.groupBy("word").agg(F.min("g").alias("g"), F.min("k").alias("k")).where("g IS NOT NULL AND k IS NOT NULL").select("word")
+    found = asked.join(encoded_words(distinct, v), "word").select("g", "k", "codes")
+    answers = found.mapInArrow(_answers, "g long, part binary")
 
     def write(left: pa.Table, right: pa.Table) -> pa.Table:
-        of = {w: expanded(c, v) if c and min(c) < 0 else c for w, c in zip(right.column("word").to_pylist(), right.column("codes").to_pylist(), strict=True)}
         doc, out = [], []
         for blob in left.column("blob").to_pylist():
             t = unpacked(blob)
+            w = Words(t.column("text").to_pylist(), v)
+            flat, first = _answered(right.column("part").to_pylist(), w, v)
+            n = np.diff(first)[w.which]
+            begin = np.concatenate([[0], np.cumsum(n)])
+            ids = flat[np.repeat(first[w.which] - begin[:-1], n) + np.arange(begin[-1])]
             doc.append(t.column("doc_id").combine_chunks())
-            for x in t.column("text").to_pylist():
-                ids: list[int] = []
-                for w in words(x, v):
-                    ids += of[w]
-                out.append(np.array(ids, np.int32))
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in out])]), pa.int32()), pa.array(np.concatenate(out) if out else np.zeros(0, np.int32)))
-        return pa.table({"doc_id": pa.concat_arrays(doc), "ids": lists})
+            out.append(pa.ListArray.from_arrays(pa.array(begin[w.first].astype(np.int32)), pa.array(ids)))
+        return pa.table({"doc_id": pa.concat_arrays(doc), "ids": pa.concat_arrays(out)})
 
     schema = T.StructType([T.StructField("doc_id", id_type), T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    done = groups.groupBy("g").cogroup(answers.select("g", "word", "codes").groupBy("g")).applyInArrow(write, schema)
+    done = groups.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(write, schema)
     return done.union(base.where(F.col("text").isNull()).select("doc_id", F.lit(None).cast("array<int>").alias("ids")))
 
 
@@ -281,6 +404,6 @@ def decode(rows: DataFrame, model: str = MODEL, ids: str = "ids", text: str = "t
         s = bytes([int(p[3:5], 16)]) if k == 6 else b"" if k == 3 else " ⁇ ".encode() if k == 2 else p.replace(SPACE, " ").encode()
         raw.append(s.hex())
     table = F.array(*[F.lit(x) for x in raw]) if len(raw) < 64 else F.split(F.lit(",".join(raw)), ",")
-    whole = F.decode(F.unhex(F.array_join(F.transform(ids, lambda i: F.element_at(table, i + 1)), "")), "UTF-8")
+    whole = F.make_valid_utf8(F.unhex(F.array_join(F.transform(ids, lambda i: F.element_at(table, i + 1)), "")).cast("string"))
     first = F.lit(v.prefix) & F.startswith(whole, F.lit(" "))
     return rows.withColumn(text, F.when(first, F.substring(whole, 2, 1 << 30)).otherwise(whole))
