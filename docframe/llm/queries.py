@@ -33,7 +33,7 @@ def op3_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docframe.llm.units import repeated_units
 
-    return repeated_units(table(spark, sf_dir, "documents"))
+    return repeated_units(table(spark, sf_dir, "documents"), whole=True)
 
 
 def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:

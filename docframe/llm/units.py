@@ -5,6 +5,11 @@ stop, exclamation or question mark before a blank). A unit is normalised to its
 word tokens, folded; its digest is 128 bits of them. Digests are grouped over
 all documents; the occurrence that ranks first, by (doc_id, position), stays, and
 all others are removed, named by their offsets in the original text.
+
+With `whole`, a line is a unit however short it is, and so is a paragraph, as all
+of its lines are. Short sentences within a line repeat by chance (of those of one
+word at sf 0.1, 86 %), so they are units together with their neighbours: from each
+short sentence on, and up to each, the fewest sentences of LEAST words in all.
 """
 
 from __future__ import annotations
@@ -19,7 +24,7 @@ from pyspark.sql import types as T
 
 from docframe.llm.common import Tokens, Windows, char_offsets, column, fresh, mix, slices, written
 
-#: Units of fewer words repeat by chance and stay.
+#: Sentences of fewer words repeat by chance and aren't units of their own.
 LEAST = 8
 
 _STOP = np.zeros(256, bool)
@@ -48,8 +53,35 @@ def divide(data: np.ndarray, offsets: np.ndarray, tokens: Tokens) -> tuple[np.nd
     return row[first], first, last, tokens.start[first], at[unit[first]]
 
 
-def units(docs: DataFrame, least: int = LEAST, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(h1, h2, doc, start, end, n_words) of each unit of `least` words or more."""
+def joined(data: np.ndarray, offsets: np.ndarray, least: int, row: np.ndarray, first: np.ndarray, last: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of the sentences that divide() gives: those of `least` words, the runs of
+    sentences of a line around shorter ones, and all whole lines."""
+    count = len(row)
+    if not count:
+        return row, first, last, start, end
+    break_ = np.flatnonzero(data == 10)
+    line = np.searchsorted(break_, start, side="right")
+    edge = np.flatnonzero(np.concatenate([[True], (line[1:] != line[:-1]) | (row[1:] != row[:-1])]))
+    stop = np.append(edge[1:], count)  # the lines' sentences are edge..stop - 1
+    which = np.repeat(np.arange(len(edge)), stop - edge)
+    short = np.flatnonzero(last - first < least)
+    # tokens of neighbouring sentences are neighbours
+    after = np.searchsorted(last, first[short] + least)
+    before = np.searchsorted(first, last[short] - least, side="right") - 1
+    on, up = after < stop[which[short]], before >= edge[which[short]]
+    own = np.flatnonzero(last - first >= least)
+    a = np.concatenate([own, short[on], before[up], edge])
+    z = np.concatenate([own, after[on], short[up], stop - 1])
+    a, z = np.divmod(np.unique(a * count + z), count)
+    limit = np.append(break_, len(data))[line]
+    tail = np.where(z == stop[which[z]] - 1, np.minimum(limit[z], offsets[1:][row[z]]), end[z])
+    one = (a == z) & (last[z] - first[a] >= least)  # a sentence ends where it ends
+    return row[a], first[a], last[z], start[a], np.where((a == edge[which[a]]) & ~one, tail, end[z])
+
+
+def units(docs: DataFrame, least: int = LEAST, key: str = "doc_id", text: str = "text", whole: bool = False) -> DataFrame:
+    """(h1, h2, doc, start, end, n_words) of each unit of `least` words or more;
+    with `whole`, those of joined()."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -57,8 +89,11 @@ def units(docs: DataFrame, least: int = LEAST, key: str = "doc_id", text: str =
             for i, j, data, offsets in slices(b.column(1)):
                 tokens, chars = Tokens(data, offsets), char_offsets(data)
                 row, first, last, start, end = divide(data, offsets, tokens)
-                some = np.flatnonzero(last - first >= least)
-                row, first, last, start, end = (x[some] for x in (row, first, last, start, end))
+                if whole:
+                    row, first, last, start, end = joined(data, offsets, least, row, first, last, start, end)
+                else:
+                    some = np.flatnonzero(last - first >= least)
+                    row, first, last, start, end = (x[some] for x in (row, first, last, start, end))
                 if not len(row):
                     continue
                 one = Windows(tokens.hash).hash(first, last - first)
@@ -72,37 +107,41 @@ def units(docs: DataFrame, least: int = LEAST, key: str = "doc_id", text: str =
     return source.mapInArrow(run, T.StructType([T.StructField(n, k) for n, k in zip(["h1", "h2", "doc", "start", "end", "n_words"], kinds, strict=True)]))
 
 
-def repeated_units(docs: DataFrame, least: int = LEAST, key: str = "doc_id", text: str = "text") -> DataFrame:
+def repeated_units(docs: DataFrame, least: int = LEAST, key: str = "doc_id", text: str = "text", whole: bool = False) -> DataFrame:
     """(doc_id, start, end, n_words, kept_doc_id, kept_start): the units that repeat
     one of an earlier rank, as spans of characters of the original text, end
     exclusive, and where that one stands.
 
     Case, blanks and punctuation don't matter. Units of fewer than `least` words
-    are left alone. Rows with a null id or text, and empty texts, have no unit.
+    are left alone, unless `whole` is set: then lines of any length and runs of
+    short sentences are units too, so spans may overlap, and one that overlaps
+    the first occurrence of its own words is no later occurrence. Rows with a null id or text, and empty texts, have no unit.
     Rows that repeat an id are one document: the same unit at the same offset of
     the same id is one occurrence. Texts are used whole, however long; other
     columns are ignored. No rows give no rows.
     """
-    all_ = written(units(docs, least, key, text), "units")
+    all_ = written(units(docs, least, key, text, whole), "units")
     # map-side combining keeps a digest with very many occurrences small; the join
     # back splits it by adaptive execution
-    first = all_.groupBy("h1", "h2").agg(F.min(F.struct("doc", "start")).alias("first"), F.max(F.struct("doc", "start")).alias("last")).where("first <> last").select("h1", "h2", "first")
-    out = all_.join(first, ["h1", "h2"]).where("struct(doc, start) <> first")
+    first = all_.groupBy("h1", "h2").agg(F.min(F.struct("doc", "start", "end")).alias("first"), F.max(F.struct("doc", "start")).alias("last")).where("struct(first.doc, first.start) <> last").select("h1", "h2", "first")
+    out = all_.join(first, ["h1", "h2"]).where("struct(doc, start) <> struct(first.doc, first.start)")
+    if whole:
+        out = out.where("doc <> first.doc OR start >= first.end")
     return out.select(F.col("doc").alias("doc_id"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.col("n_words").cast("long").alias("n_words"), F.col("first.doc").alias("kept_doc_id"), F.col("first.start").cast("long").alias("kept_start")).distinct()
 
 
-def without_repeated_units(docs: DataFrame, least: int = LEAST, key: str = "doc_id", text: str = "text", chars: str = "n_chars") -> DataFrame:
+def without_repeated_units(docs: DataFrame, least: int = LEAST, key: str = "doc_id", text: str = "text", chars: str = "n_chars", whole: bool = False) -> DataFrame:
     """docs with the spans of repeated_units cut out of their texts. A document of
     which only blanks are left has no row. The column `chars`, if there is one,
     is counted again where the text changed. Other rows stay as they are."""
-    spans = repeated_units(docs, least, key, text)
+    spans = repeated_units(docs, least, key, text, whole)
     cut, id_ = fresh(docs, "unit_spans"), fresh(docs, "unit_doc")
     spans = spans.groupBy(F.col("doc_id").alias(id_)).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias(cut))
     joined = docs.join(spans, docs[key] == spans[id_], "left")
     kept = F.aggregate(
         cut,
         F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at")),
-        lambda a, s: F.struct(F.concat(a["out"], F.substring(F.col(text), (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int"))).alias("out"), s["end"].alias("at")),
+        lambda a, s: F.struct(F.concat(a["out"], F.substring(F.col(text), (a["at"] + 1).cast("int"), (F.greatest(s["start"], a["at"]) - a["at"]).cast("int"))).alias("out"), F.greatest(s["end"], a["at"]).alias("at")),
         lambda a: F.concat(a["out"], F.substring(F.col(text), (a["at"] + 1).cast("int"), F.length(text))),
     )
     body = F.when(F.col(cut).isNull(), F.col(text)).otherwise(kept)

@@ -111,6 +111,48 @@ def test_units_edges(spark):
     assert without_repeated_units(clash).columns == clash.columns and {tuple(r) for r in repeated_units(clash).collect()} == got
 
 
+def brute_whole(docs):
+    """brute_units with whole lines, and runs of the fewest sentences around short ones."""
+    all_ = set()
+    for d, t in docs:
+        b, at = t.encode(), 0
+        for line in b.split(b"\n"):
+            ends = [m.end() for m in re.finditer(rb"[.!?](?=[\t\r ]|$)", line)] + [len(line)]
+            cuts = [(s, e, tokens(line[s:e].decode())) for s, e in zip([0, *ends], ends)]
+            cuts = [(s, e, w) for s, e, w in cuts if w]
+            n = [len(w) for *_, w in cuts]
+            spans = {(i, i) for i in range(len(n)) if n[i] >= LEAST}
+            for i in range(len(n)):
+                spans |= set([(i, j) for j in range(i, len(n)) if sum(n[i : j + 1]) >= LEAST][:1])
+                spans |= set([(j, i) for j in range(i, -1, -1) if sum(n[j : i + 1]) >= LEAST][:1])
+            for i, j in spans | ({(0, len(n) - 1)} if n else set()):
+                words = tuple(x[2] for *_, w in cuts[i : j + 1] for x in w)
+                base = len(b[: at + cuts[i][0]].decode())
+                all_.add((words, d, base + cuts[i][2][0][0], base + len(line[cuts[i][0] : cuts[j][1]].decode()), len(words)))
+            at += len(line) + 1
+    first = {}
+    for k, d, s, e, _ in sorted(all_, key=lambda x: x[1:4]):
+        first.setdefault(k, (d, s, e))
+    return {(d, s, n, *first[k][:2]) for k, d, s, _, n in all_ if first[k][:2] != (d, s) and (d != first[k][0] or s >= first[k][2])}
+
+
+def test_whole_units_by_brute_force(spark, sf):
+    docs = table(spark, sf.replace("sf0.001", "sf0.01"), "documents").where("doc_id IS NOT NULL AND text IS NOT NULL")
+    want = brute_whole([(r.doc_id, r.text) for r in docs.collect()])
+    got = {(r.doc_id, r.start, r.n_words, r.kept_doc_id, r.kept_start) for r in repeated_units(docs, whole=True).collect()}
+    assert got == want and {tuple(r) for r in repeated_units(docs).collect()} and min(x[2] for x in got) == 1
+
+
+def test_whole_units_edges(spark):
+    run = " ".join(f"Say w{i} now{i}." for i in range(20))  # 60 words, none of its sentences has 8
+    texts = [(1, f"Released under the MIT license\nAlpha beta. {run} Gamma."), (2, "Some text.\nreleased under the mit license!  \n\nMore"), (3, f"Delta. {run} Epsilon zeta."), (4, "more\nno. no. no."), (5, "a b. " * 40), (6, "")]
+    docs = make(spark, texts)
+    by = {r.doc_id: r.text for r in without_repeated_units(docs, whole=True).collect()}
+    assert by == {1: texts[0][1], 2: "Some text.\n\n\nMore", 3: "Delta.  Epsilon zeta.", 4: "\nno. no. no.", 5: by[5], 6: ""}
+    assert len(tokens(by[5])) == 8
+    assert {(r.doc_id, r.start, r.n_words, r.kept_doc_id, r.kept_start) for r in repeated_units(docs, whole=True).collect()} == brute_whole(texts)
+
+
 def lcs(a, b):
     t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i in range(len(a)):
