@@ -8,6 +8,10 @@ perplexity varies more the shorter it is, so the half-width of the band for a
 text of n tokens is k x sqrt(s^2 / n + spread^2), around the language's median;
 s is a robust deviation of one token's log perplexity, estimated from all
 documents of the language.
+
+The Kneser-Ney model reaches over less than a word. A second one, Katz's of order
+WIDE over all documents, which no memory holds whole (op9's), gives each document
+a second perplexity with a band of its own; a document must lie in both.
 """
 
 from __future__ import annotations
@@ -21,11 +25,16 @@ from pyspark.sql import functions as F
 
 from docframe.llm import ngrams
 from docframe.llm.common import column, fresh, slices, written
+from docframe.llm.katz import katz_scores
 
 ORDER = 4
-LOWER = 4.0
-UPPER = 5.0
+#: Set against labelled documents, junk and clean ones; README has the rates.
+LOWER = 2.5
+UPPER = 2.5
 SPREAD = 0.02
+WIDE = 6
+WIDE_LOWER = 4.0
+WIDE_UPPER = 2.5
 #: Models of more than this many n-grams in all are pruned of their rarest highest-order ones.
 MAX_NGRAMS = 40_000_000
 
@@ -98,6 +107,18 @@ def scored(docs: DataFrame, order: int = ORDER, text: str = "text", lang: str =
     return source.mapInArrow(run, schema), size, score
 
 
+def scored_twice(docs: DataFrame, order: int = ORDER, text: str = "text", lang: str = "lang", keep: list[str] | None = None) -> tuple[DataFrame, str, str, str]:
+    """scored() with the mean log perplexity under the wide model too; the three names.
+
+    A score is a function of the text, so rows find theirs by the text's digest."""
+    mark, other, wide = fresh(docs, "text_mark"), fresh(docs, "wide_mark"), fresh(docs, "wide_log_perplexity")
+    marked = docs.withColumn(mark, F.md5(F.col(text).cast("binary")))
+    rows, size, score = scored(marked, order, text, lang, None if keep is None else [*keep, mark])
+    far = katz_scores(marked, WIDE, least=1, key=mark, text=text).where("log_prob IS NOT NULL")
+    far = far.groupBy(F.col("doc_id").alias(other)).agg(F.min(-F.col("log_prob") / F.col("n_tokens")).alias(wide))
+    return rows.join(far, rows[mark] == far[other], "left").drop(mark, other), size, score, wide
+
+
 def bands(rows: DataFrame, size: str, score: str, lang: F.Column) -> DataFrame:
     """(band_lang, middle, deviation) of each language, over all its scored documents.
 
@@ -113,17 +134,29 @@ def bands(rows: DataFrame, size: str, score: str, lang: F.Column) -> DataFrame:
     return second.groupBy("band_lang", "middle").agg((1.4826 * F.percentile("x", F.lit(0.5), F.col("n")) / 256).alias("deviation"))
 
 
-def judged(rows: DataFrame, size: str, score: str, lang: F.Column, lower: float = LOWER, upper: float = UPPER, spread: float = SPREAD) -> DataFrame:
-    """rows with band_lang, middle, deviation and in_band."""
+def width(deviation: str, size: str, spread: float) -> F.Column:
+    return F.sqrt(F.col(deviation) ** 2 / F.nullif(F.col(size), F.lit(0)) + spread**2)
+
+
+def judged(rows: DataFrame, size: str, score: str, lang: F.Column, lower: float = LOWER, upper: float = UPPER, spread: float = SPREAD, far: str | None = None) -> DataFrame:
+    """rows with band_lang, middle, deviation and in_band; with the name of the wide
+    score, wide_middle and wide_deviation too, and in_band says whether both bands hold it."""
     # one row for each language: as few as the models that were broadcast
     out = rows.withColumn("band_lang", lang).join(F.broadcast(bands(rows, size, score, lang)), "band_lang", "left")
-    wide = F.sqrt(F.col("deviation") ** 2 / F.nullif(F.col(size), F.lit(0)) + spread**2)
+    wide = width("deviation", size, spread)
     off = F.col(score) - F.col("middle")
-    return out.withColumn("in_band", F.coalesce((off >= -lower * wide) & (off <= upper * wide), F.lit(False)))
+    inside = (off >= -lower * wide) & (off <= upper * wide)
+    if far is not None:
+        second = bands(rows, size, far, lang).select(F.col("band_lang").alias("wide_lang"), F.col("middle").alias("wide_middle"), F.col("deviation").alias("wide_deviation"))
+        out = out.join(F.broadcast(second), F.col("band_lang") == F.col("wide_lang"), "left").drop("wide_lang")
+        off, wide = F.col(far) - F.col("wide_middle"), width("wide_deviation", size, spread)
+        inside &= (off >= -WIDE_LOWER * wide) & (off <= WIDE_UPPER * wide)
+    return out.withColumn("in_band", F.coalesce(inside, F.lit(False)))
 
 
 def perplexity_bands(docs: DataFrame, order: int = ORDER, lower: float = LOWER, upper: float = UPPER, spread: float = SPREAD, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """(doc_id, lang, n_tokens, perplexity, lower, upper, keep) of every row.
+    """(doc_id, lang, n_tokens, perplexity, lower, upper, wide_perplexity, wide_lower,
+    wide_upper, keep) of every row; those kept lie in both bands.
 
     A null language is the language 'und', with a model of its own. A null text
     has no perplexity and isn't kept; an empty text is its END alone, and is
@@ -131,18 +164,20 @@ def perplexity_bands(docs: DataFrame, order: int = ORDER, lower: float = LOWER,
     used whole; other columns are ignored. No rows give no rows.
     """
     base = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
-    rows, size, score = scored(base, order, keep=["doc_id", "lang"])
+    rows, size, score, far = scored_twice(base, order, keep=["doc_id", "lang"])
     rows = written(rows, "perplexities")
-    out = judged(rows, size, score, ngrams.language(rows, "lang"), lower, upper, spread)
-    wide = F.sqrt(F.col("deviation") ** 2 / F.nullif(F.col(size), F.lit(0)) + spread**2)
-    return out.select("doc_id", "lang", F.col(size).alias("n_tokens"), F.exp(score).alias("perplexity"), F.exp(F.col("middle") - lower * wide).alias("lower"), F.exp(F.col("middle") + upper * wide).alias("upper"), F.col("in_band").alias("keep"))
+    out = judged(rows, size, score, ngrams.language(rows, "lang"), lower, upper, spread, far)
+    near, wide = width("deviation", size, spread), width("wide_deviation", size, spread)
+    first = [F.exp(score).alias("perplexity"), F.exp(F.col("middle") - lower * near).alias("lower"), F.exp(F.col("middle") + upper * near).alias("upper")]
+    second = [F.exp(far).alias("wide_perplexity"), F.exp(F.col("wide_middle") - WIDE_LOWER * wide).alias("wide_lower"), F.exp(F.col("wide_middle") + WIDE_UPPER * wide).alias("wide_upper")]
+    return out.select("doc_id", "lang", F.col(size).alias("n_tokens"), *first, *second, F.col("in_band").alias("keep"))
 
 
 def in_band(docs: DataFrame, order: int = ORDER, lower: float = LOWER, upper: float = UPPER, spread: float = SPREAD, text: str = "text", lang: str = "lang") -> DataFrame:
     """docs without the rows that perplexity_bands rejects, with their columns."""
-    rows, size, score = scored(docs, order, text, lang)
+    rows, size, score, far = scored_twice(docs, order, text, lang)
     rows = written(rows, "scored")
     plain = rows.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(rows.columns)])
     at = {c: f"c{i}" for i, c in enumerate(rows.columns)}
-    out = judged(plain, at[size], at[score], ngrams.language(plain, at[lang]), lower, upper, spread).where("in_band")
+    out = judged(plain, at[size], at[score], ngrams.language(plain, at[lang]), lower, upper, spread, at[far]).where("in_band")
     return out.select(*[F.col(at[c]).alias(c) for c in docs.columns])

@@ -156,6 +156,14 @@ def test_quality_keeps_prose_and_rejects_junk(spark, sf):
     assert got == {10**6: False, 10**6 + 1: False}
 
 
+def test_quality_rejects_labelled_junk(spark, sf):
+    at = sf.replace("sf0.001", "sf0.01")
+    labels = table(spark, at, "labels").select("doc_id", "quality")
+    rows = perplexity_bands(table(spark, at, "documents")).join(labels, "doc_id").collect()
+    junk, clean = ([not r.keep for r in rows if r.quality == k] for k in (0, 1))
+    assert sum(junk) > 0.55 * len(junk) and sum(clean) < 0.04 * len(clean), (sum(junk), len(junk), sum(clean), len(clean))
+
+
 def test_quality_edges(spark):
     rng = random.Random(8)
     docs = make(spark, [(1, None, "en"), (2, "", "en"), (3, prose(rng, 50), None), (3, prose(rng, 50), None), (None, prose(rng, 50_000), "en")])
