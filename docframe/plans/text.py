@@ -73,7 +73,7 @@ def make_id_ascii(spark, sf_dir):
 
 @query()
 def make_id(spark, sf_dir):
-    return docs(spark, sf_dir).select("docname", X.make_id(F.substring("content", 1, 80)).alias("id"))
+    return docs(spark, sf_dir).select("docname", X.make_id(F.col("content")).alias("id"))
 
 
 @query(r"""SELECT doc_id, lower(trim(regexp_replace(left(text, 200), '\s+', ' ', 'g'))) AS name,

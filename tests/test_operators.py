@@ -192,3 +192,19 @@ Text with :py:func:`Shown <os.path>` and ``:ref:`no` ``.
     r = M.records(text)
     assert r[3]["target"] == "os.path" and r[3]["display"] == "Shown" and r[4]["options"] == {"width": "50%"} and r[-1]["target"] == "other"
     assert M.records("") == [] and M.records("::\n\n   :ref:`x`\n") == []
+
+
+def test_ids_of_whole_texts(spark, sf):
+    import re
+    import unicodedata
+
+    from docframe.functions.text import _LETTERS
+    from docframe.plans.text import docs, make_id
+
+    def one(s):
+        s = unicodedata.normalize("NFKD", "".join(_LETTERS.get(c, c) for c in s.lower())).encode("ascii", "ignore").decode()
+        return re.sub("-+$", "", re.sub("^[-0-9]+", "", re.sub("[^a-z0-9]+", "-", s)))
+
+    texts = {r.docname: r.content for r in docs(spark, sf).collect()}
+    got = {r.docname: r.id for r in make_id(spark, sf).collect()}
+    assert got == {k: None if t is None else one(t) for k, t in texts.items()} and max(len(x or "") for x in got.values()) > 1000
