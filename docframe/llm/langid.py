@@ -32,7 +32,7 @@ FAMILIES = {
 #: A document is rejected when it surely is in a language other than the declared
 #: one: its language's lead over the declared one is at least this many standard
 #: errors of the score.
-SURE = 8.0
+SURE = 3.5
 #: A language that fewer documents declare isn't learnt: a stray tag is no language.
 LEAST_DOCUMENTS = 10
 #: Fewer trigrams than this say nothing sure.

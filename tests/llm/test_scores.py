@@ -6,7 +6,7 @@ import pytest
 
 from docframe.llm import katz, ngrams
 from docframe.llm.common import table
-from docframe.llm.langid import in_declared_language, languages
+from docframe.llm.langid import in_declared_language, languages, predicted, train
 from docframe.llm.quality import in_band, perplexity_bands
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -181,6 +181,18 @@ def test_languages_held_out(spark, sf):
     assert sum(r.keep for r in rows) >= 0.95 * len(rows)
 
 
+def test_short_texts_of_a_wrong_tag(spark, sf):
+    """Passages of 120 characters tagged with the other language of their family, and with their own."""
+    docs = table(spark, sf.replace("sf0.001", "sf0.01"), "documents").where("text IS NOT NULL AND lang IS NOT NULL")
+    model = train(docs)
+    cut = docs.where("length(text) >= 600").selectExpr("substring(text, 200, 120) AS text", "lang")
+    wrong = cut.selectExpr("text", "CASE lang WHEN 'en' THEN 'de' WHEN 'de' THEN 'en' WHEN 'fr' THEN 'es' ELSE 'fr' END AS lang")
+    for df, least, most in ((cut, 0, 0.01), (wrong, 0.95, 1)):
+        out, (_, _, ok) = predicted(df, model)
+        kept = [r[ok] for r in out.collect()]
+        assert least <= kept.count(False) / len(kept) <= most
+
+
 def test_languages_edges(spark, sf):
     docs = table(spark, sf, "documents")
     en = docs.where("lang = 'en' AND n_chars > 2000").first().text
