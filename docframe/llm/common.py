@@ -41,37 +41,64 @@ def shared_dir(spark: SparkSession) -> str:
     return spark._docframe_dir
 
 
+_tables: dict[str, SparkSession] = {}
+
+
+def _forget(path: str) -> None:
+    spark = _tables.pop(path, None)
+    if spark is None:
+        return
+    try:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # noqa: BLE001, S110  the JVM may be gone at exit
+        return
+
+
+@atexit.register
+def _forget_all() -> None:
+    for path in list(_tables):
+        _forget(path)
+
+
 def written(df: DataFrame, what: str, by: list[str] | None = None) -> DataFrame:
     """df written as a table in the shared folder and read again: cuts lineage,
-    and no executor's loss takes it away. It is deleted when the process ends."""
+    and no executor's loss takes it away. discarded() deletes it, or the end of the process."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/docframe-{what}-{uuid.uuid4().hex}"
+    _tables[path] = spark
     df.write.partitionBy(*(by or [])).parquet(path)
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    out = spark.read.schema(df.schema).parquet(path)
+    out._docframe_path = path
+    return out
 
-    def drop() -> None:
-        try:
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(conf).delete(p, True)
-        except Exception:  # the JVM may be gone at exit
-            pass
 
-    atexit.register(drop)
-    return spark.read.schema(df.schema).parquet(path)
+def discarded(*tables: DataFrame) -> None:
+    """Deletes tables of written() that nothing reads any more."""
+    for x in tables:
+        if at := getattr(x, "_docframe_path", None):
+            _forget(at)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+def tables_now() -> set[str]:
+    """The tables of written() that there are: what is made later isn't among them."""
+    return set(_tables)
+
 
+def discarded_since(before: set[str]) -> None:
+    """Deletes all tables written since tables_now() gave `before`."""
+    for path in set(_tables) - before:
+        _forget(path)
 
-def input_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of the size of df; only sizes partitions by it."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def blocks_for(df: DataFrame, bytes_each: int) -> int:
-    """How many column blocks to cut df's data into: grows with the input."""
-    return int(min(1 << 20, max(16, input_bytes(df) // bytes_each)))
+def blocks_for(df: DataFrame, text: str, bytes_each: int) -> int:
+    """How many column blocks to cut df's texts into, by their measured bytes."""
+    size = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    return max(16, size // bytes_each)
 
 
 # ---------------------------------------------------------------- Arrow helpers
@@ -241,6 +268,44 @@ def read_blobs(blobs: list[bytes], types: list[np.dtype]) -> list[np.ndarray]:
     return [np.concatenate(p) if p else np.zeros(0, t) for p, t in zip(parts, types, strict=True)]
 
 
+def deflated(arrays: list[np.ndarray], rising: int = 0) -> bytes:
+    """Arrays of one length as compressed byte planes; the first `rising` ones, which are
+    sorted, by their differences: neighbouring n-grams differ in their last bytes only."""
+    out = [np.int64(len(arrays[0])).tobytes()]
+    codec = pa.Codec("zstd", 3)
+    for k, x in enumerate(arrays):
+        if k < rising:
+            x = np.diff(x, prepend=x.dtype.type(0))
+        planes = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.dtype.itemsize).T
+        z = codec.compress(np.ascontiguousarray(planes).tobytes(), asbytes=True) if len(x) else b""
+        out += [np.int64(len(z)).tobytes(), z]
+    return b"".join(out)
+
+
+def inflated(blob: bytes, types: list, rising: int = 0) -> list[np.ndarray]:
+    """The arrays of deflated()."""
+    codec, at = pa.Codec("zstd"), 8
+    n = int(np.frombuffer(blob, np.int64, 1)[0])
+    out = []
+    for k, t in enumerate(types):
+        size, t = int(np.frombuffer(blob, np.int64, 1, at)[0]), np.dtype(t)
+        at += 8
+        raw = codec.decompress(blob[at : at + size], n * t.itemsize, asbytes=True) if n else b""
+        x = np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(t.itemsize, n).T).view(t).reshape(n)
+        out.append(np.cumsum(x, dtype=t) if k < rising else x)
+        at += size
+    return out
+
+
+def split_by(block: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order that puts rows of one block together, where each block starts in it
+    (and the end), and the blocks; the order within a block is kept."""
+    order = np.argsort(block, kind="stable")
+    b = block[order]
+    edge = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]])) if len(b) else np.zeros(0, np.int64)
+    return order, np.append(edge, len(b)), b[edge].astype(np.int64)
+
+
 BLOCK_SCHEMA = "block long, part binary"
 
 
@@ -277,11 +342,13 @@ def rows_of(df: DataFrame, name: str = "rows") -> int:
 
 #: A group's texts hold about this many bytes; a longer text is a group of its own.
 GROUP_BYTES = 16 << 20
+#: Of zstd: texts are exchanged, and a group is compressed once.
+LEVEL = 6
 
 
 def _ipc(batch: pa.RecordBatch) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", LEVEL))) as w:
         w.write_batch(batch)
     return sink.getvalue().to_pybytes()
 
@@ -326,3 +393,37 @@ def packed(df: DataFrame, size: str, group_bytes: int = GROUP_BYTES) -> DataFram
     import pyarrow.compute  # noqa: F401
 
     return df.mapInArrow(run, "g long, blob binary")
+
+
+def answered(groups: DataFrame, ask: Callable, tables: DataFrame, answer: Callable, finish: Callable, schema: T.StructType | str) -> DataFrame:
+    """What groups (g, blob) make of the answers to their questions.
+
+    ask(blob) gives (block, question) pairs, at most one a block; answer(rows of
+    `tables` of one block), made once, gives the answer to one question; finish(blob,
+    {block: answer}) gives the result's rows. Texts are exchanged once, by g, both
+    for asking and for finishing; only questions and answers travel besides.
+    """
+    parts = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    groups = groups.repartition(parts, "g")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for g, blob in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                pairs = list(ask(blob.as_py()))
+                for lo in range(0, len(pairs), 4096):
+                    ids, q = zip(*pairs[lo : lo + 4096], strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([g] * len(ids), pa.int64()), pa.array(ids, pa.int64()), pa.array(q, pa.binary())], ["g", "block", "part"])
+
+    def reply(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return pa.table({"g": pa.array([], pa.int64()), "block": pa.array([], pa.int64()), "part": pa.array([], pa.binary())})
+        one = answer(right)
+        return pa.table({"g": left.column("g").cast(pa.int64()), "block": left.column("block").cast(pa.int64()), "part": pa.array([one(x.as_py()) for x in left.column("part")], pa.binary())})
+
+    def end(left: pa.Table, right: pa.Table) -> pa.Table:
+        got = dict(zip(right.column("block").to_pylist(), right.column("part").to_pylist(), strict=True))
+        return pa.concat_tables([finish(blob.as_py(), got) for blob in left.column("blob")])
+
+    questions = groups.mapInArrow(run, "g long, block long, part binary")
+    answers = questions.groupBy("block").cogroup(tables.groupBy("block")).applyInArrow(reply, "g long, block long, part binary")
+    return groups.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(end, schema)

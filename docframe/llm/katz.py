@@ -3,18 +3,17 @@
 A token is a byte of the UTF-8 text; END follows a text, START stands before it.
 n-gram counts of all documents are discounted by Good-Turing; what that frees
 goes to tokens not seen after a context by the shorter context's model, with a
-weight that makes each distribution sum to one exactly.
-
-1. Documents lie in groups of some MB. Each group's n-grams of the highest order
-   are counted, and the counts are cut into blocks by the last three tokens of
-   the context. So all n-grams of orders 4 and up that share a context, and all
-   that they back off to down to order 4, are in one block.
-2. Merged blocks are a table in the shared folder. From it come the counts of
-   counts of each order, and the counts of order 3, which the alphabet bounds and
-   which with the orders below are the only part of the model that is broadcast.
-3. Each block's model is made, and written as tables partitioned by order. Each
-   group's n-grams are scored in their block, by recursion from the highest order
-   down, and go back to their group, where each document's are added up.
+weight that makes each distribution sum to one exactly. All n-grams count,
+those seen once too.
+
+1. n-grams of the highest order are counted, in blocks of the nearest tokens of
+   their contexts: so all n-grams of orders 4 and up that share a context, and all
+   that they back off to down to order 4, are in one block. Orders 1 to 3, which
+   the alphabet bounds, are the only part of the model that is broadcast.
+2. Each block's model is made, and written as tables partitioned by order.
+3. Documents lie in groups of some MB. A group asks each block about its distinct
+   n-grams, which are scored there by recursion from the highest order down, and
+   its documents' are added up from the answers. Texts are exchanged once.
 """
 
 from __future__ import annotations
@@ -27,223 +26,61 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docframe.llm.common import GROUP_BYTES, blob_rows, blocks_for, column, mix, packed, read_blobs, slices, unpacked, written
-from docframe.llm.ngrams import VOCABULARY, _contexts, _group, codes, runs
+from docframe.llm import ngrams
+from docframe.llm.common import GROUP_BYTES, answered, blocks_for, deflated, discarded, inflated, packed, unpacked, written
+from docframe.llm.ngrams import Katz, Level
 
-ORDER = 5
+ORDER = 7
 CUTOFF = 5
-LEAST = 2
-#: Orders up to this are broadcast: at most 256 ** LOW n-grams, however large the corpus.
-LOW = 3
 BLOCK_BYTES = 4 << 20
 
 
-def ratios(of: np.ndarray, cutoff: int) -> np.ndarray:
-    """Good-Turing's discount ratio of counts 0..cutoff, from the number of n-grams
-    of each count 1..cutoff + 1. Where it isn't in (0, 1], the count is kept."""
-    out = np.ones(cutoff + 1)
-    if of[1]:
-        common = (cutoff + 1) * of[cutoff + 1] / of[1]
-        for r in range(1, cutoff + 1):
-            if of[r] and common < 1 and 0 < (x := ((r + 1) * of[r + 1] / of[r] / r - common) / (1 - common)) <= 1:
-                out[r] = x
-    return out
-
-
-def counts_of_counts(count: np.ndarray, cutoff: int) -> np.ndarray:
-    return np.bincount(np.minimum(count, cutoff + 2), minlength=cutoff + 3)[: cutoff + 2]
-
-
-class Level:
-    """One order's table: sorted codes with log p, sorted contexts with log weight."""
-
-    def __init__(self, code: np.ndarray, p: np.ndarray, context: np.ndarray, weight: np.ndarray):
-        self.code, self.p, self.context, self.weight = code, p, context, weight
-
-
-def find(keys: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(position, whether there) of each code in sorted keys."""
-    if not len(keys):
-        return np.zeros(len(code), np.int64), np.zeros(len(code), bool)
-    at = np.minimum(np.searchsorted(keys, code), len(keys) - 1)
-    return at, keys[at] == code
-
-
-def score(levels: list[Level], code: np.ndarray, n: int) -> np.ndarray:
-    """log p of each n-gram's last token after its others, by recursion on the order."""
-    if n == 0:
-        return np.full(len(code), -np.log(VOCABULARY))
-    level = levels[n - 1]
-    code = code & np.uint64((1 << 8 * n) - 1)
-    at, seen = find(level.code, code)
-    out = level.p[at] if len(level.p) else np.zeros(len(code))
-    rest = np.flatnonzero(~seen)
-    if len(rest):
-        low = score(levels, code[rest], n - 1)
-        j, there = find(level.context, code[rest] >> np.uint64(8))
-        out = out.copy()
-        out[rest] = low + np.where(there, level.weight[j], 0.0) if len(level.weight) else low
-    return out
-
-
-def level(code: np.ndarray, count: np.ndarray, n: int, ratio: np.ndarray, below: list[Level], cutoff: int, least: int) -> Level:
-    """The table of order n from all its counts that share contexts, with the
-    tables of the orders below.
-
-    From order 3 on, n-grams of fewer than `least` counts are left to backoff. A
-    context whose n-grams have all the mass gives half a count to the rest.
-    """
-    h, edge = _contexts(code)
-    if not len(code):
-        return Level(code, np.zeros(0), h, np.zeros(0))
-    total = np.add.reduceat(count, edge).astype(float)
-    which = np.repeat(np.arange(len(edge)), np.diff(np.append(edge, len(code))))
-    p = np.where(count > cutoff, 1.0, ratio[np.minimum(count, cutoff)]) * count / total[which]
-    if n > 2 and least > 1:
-        p[count < least] = 0
-    lower = np.exp(score(below, code, n - 1))
-    kept = np.where(p > 0, lower, 0)
-    mass, low = np.add.reduceat(p, edge), np.add.reduceat(kept, edge)
-    full = (mass > 1 - 1e-9) & (low < 1 - 1e-12)
-    share = np.where(full, total / (total + 0.5), 1.0)
-    p, mass = p * share[which], mass * share
-    every = low >= 1 - 1e-12  # nothing is left below: the kept take all
-    p = np.where(every[which] & (p > 0), p / np.maximum(mass[which], 1e-300), p)
-    weight = np.where(every, 1.0, (1 - np.where(every, 0, mass)) / np.where(every, 1, 1 - low))
-    on = p > 0
-    return Level(code[on], np.log(p[on]), h, np.log(np.maximum(weight, 1e-300)))
-
-
-def orders(code: np.ndarray, count: np.ndarray, top: int, down_to: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """The counts of orders top..down_to from sorted counts of order top."""
-    out = {top: (code, count)}
-    for n in range(top - 1, down_to - 1, -1):
-        out[n] = _group(*out[n + 1], (1 << 8 * n) - 1)
-    return out
-
-
-def _block(code: np.ndarray, blocks: int) -> np.ndarray:
-    """The block of each n-gram: by the last LOW tokens of its context."""
-    return (mix((code >> np.uint64(8)) & np.uint64((1 << 8 * LOW) - 1)) % np.uint64(blocks)).astype(np.int64)
-
-
-def _group_counts(blob: bytes, order: int, blocks: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A group's distinct n-grams, in the order of (block, code), their counts and blocks."""
-    parts = [runs(codes(data, offsets, order)[0]) for _, _, data, offsets in slices(unpacked(blob).column("text").combine_chunks())]
-    code, count = runs(*(np.concatenate(x) for x in zip(*parts, strict=True))) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    block = _block(code, blocks)
-    at = np.argsort(block, kind="stable")
-    return code[at], count[at], block[at]
-
-
-def katz_scores(docs: DataFrame, order: int = ORDER, cutoff: int = CUTOFF, least: int = LEAST, group_bytes: int = GROUP_BYTES, key: str = "doc_id", text: str = "text") -> DataFrame:
+def katz_scores(docs: DataFrame, order: int = ORDER, cutoff: int = CUTOFF, group_bytes: int = GROUP_BYTES, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_tokens, log_prob, perplexity) of every row, under a model counted over all rows.
 
     A null text isn't counted, has no tokens and null scores; an empty text is its
-    END alone. Rows that repeat an id are scored one by one. Texts are used whole;
-    other columns are ignored. No rows give no rows.
+    END alone. Rows that repeat an id are scored one by one, equal texts alike. Texts
+    are used whole, however long; other columns are ignored. No rows give no rows.
     """
-    if not LOW < order <= 8:
-        raise ValueError(f"order must be {LOW + 1} to 8")
-    spark = docs.sparkSession
-    blocks = blocks_for(docs, BLOCK_BYTES)
+    if not ngrams.LOW < order <= 8:
+        raise ValueError(f"order must be {ngrams.LOW + 1} to 8")
+    kind = Katz(cutoff)
     base = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    id_type = base.schema["doc_id"].dataType
-    groups = written(packed(base.where(F.col("text").isNotNull()), "text", group_bytes), "groups")
-
-    def requests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for g, blob in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                code, count, block = _group_counts(blob.as_py(), order, blocks)
-                ids, parts = blob_rows(block, [code, count.astype(np.int64)])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), g)), pa.array(ids), pa.array(parts, pa.binary())], ["g", "block", "part"])
-
-    asked = groups.mapInArrow(requests, "g long, block long, part binary")
-
-    # merged counts of each block, with each order's counts of counts and the counts of order LOW
-    def merge(key: tuple, t: pa.Table) -> pa.Table:
-        code, count = runs(*read_blobs(t.column("part").to_pylist(), [np.uint64, np.int64]))
-        by = orders(code, count, order, LOW + 1)
-        of = np.concatenate([counts_of_counts(by[n][1], cutoff) for n in range(LOW + 1, order + 1)]).astype(np.int64)
-        low, some = _group(*by[LOW + 1], (1 << 8 * LOW) - 1)
-        at = [x.tobytes() for x in (code, count.astype(np.int64), of, low, some.astype(np.int64))]
-        return pa.table({"block": [key[0].as_py()], **{c: pa.array([x], pa.binary()) for c, x in zip(("code", "count", "of", "low", "some"), at, strict=True)}})
-
-    merged = written(asked.groupBy("block").applyInArrow(merge, "block long, code binary, count binary, of binary, low binary, some binary"), "counts")
-
-    def tiny(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, low, some = np.zeros((order - LOW) * (cutoff + 2), np.int64), [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        for b in batches:
-            for x, y, z in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
-                of = of + np.frombuffer(x, np.int64)
-                low.append(np.frombuffer(y, np.uint64))
-                some.append(np.frombuffer(z, np.int64))
-            low, some = ([y] for y in runs(np.concatenate(low), np.concatenate(some)))
-        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (of, low[0], some[0])], ["of", "low", "some"])
-
-    rows = merged.select("of", "low", "some").mapInArrow(tiny, "of binary, low binary, some binary").collect()
-    of = sum((np.frombuffer(r.of, np.int64) for r in rows), np.zeros((order - LOW) * (cutoff + 2), np.int64)).reshape(-1, cutoff + 2)
-    code, count = (np.concatenate([np.frombuffer(r[c], t) for r in rows] or [np.zeros(0, t)]) for c, t in (("low", np.uint64), ("some", np.int64)))
-    small = orders(*runs(code, count), LOW, 1)
-    bottom: list[Level] = []
-    for n in range(1, LOW + 1):
-        bottom.append(level(*small[n], n, ratios(counts_of_counts(small[n][1], cutoff), cutoff), bottom, cutoff, least))
-    shared = spark.sparkContext.broadcast((bottom, [ratios(x, cutoff) for x in of]))
-
-    # each block's tables
-    fields = ["block", "n", "codes", "probs", "contexts", "weights"]
+    blocks = blocks_for(base, "text", BLOCK_BYTES)
+    merged = written(ngrams.counts(base, order, blocks), "counts")
+    bottom = base.sparkSession.sparkContext.broadcast(ngrams.bottoms(merged, kind, order).get(ngrams.UNKNOWN))
+    fields = ["block", "n", "grams", "weights"]
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        low, ratio = shared.value
         for b in batches:
-            for block, c, k in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                by = orders(np.frombuffer(c, np.uint64), np.frombuffer(k, np.int64), order, LOW + 1)
-                levels = list(low)
-                for n in range(LOW + 1, order + 1):
-                    levels.append(level(*by[n], n, ratio[n - LOW - 1], levels, cutoff, least))
-                top = levels[LOW:]
-                cols = [pa.array([x.tobytes() for x in y], pa.binary()) for y in zip(*((v.code, v.p, v.context, v.weight) for v in top), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array([block] * len(top), pa.int64()), pa.array(range(LOW + 1, order + 1), pa.int32()), *cols], fields)
-
-    tables = merged.select("block", "code", "count").mapInArrow(build, "block long, n int, codes binary, probs binary, contexts binary, weights binary")
-    tables = written(tables, "katz", ["n"]).select(*fields)
-
-    def answer(left: pa.Table, right: pa.Table) -> pa.Table:
-        order_ = sorted(right.select(fields[1:]).to_pylist(), key=lambda r: r["n"])
-        levels = [*shared.value[0], *(Level(np.frombuffer(r["codes"], np.uint64), np.frombuffer(r["probs"]), np.frombuffer(r["contexts"], np.uint64), np.frombuffer(r["weights"])) for r in order_)]
-        out = []
-        for part in left.column("part").to_pylist():
-            code, _ = read_blobs([part], [np.uint64, np.int64])
-            out.append(score(levels, code, order).astype(np.float32).tobytes())
-        return pa.table({"g": left.column("g").cast(pa.int64()), "block": left.column("block").cast(pa.int64()), "p": pa.array(out, pa.binary())})
-
-    answers = asked.groupBy("block").cogroup(tables.groupBy("block")).applyInArrow(answer, "g long, block long, p binary")
-
-    def add(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = []
-        for blob in left.column("blob").to_pylist():
-            t = unpacked(blob).combine_chunks()
-            code, _, _ = _group_counts(blob, order, blocks)
-            order_ = np.argsort(np.asarray(right.column("block")), kind="stable")
-            p = np.concatenate([np.frombuffer(right.column("p")[int(i)].as_py(), np.float32) for i in order_] or [np.zeros(0, np.float32)])
-            at = np.argsort(code)
-            code, p = code[at], p[at].astype(np.float64)
-            n, total = np.zeros(t.num_rows, np.int64), np.zeros(t.num_rows)
-            texts = t.column("text").combine_chunks()
-            for i, j, data, offsets in slices(texts):
-                c, first = codes(data, offsets, order)
-                # a distinct code is looked up once
-                back = np.argsort(c)
-                s = c[back]
-                edge = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.zeros(0, np.int64)
-                v = np.empty(len(c))
-                v[back] = np.repeat(p[np.searchsorted(code, s[edge])], np.diff(np.append(edge, len(s))))
-                total[i:j] = np.add.reduceat(v, first[:-1])
-                n[i:j] = np.diff(first)
-            out.append(pa.table([t.column("doc_id").combine_chunks(), pa.array(n), pa.array(total), pa.array(np.exp(-total / np.maximum(n, 1)))], names=["doc_id", "n_tokens", "log_prob", "perplexity"]))
-        return pa.concat_tables(out)
-
-    schema = T.StructType([T.StructField("doc_id", id_type), T.StructField("n_tokens", T.LongType()), T.StructField("log_prob", T.DoubleType()), T.StructField("perplexity", T.DoubleType())])
-    scored = groups.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(add, schema)
+            for block, part in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                top = ngrams.block_levels(kind, part.as_py(), bottom.value, order)[ngrams.LOW :]
+                grams = [deflated([v.code, v.p.astype(np.float32)], 1) for v in top]
+                weights = [deflated([v.context, v.weight.astype(np.float32)], 1) for v in top]
+                yield pa.RecordBatch.from_arrays([pa.array([block] * len(top), pa.int64()), pa.array(range(ngrams.LOW + 1, order + 1), pa.int32()), pa.array(grams, pa.binary()), pa.array(weights, pa.binary())], fields)
+
+    tables = written(merged.select("block", "part").mapInArrow(build, "block long, n int, grams binary, weights binary"), "katz", ["n"]).select(*fields)
+    discarded(merged)
+
+    def ask(blob: bytes) -> Iterator[tuple[int, bytes]]:
+        code, edge, ids = ngrams.asked(unpacked(blob).column("text").combine_chunks(), order, lambda c: ngrams.context_block(c, order, blocks))
+        for a, b, block in zip(edge[:-1], edge[1:], ids.tolist(), strict=True):
+            yield block, deflated([code[a:b]], 1)
+
+    def answer(t: pa.Table):
+        rows = sorted(t.select(fields[1:]).to_pylist(), key=lambda r: r["n"])
+        levels = [*bottom.value.levels, *(Level(*inflated(r["grams"], [np.uint64, np.float32], 1), *inflated(r["weights"], [np.uint64, np.float32], 1)) for r in rows)]
+        return lambda part: deflated([ngrams.score(levels, inflated(part, [np.uint64], 1)[0], order).astype(np.float32)])
+
+    def finish(blob: bytes, answers: dict[int, bytes]) -> pa.Table:
+        t = unpacked(blob)
+        texts = t.column("text").combine_chunks()
+        code, _, ids = ngrams.asked(texts, order, lambda c: ngrams.context_block(c, order, blocks))
+        n, total = ngrams.sums(texts, code, np.concatenate([inflated(answers[i], [np.float32])[0] for i in ids.tolist()]), order)
+        return pa.table([t.column("doc_id").combine_chunks(), pa.array(n), pa.array(total), pa.array(np.exp(-total / n))], names=["doc_id", "n_tokens", "log_prob", "perplexity"])
+
+    schema = T.StructType([base.schema["doc_id"], T.StructField("n_tokens", T.LongType()), T.StructField("log_prob", T.DoubleType()), T.StructField("perplexity", T.DoubleType())])
+    groups = packed(base.where(F.col("text").isNotNull()), "text", group_bytes)
+    scored = answered(groups, ask, tables, answer, finish, schema)
     none = base.where(F.col("text").isNull()).select("doc_id", F.lit(0).cast("long").alias("n_tokens"), F.lit(None).cast("double").alias("log_prob"), F.lit(None).cast("double").alias("perplexity"))
     return scored.union(none)

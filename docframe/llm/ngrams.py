@@ -1,30 +1,38 @@
-"""Byte n-gram counts and language models over them.
+"""Byte n-grams and backoff models over them, in blocks that no memory bounds.
 
 A token is a byte of the UTF-8 text; a text ends with END, and its first tokens
 have START before them. The vocabulary is the 255 values a token can take, so
 every text can be scored and every distribution sums to one.
 
-Counting is one pass: each task sorts its n-grams into (code, count) columns,
-cut into blocks by code; each block is merged on its own. Lower orders follow
-from the highest one. Models are sorted arrays of hashes with an index of their
-leading bits, so a lookup is a gather or two rather than a binary search.
+An n-gram is a 64-bit code: the nearest token of its context in the highest byte,
+then the farther ones, and in the lowest byte the token that it predicts. So
+n-grams in order stand by context, those of a block of nearest contexts have all
+that they back off to beside them, and sorted codes compress to about a byte.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docframe.llm.common import blob_rows, mix, read_blobs, slices
+from docframe.llm.common import deflated, inflated, mix, slices, split_by
 
 START, END = 0xFF, 0xFE  # bytes that UTF-8 never has
 VOCABULARY = 255  # 254 bytes that may occur, and END
 UNKNOWN = "und"
+#: n-grams are cut into blocks by so many nearest tokens of their context. Orders up to
+#: this are held by the driver: at most 256 ** LOW n-grams, however large the corpus.
+LOW = 3
+#: Counts of so many tasks are combined at first, then those sums.
+FAN = 64
 
 
 def codes(data: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -38,14 +46,20 @@ def codes(data: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.ndarray
     ends = offsets[1:] + np.arange(n) * order + pad
     out[ends] = END
     code = np.zeros(len(out), np.uint64)
-    for k in range(order):
-        code[pad:] |= out[pad - k : len(out) - k].astype(np.uint64) << np.uint64(8 * k)
+    code[pad:] |= out[pad:].astype(np.uint64)
+    for k in range(1, order):
+        code[pad:] |= out[pad - k : len(out) - k].astype(np.uint64) << np.uint64(8 * (order - k))
     keep = np.ones(len(out), bool)
     for k in range(pad):
         keep[ends - size - 1 - k] = False
     return code[keep], np.concatenate([[0], np.cumsum(size + 1)])
 
 
+def lower(code: np.ndarray) -> np.ndarray:
+    """The n-grams without the farthest token of their contexts."""
+    return (code >> np.uint64(16)) << np.uint64(8) | (code & np.uint64(0xFF))
+
+
 def runs(code: np.ndarray, count: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct codes and their counts."""
     if not len(code):
@@ -65,226 +79,282 @@ def language(df: DataFrame, lang: str | None) -> F.Column:
     return F.coalesce(F.col(lang).cast("string"), F.lit(UNKNOWN)) if lang else F.lit(UNKNOWN)
 
 
+def context_block(code: np.ndarray, order: int, blocks: int) -> np.ndarray:
+    """The block of each n-gram: by the LOW nearest tokens of its context."""
+    return (mix(code >> np.uint64(8 * (order - LOW))) % np.uint64(blocks)).astype(np.int64)
+
+
+def text_counts(texts: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct n-grams of texts in order, and their counts."""
+    parts = [runs(codes(data, offsets, order)[0]) for _, _, data, offsets in slices(texts)]
+    return runs(*(np.concatenate(x) for x in zip(*parts, strict=True))) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+
 def counts(docs: DataFrame, order: int, blocks: int, text: str = "text", lang: str | None = None) -> DataFrame:
-    """(lang, block, part): all n-grams of the non-null texts with their counts;
-    within a block codes are sorted, and each code is in one block."""
+    """(lang, block, part): all n-grams of the non-null texts with their counts, each
+    block's merged, sorted and deflated (uint64, int64). Counts are combined within
+    each task, then over FAN tasks, then over all: so no merge has more parts than
+    distinct n-grams warrant, however many tasks there are."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list] = defaultdict(list)
         size: dict[str, int] = defaultdict(int)
+        fan = TaskContext.get().partitionId() // FAN
 
         def shrink(name: str) -> None:
             c, k = (np.concatenate(x) for x in zip(*held[name], strict=True))
             held[name] = [runs(c, k)]
             size[name] = len(held[name][0][0])
 
+        def out(name: str) -> pa.RecordBatch:
+            shrink(name)
+            c, k = held[name][0]
+            at, edge, ids = split_by(context_block(c, order, blocks))
+            c, k = c[at], k[at].astype(np.int64)
+            parts = [deflated([c[a:b], k[a:b]], 1) for a, b in zip(edge[:-1], edge[1:], strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array([name] * len(parts)), pa.array(ids), pa.array([fan] * len(parts), pa.int64()), pa.array(parts, pa.binary())], ["lang", "block", "fan", "part"])
+
         for b in batches:
             names = b.column(0)
             for name in names.unique().to_pylist():
-                texts = b.column(1).filter(pa.compute.equal(names, name))
+                texts = b.column(1).filter(pc.equal(names, name))
                 for _, _, data, offsets in slices(texts, 2 << 20):
                     held[name].append(runs(codes(data, offsets, order)[0]))
                     size[name] += len(held[name][-1][0])
                     if size[name] > 2 * len(held[name][0][0]) + 2_000_000:
                         shrink(name)
+                    if size[name] > 8_000_000:  # what is held is sent on, to be merged with the rest
+                        yield out(name)
+                        held[name], size[name] = [], 0
         for name in sorted(held):
-            shrink(name)
-            c, k = held[name][0]
-            block, parts = blob_rows((mix(c) % np.uint64(blocks)).astype(np.int64), [c, k.astype(np.int64)])
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(parts)), pa.array(block), pa.array(parts, pa.binary())], ["lang", "block", "part"])
+            if held[name]:
+                yield out(name)
 
-    def merge(key: tuple, t: pa.Table) -> pa.Table:
-        c, k = runs(*read_blobs(t.column("part").to_pylist(), [np.uint64, np.int64]))
-        part = np.int64(len(c)).tobytes() + c.tobytes() + k.tobytes()
-        return pa.table({"lang": [key[0].as_py()], "block": [key[1].as_py()], "part": pa.array([part], pa.binary())})
+    def merge(t: pa.Table) -> bytes:
+        parts = [inflated(x.as_py(), [np.uint64, np.int64], 1) for x in t.column("part")]
+        return deflated(list(runs(*(np.concatenate(x) for x in zip(*parts, strict=True)))), 1)
 
-    import pyarrow.compute  # noqa: F401  (pa.compute in the workers)
+    def some(key: tuple, t: pa.Table) -> pa.Table:
+        return pa.table({"lang": [key[0].as_py()], "block": [key[1].as_py()], "part": pa.array([merge(t)], pa.binary())})
 
     source = docs.where(F.col(text).isNotNull()).select(language(docs, lang).alias("lang"), F.col(text).alias("text"))
+    first = source.mapInArrow(gather, "lang string, block long, fan long, part binary").groupBy("lang", "block", "fan")
     schema = "lang string, block long, part binary"
-    return source.mapInArrow(gather, schema).groupBy("lang", "block").applyInArrow(merge, schema)
-
-
-# ---------------------------------------------------------------- lookups
-
-
-class Table:
-    """A map from codes to columns of float32: keys sorted by hash, an index of the hashes' leading bits."""
-
-    def __init__(self, code: np.ndarray, *values: np.ndarray):
-        h = mix(code)
-        at = np.argsort(h)
-        self.key = h[at]
-        self.values = tuple(v[at].astype(np.float32) for v in values)
-        self.bits = max(1, int(len(code)).bit_length() + 1)
-        top = (self.key >> np.uint64(64 - self.bits)).astype(np.int64)
-        self.index = np.searchsorted(top, np.arange((1 << self.bits) + 1)).astype(np.int32 if len(code) < 2**31 else np.int64)
-
-    def find(self, code: np.ndarray) -> np.ndarray:
-        """The position of each code, or -1."""
-        out = np.full(len(code), -1, np.int64)
-        if not len(self.key) or not len(code):
-            return out
-        h = mix(code)
-        top = (h >> np.uint64(64 - self.bits)).astype(np.int64)
-        at = self.index[top].astype(np.int64)
-        last = len(self.key) - 1
-        hit = self.key[np.minimum(at, last)] == h
-        out[hit] = at[hit]
-        left = np.flatnonzero(~hit)
-        end = self.index[top[left] + 1]
-        at, h = at[left] + 1, h[left]
-        while len(left):
-            on = at < end
-            left, at, end, h = left[on], at[on], end[on], h[on]
-            hit = self.key[at] == h
-            out[left[hit]] = at[hit]
-            left, at, end, h = left[~hit], at[~hit] + 1, end[~hit], h[~hit]
-        return out
+    return first.applyInArrow(some, schema).groupBy("lang", "block").applyInArrow(some, schema)
 
 
-class Backoff:
-    """A model as backoff tables: for each order n-gram -> log p, and context -> log weight.
-
-    log p of a token after a context is that of the longest n-gram there is, with
-    the weights of the longer contexts there are.
-    """
-
-    def __init__(self, order: int, grams: list[Table], weights: list[Table]):
-        self.order, self.grams, self.weights = order, grams, weights
-
-    def score(self, code: np.ndarray, n: int | None = None) -> np.ndarray:
-        """log p of each n-gram's last token after its others, by recursion on the order."""
-        n = self.order if n is None else n
-        if n == 0:
-            return np.full(len(code), -np.log(VOCABULARY), np.float32)
-        code = code & np.uint64((1 << 8 * n) - 1)
-        at = self.grams[n - 1].find(code)
-        seen = at >= 0
-        if seen.all():
-            return self.grams[n - 1].values[0][at]
-        out = np.empty(len(code), np.float32)
-        out[seen] = self.grams[n - 1].values[0][at[seen]]
-        rest = code[~seen]
-        low = self.score(rest, n - 1)
-        if n > 1:
-            w = self.weights[n - 1].find(rest >> np.uint64(8))
-            low = low + np.where(w >= 0, self.weights[n - 1].values[0][w], np.float32(0))
-        elif len(self.weights[0].key):
-            low = low + self.weights[0].values[0][0]
-        out[~seen] = low
-        return out
+# ---------------------------------------------------------------- models
+
 
+class Level(NamedTuple):
+    """One order's table: sorted n-grams with log p, sorted contexts with log weight."""
 
-def _contexts(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    code: np.ndarray
+    p: np.ndarray
+    context: np.ndarray
+    weight: np.ndarray
+
+
+def find(keys: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(position, whether there) of each code in sorted keys."""
+    if not len(keys):
+        return np.zeros(len(code), np.int64), np.zeros(len(code), bool)
+    at = np.minimum(np.searchsorted(keys, code), len(keys) - 1)
+    return at, keys[at] == code
+
+
+def score(levels: list[Level], code: np.ndarray, n: int) -> np.ndarray:
+    """log p of each n-gram's last token after its others, by recursion on the order."""
+    if n == 0:
+        return np.full(len(code), -np.log(VOCABULARY))
+    level = levels[n - 1]
+    at, seen = find(level.code, code)
+    out = level.p[at].astype(np.float64) if len(level.p) else np.zeros(len(code))
+    rest = np.flatnonzero(~seen)
+    if len(rest):
+        low = score(levels, lower(code[rest]), n - 1)
+        j, there = find(level.context, code[rest] >> np.uint64(8))
+        out[rest] = low + np.where(there, level.weight[j], 0.0) if len(level.weight) else low
+    return out
+
+
+def contexts(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For sorted n-gram codes: the distinct contexts, and the first n-gram of each."""
     h = code >> np.uint64(8)
     edge = np.concatenate([[0], np.flatnonzero(h[1:] != h[:-1]) + 1]) if len(h) else np.zeros(0, np.int64)
     return h[edge], edge
 
 
-def _group(code: np.ndarray, count: np.ndarray, mask: int) -> tuple[np.ndarray, np.ndarray]:
-    return runs(code & np.uint64(mask), count)
+class Katz:
+    """Katz backoff with Good-Turing's discounts of counts 1..cutoff.
 
+    n-grams of any order are kept however rare they are. A context whose n-grams
+    have all the mass gives half a count to the rest."""
 
-def kneser_ney(code: np.ndarray, count: np.ndarray, order: int) -> list[tuple[np.ndarray, ...]]:
-    """Interpolated modified Kneser-Ney tables from all highest-order counts:
-    for each order (codes, log p, contexts, log weight).
+    def __init__(self, cutoff: int = 5):
+        self.cutoff = cutoff
 
-    The counts of a lower order are of the distinct tokens before it; each order
-    has three discounts from its counts of counts. Where these give no usable
-    discount, 0.5, 1 and 1.5 stand for them.
-    """
-    levels: list[tuple[np.ndarray, np.ndarray]] = [(code, count)]
-    for n in range(order - 1, 0, -1):
-        levels.append(_group(levels[-1][0], np.ones(len(levels[-1][0]), np.int64), (1 << 8 * n) - 1))
-    levels.reverse()
-    out: list[tuple[np.ndarray, ...]] = []
-    low: np.ndarray | None = None
-    for n, (c, k) in enumerate(levels, 1):
-        of = np.bincount(np.minimum(k, 5), minlength=6).astype(float)
-        d = np.array([0, 0.5, 1.0, 1.5])
-        if of[1] and of[2]:
-            y = of[1] / (of[1] + 2 * of[2])
-            for i in (1, 2, 3):
-                if of[i] and 0 < (x := i - (i + 1) * y * of[i + 1] / of[i]) < i:
-                    d[i] = x
-        cut = d[np.minimum(k, 3)]
-        h, edge = _contexts(c) if n > 1 else (np.zeros(1, np.uint64), np.zeros(1, np.int64))
-        total = np.add.reduceat(k, edge).astype(float)
-        weight = np.add.reduceat(cut, edge) / total
-        which = np.repeat(np.arange(len(edge)), np.diff(np.append(edge, len(c))))
-        below = np.full(len(c), 1 / VOCABULARY) if low is None else low[np.searchsorted(levels[n - 2][0], c & np.uint64((1 << 8 * (n - 1)) - 1))]
-        p = (k - cut) / total[which] + weight[which] * below
-        out.append((c, np.log(p), h, np.log(weight)))
-        low = p
-    return out
+    def below(self, code: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The counts of the next lower order."""
+        return runs(lower(code), count)
 
+    def of(self, count: np.ndarray) -> np.ndarray:
+        """Counts of counts, which add up over blocks."""
+        return np.bincount(np.minimum(count, self.cutoff + 2), minlength=self.cutoff + 3)[: self.cutoff + 2].astype(np.int64)
 
-def katz(code: np.ndarray, count: np.ndarray, order: int, cutoff: int = 5, least: int = 2) -> list[tuple[np.ndarray, ...]]:
-    """Katz tables from all highest-order counts: for each order (codes, log p, contexts, log weight).
-
-    Counts of 1..`cutoff` are discounted by Good-Turing's ratio, larger ones kept;
-    where the counts of counts give no ratio in (0, 1], the count is kept. From
-    order 3 on, n-grams of fewer than `least` counts are left to backoff. The
-    weight of a context is (1 - sum of its n-grams' p) / (1 - sum of their lower
-    p), so each distribution sums to one; a context whose n-grams have all the
-    mass gives half a count to the rest.
-    """
-    levels: list[tuple[np.ndarray, np.ndarray]] = [(code, count)]
-    for n in range(order - 1, 0, -1):
-        levels.append(_group(levels[-1][0], levels[-1][1], (1 << 8 * n) - 1))
-    levels.reverse()
-    out: list[tuple[np.ndarray, ...]] = []
-    model: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
-    for n, (c, k) in enumerate(levels, 1):
-        of = np.bincount(np.minimum(k, cutoff + 2), minlength=cutoff + 3).astype(float)
-        ratio = np.ones(cutoff + 1)
+    def discounts(self, of: np.ndarray) -> np.ndarray:
+        """Good-Turing's ratio of counts 0..cutoff; where it isn't in (0, 1], the count is kept."""
+        cutoff, out = self.cutoff, np.ones(self.cutoff + 1)
         if of[1]:
             common = (cutoff + 1) * of[cutoff + 1] / of[1]
             for r in range(1, cutoff + 1):
                 if of[r] and common < 1 and 0 < (x := ((r + 1) * of[r + 1] / of[r] / r - common) / (1 - common)) <= 1:
-                    ratio[r] = x
-        h, edge = _contexts(c) if n > 1 else (np.zeros(1, np.uint64), np.zeros(1, np.int64))
-        total = np.add.reduceat(k, edge).astype(float)
-        size = np.diff(np.append(edge, len(c)))
-        which = np.repeat(np.arange(len(edge)), size)
-        p = np.where(k > cutoff, 1.0, ratio[np.minimum(k, cutoff)]) * k / total[which]
-        if n > 2 and least > 1:
-            p[k < least] = 0
-        lower = np.full(len(c), 1 / VOCABULARY) if n == 1 else np.exp(_dense(model, c, n - 1))
-        kept = np.where(p > 0, lower, 0)
-        mass, below = np.add.reduceat(p, edge), np.add.reduceat(kept, edge)
-        full = (mass > 1 - 1e-9) & (below < 1 - 1e-12)
+                    out[r] = x
+        return out
+
+    def level(self, code: np.ndarray, count: np.ndarray, n: int, ratio: np.ndarray, low: list[Level]) -> Level:
+        """The table of order n from all its counts that share contexts, with the tables below."""
+        h, edge = contexts(code)
+        if not len(code):
+            return Level(code, np.zeros(0), h, np.zeros(0))
+        total = np.add.reduceat(count, edge).astype(float)
+        which = np.repeat(np.arange(len(edge)), np.diff(np.append(edge, len(code))))
+        p = np.where(count > self.cutoff, 1.0, ratio[np.minimum(count, self.cutoff)]) * count / total[which]
+        mass = np.add.reduceat(p, edge)
+        rest = np.add.reduceat(np.exp(score(low, lower(code) if n > 1 else code, n - 1)), edge)
+        full = (mass > 1 - 1e-9) & (rest < 1 - 1e-12)
         share = np.where(full, total / (total + 0.5), 1.0)
         p, mass = p * share[which], mass * share
-        every = below >= 1 - 1e-12  # nothing is left below: the kept take all
-        p = np.where(every[which] & (p > 0), p / np.maximum(mass[which], 1e-300), p)
-        weight = np.where(every, 1.0, (1 - np.where(every, 0, mass)) / np.where(every, 1, 1 - below))
-        on = p > 0
-        row = (c[on], np.log(p[on]), h, np.log(np.maximum(weight, 1e-300)))
-        out.append(row)
-        model.append(row)
+        every = rest >= 1 - 1e-12  # nothing is left below: these take all
+        p = np.where(every[which], p / np.maximum(mass[which], 1e-300), p)
+        weight = np.where(every, 1.0, (1 - np.where(every, 0, mass)) / np.where(every, 1, 1 - rest))
+        return Level(code, np.log(p), h, np.log(np.maximum(weight, 1e-300)))
+
+
+class KneserNey:
+    """Interpolated modified Kneser-Ney: the counts of lower orders are of the distinct
+    tokens before an n-gram; three discounts an order. Where counts of counts give no
+    usable discount, 0.5, 1 and 1.5 stand for them."""
+
+    def below(self, code: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return runs(lower(code))
+
+    def of(self, count: np.ndarray) -> np.ndarray:
+        return np.bincount(np.minimum(count, 5), minlength=6)[:5].astype(np.int64)
+
+    def discounts(self, of: np.ndarray) -> np.ndarray:
+        out = np.array([0, 0.5, 1.0, 1.5])
+        if of[1] and of[2]:
+            y = of[1] / (of[1] + 2 * of[2])
+            for i in (1, 2, 3):
+                if of[i] and 0 < (x := i - (i + 1) * y * of[i + 1] / of[i]) < i:
+                    out[i] = x
+        return out
+
+    def level(self, code: np.ndarray, count: np.ndarray, n: int, discount: np.ndarray, low: list[Level]) -> Level:
+        h, edge = contexts(code)
+        if not len(code):
+            return Level(code, np.zeros(0), h, np.zeros(0))
+        cut = discount[np.minimum(count, 3)]
+        total = np.add.reduceat(count, edge).astype(float)
+        weight = np.add.reduceat(cut, edge) / total
+        which = np.repeat(np.arange(len(edge)), np.diff(np.append(edge, len(code))))
+        p = (count - cut) / total[which] + weight[which] * np.exp(score(low, lower(code) if n > 1 else code, n - 1))
+        return Level(code, np.log(p), h, np.log(np.maximum(weight, 1e-300)))
+
+
+def orders(kind: Katz | KneserNey, code: np.ndarray, count: np.ndarray, top: int, down_to: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """The counts of orders top..down_to from sorted counts of order top."""
+    out = {top: (code, count)}
+    for n in range(top - 1, down_to - 1, -1):
+        out[n] = kind.below(*out[n + 1])
     return out
 
 
-def _dense(model: list[tuple[np.ndarray, ...]], code: np.ndarray, n: int) -> np.ndarray:
-    """log p at order n from sorted tables, in double precision."""
-    if n == 0:
-        return np.full(len(code), -np.log(VOCABULARY))
-    code = code & np.uint64((1 << 8 * n) - 1)
-    c, p, h, w = model[n - 1]
-    at = np.minimum(np.searchsorted(c, code), max(0, len(c) - 1))
-    seen = c[at] == code if len(c) else np.zeros(len(code), bool)
-    out = np.where(seen, p[at] if len(p) else 0.0, 0.0)
-    rest = np.flatnonzero(~seen)
-    if len(rest):
-        low = _dense(model, code[rest], n - 1)
-        key = code[rest] >> np.uint64(8) if n > 1 else np.zeros(len(rest), np.uint64)
-        j = np.minimum(np.searchsorted(h, key), len(h) - 1)
-        out[rest] = low + np.where(h[j] == key, w[j], 0.0)
+class Bottom(NamedTuple):
+    """What every block's model needs of a language: the tables of orders 1..LOW, and
+    the discounts of each order above. The alphabet bounds its size."""
+
+    levels: list[Level]
+    discounts: list[np.ndarray]
+
+
+def bottoms(merged: DataFrame, kind: Katz | KneserNey, order: int) -> dict[str, Bottom]:
+    """Of each language, from the merged counts."""
+    size = len(kind.of(np.zeros(0, np.int64)))
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lang, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                by = orders(kind, *inflated(x.as_py(), [np.uint64, np.int64], 1), order, LOW)
+                of = np.concatenate([kind.of(by[n][1]) for n in range(LOW + 1, order + 1)])
+                # low n-grams of a block are cut by their code, so that what is merged at once is small
+                at, edge, ids = split_by((mix(by[LOW][0]) % np.uint64(16)).astype(np.int64))
+                c, k = by[LOW][0][at], by[LOW][1][at].astype(np.int64)
+                parts = [deflated([c[i:j], k[i:j]], 1) for i, j in zip(edge[:-1], edge[1:], strict=True)]
+                n = len(parts)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * (n + 1)), pa.array([-1, *ids.tolist()], pa.int64()), pa.array([of.tobytes(), *parts], pa.binary())], ["lang", "cut", "part"])
+
+    def add(key: tuple, t: pa.Table) -> pa.Table:
+        parts = t.column("part").to_pylist()
+        if key[1].as_py() < 0:
+            out = sum(np.frombuffer(x, np.int64) for x in parts).tobytes()
+        else:
+            out = deflated(list(runs(*(np.concatenate(x) for x in zip(*(inflated(x, [np.uint64, np.int64], 1) for x in parts), strict=True)))), 1)
+        return pa.table({"lang": [key[0].as_py()], "cut": [key[1].as_py()], "part": pa.array([out], pa.binary())})
+
+    schema = "lang string, cut long, part binary"
+    # rows: 17 for each language; bytes: at most 256 ** LOW n-grams of each, whatever the corpus
+    rows = merged.select("lang", "part").mapInArrow(part, schema).groupBy("lang", "cut").applyInArrow(add, schema).collect()
+    by: dict[str, list] = defaultdict(list)
+    tops: dict[str, np.ndarray] = {}
+    for r in rows:
+        if r.cut < 0:
+            tops[r.lang] = np.frombuffer(r.part, np.int64).reshape(-1, size)
+        else:
+            by[r.lang].append(inflated(bytes(r.part), [np.uint64, np.int64], 1))
+    out = {}
+    for name, parts in by.items():
+        small = orders(kind, *runs(*(np.concatenate(x) for x in zip(*parts, strict=True))), LOW, 1)
+        levels: list[Level] = []
+        for n in range(1, LOW + 1):
+            levels.append(kind.level(*small[n], n, kind.discounts(kind.of(small[n][1])), levels))
+        out[name] = Bottom(levels, [kind.discounts(x) for x in tops[name]])
     return out
 
 
-def as_model(order: int, levels: list[tuple[np.ndarray, ...]]) -> Backoff:
-    return Backoff(order, [Table(c, p) for c, p, _, _ in levels], [Table(h, w) for _, _, h, w in levels])
+def block_levels(kind: Katz | KneserNey, part: bytes, bottom: Bottom, order: int) -> list[Level]:
+    """All levels of a block's model, the low ones included."""
+    by = orders(kind, *inflated(part, [np.uint64, np.int64], 1), order, LOW + 1)
+    levels = list(bottom.levels)
+    for n in range(LOW + 1, order + 1):
+        levels.append(kind.level(*by[n], n, bottom.discounts[n - LOW - 1], levels))
+    return levels
+
+
+# ---------------------------------------------------------------- scores
+
+
+def asked(texts: pa.Array, order: int, block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct n-grams of texts by (block, code), where each block starts, and the blocks."""
+    code, _ = text_counts(texts, order)
+    at, edge, ids = split_by(block(code))
+    return code[at], edge, ids
+
+
+def sums(texts: pa.Array, code: np.ndarray, p: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """The number of tokens of each text, and the sum of their log p, from the
+    distinct n-grams' (in any order)."""
+    at = np.argsort(code)
+    code, p = code[at], p[at].astype(np.float64)
+    n, total = np.zeros(len(texts), np.int64), np.zeros(len(texts))
+    for i, j, data, offsets in slices(texts):
+        c, first = codes(data, offsets, order)
+        back = np.argsort(c)  # a distinct code is looked up once
+        s = c[back]
+        edge = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+        v = np.empty(len(c))
+        v[back] = np.repeat(p[np.searchsorted(code, s[edge])], np.diff(np.append(edge, len(s))))
+        total[i:j] = np.add.reduceat(v, first[:-1])
+        n[i:j] = np.diff(first)
+    return n, total

@@ -9,9 +9,10 @@ text of n tokens is k x sqrt(s^2 / n + spread^2), around the language's median;
 s is a robust deviation of one token's log perplexity, estimated from all
 documents of the language.
 
-The Kneser-Ney model reaches over less than a word. A second one, Katz's of order
-WIDE over all documents, which no memory holds whole (op9's), gives each document
-a second perplexity with a band of its own; a document must lie in both.
+No task, broadcast or driver holds a language's model. Counts are merged in blocks
+of contexts; a block's n-grams with their interpolated probabilities become sorted
+arrays, in blocks of (nearest context, predicted token), so that a frequent context
+is spread over many; groups of documents ask these blocks about their n-grams.
 """
 
 from __future__ import annotations
@@ -20,103 +21,91 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docframe.llm import ngrams
-from docframe.llm.common import column, fresh, slices, written
-from docframe.llm.katz import katz_scores
+from docframe.llm.common import GROUP_BYTES, answered, blocks_for, deflated, discarded, fresh, inflated, mix, packed, split_by, unpacked, written
+from docframe.llm.ngrams import KneserNey, find
 
-ORDER = 4
+ORDER = 6
 #: Set against labelled documents, junk and clean ones; README has the rates.
 LOWER = 2.5
 UPPER = 2.5
 SPREAD = 0.02
-WIDE = 6
-WIDE_LOWER = 4.0
-WIDE_UPPER = 2.5
-#: Models of more than this many n-grams in all are pruned of their rarest highest-order ones.
-MAX_NGRAMS = 40_000_000
+BLOCK_BYTES = 4 << 20
 
 
-def models(docs: DataFrame, order: int = ORDER, text: str = "text", lang: str = "lang", max_ngrams: int = MAX_NGRAMS) -> DataFrame:
-    """(lang, level, codes, values, contexts, weights): the Kneser-Ney tables of
-    each language as sorted arrays. Counts and discounts are over all n-grams; of
-    a language with more than max_ngrams, the rarest of the highest order are then
-    left to backoff."""
-
-    def build(key: tuple, t: pa.Table) -> pa.Table:
-        code, count = ngrams.read_blobs(t.column("part").to_pylist(), [np.uint64, np.int64])
-        at = np.argsort(code)
-        code, count = code[at], count[at]
-        levels = ngrams.kneser_ney(code, count, order)
-        if len(code) > max_ngrams:
-            keep = count > np.sort(count)[-max_ngrams]
-            c, p, h, w = levels[-1]
-            levels[-1] = (c[keep], p[keep], h, w)
-        rows = [(key[0].as_py(), n, *(np.ascontiguousarray(x).tobytes() for x in level)) for n, level in enumerate(levels, 1)]
-        names = ["lang", "level", "codes", "values", "contexts", "weights"]
-        return pa.table({k: pa.array(v, pa.string() if k == "lang" else pa.int32() if k == "level" else pa.binary()) for k, v in zip(names, zip(*rows, strict=True), strict=True)})
-
-    blocks = ngrams.counts(docs, order, 16, text, lang)
-    return blocks.groupBy("lang").applyInArrow(build, "lang string, level int, codes binary, values binary, contexts binary, weights binary")
-
-
-def load(tables: DataFrame) -> dict[str, list[tuple[np.ndarray, ...]]]:
-    """The tables on the driver; models() bounds their size."""
-    out: dict[str, dict[int, tuple]] = {}
-    for r in tables.toLocalIterator():
-        out.setdefault(r.lang, {})[r.level] = tuple(np.frombuffer(x, t) for x, t in ((r.codes, np.uint64), (r["values"], float), (r.contexts, np.uint64), (r.weights, float)))
-    return {k: [v[n] for n in sorted(v)] for k, v in out.items()}
+def _place(code: np.ndarray, order: int, blocks: int) -> np.ndarray:
+    """The block that an n-gram is looked up in."""
+    near = code >> np.uint64(8 * (order - ngrams.LOW))
+    return (mix(near << np.uint64(8) | (code & np.uint64(0xFF))) % np.uint64(blocks)).astype(np.int64)
 
 
-def scored(docs: DataFrame, order: int = ORDER, text: str = "text", lang: str = "lang", keep: list[str] | None = None) -> tuple[DataFrame, str, str]:
+def scored(docs: DataFrame, order: int = ORDER, text: str = "text", lang: str = "lang", keep: list[str] | None = None, group_bytes: int = GROUP_BYTES) -> tuple[DataFrame, str, str]:
     """docs (the columns in keep, or all) with the number of tokens of each text
-    and its mean log perplexity under its language's model; the two names."""
-    spark = docs.sparkSession
-    size, score = fresh(docs, "n_tokens"), fresh(docs, "log_perplexity")
-    model = spark.sparkContext.broadcast(load(models(docs, order, text, lang)))
+    and its mean log perplexity under its language's model; the two names. Rows with
+    a null text have 0 tokens and no perplexity."""
+    kind = KneserNey()
+    size, mean = fresh(docs, "n_tokens"), fresh(docs, "log_perplexity")
     tag, body = fresh(docs, "model_lang"), fresh(docs, "model_text")
-    source = docs.select(*(keep if keep is not None else docs.columns), ngrams.language(docs, lang).alias(tag), F.col(text).alias(body))
-    kept = source.drop(tag, body)
-    names = kept.columns
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow.compute as pc
-
-        made = {k: ngrams.as_model(order, v) for k, v in model.value.items()}
+    names = list(keep if keep is not None else docs.columns)
+    blocks = blocks_for(docs, text, BLOCK_BYTES)
+    merged = written(ngrams.counts(docs, order, blocks, text, lang), "counts")
+    low = ngrams.bottoms(merged, kind, order)
+    number = {name: k for k, name in enumerate(sorted(low))}
+    bottom = docs.sparkSession.sparkContext.broadcast(low)
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            tags, texts = column(b, tag), column(b, body)
-            n, mean = np.zeros(b.num_rows, np.int64), np.full(b.num_rows, np.nan)
-            some = texts.is_valid()
-            for name in tags.unique().to_pylist():
-                rows = np.flatnonzero(np.asarray(pc.and_(pc.equal(tags, name), some)))
-                if not len(rows):
-                    continue
-                for i, j, data, offsets in slices(texts.take(pa.array(rows)), 1 << 20):
-                    code, first = ngrams.codes(data, offsets, order)
-                    p = made[name].score(code)
-                    n[rows[i:j]] = np.diff(first)
-                    mean[rows[i:j]] = -np.add.reduceat(p, first[:-1], dtype=np.float64) / np.diff(first)
-            out = [column(b, c) for c in names] + [pa.array(n), pa.array(mean, mask=np.isnan(mean))]
-            yield pa.RecordBatch.from_arrays(out, [*names, size, score])
-
-    from pyspark.sql import types as T
-
-    schema = T.StructType([*kept.schema.fields, T.StructField(size, T.LongType()), T.StructField(score, T.DoubleType())])
-    return source.mapInArrow(run, schema), size, score
-
-
-def scored_twice(docs: DataFrame, order: int = ORDER, text: str = "text", lang: str = "lang", keep: list[str] | None = None) -> tuple[DataFrame, str, str, str]:
-    """scored() with the mean log perplexity under the wide model too; the three names.
-
-    A score is a function of the text, so rows find theirs by the text's digest."""
-    mark, other, wide = fresh(docs, "text_mark"), fresh(docs, "wide_mark"), fresh(docs, "wide_log_perplexity")
-    marked = docs.withColumn(mark, F.md5(F.col(text).cast("binary")))
-    rows, size, score = scored(marked, order, text, lang, None if keep is None else [*keep, mark])
-    far = katz_scores(marked, WIDE, least=1, key=mark, text=text).where("log_prob IS NOT NULL")
-    far = far.groupBy(F.col("doc_id").alias(other)).agg(F.min(-F.col("log_prob") / F.col("n_tokens")).alias(wide))
-    return rows.join(far, rows[mark] == far[other], "left").drop(mark, other), size, score, wide
+            for name, part in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                top = ngrams.block_levels(kind, part.as_py(), bottom.value[name], order)[-1]
+                at, edge, ids = split_by(_place(top.code, order, blocks))
+                code, p = top.code[at], top.p[at].astype(np.float32)
+                parts = [deflated([code[i:j], p[i:j]], 1) for i, j in zip(edge[:-1], edge[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(ids + number[name] * blocks), pa.array(parts, pa.binary())], ["block", "grams"])
+
+    tables = written(merged.select("lang", "part").mapInArrow(build, "block long, grams binary"), "kneser-ney")
+    discarded(merged)
+
+    def questions(t: pa.Table) -> Iterator[tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray, np.ndarray]]:
+        """For each language of a group: its rows, texts, n-grams, and their blocks' starts and numbers."""
+        tags, texts = t.column(tag).combine_chunks(), t.column(body).combine_chunks()
+        for name in sorted(tags.unique().to_pylist()):
+            rows = np.flatnonzero(np.asarray(pc.equal(tags, name)))
+            some = texts.take(pa.array(rows))
+            code, edge, ids = ngrams.asked(some, order, lambda c: _place(c, order, blocks))
+            yield rows, some, code, edge, ids + number[name] * blocks
+
+    def ask(blob: bytes) -> Iterator[tuple[int, bytes]]:
+        for _, _, code, edge, ids in questions(unpacked(blob)):
+            for a, b, block in zip(edge[:-1], edge[1:], ids.tolist(), strict=True):
+                yield block, deflated([code[a:b]], 1)
+
+    def answer(t: pa.Table):
+        parts = [inflated(x.as_py(), [np.uint64, np.float32], 1) for x in t.column("grams")]
+        code, p = (np.concatenate(x) for x in zip(*parts, strict=True))
+        at = np.argsort(code)
+        code, p = code[at], p[at]
+        return lambda part: deflated([p[find(code, inflated(part, [np.uint64], 1)[0])[0]]])
+
+    def finish(blob: bytes, answers: dict[int, bytes]) -> pa.Table:
+        t = unpacked(blob)
+        n, far = np.zeros(t.num_rows, np.int64), np.zeros(t.num_rows)
+        for rows, texts, code, _, ids in questions(t):
+            p = np.concatenate([inflated(answers[i], [np.float32])[0] for i in ids.tolist()])
+            n[rows], far[rows] = ngrams.sums(texts, code, p, order)
+        return pa.table([*(t.column(f"c{k}") for k in range(len(names))), pa.array(n), pa.array(-far / n)], names=[*out_names, size, mean])
+
+    out_names = names
+    source = docs.select(*[F.col(c).alias(f"c{k}") for k, c in enumerate(names)], ngrams.language(docs, lang).alias(tag), F.col(text).alias(body))
+    fields = [docs.schema[c] for c in names]
+    schema = T.StructType([*fields, T.StructField(size, T.LongType()), T.StructField(mean, T.DoubleType())])
+    got = answered(packed(source.where(F.col(body).isNotNull()), body, group_bytes), ask, tables, answer, finish, schema)
+    none = docs.where(F.col(text).isNull()).select(*names, F.lit(0).cast("long").alias(size), F.lit(None).cast("double").alias(mean))
+    return got.union(none), size, mean
 
 
 def bands(rows: DataFrame, size: str, score: str, lang: F.Column) -> DataFrame:
@@ -138,46 +127,42 @@ def width(deviation: str, size: str, spread: float) -> F.Column:
     return F.sqrt(F.col(deviation) ** 2 / F.nullif(F.col(size), F.lit(0)) + spread**2)
 
 
-def judged(rows: DataFrame, size: str, score: str, lang: F.Column, lower: float = LOWER, upper: float = UPPER, spread: float = SPREAD, far: str | None = None) -> DataFrame:
-    """rows with band_lang, middle, deviation and in_band; with the name of the wide
-    score, wide_middle and wide_deviation too, and in_band says whether both bands hold it."""
-    # one row for each language: as few as the models that were broadcast
+def judged(rows: DataFrame, size: str, score: str, lang: F.Column, lower: float = LOWER, upper: float = UPPER, spread: float = SPREAD) -> DataFrame:
+    """rows with band_lang, middle, deviation and in_band."""
+    # one row for each language
     out = rows.withColumn("band_lang", lang).join(F.broadcast(bands(rows, size, score, lang)), "band_lang", "left")
     wide = width("deviation", size, spread)
     off = F.col(score) - F.col("middle")
-    inside = (off >= -lower * wide) & (off <= upper * wide)
-    if far is not None:
-        second = bands(rows, size, far, lang).select(F.col("band_lang").alias("wide_lang"), F.col("middle").alias("wide_middle"), F.col("deviation").alias("wide_deviation"))
-        out = out.join(F.broadcast(second), F.col("band_lang") == F.col("wide_lang"), "left").drop("wide_lang")
-        off, wide = F.col(far) - F.col("wide_middle"), width("wide_deviation", size, spread)
-        inside &= (off >= -WIDE_LOWER * wide) & (off <= WIDE_UPPER * wide)
-    return out.withColumn("in_band", F.coalesce(inside, F.lit(False)))
+    return out.withColumn("in_band", F.coalesce((off >= -lower * wide) & (off <= upper * wide), F.lit(False)))
 
 
 def perplexity_bands(docs: DataFrame, order: int = ORDER, lower: float = LOWER, upper: float = UPPER, spread: float = SPREAD, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """(doc_id, lang, n_tokens, perplexity, lower, upper, wide_perplexity, wide_lower,
-    wide_upper, keep) of every row; those kept lie in both bands.
+    """(doc_id, lang, n_tokens, perplexity, lower, upper, keep) of every row; those
+    kept have a perplexity from lower to upper.
 
     A null language is the language 'und', with a model of its own. A null text
     has no perplexity and isn't kept; an empty text is its END alone, and is
-    judged like any other. Rows that repeat an id are judged one by one. Texts are
-    used whole; other columns are ignored. No rows give no rows.
+    judged like any other. Rows that repeat an id are judged one by one, equal texts
+    of a language alike. Texts are used whole, however long; other columns are
+    ignored, whatever their names. No rows give no rows.
     """
     base = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
-    rows, size, score, far = scored_twice(base, order, keep=["doc_id", "lang"])
+    rows, size, score = scored(base, order, keep=["doc_id", "lang"])
     rows = written(rows, "perplexities")
-    out = judged(rows, size, score, ngrams.language(rows, "lang"), lower, upper, spread, far)
-    near, wide = width("deviation", size, spread), width("wide_deviation", size, spread)
-    first = [F.exp(score).alias("perplexity"), F.exp(F.col("middle") - lower * near).alias("lower"), F.exp(F.col("middle") + upper * near).alias("upper")]
-    second = [F.exp(far).alias("wide_perplexity"), F.exp(F.col("wide_middle") - WIDE_LOWER * wide).alias("wide_lower"), F.exp(F.col("wide_middle") + WIDE_UPPER * wide).alias("wide_upper")]
-    return out.select("doc_id", "lang", F.col(size).alias("n_tokens"), *first, *second, F.col("in_band").alias("keep"))
+    out = judged(rows, size, score, ngrams.language(rows, "lang"), lower, upper, spread)
+    wide = width("deviation", size, spread)
+    return out.select("doc_id", "lang", F.col(size).alias("n_tokens"), F.exp(score).alias("perplexity"), F.exp(F.col("middle") - lower * wide).alias("lower"), F.exp(F.col("middle") + upper * wide).alias("upper"), F.col("in_band").alias("keep"))
 
 
 def in_band(docs: DataFrame, order: int = ORDER, lower: float = LOWER, upper: float = UPPER, spread: float = SPREAD, text: str = "text", lang: str = "lang") -> DataFrame:
-    """docs without the rows that perplexity_bands rejects, with their columns."""
-    rows, size, score, far = scored_twice(docs, order, text, lang)
+    """docs without the rows that perplexity_bands rejects, with their columns.
+
+    Null and empty texts, null languages, repeated rows, long texts, clashing names
+    and tables without rows are treated as there: a row with a null text goes, rows
+    that repeat one another stay or go together."""
+    rows, size, score = scored(docs, order, text, lang)
     rows = written(rows, "scored")
     plain = rows.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(rows.columns)])
     at = {c: f"c{i}" for i, c in enumerate(rows.columns)}
-    out = judged(plain, at[size], at[score], ngrams.language(plain, at[lang]), lower, upper, spread, at[far]).where("in_band")
+    out = judged(plain, at[size], at[score], ngrams.language(plain, at[lang]), lower, upper, spread).where("in_band")
     return out.select(*[F.col(at[c]).alias(c) for c in docs.columns])

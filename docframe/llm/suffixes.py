@@ -217,7 +217,7 @@ def _unions(least: int):
 
 def _spans(docs: DataFrame, key: str, text: str, columns: list[str], least: int, how: str) -> tuple[DataFrame, str, list[str]]:
     """docs joined to the token spans to remove; names of the text and of both lists."""
-    blocks = blocks_for(docs, BLOCK_BYTES)
+    blocks = blocks_for(docs, text, BLOCK_BYTES)
     base, doc, sub = _keyed(docs, key, text, columns)
     some = base.where(F.col(doc).isNotNull() & F.col(sub).isNotNull())
     sample = some.select(text, doc, sub).mapInArrow(_sample(least, blocks), BLOCK_SCHEMA)

@@ -5,9 +5,9 @@ from collections import Counter, defaultdict
 import pytest
 
 from docframe.llm import katz, ngrams
-from docframe.llm.common import table
+from docframe.llm.common import inflated, table
 from docframe.llm.langid import in_declared_language, languages, predicted, train
-from docframe.llm.quality import in_band, perplexity_bands
+from docframe.llm.quality import LOWER, SPREAD, UPPER, in_band, perplexity_bands
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -74,12 +74,12 @@ def test_katz_by_brute_force(spark):
     rng = random.Random(5)
     texts = [prose(rng, rng.randint(1, 60)) for _ in range(30)] + ["", "é", "aaaa" * 50]
     docs = make(spark, [(i, t, "en") for i, t in enumerate(texts)])
-    p, levels = brute_katz(texts, 5, 5, 2)
+    p, levels = brute_katz(texts, 5, 5, 1)
     # each distribution sums to one
     for h in list(levels[3][1])[:50]:
         assert abs(sum(p((*h, x)) for x in range(256) if x != ngrams.START) - 1) < 1e-6
     for group in (1 << 24, 200):
-        got = {r.doc_id: r for r in katz.katz_scores(docs, group_bytes=group).collect()}
+        got = {r.doc_id: r for r in katz.katz_scores(docs, order=5, group_bytes=group).collect()}
         for i, t in enumerate(texts):
             s = [ngrams.START] * 4 + list(t.encode()) + [ngrams.END]
             want = sum(math.log(p(tuple(s[k - 4 : k + 1]))) for k in range(4, len(s)))
@@ -133,17 +133,50 @@ def brute_kneser_ney(texts, order):
     return p
 
 
-def test_kneser_ney_by_brute_force(spark):
+def median(xs):
+    xs = sorted(xs)
+    n = len(xs)
+    return xs[n // 2] if n % 2 else (xs[n // 2 - 1] + xs[n // 2]) / 2
+
+
+def test_kneser_ney_and_bands_by_brute_force(spark):
     rng = random.Random(6)
     texts = {l: [prose(rng, rng.randint(1, 50), letters) for _ in range(20)] for l, letters in (("en", "abcde"), ("de", "vwxyz"))}
     docs = make(spark, [(f, t, l) for f, (t, l) in enumerate((t, l) for l in texts for t in texts[l])])
-    got = {r.doc_id: r for r in perplexity_bands(docs).collect()}
-    for l, first in (("en", 0), ("de", 20)):
-        p = brute_kneser_ney(texts[l], 4)
-        for i, t in enumerate(texts[l]):
-            s = [ngrams.START] * 3 + list(t.encode()) + [ngrams.END]
-            want = -sum(math.log(p(tuple(s[k - 3 : k + 1]))) for k in range(3, len(s))) / (len(s) - 3)
-            assert abs(math.log(got[first + i].perplexity) - want) < 1e-4
+    for order in (4, 6):
+        got = {r.doc_id: r for r in perplexity_bands(docs, order).collect()}
+        for l, first in (("en", 0), ("de", 20)):
+            p = brute_kneser_ney(texts[l], order)
+            wants = []
+            for i, t in enumerate(texts[l]):
+                s = [ngrams.START] * (order - 1) + list(t.encode()) + [ngrams.END]
+                wants.append((-sum(math.log(p(tuple(s[k - order + 1 : k + 1]))) for k in range(order - 1, len(s))) / len(t.encode() + b"."), len(t) + 1))
+                assert abs(math.log(got[first + i].perplexity) - wants[-1][0]) < 1e-4
+            middle = median([x for x, _ in wants])
+            deviation = 1.4826 * median([abs(x - middle) * n**0.5 for x, n in wants])
+            for i, (x, n) in enumerate(wants):
+                half = (deviation**2 / n + SPREAD**2) ** 0.5
+                r = got[first + i]
+                assert abs(math.log(r.lower) - (middle - LOWER * half)) < 0.02 and abs(math.log(r.upper) - (middle + UPPER * half)) < 0.02
+                assert r.keep == (r.lower <= r.perplexity <= r.upper)
+
+
+def test_counts_of_many_tasks(spark):
+    """Counts don't depend on how the rows are divided into tasks."""
+    rng = random.Random(9)
+    docs = make(spark, [(i, prose(rng, 30), "en") for i in range(200)])
+    want = Counter()
+    for r in docs.collect():
+        s = [ngrams.START] * 4 + list(r.text.encode()) + [ngrams.END]
+        want.update(tuple(s[i - 4 : i + 1]) for i in range(4, len(s)))
+    for parts in (1, 150):
+        got = Counter()
+        for r in ngrams.counts(docs.repartition(parts), 5, 16).collect():
+            code, count = inflated(bytes(r.part), ["u8", "i8"], 1)
+            for c, k in zip(code.tolist(), count.tolist()):
+                b = c.to_bytes(8, "big")[3:]
+                got[(b[3], b[2], b[1], b[0], b[4])] += k
+        assert got == want
 
 
 def test_quality_keeps_prose_and_rejects_junk(spark, sf):
