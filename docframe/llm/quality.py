@@ -32,8 +32,8 @@ from docframe.llm.ngrams import KneserNey, find
 
 ORDER = 6
 #: Set against labelled documents, junk and clean ones; README has the rates.
-LOWER = 2.5
-UPPER = 2.5
+LOWER = 4.0
+UPPER = 2.0
 SPREAD = 0.02
 BLOCK_BYTES = 4 << 20
 
