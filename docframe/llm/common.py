@@ -91,6 +91,28 @@ def discarded_since(before: set[str]) -> None:
         _forget(path)
 
 
+def numbered(df: DataFrame, key: str) -> tuple[DataFrame, Callable[..., DataFrame]]:
+    """df with integers for ids, and a function that puts the ids back into columns
+    of a result. Ids that are integers are themselves; others get numbers in their
+    order, by one range sort of the distinct ids, and joins."""
+    if isinstance(df.schema[key].dataType, T.IntegralType):
+        return df.withColumn(key, F.col(key).cast("long")), lambda out, *_: out
+    ids = df.select(F.col(key).alias("id")).where("id IS NOT NULL").distinct().repartitionByRange("id").sortWithinPartitions("id")
+    ids = written(ids.withColumn("no", F.monotonically_increasing_id()), "ids")
+
+    def put(out: DataFrame, at: str, give: str, take: str) -> DataFrame:
+        a, b = fresh(out, "number_from"), fresh(out, "number_to")
+        joined = out.join(ids.select(F.col(give).alias(a), F.col(take).alias(b)), F.col(at) == F.col(a), "left")
+        return joined.select(*[F.col(b).alias(c) if c == at else F.col(c) for c in out.columns])
+
+    def back(out: DataFrame, *columns: str) -> DataFrame:
+        for c in columns:
+            out = put(out, c, "no", "id")
+        return out
+
+    return put(df, key, "id", "no"), back
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 

@@ -1,23 +1,25 @@
 """Bulk-synchronous best-fit packing of documents into sequences of fixed length.
 
-Each round range-sorts the documents that are left and the gaps of the open
-sequences together, by size from large to small. A sweep over each partition
-gives a document the smallest free gap before it that holds it; a document of
-higher rank (larger, then smaller id) comes first and so wins a gap that
-several want. What a partition can't match is matched with gaps of the
-partitions before it by their counts alone, so the outcome is that of one sweep
-over everything, whatever the partitioning. Then gaps shrink, sequences are opened
-for documents larger than every gap, and the next round begins.
+Pieces of documents are range-sorted, from large to small, once; of each size their
+number is all that the rounds need, for among equal sizes rank decides: the smaller
+id, then the earlier part, comes first. Each round sorts the sizes that are left and
+the gaps of the open sequences together and sweeps over them: a piece takes the
+smallest free gap that holds it, the successor of its size; one of higher rank comes
+first and so wins a gap that several want. Then gaps shrink, sequences are opened for
+pieces larger than every gap, and the next round begins.
+
+Sizes and gaps are rows (size, count), at most `capacity` of each whatever the
+corpus, and a round moves whole runs of ranks to whole runs of sequences. After the
+last round one pass gives each piece the place of its rank.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,12 +27,9 @@ from pyspark.sql import types as T
 from docframe.llm.common import column, rows_of, written
 
 CAPACITY = 8192
-#: Rows of documents and gaps in one sorted partition.
+#: Rows of pieces in one sorted partition.
 PARTITION_ROWS = 1_000_000
 
-GAP, ITEM = 0, 1
-PLACED, LEFT, FREE, ALONE = 0, 1, 2, 3  # ALONE: left, and no gap of the partition is as large
-
 
 def pieces(docs: DataFrame, capacity: int, key: str, text: str) -> DataFrame:
     """(doc_id, part, size): documents as UTF-8 bytes and an end mark, cut where longer than capacity."""
@@ -40,73 +39,63 @@ def pieces(docs: DataFrame, capacity: int, key: str, text: str) -> DataFrame:
     return out.select("doc_id", "part", F.least(F.lit(capacity), F.col("whole") - F.col("part") * capacity).cast("int").alias("size"))
 
 
-def _sweep(names: list[str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pid = TaskContext.get().partitionId()
-        stack: list[tuple[int, int]] = []  # (size, bin) of free gaps, the smallest on top
-        left, seen = 0, False
-
-        def batch(what: list[int], ord_: list[int], size: list[int], doc: pa.Array, part: pa.Array, bins: list, gap: list) -> pa.RecordBatch:
-            n = len(what)
-            return pa.RecordBatch.from_arrays([pa.array(what, pa.int32()), pa.array(np.full(n, pid), pa.int32()), pa.array(ord_, pa.int64()), pa.array(size, pa.int32()), doc, part, pa.array(bins, pa.int64()), pa.array(gap, pa.int32())], names)
-
-        kinds = None
-        for b in batches:
-            kinds = b
-            rows, what, ord_, bins, gaps = [], [], [], [], []
-            size = column(b, "size").to_pylist()
-            own = column(b, "bin").to_pylist()
-            for i, k in enumerate(column(b, "kind").to_pylist()):
-                if k == GAP:
-                    stack.append((size[i], own[i]))
-                    seen = True
-                    continue
-                rows.append(i)
-                if stack:
-                    g, x = stack.pop()
-                    what.append(PLACED)
-                    ord_.append(-1)
-                    bins.append(x)
-                    gaps.append(g)
+def rounds(number: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int, int]], int]:
+    """From the number of pieces of each size: runs (size, first rank within the size,
+    count, first sequence, offset), each piece of a run in a sequence of its own, and
+    the number of sequences."""
+    left = dict(number)
+    done: dict[int, int] = defaultdict(int)
+    gaps: dict[int, list[tuple[int, int]]] = {}  # size -> runs of sequences (first, count)
+    out: list[tuple[int, int, int, int, int]] = []
+    bins = 0
+    while left:
+        shrunk: dict[int, list[tuple[int, int]]] = defaultdict(list)
+
+        def place(size: int, n: int, first: int, gap: int) -> None:
+            out.append((size, done[size], n, first, capacity - gap))
+            done[size] += n
+            left[size] -= n
+            shrunk[gap - size].append((first, n))  # noqa: B023
+
+        stack: list[tuple[int, int, int]] = []  # (gap, first, count), the smallest gap on top
+        lead, seen = [], False
+        for size in sorted(left.keys() | gaps.keys(), reverse=True):
+            for first, n in gaps.get(size, ()):
+                stack.append((size, first, n))
+                seen = True
+            if size in left and not seen:
+                lead.append(size)
+            while left.get(size) and stack:
+                gap, first, n = stack.pop()
+                k = min(n, left[size])
+                place(size, k, first + n - k, gap)
+                if n > k:
+                    stack.append((gap, first, n - k))
+        # pieces larger than any gap lead the order and need new sequences; the others can wait for a gap
+        large = sum(left[s] for s in lead if 2 * s > capacity)
+        new = max(large, -(-sum(s * left[s] for s in lead) // capacity))
+        for size in sorted((s for s in left if left[s]), reverse=True):
+            k = min(new, left[size])
+            if k:
+                place(size, k, bins, capacity)
+                bins += k
+                new -= k
+        left = {s: n for s, n in left.items() if n}
+        least = min(left, default=0)
+        for gap, first, n in stack:
+            shrunk[gap].append((first, n))
+        gaps = {}
+        for gap, runs in shrunk.items():
+            if gap < least or not left:
+                continue
+            joined: list[tuple[int, int]] = []
+            for first, n in sorted(runs):
+                if joined and sum(joined[-1]) == first:
+                    joined[-1] = (joined[-1][0], joined[-1][1] + n)
                 else:
-                    what.append(LEFT if seen else ALONE)
-                    ord_.append(left)
-                    left += 1
-                    bins.append(None)
-                    gaps.append(None)
-            at = pa.array(rows, pa.int64())
-            if rows:
-                yield batch(what, ord_, [size[i] for i in rows], column(b, "doc_id").take(at), column(b, "part").take(at), bins, gaps)
-        if kinds is not None:
-            for lo in range(0, len(stack), 1 << 16):
-                some = stack[lo : lo + (1 << 16)]
-                none = [None] * len(some)
-                yield batch([FREE] * len(some), list(range(lo, lo + len(some))), [s for s, _ in some], pa.array(none, column(kinds, "doc_id").type), pa.array(none, pa.int64()), [x for _, x in some], [s for s, _ in some])
-
-    return run
-
-
-def _between(counts: dict[int, tuple[int, int]]) -> tuple[list[tuple[int, int, int, int, int]], dict[int, int]]:
-    """Matches between partitions from (left documents, free gaps) of each: (pid,
-    first, number, pid of the gaps, ordinal of the first's gap, then downwards),
-    and how many of each partition's documents are matched: its first ones."""
-    stack: list[list[int]] = []
-    out, matched = [], {}
-    for p in sorted(counts):
-        items, gaps = counts[p]
-        at = 0
-        while at < items and stack:
-            q, free = stack[-1]
-            n = min(free, items - at)
-            out.append((p, at, n, q, free - 1))
-            at += n
-            stack[-1][1] -= n
-            if not stack[-1][1]:
-                stack.pop()
-        matched[p] = at
-        if gaps:
-            stack.append([p, gaps])
-    return out, matched
+                    joined.append((first, n))
+            gaps[gap] = joined
+    return out, bins
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, partition_rows: int = PARTITION_ROWS, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -123,70 +112,33 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, partition_rows: int = PARTIT
     ignored. No rows give no rows.
     """
     spark = docs.sparkSession
-    items = written(pieces(docs, capacity, key, text), "pieces")
-    id_type = items.schema["doc_id"].dataType
-    names = ["what", "pid", "ord", "size", "doc_id", "part", "bin", "gap"]
-    schema = T.StructType([T.StructField("what", T.IntegerType()), T.StructField("pid", T.IntegerType()), T.StructField("ord", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("doc_id", id_type), T.StructField("part", T.LongType()), T.StructField("bin", T.LongType()), T.StructField("gap", T.IntegerType())])
-    state = items.select(F.lit(ITEM).alias("kind"), "size", "doc_id", "part", F.lit(None).cast("long").alias("bin"))
-    todo = rows = rows_of(items)
-    bins = 0
-    placed: list[DataFrame] = []
-    fields = ["doc_id", "part", "size", "bin", "gap"]
-    while todo:
-        order = [F.desc("size"), "kind", "doc_id", "part"]
-        parts = max(1, -(-rows // partition_rows))
-        swept = state.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_sweep(names), schema)
-        swept = written(swept, "sweep")
-        half = F.count_if(F.col("size") > capacity // 2)
-        by = {(r[0], r[1]): tuple(r[2:]) for r in swept.groupBy("what", "pid").agg(F.count("*"), half, F.sum("size"), F.min("size")).collect()}
-        pids = {p for w, p in by}
-        none = (0, 0, 0, None)
-        counts = {p: (by.get((LEFT, p), none)[0] + by.get((ALONE, p), none)[0], by.get((FREE, p), none)[0]) for p in pids}
-        pairs, matched = _between(counts)
-        open_ = {p: counts[p][0] - matched[p] for p in pids}
-        unmatched = sum(open_.values())
-        # the documents larger than any gap: they lead the order, and need new sequences; the others can wait for a gap
-        lead, large, mass = 0, 0, 0
-        for p in sorted(pids):
-            x = by.get((ALONE, p), none)
-            lead, large, mass = lead + x[0], large + x[1], mass + x[2]
-            if (PLACED, p) in by or (FREE, p) in by:
-                break
-        new = max(large, -(-mass // capacity))
-        # one small row for each partition and each match between two
-        rank, before = [], 0
-        for p in sorted(pids):
-            rank.append((p, matched[p], before))
-            before += open_[p]
-        ranks = F.broadcast(spark.createDataFrame(rank, "pid int, matched long, before long"))
-        left = swept.where(F.col("what").isin(LEFT, ALONE)).join(ranks, "pid")
-        free = swept.where(F.col("what") == FREE)
-        done = [swept.where(F.col("what") == PLACED).select(*fields)]
-        if pairs:
-            spans = F.broadcast(spark.createDataFrame(pairs, "pid int, lo long, n long, gap_pid int, top long"))
-            hit = left.join(spans, "pid").where("ord >= lo AND ord < lo + n").select("doc_id", "part", "size", F.col("gap_pid").alias("pid"), (F.col("top") - F.col("ord") + F.col("lo")).alias("ord"))
-            done.append(hit.join(free.select("pid", "ord", "bin", "gap"), ["pid", "ord"]).select(*fields))
-            # of each partition's free gaps the last ones are taken
-            taken: dict[int, int] = {}
-            for _, _, n, q, _ in pairs:
-                taken[q] = taken.get(q, 0) + n
-            keep = F.broadcast(spark.createDataFrame([(p, counts[p][1] - taken.get(p, 0)) for p in sorted(pids)], "pid int, keep long"))
-            free = free.join(keep, "pid").where("ord < keep")
-        alone = left.where("ord >= matched").withColumn("rank", F.col("before") + F.col("ord") - F.col("matched"))
-        done.append(alone.where(F.col("rank") < new).select("doc_id", "part", "size", (F.col("rank") + bins).alias("bin"), F.lit(capacity).alias("gap")))
-        now = written(reduce(DataFrame.unionByName, done), "placed")
-        placed.append(now)
-        rest = alone.where(F.col("rank") >= new)
-        todo = unmatched - new
-        bins += new
-        if not todo:
-            break
-        least = min(x[3] for (w, _), x in by.items() if w in (LEFT, ALONE))
-        shrunk = now.select((F.col("gap") - F.col("size")).alias("size"), "bin").union(free.select("size", "bin")).where(F.col("size") >= least)
-        blank = [F.lit(GAP).alias("kind"), F.col("size"), F.lit(None).cast(id_type).alias("doc_id"), F.lit(None).cast("long").alias("part"), F.col("bin")]
-        state = shrunk.select(*blank).union(rest.select(F.lit(ITEM).alias("kind"), "size", "doc_id", "part", F.lit(None).cast("long").alias("bin")))
-        rows = todo + bins
-    if not placed:
-        return spark.createDataFrame([], T.StructType([T.StructField("doc_id", id_type), *(T.StructField(c, T.LongType()) for c in ("part", "start", "n_tokens", "sequence", "offset"))]))
-    out = reduce(DataFrame.unionByName, placed)
-    return out.select("doc_id", "part", (F.col("part") * capacity).alias("start"), F.col("size").cast("long").alias("n_tokens"), F.col("bin").alias("sequence"), (F.lit(capacity) - F.col("gap")).cast("long").alias("offset"))
+    items = pieces(docs, capacity, key, text)
+    order = [F.desc("size"), "doc_id", "part"]
+    # places of a sorted partition: its number above bit 33
+    ranked = items.repartitionByRange(max(1, -(-rows_of(items) // partition_rows)), *order).sortWithinPartitions(*order)
+    ranked = written(ranked.withColumn("at", F.monotonically_increasing_id()), "pieces")
+    # a row for each size and partition: equal sizes are in neighbouring ones, so at most `capacity` rows and one a partition
+    rows = sorted(map(tuple, ranked.groupBy(F.shiftright("at", 33), "size").agg(F.count("*"), F.min("at")).collect()))
+    number: dict[int, int] = defaultdict(int)
+    starts, shifts = [], []
+    for _, size, n, first in sorted(rows, key=lambda r: r[3]):
+        starts.append(first)
+        shifts.append(number[size] - first)
+        number[size] += n
+    runs, _ = rounds(number, capacity)
+    table = np.array(sorted(runs), np.int64).reshape(-1, 5)
+    shared = spark.sparkContext.broadcast((np.array(starts, np.int64), np.array(shifts, np.int64), table))
+    names = ["doc_id", "part", "start", "n_tokens", "sequence", "offset"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start, shift, table = shared.value
+        keys = table[:, 0] << 45 | table[:, 1]
+        for b in batches:
+            size, at, part = (np.asarray(column(b, c)).astype(np.int64) for c in ("size", "at", "part"))
+            rank = at + shift[np.searchsorted(start, at, side="right") - 1] if len(at) else at
+            k = np.searchsorted(keys, size << 45 | rank, side="right") - 1
+            cols = [part, part * capacity, size, table[k, 3] + rank - table[k, 1], table[k, 4]]
+            yield pa.RecordBatch.from_arrays([column(b, "doc_id"), *(pa.array(c) for c in cols)], names)
+
+    schema = T.StructType([T.StructField("doc_id", ranked.schema["doc_id"].dataType), *(T.StructField(c, T.LongType()) for c in names[1:])])
+    return ranked.mapInArrow(run, schema)

@@ -31,8 +31,16 @@ def test_nearest_by_brute_force(spark):
     rows += [(1000 + i, list(rows[7][1])) for i in range(15)] + [(2000 + i, [float(i), 0.0]) for i in range(4)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     for size in (2048, 50):
-        got = {(r.vec_id, r.rank, r.neighbour, r.distance) for r in topk.nearest(df, k=5, block_rows=size).collect()}
-        assert got == brute(rows, 5)
+        for pivots in (64, 3, 0):
+            got = {(r.vec_id, r.rank, r.neighbour, r.distance) for r in topk.nearest(df, k=5, block_rows=size, pivots=pivots).collect()}
+            assert got == brute(rows, 5)
+    some = df.where("vec_id % 7 = 0")
+    assert {tuple(r) for r in topk.nearest(df, some, k=5, block_rows=50).collect()} == {x for x in brute(rows, 5) if x[0] % 7 == 0}
+    # ids of another type, in an order of their own
+    names = {str(i): i for i, _ in rows}
+    named = df.selectExpr("CAST(vec_id AS STRING) AS vec_id", "embedding")
+    got = {tuple(r) for r in topk.nearest(named, named.where("vec_id % 7 = 0"), k=300).collect()}
+    assert {(names[a], names[b], d) for a, _, b, d in got} == {(a, b, d) for a, _, b, d in brute(rows, 300) if a % 7 == 0}
 
 
 def test_nearest_edges(spark):
