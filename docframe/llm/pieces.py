@@ -10,8 +10,10 @@ to each position from those before it. A BPE model's scores are ranks of merges,
 whose encoding is not the path of the best sum; for it the fold merges, step by
 step, the neighbours that make the piece of the best score, over the same edges.
 
-Documents lie in groups; only each group's distinct words are exchanged, and
-their encodings come back to it.
+Words are counted over all documents, each distinct one is encoded once, and the
+codes are kept in blocks by the words' 128-bit digests. The codes of the CACHE most
+frequent words are broadcast; documents lie in groups, and a group asks the blocks
+about its other words only, so neither a frequent word nor a text travels twice.
 """
 
 from __future__ import annotations
@@ -27,12 +29,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docframe.llm.common import GROUP_BYTES, mix, packed, powers, unpacked
+from docframe.llm.common import GROUP_BYTES, answered, deflated, inflated, mix, packed, powers, split_by, unpacked, written
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Words of more characters are folded in Python, by a heap or an array: the
 #: fold by a Spark aggregate takes time as their square.
 LONG = 200
+#: So many of the most frequent words are broadcast with their codes: a bound of some 10 MB.
+CACHE = 1 << 18
 SPACE = "▁"
 #: A state of the fold that no path has reached.
 NEVER = -1e30
@@ -98,28 +102,36 @@ def normalised(text: str, v: Vocabulary) -> str:
 
 class Words:
     """The words of many texts: where each text's begin (first), their number among
-    the distinct ones (which), and the distinct ones in the order of their hashes."""
+    the distinct ones (which), and the distinct ones' digests (one, two), in order."""
 
     def __init__(self, texts: list[str], v: Vocabulary):
         whole = [normalised(t, v) for t in texts]
         starts = np.concatenate([[0], np.cumsum([len(t) for t in whole])]).astype(np.int64)
-        s = "".join(whole)
-        marks, hashes = [], []
+        self.text = "".join(whole)
+        marks, ones, twos = [], [], []
         for lo, hi in _spans(starts):
-            c = np.frombuffer(s[starts[lo] : starts[hi]].encode("utf-32-le", "surrogatepass"), np.uint32)
+            c = np.frombuffer(self.text[starts[lo] : starts[hi]].encode("utf-32-le", "surrogatepass"), np.uint32)
             cut = np.ones(len(c) + 1, bool)
             k = v.classes[c]
             cut[1:-1] = ~v.joined[k[:-1], k[1:]]
             cut[starts[lo : hi + 1] - starts[lo]] = True
             at = np.flatnonzero(cut)
             if len(at) > 1:
-                hashes.append(code_hash(c, at))
+                ones.append(code_hash(c, at, 1))
+                twos.append(code_hash(c, at, 0x5851F42D4C957F2D))
                 marks.append(at[:-1] + starts[lo])
-        self.start = np.concatenate([*marks, [len(s)]]).astype(np.int64)
+        self.start = np.concatenate([*marks, [len(self.text)]]).astype(np.int64)
         self.first = np.searchsorted(self.start[:-1], starts)
-        h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-        _, one, self.which = np.unique(h, return_index=True, return_inverse=True)
-        self.distinct = [s[a:b] for a, b in zip(self.start[one].tolist(), self.start[one + 1].tolist(), strict=True)]
+        none = np.zeros(0, np.uint64)
+        one, two = np.concatenate([*ones, none]), np.concatenate([*twos, none])
+        self.one, self.at, self.which = np.unique(one, return_index=True, return_inverse=True)
+        self.two = two[self.at]
+        if (two != self.two[self.which]).any():  # half a digest in common
+            both, self.at, self.which = np.unique(np.rec.fromarrays([one, two]), return_index=True, return_inverse=True)
+            self.one, self.two = np.asarray(both.f0), np.asarray(both.f1)
+
+    def distinct(self) -> list[str]:
+        return [self.text[a:b] for a, b in zip(self.start[self.at].tolist(), self.start[self.at + 1].tolist(), strict=True)]
 
 
 def _spans(starts: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
@@ -131,18 +143,27 @@ def _spans(starts: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]
         lo = hi
 
 
-def code_hash(c: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each run of characters at[i]:at[i + 1]."""
+def code_hash(c: np.ndarray, at: np.ndarray, seed: int) -> np.ndarray:
+    """A 64-bit hash of each run of characters at[i]:at[i + 1]; the characters' own
+    hashes, and so the results, of two seeds are independent."""
     power, inverse = powers(len(c))
     sums = np.zeros(len(c) + 1, np.uint64)
-    np.cumsum(mix(c.astype(np.uint64) + np.uint64(1)) * power[: len(c)], out=sums[1:])
+    np.cumsum(mix(c.astype(np.uint64) + np.uint64(seed)) * power[: len(c)], out=sums[1:])
     return mix((sums[at[1:]] - sums[at[:-1]]) * inverse[at[:-1]] + np.diff(at).astype(np.uint64))
 
 
+def digests(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Both halves of each word's digest, as Words has them."""
+    c = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+    at = np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.int64)
+    return code_hash(c, at, 1), code_hash(c, at, 0x5851F42D4C957F2D)
+
+
 def words(text: str, v: Vocabulary) -> list[str]:
     """The words of one text."""
     w = Words([text], v)
-    return [w.distinct[i] for i in w.which]
+    distinct = w.distinct()
+    return [distinct[i] for i in w.which]
 
 
 def encode_long(word: str, v: Vocabulary) -> list[int]:
@@ -210,18 +231,18 @@ def piece_table(spark: SparkSession, v: Vocabulary) -> DataFrame:
 
 
 def lattice(distinct: DataFrame, v: Vocabulary) -> DataFrame:
-    """(word, edges): of each word the substrings of two characters or more that are
+    """(word, n, edges): of each word the substrings of two characters or more that are
     pieces, as a map from start x 1024 + end to v of the table; and of single
     characters too for a unigram model. The join is with the piece table, which the
     model's file bounds, so it may be broadcast; grouping by word needs no exchange,
     for words are distributed by themselves already."""
     least = 2 if v.bpe else 1
     spans = F.expr(f"flatten(transform(sequence(0, length(word) - 1), s -> transform(filter(sequence(s + 1, least(s + {v.longest}, length(word))), e -> e >= s + {least}), e -> struct(s * 1024 + e AS at, substring(word, s + 1, e - s) AS piece))))")
-    edges = distinct.select("word", F.explode_outer(spans).alias("x")).select("word", "x.at", "x.piece")
+    edges = distinct.select("word", "n", F.explode_outer(spans).alias("x")).select("word", "n", "x.at", "x.piece")
     table = F.broadcast(piece_table(distinct.sparkSession, v))
     # a word without any edge is kept by its first substring, found or not
     met = edges.join(table, "piece", "left").where(F.col("v").isNotNull() | F.col("at").isNull() | (F.col("at") == least))
-    return met.groupBy("word").agg(F.map_from_entries(F.filter(F.collect_list(F.struct("at", "v")), lambda x: x["v"].isNotNull())).alias("edges"))
+    return met.groupBy("word", "n").agg(F.map_from_entries(F.filter(F.collect_list(F.struct("at", "v")), lambda x: x["v"].isNotNull())).alias("edges"))
 
 
 def merged(v: Vocabulary) -> F.Column:
@@ -245,11 +266,11 @@ def viterbi(v: Vocabulary) -> F.Column:
 
 
 def encoded_words(distinct: DataFrame, v: Vocabulary) -> DataFrame:
-    """(word, codes): ids, and of single characters left over -1 - code point."""
+    """(word, n, codes): ids, and of single characters left over -1 - code point."""
     bounds = merged(v) if v.bpe else viterbi(v)
-    cut = lattice(distinct, v).select("word", "edges", bounds.alias("b"))
+    cut = lattice(distinct, v).select("word", "n", "edges", bounds.alias("b"))
     id_ = "edges[b[i - 1] * 1024 + b[i]] & 4294967295" if v.bpe else "edges[b[i - 1] * 1024 + b[i]].id"
-    return cut.select("word", F.expr(f"transform(sequence(1, size(b) - 1), i -> CAST(coalesce({id_}, -1 - ascii(substring(word, b[i - 1] + 1, 1))) AS INT))").alias("codes"))
+    return cut.select("word", "n", F.expr(f"transform(sequence(1, size(b) - 1), i -> CAST(coalesce({id_}, -1 - ascii(substring(word, b[i - 1] + 1, 1))) AS INT))").alias("codes"))
 
 
 def expanded(codes: list[int], v: Vocabulary) -> list[int]:
@@ -268,127 +289,165 @@ def expanded(codes: list[int], v: Vocabulary) -> list[int]:
     return out
 
 
-def _asked(w: Words) -> np.ndarray:
-    """Numbers of the words that the lattice encodes."""
-    return np.flatnonzero(np.fromiter((len(x) <= LONG for x in w.distinct), bool, len(w.distinct)))
+class Codes:
+    """A map from digests to ids: sorted first halves, the second ones, and where each one's ids start."""
 
+    def __init__(self, one: np.ndarray, two: np.ndarray, n: np.ndarray, flat: np.ndarray):
+        order = np.lexsort((two, one))
+        begin = np.concatenate([[0], np.cumsum(n)]).astype(np.int64)
+        self.one, self.two, self.n, self.begin, self.flat = one[order], two[order], n[order].astype(np.int64), begin[:-1][order], flat
 
-def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(g, k, codes) to (g, part): the answers to each group of a partition together."""
-    held: dict[int, list[np.ndarray]] = {}
-    size = 0
+    def find(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """The position of each word, or -1."""
+        if not len(self.one):
+            return np.full(len(one), -1, np.int64)
+        at = np.minimum(np.searchsorted(self.one, one), len(self.one) - 1)
+        out = np.where((self.one[at] == one) & (self.two[at] == two), at, -1)
+        for i in np.flatnonzero((out < 0) & (self.one[at] == one)):  # another word has the same first half
+            j = int(at[i])
+            while j < len(self.one) and self.one[j] == one[i]:
+                if self.two[j] == two[i]:
+                    out[i] = j
+                j += 1
+        return out
 
-    def out() -> pa.RecordBatch:
-        gs = sorted(held)
-        return pa.RecordBatch.from_arrays([pa.array(gs, pa.int64()), pa.array([np.concatenate(held[g]).tobytes() for g in gs], pa.binary())], ["g", "part"])
+    def take(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each position has, and the ids one after another."""
+        n = self.n[at]
+        ends = np.cumsum(n)
+        return n, self.flat[np.repeat(self.begin[at] - ends + n, n) + np.arange(ends[-1] if len(n) else 0)]
 
-    for b in batches:
-        if not b.num_rows:
-            continue
-        g, k, lists = np.asarray(b.column(0)), np.asarray(b.column(1)), b.column(2)
-        flat, n = np.asarray(lists.flatten()), np.asarray(pa.compute.list_value_length(lists)).astype(np.int64)
-        at = np.concatenate([[0], np.cumsum(n)])
-        order = np.argsort(g, kind="stable")
-        edge = np.append(np.flatnonzero(np.concatenate([[True], np.diff(g[order]) != 0])), len(g))
-        for a, e in zip(edge[:-1], edge[1:], strict=True):
-            rows = order[a:e]
-            take = np.repeat(at[rows] - np.concatenate([[0], np.cumsum(n[rows])[:-1]]), n[rows]) + np.arange(n[rows].sum())
-            held.setdefault(int(g[rows[0]]), []).append(np.concatenate([[len(rows)], k[rows], n[rows], flat[take]]).astype(np.int32))
-        size += len(flat) + 2 * len(g)
-        if size > 8 << 20:
-            yield out()
-            held, size = {}, 0
-    if held:
-        yield out()
-
-
-def _answered(parts: list[bytes], w: Words, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of all distinct words one after another, and where each word's begin."""
-    ks, ns, flats = [], [], []
-    for part in parts:
-        x, at = np.frombuffer(part, np.int32), 0
-        while at < len(x):
-            m = int(x[at])
-            k, n = x[at + 1 : at + 1 + m], x[at + 1 + m : at + 1 + 2 * m]
-            end = at + 1 + 2 * m + int(n.sum())
-            ks.append(k)
-            ns.append(n)
-            flats.append(x[at + 1 + 2 * m : end])
-            at = end
-    few = {i: encode_long(w.distinct[i], v) for i in range(len(w.distinct)) if len(w.distinct[i]) > LONG}
-    k = np.concatenate([*ks, list(few)]).astype(np.int64)
-    n = np.concatenate([*ns, [len(c) for c in few.values()]]).astype(np.int64)
-    flat = np.concatenate([*flats, *[np.array(c, np.int32) for c in few.values()], np.zeros(0, np.int32)])
-    low = flat < 0
-    known = v.single[np.where(low, -1 - flat, 0)]
-    odd = low & (known < 0)
-    flat = np.where(low, known, flat).astype(np.int32)
-    if odd.any():  # characters without a piece
-        start = np.concatenate([[0], np.cumsum(n)])
-        lists = []
-        raw = np.concatenate([*flats, *[np.array(c, np.int32) for c in few.values()], np.zeros(0, np.int32)])
-        which = np.unique(np.searchsorted(start, np.flatnonzero(odd), side="right") - 1)
-        done = 0
-        n = n.copy()
-        for i in which:
-            new = np.array(expanded(raw[start[i] : start[i + 1]].tolist(), v), np.int32)
-            lists += [flat[done : start[i]], new]
-            done, n[i] = start[i + 1], len(new)
-        flat = np.concatenate([*lists, flat[done:]])
-    # in the order of the words' numbers
-    order = np.argsort(k)
-    begin = np.concatenate([[0], np.cumsum(n)])
-    first = np.concatenate([[0], np.cumsum(n[order])])
-    take = np.repeat(begin[order] - first[:-1], n[order]) + np.arange(first[-1])
-    return flat[take], first
-
-
-def encode(docs: DataFrame, model: str = MODEL, group_bytes: int = GROUP_BYTES // 2, key: str = "doc_id", text: str = "text") -> DataFrame:
+
+def _words(docs: DataFrame, v: Vocabulary) -> DataFrame:
+    """(word, n): the distinct words of all texts and how often they occur."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(0).to_pylist()
+            size = np.cumsum([len(t) for t in texts])
+            for lo, hi in _spans(np.concatenate([[0], size]).astype(np.int64), 8 << 20):
+                w = Words(texts[lo:hi], v)
+                if len(w.one):
+                    yield pa.RecordBatch.from_arrays([pa.array(w.distinct(), pa.string()), pa.array(np.bincount(w.which).astype(np.int64))], ["word", "n"])
+
+    return docs.where("text IS NOT NULL").select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def _folded(v: Vocabulary):
+    """(word, n) of long words to (word, n, codes)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for word, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array([word]), pa.array([n]), pa.array([encode_long(word, v)], pa.list_(pa.int32()))], ["word", "n", "codes"])
+
+    return run
+
+
+def _parts(v: Vocabulary, blocks: int):
+    """(word, n, codes) to (block, part): words' digests and ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            one, two = digests(b.column(0).to_pylist())
+            ids = [expanded(x, v) for x in b.column(2).to_pylist()]
+            many = np.array([len(x) for x in ids], np.int32)
+            table = Codes(one, two, many, np.array([y for x in ids for y in x], np.int32))
+            order, edge, block = split_by((table.one % np.uint64(blocks)).astype(np.int64))
+            parts = []
+            for a, e in zip(edge[:-1], edge[1:], strict=True):
+                k, flat = table.take(order[a:e])
+                parts.append(_part(table.one[order[a:e]], table.two[order[a:e]], k, flat))
+            yield pa.RecordBatch.from_arrays([pa.array(block), pa.array(parts, pa.binary())], ["block", "part"])
+
+    return run
+
+
+def _part(one: np.ndarray, two: np.ndarray, n: np.ndarray, flat: np.ndarray) -> bytes:
+    head = deflated([one, two, n.astype(np.int32)], 1)
+    return np.int64(len(head)).tobytes() + head + deflated([flat.astype(np.int32)])
+
+
+def _codes(parts: list[bytes]) -> Codes:
+    rows = []
+    for x in parts:
+        size = int(np.frombuffer(x, np.int64, 1)[0])
+        rows.append([*inflated(x[8 : 8 + size], [np.uint64, np.uint64, np.int32], 1), inflated(x[8 + size :], [np.int32])[0]])
+    return Codes(*(np.concatenate(x) for x in zip(*rows, strict=True))) if rows else Codes(*(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int32, np.int32)))
+
+
+#: Words of one block: its answers to all groups are made in one memory.
+BLOCK_WORDS = 1 << 16
+
+
+def encode(docs: DataFrame, model: str = MODEL, group_bytes: int = GROUP_BYTES, cache: int = CACHE, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, ids) of every row: the same ids as the model's own library gives.
 
     A null text has null ids, an empty text none. Rows that repeat an id are
-    encoded one by one. Texts are used whole, however long; other columns are
-    ignored. No rows give no rows.
+    encoded one by one, equal texts alike. Texts are used whole, however long; other
+    columns are ignored. No rows give no rows. `cache` changes what travels, not what
+    comes out.
     """
     v = vocabulary(model)
     base = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    id_type = base.schema["doc_id"].dataType
-    groups = packed(base.where(F.col("text").isNotNull()), "text", group_bytes)
-    # partitioned once, for the questions and for the answers
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    groups = groups.repartition(parts, "g")
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for g, blob in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                w = Words(unpacked(blob.as_py()).column("text").to_pylist(), v)
-                some = _asked(w)
-                for lo in range(0, len(some), 1 << 16):
-                    k = some[lo : lo + (1 << 16)]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), g)), pa.array(k.astype(np.int32)), pa.array([w.distinct[i] for i in k], pa.string())], ["g", "k", "word"])
-
-    asked = groups.mapInArrow(ask, "g long, k int, word string").repartition(parts, "word")
-    # g and k go along, so that the exchange by word is the same one as below
-    distinct = asked.groupBy("word").agg(F.min("g").alias("g"), F.min("k").alias("k")).where("g IS NOT NULL AND k IS NOT NULL").select("word")
-    found = asked.join(encoded_words(distinct, v), "word").select("g", "k", "codes")
-    answers = found.mapInArrow(_answers, "g long, part binary")
-
-    def write(left: pa.Table, right: pa.Table) -> pa.Table:
-        doc, out = [], []
-        for blob in left.column("blob").to_pylist():
-            t = unpacked(blob)
-            w = Words(t.column("text").to_pylist(), v)
-            flat, first = _answered(right.column("part").to_pylist(), w, v)
-            n = np.diff(first)[w.which]
-            begin = np.concatenate([[0], np.cumsum(n)])
-            ids = flat[np.repeat(first[w.which] - begin[:-1], n) + np.arange(begin[-1])]
-            doc.append(t.column("doc_id").combine_chunks())
-            out.append(pa.ListArray.from_arrays(pa.array(begin[w.first].astype(np.int32)), pa.array(ids)))
-        return pa.table({"doc_id": pa.concat_arrays(doc), "ids": pa.concat_arrays(out)})
-
-    schema = T.StructType([T.StructField("doc_id", id_type), T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    done = groups.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(write, schema)
-    return done.union(base.where(F.col("text").isNull()).select("doc_id", F.lit(None).cast("array<int>").alias("ids")))
+    counted = _words(base, v)
+    coded = encoded_words(counted.where(F.length("word") <= LONG), v).union(counted.where(F.length("word") > LONG).mapInArrow(_folded(v), "word string, n long, codes array<int>"))
+    coded = written(coded, "words")
+    blocks = max(16, coded.count() // BLOCK_WORDS)
+    top = coded.orderBy(F.desc("n"), "word").limit(cache).toArrow()  # at most `cache` words
+    one, two = digests(top.column("word").to_pylist())
+    ids = [expanded(x, v) for x in top.column("codes").to_pylist()]
+    known = docs.sparkSession.sparkContext.broadcast(Codes(one, two, np.array([len(x) for x in ids], np.int64), np.array([y for x in ids for y in x], np.int32)))
+    del top, ids
+    tables = coded.mapInArrow(_parts(v, blocks), "block long, part binary")
+
+    def questions(blob: bytes) -> tuple[pa.Table, Words, np.ndarray, tuple]:
+        """A group, its words, where the cache has them, and the others by block."""
+        t = unpacked(blob)
+        w = Words(t.column("text").to_pylist(), v)
+        at = known.value.find(w.one, w.two)
+        rest = np.flatnonzero(at < 0)
+        order, edge, block = split_by((w.one[rest] % np.uint64(blocks)).astype(np.int64))
+        return t, w, at, (rest[order], edge, block)
+
+    def ask(blob: bytes) -> Iterator[tuple[int, bytes]]:
+        _, w, _, (rest, edge, block) = questions(blob)
+        for a, e, b in zip(edge[:-1], edge[1:], block.tolist(), strict=True):
+            yield b, deflated([w.one[rest[a:e]], w.two[rest[a:e]]], 1)
+
+    def answer(t: pa.Table):
+        table = _codes(t.column("part").to_pylist())
+
+        def one(part: bytes) -> bytes:
+            n, flat = table.take(table.find(*inflated(part, [np.uint64, np.uint64], 1)))
+            head = deflated([n.astype(np.int32)])
+            return np.int64(len(head)).tobytes() + head + deflated([flat.astype(np.int32)])
+
+        return one
+
+    def finish(blob: bytes, answers: dict[int, bytes]) -> pa.Table:
+        t, w, at, (rest, _, block) = questions(blob)
+        have = np.flatnonzero(at >= 0)
+        n, flat = known.value.take(at[have])
+        counts, flats = [n], [flat]
+        for b in block.tolist():
+            size = int(np.frombuffer(answers[b], np.int64, 1)[0])
+            counts.append(inflated(answers[b][8 : 8 + size], [np.int32])[0])
+            flats.append(inflated(answers[b][8 + size :], [np.int32])[0])
+        number = np.empty(len(w.one), np.int64)
+        number[np.concatenate([have, rest])] = np.arange(len(w.one))
+        n, flat = np.concatenate(counts).astype(np.int64), np.concatenate(flats).astype(np.int32)
+        first = np.concatenate([[0], np.cumsum(n)])
+        which = number[w.which]
+        begin = np.concatenate([[0], np.cumsum(n[which])])
+        ids = flat[np.repeat(first[which] - begin[:-1], n[which]) + np.arange(begin[-1])]
+        return pa.table({"doc_id": t.column("doc_id").combine_chunks(), "ids": pa.ListArray.from_arrays(pa.array(begin[w.first].astype(np.int32)), pa.array(ids))})
+
+    schema = T.StructType([base.schema["doc_id"], T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    done = answered(packed(base.where("text IS NOT NULL"), "text", group_bytes), ask, tables, answer, finish, schema)
+    return done.union(base.where("text IS NULL").select("doc_id", F.lit(None).cast("array<int>").alias("ids")))
 
 
 def decode(rows: DataFrame, model: str = MODEL, ids: str = "ids", text: str = "text") -> DataFrame:

@@ -23,11 +23,17 @@ def test_encoding_is_the_library_s(spark, sf):
     docs = table(spark, sf, "documents").unionByName(make(spark, ODD))
     texts = {(r.doc_id, r.text) for r in docs.collect()}
     want = {(str(d), None if t is None else tuple(lib.encode(t))) for d, t in texts}
-    for group in (1 << 24, 5000):
-        got = {(str(r.doc_id), None if r.ids is None else tuple(r.ids)) for r in P.encode(docs, group_bytes=group).collect()}
+    for group, cache in ((1 << 24, P.CACHE), (5000, 100), (1 << 20, 0)):
+        got = {(str(r.doc_id), None if r.ids is None else tuple(r.ids)) for r in P.encode(docs, group_bytes=group, cache=cache).collect()}
         assert got == want
 
 
+def test_words_that_share_half_a_digest():
+    table = P.Codes(*(P.np.array(x, P.np.uint64) for x in ([5, 5, 9], [2, 1, 3])), P.np.array([1, 2, 0]), P.np.array([7, 8, 9], P.np.int32))
+    at = table.find(*(P.np.array(x, P.np.uint64) for x in ([5, 5, 5, 9, 4], [1, 2, 3, 3, 1])))
+    assert [None if i < 0 else table.take(P.np.array([i]))[1].tolist() for i in at] == [[8, 9], [7], None, [], None]
+
+
 def test_decoding_is_the_inverse(spark):
     docs = make(spark, ODD)
     got = sorted((str(r.doc_id), str(r.text)) for r in P.decode(P.encode(docs)).collect())
