@@ -25,11 +25,12 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (pa.compute)
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docframe.llm.common import GROUP_BYTES, answered, deflated, inflated, mix, packed, powers, split_by, unpacked, written
+from docframe.llm.common import GROUP_BYTES, answered, deflated, discarded, inflated, mix, packed, powers, rows_of, split_by, unpacked, written
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Words of more characters are folded in Python, by a heap or an array: the
@@ -76,6 +77,10 @@ class Vocabulary:
         self.bytes_ = [of.get(x, self.unknown) for x in range(256)]
         self.lowest = min((s for _, s in self.table.values()), default=0.0) - 10.0
 
+    def __reduce__(self):
+        """Without what __post_init__ makes: that is much larger than the model."""
+        return Vocabulary, (self.pieces, self.scores, self.kinds, self.bpe, self.prefix, self.unknown, self.fallback)
+
 
 def vocabulary(path: str = MODEL) -> Vocabulary:
     """From a model's file. Normalisation other than the identity isn't supported, and raises."""
@@ -237,8 +242,9 @@ def lattice(distinct: DataFrame, v: Vocabulary) -> DataFrame:
     model's file bounds, so it may be broadcast; grouping by word needs no exchange,
     for words are distributed by themselves already."""
     least = 2 if v.bpe else 1
-    spans = F.expr(f"flatten(transform(sequence(0, length(word) - 1), s -> transform(filter(sequence(s + 1, least(s + {v.longest}, length(word))), e -> e >= s + {least}), e -> struct(s * 1024 + e AS at, substring(word, s + 1, e - s) AS piece))))")
-    edges = distinct.select("word", "n", F.explode_outer(spans).alias("x")).select("word", "n", "x.at", "x.piece")
+    starts = distinct.select("word", "n", F.length("word").alias("m")).select("word", "n", "m", F.explode_outer(F.expr(f"IF(m < {least}, NULL, sequence(0, m - {least}))")).alias("s"))
+    ends = starts.select("word", "n", "s", F.explode_outer(F.expr(f"IF(s IS NULL, NULL, sequence(s + {least}, least(s + {v.longest}, m)))")).alias("e"))
+    edges = ends.select("word", "n", F.expr("s * 1024 + e").alias("at"), F.expr("substring(word, s + 1, e - s)").alias("piece"))
     table = F.broadcast(piece_table(distinct.sparkSession, v))
     # a word without any edge is kept by its first substring, found or not
     met = edges.join(table, "piece", "left").where(F.col("v").isNotNull() | F.col("at").isNull() | (F.col("at") == least))
@@ -248,10 +254,12 @@ def lattice(distinct: DataFrame, v: Vocabulary) -> DataFrame:
 def merged(v: Vocabulary) -> F.Column:
     """The BPE fold: boundaries of the word's parts, of which each step takes one
     out; the best score first, the leftmost on a tie."""
+    # no more steps than edges; -1 at the end: nothing is left to merge
     return F.expr("""
-        aggregate(sequence(1, greatest(1, length(word) - 1)), sequence(0, length(word)),
-          (b, k) -> IF(size(b) < 3, b, aggregate(array(array_min(transform(sequence(1, size(b) - 2), i -> shiftright(edges[b[i - 1] * 1024 + b[i + 1]], 32) * 1024 + i))),
-             b, (x, best) -> IF(best IS NULL, x, filter(x, (y, j) -> j <> best % 1024)))))""")
+        aggregate(sequence(1, greatest(1, least(length(word) - 1, size(edges)))), sequence(0, length(word)),
+          (b, k) -> IF(size(b) < 3 OR b[size(b) - 1] < 0, b, aggregate(array(array_min(transform(sequence(1, size(b) - 2), i -> shiftright(edges[b[i - 1] * 1024 + b[i + 1]], 32) * 1024 + i))),
+             b, (x, best) -> IF(best IS NULL, array_append(x, -1), filter(x, (y, j) -> j <> best % 1024)))),
+          b -> filter(b, y -> y >= 0))""")
 
 
 def viterbi(v: Vocabulary) -> F.Column:
@@ -318,10 +326,11 @@ class Codes:
         return n, self.flat[np.repeat(self.begin[at] - ends + n, n) + np.arange(ends[-1] if len(n) else 0)]
 
 
-def _words(docs: DataFrame, v: Vocabulary) -> DataFrame:
+def _words(docs: DataFrame, shared: Broadcast) -> DataFrame:
     """(word, n): the distinct words of all texts and how often they occur."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = shared.value
         for b in batches:
             texts = b.column(0).to_pylist()
             size = np.cumsum([len(t) for t in texts])
@@ -333,10 +342,11 @@ def _words(docs: DataFrame, v: Vocabulary) -> DataFrame:
     return docs.where("text IS NOT NULL").select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _folded(v: Vocabulary):
+def _folded(shared: Broadcast):
     """(word, n) of long words to (word, n, codes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = shared.value
         for b in batches:
             for word, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 yield pa.RecordBatch.from_arrays([pa.array([word]), pa.array([n]), pa.array([encode_long(word, v)], pa.list_(pa.int32()))], ["word", "n", "codes"])
@@ -344,7 +354,7 @@ def _folded(v: Vocabulary):
     return run
 
 
-def _parts(v: Vocabulary, blocks: int):
+def _parts(shared: Broadcast, blocks: int):
     """(word, n, codes) to (block, part): words' digests and ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -352,7 +362,7 @@ def _parts(v: Vocabulary, blocks: int):
             if not b.num_rows:
                 continue
             one, two = digests(b.column(0).to_pylist())
-            ids = [expanded(x, v) for x in b.column(2).to_pylist()]
+            ids = [expanded(x, shared.value) for x in b.column(2).to_pylist()]
             many = np.array([len(x) for x in ids], np.int32)
             table = Codes(one, two, many, np.array([y for x in ids for y in x], np.int32))
             order, edge, block = split_by((table.one % np.uint64(blocks)).astype(np.int64))
@@ -391,22 +401,24 @@ def encode(docs: DataFrame, model: str = MODEL, group_bytes: int = GROUP_BYTES,
     comes out.
     """
     v = vocabulary(model)
+    shared = docs.sparkSession.sparkContext.broadcast(v)
     base = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    counted = _words(base, v)
-    coded = encoded_words(counted.where(F.length("word") <= LONG), v).union(counted.where(F.length("word") > LONG).mapInArrow(_folded(v), "word string, n long, codes array<int>"))
+    counted = written(_words(base, shared), "counted")
+    coded = encoded_words(counted.where(F.length("word") <= LONG), v).union(counted.where(F.length("word") > LONG).mapInArrow(_folded(shared), "word string, n long, codes array<int>"))
     coded = written(coded, "words")
-    blocks = max(16, coded.count() // BLOCK_WORDS)
+    discarded(counted)
+    blocks = max(16, rows_of(coded) // BLOCK_WORDS)
     top = coded.orderBy(F.desc("n"), "word").limit(cache).toArrow()  # at most `cache` words
     one, two = digests(top.column("word").to_pylist())
     ids = [expanded(x, v) for x in top.column("codes").to_pylist()]
     known = docs.sparkSession.sparkContext.broadcast(Codes(one, two, np.array([len(x) for x in ids], np.int64), np.array([y for x in ids for y in x], np.int32)))
     del top, ids
-    tables = coded.mapInArrow(_parts(v, blocks), "block long, part binary")
+    tables = coded.mapInArrow(_parts(shared, blocks), "block long, part binary")
 
     def questions(blob: bytes) -> tuple[pa.Table, Words, np.ndarray, tuple]:
         """A group, its words, where the cache has them, and the others by block."""
         t = unpacked(blob)
-        w = Words(t.column("text").to_pylist(), v)
+        w = Words(t.column("text").to_pylist(), shared.value)
         at = known.value.find(w.one, w.two)
         rest = np.flatnonzero(at < 0)
         order, edge, block = split_by((w.one[rest] % np.uint64(blocks)).astype(np.int64))
