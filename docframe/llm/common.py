@@ -81,13 +81,13 @@ def discarded(*tables: DataFrame) -> None:
 
 
 def tables_now() -> set[str]:
-    """The tables of written() that there are: what is made later isn't among them."""
+    """The paths of written() tables that there are."""
     return set(_tables)
 
 
-def discarded_since(before: set[str]) -> None:
-    """Deletes all tables written since tables_now() gave `before`."""
-    for path in set(_tables) - before:
+def forgotten(paths: set[str]) -> None:
+    """Deletes the tables at these paths."""
+    for path in paths:
         _forget(path)
 
 
@@ -417,35 +417,76 @@ def packed(df: DataFrame, size: str, group_bytes: int = GROUP_BYTES) -> DataFram
     return df.mapInArrow(run, "g long, blob binary")
 
 
-def answered(groups: DataFrame, ask: Callable, tables: DataFrame, answer: Callable, finish: Callable, schema: T.StructType | str) -> DataFrame:
-    """What groups (g, blob) make of the answers to their questions.
+ASKED = "g long, block long, part binary"
 
-    ask(blob) gives (block, question) pairs, at most one a block; answer(rows of
-    `tables` of one block), made once, gives the answer to one question; finish(blob,
-    {block: answer}) gives the result's rows. Texts are exchanged once, by g, both
-    for asking and for finishing; only questions and answers travel besides.
-    """
-    parts = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    groups = groups.repartition(parts, "g")
+
+def _asked(g: int, pairs: list[tuple[int, bytes]]) -> list[pa.RecordBatch]:
+    out = []
+    for lo in range(0, len(pairs), 4096):
+        ids, q = zip(*pairs[lo : lo + 4096], strict=True)
+        out.append(pa.RecordBatch.from_arrays([pa.array([g] * len(ids), pa.int64()), pa.array(ids, pa.int64()), pa.array(q, pa.binary())], ["g", "block", "part"]))
+    return out
+
+
+def exchanged(groups: DataFrame) -> DataFrame:
+    """Groups (g, blob) exchanged by g: all that is done with them below shares this one exchange."""
+    return groups.repartition(int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions")), "g")
+
+
+def questions(groups: DataFrame, ask: Callable) -> DataFrame:
+    """ask(blob) gives the (block, question) pairs of a group, at most one a block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for g, blob in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                pairs = list(ask(blob.as_py()))
-                for lo in range(0, len(pairs), 4096):
-                    ids, q = zip(*pairs[lo : lo + 4096], strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([g] * len(ids), pa.int64()), pa.array(ids, pa.int64()), pa.array(q, pa.binary())], ["g", "block", "part"])
+                yield from _asked(g, list(ask(blob.as_py())))
 
-    def reply(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows:
-            return pa.table({"g": pa.array([], pa.int64()), "block": pa.array([], pa.int64()), "part": pa.array([], pa.binary())})
-        one = answer(right)
-        return pa.table({"g": left.column("g").cast(pa.int64()), "block": left.column("block").cast(pa.int64()), "part": pa.array([one(x.as_py()) for x in left.column("part")], pa.binary())})
+    return groups.mapInArrow(run, ASKED)
+
+
+def _replies(left: pa.Table, parts: list[bytes]) -> pa.Table:
+    return pa.table({"g": left.column("g").cast(pa.int64()), "block": left.column("block").cast(pa.int64()), "part": pa.array(parts, pa.binary())})
+
+
+def met(asked: DataFrame, answer: Callable) -> DataFrame:
+    """Questions of a block answered by each other: answer(questions) gives as many answers."""
+    return asked.groupBy("block").applyInArrow(lambda t: _replies(t, answer(t.column("part").to_pylist())), ASKED)
+
+
+def concluded(groups: DataFrame, answers: DataFrame, finish: Callable, schema: T.StructType | str) -> DataFrame:
+    """finish(g, blob, {block: answer}) gives the rows that a group makes of its answers."""
 
     def end(left: pa.Table, right: pa.Table) -> pa.Table:
         got = dict(zip(right.column("block").to_pylist(), right.column("part").to_pylist(), strict=True))
-        return pa.concat_tables([finish(blob.as_py(), got) for blob in left.column("blob")])
+        return pa.concat_tables([finish(g, blob.as_py(), got) for g, blob in zip(left.column("g").to_pylist(), left.column("blob"), strict=True)])
 
-    questions = groups.mapInArrow(run, "g long, block long, part binary")
-    answers = questions.groupBy("block").cogroup(tables.groupBy("block")).applyInArrow(reply, "g long, block long, part binary")
     return groups.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(end, schema)
+
+
+def asked_again(groups: DataFrame, answers: DataFrame, ask: Callable) -> DataFrame:
+    """The questions of a group that has answers already: ask(blob, {block: answer})."""
+    empty = pa.table({c: pa.array([], t) for c, t in (("g", pa.int64()), ("block", pa.int64()), ("part", pa.binary()))})
+
+    def run(g: int, blob: bytes, got: dict[int, bytes]) -> pa.Table:
+        rows = _asked(g, list(ask(blob, got)))
+        return pa.Table.from_batches(rows) if rows else empty
+
+    return concluded(groups, answers, run, ASKED)
+
+
+def answered(groups: DataFrame, ask: Callable, tables: DataFrame, answer: Callable, finish: Callable, schema: T.StructType | str) -> DataFrame:
+    """What groups (g, blob) make of the answers to their questions.
+
+    ask(blob) gives (block, question) pairs, at most one a block; answer(rows of
+    `tables` of one block), made once, gives the answer to one question; finish(blob,
+    {block: answer}) gives the result's rows. Texts are exchanged once, by g, both
+    for asking and for finishing; only questions and answers travel besides.
+    """
+    groups = exchanged(groups)
+
+    def reply(left: pa.Table, right: pa.Table) -> pa.Table:
+        one = answer(right) if left.num_rows else None
+        return _replies(left, [one(x.as_py()) for x in left.column("part")])
+
+    answers = questions(groups, ask).groupBy("block").cogroup(tables.groupBy("block")).applyInArrow(reply, ASKED)
+    return concluded(groups, answers, lambda _, blob, got: finish(blob, got), schema)

@@ -2,6 +2,7 @@ import itertools
 import random
 
 from brute import groups, jaccard, passages, tokens
+from pyspark.sql import functions as F
 
 from docframe.llm.common import table
 from docframe.llm.minhash import near_duplicates, without_near_duplicates
@@ -70,7 +71,17 @@ def test_repeated_passages_by_brute_force(spark, sf):
     texts = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
     want = passages(texts, 50)
     assert want
-    assert rows(repeated_passages(docs)) == want
+    for group in (1 << 24, 20_000):
+        assert rows(repeated_passages(docs, group_bytes=group)) == want
+
+
+def test_ids_that_are_no_integers(spark, sf):
+    """Ids in an order of their own give the same groups and passages."""
+    docs = table(spark, sf, "documents").limit(300).cache()
+    named = docs.withColumn("doc_id", F.format_string("%08d", "doc_id"))
+    assert {(f"{a:08d}", *x) for a, *x in rows(repeated_passages(docs))} == rows(repeated_passages(named))
+    assert {(f"{a:08d}", f"{b:08d}") for a, b in rows(near_duplicates(docs))} == rows(near_duplicates(named))
+    assert rows(without_repeated_passages(named)) == {(f"{r[0]:08d}", *r[1:]) for r in rows(without_repeated_passages(docs))}
 
 
 def test_repeated_passages_edges(spark):
