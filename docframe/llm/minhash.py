@@ -8,9 +8,13 @@ whole signatures, and the pairs that pass are joined into groups.
 
 Nothing is capped. Documents with equal signatures stand behind one of them
 (exact copies cost one comparison each). In a band's bucket all members are
-compared with the smallest id; what that leaves in different groups is then
-compared pair by pair, so the groups are the connected components over *all*
-pairs of all buckets.
+compared with the smallest; what that leaves in different groups is then compared
+pair by pair, so the groups are the connected components over *all* pairs of all
+buckets. Minima of buckets and of neighbours are partial aggregates joined back: no
+task holds a bucket, and a hot one is split.
+
+A document is an id and a hash of its text: texts that share an id are compared
+like others.
 """
 
 from __future__ import annotations
@@ -19,17 +23,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docframe.llm.common import Tokens, Windows, column, fresh, mix, slices, spans_hash, written
+from docframe.llm.common import Tokens, Windows, column, discarded, fresh, mix, numbered, slices, spans_hash, written
 
 PERMUTATIONS = 64
 BAND_ROWS = 4
 SHINGLE = 3
 THRESHOLD = 0.5
 
-_rng = np.random.default_rng(7)
+#: A document: its id, and a hash of its text.
+NODE = "struct<id:long,sub:long>"
 
 
 def _functions(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -75,15 +80,15 @@ def minmax(text: pa.Array, permutations: int = PERMUTATIONS, shingle: int = SHIN
 
 
 def signatures(docs: DataFrame, permutations: int = PERMUTATIONS, shingle: int = SHINGLE, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, sig) of each row with an id and a signature."""
+    """(doc, sig) of each row with an id and a signature; doc is a NODE."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sig = pa.array(minmax(b.column(1), permutations, shingle), pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), sig], ["doc", "sig"]).filter(sig.is_valid())
 
-    source = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
-    return source.mapInArrow(run, "doc long, sig binary")
+    source = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull())
+    return source.select(F.struct(F.col(key).cast("long").alias("id"), F.xxhash64(text).alias("sub")).alias("doc"), F.col(text).alias("text")).mapInArrow(run, f"doc {NODE}, sig binary")
 
 
 def _bands(sigs: DataFrame, rows: int) -> DataFrame:
@@ -99,10 +104,10 @@ def _bands(sigs: DataFrame, rows: int) -> DataFrame:
             h = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), value.shape[:2])
             for r in range(rows):
                 h = mix(h * np.uint64(31) + value[:, :, r])
-            doc = np.repeat(np.asarray(column(b, "doc")), bands)
-            yield pa.RecordBatch.from_arrays([pa.array(h.reshape(-1).view(np.int64)), pa.array(doc)], ["band", "doc"])
+            doc = column(b, "doc").take(pa.array(np.repeat(np.arange(b.num_rows), bands)))
+            yield pa.RecordBatch.from_arrays([pa.array(h.reshape(-1).view(np.int64)), doc], ["band", "doc"])
 
-    return sigs.mapInArrow(run, "band long, doc long")
+    return sigs.mapInArrow(run, f"band long, doc {NODE}")
 
 
 def _similar(pairs: DataFrame, sigs: DataFrame, threshold: float) -> DataFrame:
@@ -118,14 +123,18 @@ def _similar(pairs: DataFrame, sigs: DataFrame, threshold: float) -> DataFrame:
 
     left = sigs.select(F.col("doc").alias("a"), F.col("sig").alias("x"))
     right = sigs.select(F.col("doc").alias("b"), F.col("sig").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, f"a {NODE}, b {NODE}")
+
+
+def _with_least(df: DataFrame, by: str, value: str) -> DataFrame:
+    """df with m, the least `value` of its rows' `by`: combined before the exchange, and joined back."""
+    return df.join(df.groupBy(by).agg(F.min(value).alias("m")), by)
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(doc, root): the connected components of edges (a, b), a <> b; root is
-    the smallest id and has no row. Large-star and small-star rounds until
-    nothing changes; the number of rounds grows with the logarithm of the
-    largest component."""
+    """(doc, root): the connected components of edges (a, b), a <> b; root is the
+    smallest and has no row. Large-star and small-star rounds until nothing
+    changes; the number of rounds grows with the logarithm of the largest component."""
 
     def stamp(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
@@ -134,12 +143,11 @@ def components(edges: DataFrame) -> DataFrame:
     last = stamp(e)
     while last[0]:
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select("b", "a"))
-        low = F.least("u", F.min("v").over(Window.partitionBy("u")))
-        large = both.withColumn("m", low).where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b")).distinct()
-        low = F.min("a").over(Window.partitionBy("b"))
-        small = large.withColumn("m", low)
+        large = _with_least(both, "u", "v").where("v > u").select(F.least("u", "m").alias("a"), F.col("v").alias("b")).distinct()
+        small = _with_least(large, "b", "a")
         small = small.select("m", "b").union(small.where("a <> m").select("m", "a")).toDF("a", "b").distinct()
-        e = written(small, "edges")
+        before, e = e, written(small, "edges")
+        discarded(before)
         now = stamp(e)
         if now == last:
             break
@@ -147,6 +155,33 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("b").alias("doc"), F.col("a").alias("root"))
 
 
+def _groups(docs: DataFrame, threshold: float, permutations: int, rows: int, shingle: int, key: str, text: str) -> DataFrame:
+    """(doc, root) of each NODE that is near another of its group, the least one."""
+    # rows that repeat an id and a text are one
+    sigs = written(signatures(docs, permutations, shingle, key, text).groupBy("doc").agg(F.first("sig").alias("sig")), "signatures")
+    same = _with_least(sigs.select("doc", F.md5("sig").alias("sig")), "sig", "doc").where("doc <> m").select("doc", F.col("m").alias("root"))
+    same = written(same, "copies")
+    # sigs once for each different signature
+    reps = written(sigs.join(same.select("doc"), "doc", "left_anti"), "signatures")
+    discarded(sigs)
+    bands = written(_bands(reps, rows), "bands")
+    low = bands.groupBy("band").agg(F.min("doc").alias("low"), F.count("*").alias("n")).where("n > 1").select("band", "low")
+    members = written(bands.join(low, "band"), "buckets")
+    discarded(bands)
+    stars = _similar(members.where("doc <> low").select(F.col("low").alias("a"), F.col("doc").alias("b")).distinct(), reps, threshold)
+    stars = written(stars, "stars")
+    first = components(stars)
+    # members of one bucket that are in different groups still, and not compared yet
+    known = members.join(first, "doc", "left").select("band", "doc", "low", F.coalesce("root", "doc").alias("root"))
+    apart = known.groupBy("band").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("band")
+    open_ = written(known.where("doc <> low").join(apart, "band").select("band", "doc", "root"), "open")
+    pairs = open_.alias("p").join(open_.alias("q"), (F.col("p.band") == F.col("q.band")) & (F.col("p.root") < F.col("q.root")))
+    rest = _similar(pairs.select(F.col("p.doc").alias("a"), F.col("q.doc").alias("b")).distinct(), reps, threshold)
+    out = components(stars.union(rest).union(same.select(F.col("root").alias("a"), F.col("doc").alias("b"))))
+    discarded(same, reps, members, stars, open_)
+    return out
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, permutations: int = PERMUTATIONS, rows: int = BAND_ROWS, shingle: int = SHINGLE, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, duplicate_of): each document that repeats another, and the
     document with the smallest id of its group. Documents without a repeat have
@@ -157,38 +192,29 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, permutations:
     `threshold`. Defaults find a pair of similarity 0.6 in some band with
     probability 0.988, one of 0.7 with 0.9998.
 
-    Rows with a null id or a null, empty or blank text are in no group. Rows
-    that repeat an id are one document. Texts are used whole. Other columns are
-    ignored. No rows give no rows.
+    Rows with a null id or a null, empty or blank text are in no group. Rows that
+    repeat an id and a text are one document; of texts that share an id each is a
+    document, and one that is near another of the same id has a row that names its
+    own id. Of groups and ties the smallest id leads; ids of other types than
+    integers come in their own order. Texts are used whole, however long. Other columns
+    are ignored. No rows give no rows.
     """
-    sigs = written(signatures(docs, permutations, shingle, key, text), "signatures")
-    # rows that repeat an id: the document is known by its smallest signature
-    sigs = sigs.groupBy("doc").agg(F.min("sig").alias("sig"))
-    whole = Window.partitionBy("sig")
-    same = written(sigs.select("doc", F.md5("sig").alias("sig")).withColumn("root", F.min("doc").over(whole)).where("doc <> root").select("doc", "root"), "copies")
-    # sigs once for each different signature
-    reps = written(sigs.join(same.select("doc"), "doc", "left_anti"), "signatures")
-    bucket = Window.partitionBy("band")
-    members = _bands(reps, rows).select("band", "doc", F.min("doc").over(bucket).alias("low"), F.count("*").over(bucket).alias("n")).where("n > 1").select("band", "doc", "low")
-    members = written(members, "buckets")
-    stars = _similar(members.where("doc <> low").select(F.col("low").alias("a"), F.col("doc").alias("b")).distinct(), reps, threshold)
-    stars = written(stars, "stars")
-    first = components(stars)
-    # members of one bucket that are in different groups still, and not compared yet
-    known = members.join(first, "doc", "left").select("band", "doc", "low", F.coalesce("root", "doc").alias("root"))
-    apart = Window.partitionBy("band")
-    open_ = known.withColumn("least", F.min("root").over(apart)).withColumn("most", F.max("root").over(apart)).where("least < most and doc <> low").select("band", "doc", "root")
-    pairs = open_.alias("p").join(open_.alias("q"), (F.col("p.band") == F.col("q.band")) & (F.col("p.root") < F.col("q.root")))
-    rest = _similar(pairs.select(F.col("p.doc").alias("a"), F.col("q.doc").alias("b")).distinct(), reps, threshold)
-    groups = components(stars.union(rest).union(same.select(F.col("root").alias("a"), F.col("doc").alias("b"))))
-    return groups.select(F.col("doc").alias("doc_id"), F.col("root").alias("duplicate_of"))
-
-
-def without_near_duplicates(docs: DataFrame, key: str = "doc_id", **how: object) -> DataFrame:
-    """docs without those that near_duplicates names, and with one row for each
-    id that rows repeat; rows with a null id stay."""
-    gone = near_duplicates(docs, key=key, **how).select(F.col("doc_id").alias(name := fresh(docs, "gone_id")))
-    left = docs.join(gone, docs[key] == gone[name], "left_anti")
-    # rows with a null id are told apart by a random part, so that none is dropped
-    part = fresh(docs, "null_part")
-    return left.withColumn(part, F.when(F.col(key).isNull(), F.monotonically_increasing_id())).dropDuplicates([key, part]).drop(part)
+    plain, back = numbered(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), "doc_id")
+    groups = _groups(plain, threshold, permutations, rows, shingle, "doc_id", "text")
+    return back(groups.select(F.col("doc.id").alias("doc_id"), F.col("root.id").alias("duplicate_of")).distinct(), "doc_id", "duplicate_of")
+
+
+def without_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, permutations: int = PERMUTATIONS, rows: int = BAND_ROWS, shingle: int = SHINGLE, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with one document of each group of near_duplicates, the first by (id, hash
+    of the text); and of rows that repeat an id and a text any one. Rows with a null id
+    or a null, empty or blank text stay, all of them. Texts that share an id are told
+    apart. Other columns stay as they are, whatever their names. No rows give no rows."""
+    plain, back = numbered(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), "doc_id")
+    groups = _groups(plain, threshold, permutations, rows, shingle, "doc_id", "text")
+    id_, hash_, sub, part = (fresh(docs, x) for x in ("gone_id", "gone_sub", "text_sub", "apart"))
+    gone = back(groups.select(F.col("doc.id").alias(id_), F.col("doc.sub").alias(hash_)), id_)
+    marked = docs.withColumn(sub, F.xxhash64(F.col(text)))
+    left = marked.join(gone, (marked[key] == gone[id_]) & (marked[sub] == gone[hash_]), "left_anti")
+    # rows that are in no group are told apart by a number, so that none is dropped
+    alone = F.col(key).isNull() | F.col(text).isNull() | (F.trim(F.regexp_replace(F.col(text), r"\s+", " ")) == "")
+    return left.withColumn(part, F.when(alone, F.monotonically_increasing_id())).dropDuplicates([key, sub, part]).drop(sub, part)

@@ -52,6 +52,18 @@ def test_near_duplicates_edges(spark):
     assert without_near_duplicates(clash).columns == clash.columns
 
 
+def test_texts_that_share_an_id(spark):
+    """No text vanishes for its id; each is compared and cut for itself."""
+    rng = random.Random(4)
+    a, b, c = prose(rng, 120), prose(rng, 130), "completely different words here now"
+    docs = make(spark, [(1, a), (2, a), (2, b), (2, b), (3, b), (3, c), (4, None), (4, None), (5, ""), (5, "")])
+    assert rows(near_duplicates(docs)) == {(2, 1), (3, 2)}
+    left = [(r.doc_id, r.text) for r in without_near_duplicates(docs).collect()]
+    assert sorted(map(str, left)) == sorted(map(str, [(1, a), (2, b), (3, c), (4, None), (4, None), (5, ""), (5, "")]))
+    cut = {(r.doc_id, r.text) for r in without_repeated_passages(make(spark, [(1, f"{a} end"), (2, f"{a} x"), (2, c)])).collect()}
+    assert cut == {(1, f"{a} end"), (2, " x"), (2, c)}
+
+
 def test_groups_that_meet_only_off_the_smallest_id(spark):
     """Chains of near copies are one group, however their buckets are led."""
     rng = random.Random(2)
