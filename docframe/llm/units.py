@@ -80,13 +80,13 @@ def joined(data: np.ndarray, offsets: np.ndarray, least: int, row: np.ndarray, f
 
 
 def units(docs: DataFrame, least: int = LEAST, key: str = "doc_id", text: str = "text", whole: bool = False) -> DataFrame:
-    """(h1, h2, doc, start, end, n_words) of each unit of `least` words or more;
-    with `whole`, those of joined()."""
+    """(h1, h2, doc, sub, start, end, n_words) of each unit of `least` words or more;
+    with `whole`, those of joined(). sub tells texts that share an id apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             doc = b.column(0)
-            for i, j, data, offsets in slices(b.column(1)):
+            for i, j, data, offsets in slices(b.column(2)):
                 tokens, chars = Tokens(data, offsets), char_offsets(data)
                 row, first, last, start, end = divide(data, offsets, tokens)
                 if whole:
@@ -99,12 +99,23 @@ def units(docs: DataFrame, least: int = LEAST, key: str = "doc_id", text: str =
                 one = Windows(tokens.hash).hash(first, last - first)
                 two = Windows(mix(tokens.hash ^ np.uint64(0xA5A5A5A55A5A5A5A))).hash(first, last - first)
                 zero = chars[offsets[:-1]][row]
-                cols = [pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), doc.take(pa.array(row + i)), pa.array((chars[start] - zero).astype(np.int32)), pa.array((chars[end] - zero).astype(np.int32)), pa.array((last - first).astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(cols, ["h1", "h2", "doc", "start", "end", "n_words"])
+                cols = [pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), doc.take(pa.array(row + i)), b.column(1).take(pa.array(row + i)), pa.array((chars[start] - zero).astype(np.int32)), pa.array((chars[end] - zero).astype(np.int32)), pa.array((last - first).astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(cols, names)
 
-    source = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("doc"), F.col(text).alias("text"))
-    kinds = [T.LongType(), T.LongType(), docs.schema[key].dataType, T.IntegerType(), T.IntegerType(), T.IntegerType()]
-    return source.mapInArrow(run, T.StructType([T.StructField(n, k) for n, k in zip(["h1", "h2", "doc", "start", "end", "n_words"], kinds, strict=True)]))
+    names = ["h1", "h2", "doc", "sub", "start", "end", "n_words"]
+    source = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("doc"), F.hash(text).alias("sub"), F.col(text).alias("text"))
+    kinds = [T.LongType(), T.LongType(), docs.schema[key].dataType, *[T.IntegerType()] * 4]
+    return source.mapInArrow(run, T.StructType([T.StructField(n, k) for n, k in zip(names, kinds, strict=True)]))
+
+
+def _repeats(docs: DataFrame, least: int, key: str, text: str, whole: bool) -> DataFrame:
+    """The units that repeat an earlier one, with first: (doc, sub, start, end) of that."""
+    all_ = written(units(docs, least, key, text, whole), "units")
+    # map-side combining keeps a digest with very many occurrences small; the join
+    # back splits it by adaptive execution
+    first = all_.groupBy("h1", "h2").agg(F.min(F.struct("doc", "sub", "start", "end")).alias("first"), F.max(F.struct("doc", "sub", "start")).alias("last")).where("struct(first.doc, first.sub, first.start) <> last").select("h1", "h2", "first")
+    out = all_.join(first, ["h1", "h2"]).where("struct(doc, sub, start) <> struct(first.doc, first.sub, first.start)")
+    return out.where("doc <> first.doc OR sub <> first.sub OR start >= first.end") if whole else out
 
 
 def repeated_units(docs: DataFrame, least: int = LEAST, key: str = "doc_id", text: str = "text", whole: bool = False) -> DataFrame:
@@ -116,28 +127,25 @@ def repeated_units(docs: DataFrame, least: int = LEAST, key: str = "doc_id", tex
     are left alone, unless `whole` is set: then lines of any length and runs of
     short sentences are units too, so spans may overlap, and one that overlaps
     the first occurrence of its own words is no later occurrence. Rows with a null id or text, and empty texts, have no unit.
-    Rows that repeat an id are one document: the same unit at the same offset of
-    the same id is one occurrence. Texts are used whole, however long; other
-    columns are ignored. No rows give no rows.
+    Rows that repeat an id and a text are one document; texts that share an id are
+    told apart by a hash, and come in its order. Texts are used whole, however long;
+    other columns are ignored. No rows give no rows.
     """
-    all_ = written(units(docs, least, key, text, whole), "units")
-    # map-side combining keeps a digest with very many occurrences small; the join
-    # back splits it by adaptive execution
-    first = all_.groupBy("h1", "h2").agg(F.min(F.struct("doc", "start", "end")).alias("first"), F.max(F.struct("doc", "start")).alias("last")).where("struct(first.doc, first.start) <> last").select("h1", "h2", "first")
-    out = all_.join(first, ["h1", "h2"]).where("struct(doc, start) <> struct(first.doc, first.start)")
-    if whole:
-        out = out.where("doc <> first.doc OR start >= first.end")
+    out = _repeats(docs, least, key, text, whole)
     return out.select(F.col("doc").alias("doc_id"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.col("n_words").cast("long").alias("n_words"), F.col("first.doc").alias("kept_doc_id"), F.col("first.start").cast("long").alias("kept_start")).distinct()
 
 
 def without_repeated_units(docs: DataFrame, least: int = LEAST, key: str = "doc_id", text: str = "text", chars: str = "n_chars", whole: bool = False) -> DataFrame:
     """docs with the spans of repeated_units cut out of their texts. A document of
     which only blanks are left has no row. The column `chars`, if there is one,
-    is counted again where the text changed. Other rows stay as they are."""
-    spans = repeated_units(docs, least, key, text, whole)
-    cut, id_ = fresh(docs, "unit_spans"), fresh(docs, "unit_doc")
-    spans = spans.groupBy(F.col("doc_id").alias(id_)).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias(cut))
-    joined = docs.join(spans, docs[key] == spans[id_], "left")
+    is counted again where the text changed. Other rows stay as they are: those with a
+    null id or text, and empty texts. Of texts that share an id each loses its own
+    spans only; rows that repeat an id and a text are cut alike. No rows give no rows."""
+    cut, id_, sub, mark = (fresh(docs, x) for x in ("unit_spans", "unit_doc", "unit_sub", "unit_mark"))
+    spans = _repeats(docs, least, key, text, whole).groupBy(F.col("doc").alias(id_), F.col("sub").alias(sub))
+    spans = spans.agg(F.sort_array(F.collect_set(F.struct(F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end")))).alias(cut))
+    marked = docs.withColumn(mark, F.hash(F.col(text)))
+    joined = marked.join(spans, (marked[key] == spans[id_]) & (marked[mark] == spans[sub]), "left")
     kept = F.aggregate(
         cut,
         F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at")),

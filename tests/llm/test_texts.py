@@ -103,6 +103,14 @@ def test_units_by_brute_force(spark, sf):
     assert want and {tuple(r) for r in repeated_units(docs).collect()} == want
 
 
+def test_units_of_texts_that_share_an_id(spark):
+    s = "One two three four five six seven eight nine."
+    other = "ABCDEFGHIJ klmnopqrst uvwxyz text under the same id, nothing repeats"
+    docs = make(spark, [(1, f"{s} tail"), (2, f"{s} x"), (2, other)])
+    for whole in (False, True):
+        assert {(r.doc_id, r.text) for r in without_repeated_units(docs, whole=whole).collect()} == {(1, f"{s} tail"), (2, " x"), (2, other)}
+
+
 def test_units_edges(spark):
     s = "One two three four five six seven eight nine."
     texts = [(1, f"{s} Short one.\n{s.upper()}"), (2, f"Été. {s}  Tail"), (3, None), (None, s), (4, ""), (5, s), (5, s), (6, "word " * 50_000), (7, "short. short. short.")]
