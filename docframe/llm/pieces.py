@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docframe.llm.common import GROUP_BYTES, answered, deflated, discarded, inflated, mix, packed, powers, rows_of, split_by, unpacked, written
+from docframe.llm.common import GROUP_BYTES, answered, deflated, inflated, mix, packed, powers, rows_of, split_by, unpacked, written
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Words of more characters are folded in Python, by a heap or an array: the
@@ -122,8 +122,8 @@ class Words:
             cut[starts[lo : hi + 1] - starts[lo]] = True
             at = np.flatnonzero(cut)
             if len(at) > 1:
-                ones.append(code_hash(c, at, 1))
-                twos.append(code_hash(c, at, 0x5851F42D4C957F2D))
+                ones.append(code_hash(c, at, SEEDS[0]))
+                twos.append(code_hash(c, at, SEEDS[1]))
                 marks.append(at[:-1] + starts[lo])
         self.start = np.concatenate([*marks, [len(self.text)]]).astype(np.int64)
         self.first = np.searchsorted(self.start[:-1], starts)
@@ -148,12 +148,22 @@ def _spans(starts: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]
         lo = hi
 
 
+SEEDS = (1, 0x5851F42D4C957F2D)
+#: Of each seed, the hashes of the characters of the basic plane.
+_PLANE = {seed: mix(np.arange(1 << 16, dtype=np.uint64) + np.uint64(seed)) for seed in SEEDS}
+
+
 def code_hash(c: np.ndarray, at: np.ndarray, seed: int) -> np.ndarray:
     """A 64-bit hash of each run of characters at[i]:at[i + 1]; the characters' own
     hashes, and so the results, of two seeds are independent."""
     power, inverse = powers(len(c))
+    h = _PLANE[seed][c & np.uint32(0xFFFF)]
+    far = np.flatnonzero(c >> np.uint32(16))
+    if len(far):
+        h[far] = mix(c[far].astype(np.uint64) + np.uint64(seed))
+    h *= power[: len(c)]
     sums = np.zeros(len(c) + 1, np.uint64)
-    np.cumsum(mix(c.astype(np.uint64) + np.uint64(seed)) * power[: len(c)], out=sums[1:])
+    np.cumsum(h, out=sums[1:])
     return mix((sums[at[1:]] - sums[at[:-1]]) * inverse[at[:-1]] + np.diff(at).astype(np.uint64))
 
 
@@ -161,7 +171,7 @@ def digests(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Both halves of each word's digest, as Words has them."""
     c = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
     at = np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.int64)
-    return code_hash(c, at, 1), code_hash(c, at, 0x5851F42D4C957F2D)
+    return code_hash(c, at, SEEDS[0]), code_hash(c, at, SEEDS[1])
 
 
 def words(text: str, v: Vocabulary) -> list[str]:
@@ -242,7 +252,7 @@ def lattice(distinct: DataFrame, v: Vocabulary) -> DataFrame:
     model's file bounds, so it may be broadcast; grouping by word needs no exchange,
     for words are distributed by themselves already."""
     least = 2 if v.bpe else 1
-    starts = distinct.select("word", "n", F.length("word").alias("m")).select("word", "n", "m", F.explode_outer(F.expr(f"IF(m < {least}, NULL, sequence(0, m - {least}))")).alias("s"))
+    starts = distinct.select("word", "n", F.length("word").alias("m")).select("word", "n", "m", F.explode_outer(F.expr(f"IF(m < {least} OR m > {LONG}, NULL, sequence(0, m - {least}))")).alias("s"))
     ends = starts.select("word", "n", "s", F.explode_outer(F.expr(f"IF(s IS NULL, NULL, sequence(s + {least}, least(s + {v.longest}, m)))")).alias("e"))
     edges = ends.select("word", "n", F.expr("s * 1024 + e").alias("at"), F.expr("substring(word, s + 1, e - s)").alias("piece"))
     table = F.broadcast(piece_table(distinct.sparkSession, v))
@@ -274,11 +284,12 @@ def viterbi(v: Vocabulary) -> F.Column:
 
 
 def encoded_words(distinct: DataFrame, v: Vocabulary) -> DataFrame:
-    """(word, n, codes): ids, and of single characters left over -1 - code point."""
+    """(word, n, codes): ids, and of single characters left over -1 - code point; of
+    words of more than LONG characters null. `distinct` is distributed by word."""
     bounds = merged(v) if v.bpe else viterbi(v)
     cut = lattice(distinct, v).select("word", "n", "edges", bounds.alias("b"))
     id_ = "edges[b[i - 1] * 1024 + b[i]] & 4294967295" if v.bpe else "edges[b[i - 1] * 1024 + b[i]].id"
-    return cut.select("word", "n", F.expr(f"transform(sequence(1, size(b) - 1), i -> CAST(coalesce({id_}, -1 - ascii(substring(word, b[i - 1] + 1, 1))) AS INT))").alias("codes"))
+    return cut.select("word", "n", F.expr(f"IF(length(word) > {LONG}, NULL, transform(sequence(1, size(b) - 1), i -> CAST(coalesce({id_}, -1 - ascii(substring(word, b[i - 1] + 1, 1))) AS INT)))").alias("codes"))
 
 
 def expanded(codes: list[int], v: Vocabulary) -> list[int]:
@@ -342,16 +353,8 @@ def _words(docs: DataFrame, shared: Broadcast) -> DataFrame:
     return docs.where("text IS NOT NULL").select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _folded(shared: Broadcast):
-    """(word, n) of long words to (word, n, codes)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = shared.value
-        for b in batches:
-            for word, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array([word]), pa.array([n]), pa.array([encode_long(word, v)], pa.list_(pa.int32()))], ["word", "n", "codes"])
-
-    return run
+def _ids(words: list[str], codes: list[list[int] | None], v: Vocabulary) -> list[list[int]]:
+    return [expanded(encode_long(w, v) if x is None else x, v) for w, x in zip(words, codes, strict=True)]
 
 
 def _parts(shared: Broadcast, blocks: int):
@@ -361,8 +364,9 @@ def _parts(shared: Broadcast, blocks: int):
         for b in batches:
             if not b.num_rows:
                 continue
-            one, two = digests(b.column(0).to_pylist())
-            ids = [expanded(x, shared.value) for x in b.column(2).to_pylist()]
+            words = b.column(0).to_pylist()
+            one, two = digests(words)
+            ids = _ids(words, b.column(2).to_pylist(), shared.value)
             many = np.array([len(x) for x in ids], np.int32)
             table = Codes(one, two, many, np.array([y for x in ids for y in x], np.int32))
             order, edge, block = split_by((table.one % np.uint64(blocks)).astype(np.int64))
@@ -392,7 +396,7 @@ def _codes(parts: list[bytes]) -> Codes:
 BLOCK_WORDS = 1 << 16
 
 
-def encode(docs: DataFrame, model: str = MODEL, group_bytes: int = GROUP_BYTES, cache: int = CACHE, key: str = "doc_id", text: str = "text") -> DataFrame:
+def encode(docs: DataFrame, model: str = MODEL, group_bytes: int = GROUP_BYTES // 2, cache: int = CACHE, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, ids) of every row: the same ids as the model's own library gives.
 
     A null text has null ids, an empty text none. Rows that repeat an id are
@@ -403,14 +407,11 @@ def encode(docs: DataFrame, model: str = MODEL, group_bytes: int = GROUP_BYTES,
     v = vocabulary(model)
     shared = docs.sparkSession.sparkContext.broadcast(v)
     base = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    counted = written(_words(base, shared), "counted")
-    coded = encoded_words(counted.where(F.length("word") <= LONG), v).union(counted.where(F.length("word") > LONG).mapInArrow(_folded(shared), "word string, n long, codes array<int>"))
-    coded = written(coded, "words")
-    discarded(counted)
+    coded = written(encoded_words(_words(base, shared), v), "words")
     blocks = max(16, rows_of(coded) // BLOCK_WORDS)
     top = coded.orderBy(F.desc("n"), "word").limit(cache).toArrow()  # at most `cache` words
     one, two = digests(top.column("word").to_pylist())
-    ids = [expanded(x, v) for x in top.column("codes").to_pylist()]
+    ids = _ids(top.column("word").to_pylist(), top.column("codes").to_pylist(), v)
     known = docs.sparkSession.sparkContext.broadcast(Codes(one, two, np.array([len(x) for x in ids], np.int64), np.array([y for x in ids for y in x], np.int32)))
     del top, ids
     tables = coded.mapInArrow(_parts(shared, blocks), "block long, part binary")
