@@ -4,13 +4,14 @@ one-versus-one linear support vector machines between its languages.
 Features are the relative frequencies of hashed byte trigrams of the folded
 text. All classifiers are linear in them, so a text's score is the mean of its
 trigrams' weights, looked up in one table for each classifier. The classifiers
-are fitted on the driver on a bounded, hash-ordered sample of `sample` labelled
-documents of each language (a documented parameter); everything else covers all
-rows.
+are fitted, each in a task of its own, on a bounded, hash-ordered sample of `sample`
+labelled documents of each language (a documented parameter); everything else
+covers all rows, of any length.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -33,10 +34,10 @@ FAMILIES = {
 #: one: its language's lead over the declared one is at least this many standard
 #: errors of the score.
 SURE = 3.5
-#: A language that fewer documents declare isn't learnt: a stray tag is no language.
+#: A tag that fewer rows declare is taken for noise in the labels: no classifier is fitted for it.
 LEAST_DOCUMENTS = 10
-#: Fewer trigrams than this say nothing sure.
-LEAST = 50
+#: A short text's own variance says little: it counts like so many trigrams of the usual variance.
+PRIOR = 30
 
 
 def family(lang: str, families: dict[str, str] = FAMILIES) -> str:
@@ -81,8 +82,8 @@ def features(text: pa.Array, bits: int = BITS) -> np.ndarray:
     return out / np.maximum(out.sum(axis=1, keepdims=True), 1)
 
 
-def svm(x: np.ndarray, y: np.ndarray, regular: float = 1e-2, rounds: int = 200) -> tuple[np.ndarray, float]:
-    """Weights and bias of a linear support vector machine with squared hinge
+def svm(x: np.ndarray, y: np.ndarray, regular: float = 1e-2, rounds: int = 200) -> tuple[np.ndarray, float, float]:
+    """Weights, bias, and the variance of a trigram's weight over the rows, of a linear support vector machine with squared hinge
     loss, labels -1 and 1, both classes weighted alike; by accelerated gradients."""
     x = x.astype(np.float32)  # the only copy
     scale = np.float32(1 / max(1e-12, float(np.sqrt(np.einsum("ij,ij->", x, x, dtype=np.float64) / len(x)))))
@@ -107,12 +108,14 @@ def svm(x: np.ndarray, y: np.ndarray, regular: float = 1e-2, rounds: int = 200)
         new = z - step * (back(-2 * each * y * slack) + regular * z)
         z = new + t / (t + 3) * (new - w)
         w = new
-    return w[:-1] * scale, float(w[-1])
+    v = w[:-1] * scale
+    share = x.mean(axis=0, dtype=np.float64) / scale
+    return v, float(w[-1]), float(share @ v.astype(np.float64) ** 2 - (share @ v) ** 2)
 
 
 class Model:
-    """family: (name a, name b, weights, bias) of each pair of families, a where
-    positive; pairs: the same of each pair of languages within a family."""
+    """between: (name a, name b, weights, bias, variance) of each pair of families, a where
+    positive; within: the same of each pair of languages of a family."""
 
     def __init__(self, languages: list[str], families: dict[str, str], between: list[tuple], within: dict[str, list[tuple]], bits: int):
         self.languages, self.families, self.between, self.within, self.bits = languages, families, between, within, bits
@@ -124,19 +127,20 @@ class Model:
         some = np.flatnonzero(n)
         count = len(n)
 
-        def lead(w: np.ndarray, bias: float) -> np.ndarray:
+        def lead(w: np.ndarray, bias: float, usual: float) -> np.ndarray:
             """Mean weight plus bias, in standard errors of the mean."""
             out = np.zeros(count)
             if len(some):
                 v = w[code]
                 mean = np.add.reduceat(v, first[:-1][some], dtype=np.float64) / n[some]
                 square = np.add.reduceat(v * v, first[:-1][some], dtype=np.float64) / n[some]
-                out[some] = (mean + bias) / np.sqrt(np.maximum(square - mean**2, 1e-12) / n[some])
+                own = (n[some] * np.maximum(square - mean**2, 0) + PRIOR * usual) / (n[some] + PRIOR)
+                out[some] = (mean + bias) / np.sqrt(np.maximum(own, 1e-12) / n[some])
             return out
 
         def vote(names: list[str], pairs: list[tuple]) -> tuple[np.ndarray, dict[tuple[str, str], np.ndarray]]:
             """The winner of each text: most pairs won, then the larger sum of leads, then the name."""
-            leads = {(a, b): lead(w, bias) for a, b, w, bias in pairs}
+            leads = {(a, b): lead(*fit) for a, b, *fit in pairs}
             wins, sums = np.zeros((count, len(names))), np.zeros((count, len(names)))
             for (a, b), x in leads.items():
                 i, j = names.index(a), names.index(b)
@@ -164,50 +168,66 @@ class Model:
         """The lead of each text's language over its declared one, by the
         classifier that separates them; 0 where they agree or there is none."""
         out = np.zeros(len(best))
-        for d, (x, y) in enumerate(zip(best, declared, strict=True)):
-            if x != y and y in self.languages:
-                a, b = family(x, self.families), family(y, self.families)
-                out[d] = self.near[x, y][d] if a == b else self.far[a, b][d]
+        tags = np.array(declared, object)
+        known = np.isin(tags.astype(str), self.languages) & (tags != best)
+        for x, y in {(best[d], tags[d]) for d in np.flatnonzero(known)}:
+            a, b = family(x, self.families), family(y, self.families)
+            rows = np.flatnonzero((best == x) & (tags == y))
+            out[rows] = (self.near[x, y] if a == b else self.far[a, b])[rows]
         return out
 
 
-def train(docs: DataFrame, sample: int = SAMPLE, bits: int = BITS, text: str = "text", lang: str = "lang", families: dict[str, str] = FAMILIES) -> Model:
+def train(docs: DataFrame, sample: int = SAMPLE, bits: int = BITS, text: str = "text", lang: str = "lang", families: dict[str, str] = FAMILIES, least_documents: int = LEAST_DOCUMENTS) -> Model:
     """A model from at most `sample` documents of each declared language: those
-    with the smallest hashes of their texts. Languages are those that LEAST_DOCUMENTS or more declare."""
-    base = docs.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL AND length(text) >= 200")
-    each = {r[0]: r[1] for r in base.groupBy("lang").count().where(F.col("count") >= LEAST_DOCUMENTS).collect()}
+    with the smallest hashes of their texts, of any length. Languages are the tags that
+    `least_documents` or more rows declare; the others are taken for noise."""
+    spark = docs.sparkSession
+    base = docs.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).where("text <> '' AND lang IS NOT NULL")
+    each = {r[0]: r[1] for r in base.groupBy("lang").count().where(F.col("count") >= least_documents).collect()}
+    languages = sorted(each)
     if not each:
         return Model([], families, [], {}, bits)
     # the sample's share of the hashes, with room for chance; then the exact number
     share = F.create_map(*[F.lit(v) for k, n in each.items() for v in (k, min(1.0, (sample + 4 * sample**0.5) / n))])
-    some = base.where(F.col("lang").isin(list(each))).withColumn("h", F.xxhash64("text")).where((F.pmod("h", F.lit(1 << 32)) / (1 << 32)) < F.element_at(share, F.col("lang")))
+    some = base.where(F.col("lang").isin(languages)).withColumn("h", F.xxhash64("text")).where((F.pmod("h", F.lit(1 << 32)) / (1 << 32)) < F.element_at(share, F.col("lang")))
     some = some.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 32)), "h"))).where(F.col("r") <= sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = features(column(b, "text"), bits)
-            yield pa.RecordBatch.from_arrays([column(b, "lang"), pa.array([r.astype(np.float16).tobytes() for r in x], pa.binary())], ["lang", "x"])
-
-    rows = some.select("lang", "text").mapInArrow(run, "lang string, x binary").toArrow()
-    names = np.array(rows.column("lang").to_pylist(), object)
-    parts = [np.frombuffer(c.buffers()[2], np.float16)[c.offset << bits : (c.offset + len(c)) << bits] for c in rows.column("x").chunks if len(c)]
-    x = np.concatenate([*parts, np.zeros(0, np.float16)]).reshape(len(names), -1)
-    del rows, parts
-    order = np.lexsort((x[:, 0], names))  # the same fit whatever the partitions
-    names, x = names[order], x[order]
-    languages = sorted(set(names))
-    fam = np.array([family(k, families) for k in names], object)
-
-    def pair(labels: np.ndarray, a: str, b: str) -> tuple:
-        at = (labels == a) | (labels == b)
-        return (a, b, *svm(x[at], np.where(labels[at] == a, 1, -1).astype(np.float32)))
-
-    between = [pair(fam, a, b) for a, b in combinations(sorted(set(fam)), 2)]
-    within = {f: [pair(names, a, b) for a, b in combinations([k for k in languages if family(k, families) == f], 2)] for f in sorted(set(fam))}
-    return Model(languages, families, between, within, bits)
-
-
-def predicted(docs: DataFrame, model: Model, text: str = "text", lang: str = "lang", sure: float = SURE, least: int = LEAST, keep: list[str] | None = None) -> tuple[DataFrame, tuple[str, str, str]]:
+            rows = []
+            for x in features(column(b, "text"), bits):
+                at = np.flatnonzero(x)
+                rows.append(at.astype(np.int32).tobytes() + x[at].astype(np.float32).tobytes())
+            yield pa.RecordBatch.from_arrays([column(b, "lang"), pa.array(rows, pa.binary())], ["lang", "x"])
+
+    rows = some.select("lang", "text").mapInArrow(run, "lang string, x binary")
+    # which classifiers a language's rows go to: as many as it has rivals
+    fams = sorted({family(k, families) for k in languages})
+    pairs = [("", a, b) for a, b in combinations(fams, 2)] + [(f, a, b) for f in fams for a, b in combinations([k for k in languages if family(k, families) == f], 2)]
+    sides = [(k, n, 1 if name == a else -1) for n, (f, a, b) in enumerate(pairs) for k in languages for name in [k if f else family(k, families)] if name in (a, b)]
+    if not sides:
+        return Model(languages, families, [], {}, bits)
+
+    def fit(key: tuple, t: pa.Table) -> pa.Table:
+        side, xs = np.asarray(t.column("side")), t.column("x").to_pylist()
+        order = sorted(range(len(xs)), key=lambda i: (side[i], xs[i]))  # the same fit whatever the partitions
+        x = np.zeros((len(xs), 1 << bits), np.float32)
+        for row, i in enumerate(order):
+            m = len(xs[i]) // 8
+            x[row, np.frombuffer(xs[i], np.int32, m)] = np.frombuffer(xs[i], np.float32, m, 4 * m)
+        w, bias, usual = svm(x, side[order].astype(np.float32))
+        return pa.table({"pair": [key[0].as_py()], "w": pa.array([w.astype(np.float32).tobytes()], pa.binary()), "bias": [bias], "usual": [usual]})
+
+    to = F.broadcast(spark.createDataFrame(sides, "name string, pair long, side int"))  # two rows a pair and language
+    fitted = rows.join(to, F.col("lang") == F.col("name")).select("pair", "side", "x").groupBy("pair").applyInArrow(fit, "pair long, w binary, bias double, usual double").collect()
+    between, within = [], defaultdict(list)
+    for r in sorted(fitted, key=lambda r: r.pair):
+        f, a, b = pairs[r.pair]
+        (within[f] if f else between).append((a, b, np.frombuffer(r.w, np.float32), r.bias, r.usual))
+    return Model(languages, families, between, dict(within), bits)
+
+
+def predicted(docs: DataFrame, model: Model, text: str = "text", lang: str = "lang", sure: float = SURE, keep: list[str] | None = None) -> tuple[DataFrame, tuple[str, str, str]]:
     """docs (the columns in keep, or all) with the predicted language, the lead
     over the declared one in standard errors, and whether the row is kept."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -227,7 +247,7 @@ def predicted(docs: DataFrame, model: Model, text: str = "text", lang: str = "la
                 at, n = m(data, offsets)
                 best[i:j] = np.where(n > 0, at, None)
                 lead[i:j] = np.where(n > 0, m.over(at, tags[i:j]), 0)
-                ok[i:j] = ~((lead[i:j] >= sure) & (n >= least))
+                ok[i:j] = lead[i:j] < sure
             ok &= np.asarray(texts.is_valid())
             yield pa.RecordBatch.from_arrays([*(column(b, c) for c in names), pa.array(best, pa.string()), pa.array(lead), pa.array(ok)], [*names, *added])
 
@@ -235,22 +255,23 @@ def predicted(docs: DataFrame, model: Model, text: str = "text", lang: str = "la
     return source.mapInArrow(run, schema), added
 
 
-def languages(docs: DataFrame, sample: int = SAMPLE, sure: float = SURE, least: int = LEAST, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+def languages(docs: DataFrame, sample: int = SAMPLE, sure: float = SURE, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """(doc_id, lang, predicted_lang, lead, keep) of every row.
 
-    Rejected (keep false): a null text, and a text of at least `least` trigrams
-    that is in another language than its declared one by at least `sure` standard
-    errors. A text without letters has no predicted language and is kept, as is
+    Rejected (keep false): a null text, and a text that is in another language than
+    its declared one by at least `sure` standard errors. A text without letters has no predicted language and is kept, as is
     one whose declared language is null or unknown to the model. Ties between
     languages go to the first name. Rows that repeat an id are judged one by one;
-    other columns are ignored. No rows give no rows.
+    texts are used whole, however long; other columns are ignored. No rows give no rows.
     """
     base = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
-    out, (best, lead, ok) = predicted(base, train(base, sample), "text", "lang", sure, least, ["doc_id", "lang"])
+    out, (best, lead, ok) = predicted(base, train(base, sample), "text", "lang", sure, ["doc_id", "lang"])
     return out.select("doc_id", "lang", F.col(best).alias("predicted_lang"), F.col(lead).alias("lead"), F.col(ok).alias("keep"))
 
 
-def in_declared_language(docs: DataFrame, sample: int = SAMPLE, sure: float = SURE, least: int = LEAST, text: str = "text", lang: str = "lang") -> DataFrame:
-    """docs without the rows that languages() rejects, with their columns."""
-    out, (_, _, ok) = predicted(docs, train(docs, sample, text=text, lang=lang), text, lang, sure, least)
+def in_declared_language(docs: DataFrame, sample: int = SAMPLE, sure: float = SURE, text: str = "text", lang: str = "lang") -> DataFrame:
+    """docs without the rows that languages() rejects, with their columns, whatever
+    their names. Null, empty and long texts, null and unknown languages, ties, repeated
+    rows and tables without rows are treated as there."""
+    out, (_, _, ok) = predicted(docs, train(docs, sample, text=text, lang=lang), text, lang, sure)
     return out.where(F.col(ok)).select(*docs.columns)

@@ -19,36 +19,42 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near duplicates of all documents; null, blank and repeated rows as near_duplicates says."""
     from docframe.llm.minhash import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op3_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated passages of all documents; null, short and repeated rows as repeated_passages says."""
     from docframe.llm.suffixes import repeated_passages
 
     return repeated_passages(table(spark, sf_dir, "documents"))
 
 
 def op4_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated lines and sentences of all documents; null, empty and repeated rows as repeated_units says."""
     from docframe.llm.units import repeated_units
 
     return repeated_units(table(spark, sf_dir, "documents"), whole=True)
 
 
 def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages; null, empty and repeated rows as main_text says."""
     from docframe.llm.html import main_text
 
     return main_text(table(spark, sf_dir, "pages"))
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perplexity and band of all documents; null, empty and repeated rows as perplexity_bands says."""
     from docframe.llm.quality import perplexity_bands
 
     return perplexity_bands(table(spark, sf_dir, "documents"))
 
 
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of all documents; null, empty and repeated rows as languages says."""
     from docframe.llm.langid import languages
 
     return languages(table(spark, sf_dir, "documents"))
@@ -63,12 +69,14 @@ def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of all documents; null, empty and repeated rows as katz_scores says."""
     from docframe.llm.katz import katz_scores
 
     return katz_scores(table(spark, sf_dir, "documents"))
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place of all documents; null, empty and repeated rows as pack says."""
     from docframe.llm.packing import pack
 
     return pack(table(spark, sf_dir, "documents"))

@@ -3,6 +3,7 @@ import os
 import corpus_pipeline
 from test_dedup import rows, table
 
+from docframe.llm.common import written
 from docframe.llm.langid import languages
 from docframe.llm.minhash import near_duplicates
 from docframe.llm.packing import pack
@@ -18,7 +19,7 @@ def test_stages(spark, sf):
     columns = docs.columns
     at = {}
     for name, stage in corpus_pipeline.STAGES:
-        before, docs = docs, stage(spark, docs, sf).cache()
+        before, docs = docs, written(stage(spark, docs, sf), name)
         at[name] = (before, docs)
         if name != "packing":
             assert docs.columns == columns
@@ -39,6 +40,31 @@ def test_stages(spark, sf):
     assert rows(corpus_pipeline.run(spark, sf)) == rows(b)
 
 
+def test_stages_on_odd_rows(spark, sf):
+    """Nulls, empty, blank and long texts, repeated rows, shared ids and clashing columns, through all stages."""
+    docs = table(spark, sf, "documents")
+    long_ = " ".join(r.text for r in docs.where("lang = 'en' AND n_chars > 1500").limit(40).collect())
+    odd = [(-1, None, "en"), (-2, "", "en"), (-3, " \n", None), (None, long_, "en"), (-4, long_, "en"), (-4, long_, "en"), (-4, "other words of the same id", "en"), (None, None, None), (-5, "12345 !!", "xx")]
+    more = spark.createDataFrame([(d, t, l, None, None) for d, t, l in odd], docs.schema)
+    names = ["doc", "sub", "g", "blob", "block", "part", "c0", "body", "word", "sig", "root", "size", "kind", "n_tokens", "lead", "in_band"]
+    docs = docs.unionByName(more).selectExpr("*", *[f"'x' AS {n}" for n in names])
+    columns, counts = docs.columns, []
+    for name, stage in corpus_pipeline.STAGES:
+        docs = written(stage(spark, docs, sf), name)
+        counts.append(docs.count())
+        if name != "packing":
+            assert docs.columns == columns
+        if name == "quality":
+            assert docs.where("text IS NULL").count() == 0
+        if name == "near_duplicates":
+            assert docs.groupBy("doc_id", "text").count().where("doc_id IS NOT NULL AND text <> '' AND count > 1").count() == 0
+    assert counts[0] >= counts[1] >= counts[2] >= counts[3] > 0
+    none = table(spark, sf, "documents").limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        none = written(stage(spark, none, sf), name)
+        assert none.count() == 0
+
+
 def test_queries_are_registered():
     import __spark_entry__ as entry
 
