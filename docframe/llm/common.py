@@ -365,7 +365,7 @@ def rows_of(df: DataFrame, name: str = "rows") -> int:
 #: A group's texts hold about this many bytes; a longer text is a group of its own.
 GROUP_BYTES = 16 << 20
 #: Of zstd: texts are exchanged, and a group is compressed once.
-LEVEL = 6
+LEVEL = 3
 
 
 def _ipc(batch: pa.RecordBatch) -> bytes:
