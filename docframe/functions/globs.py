@@ -5,8 +5,10 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def to_regex(glob: str) -> str:
@@ -36,6 +38,16 @@ def to_regex(glob: str) -> str:
     return f"(?s)^(?:{''.join(out)})\\z"
 
 
+@F.pandas_udf(StringType())
+def _rules(globs: pd.Series) -> pd.Series:
+    return globs.map(to_regex, na_action="ignore")
+
+
+def regex_of(column: str) -> Column:
+    """The expression of each glob of a column."""
+    return _rules(F.col(column))
+
+
 def matches(path: Column, globs: list[str]) -> Column:
     """Whether a path matches any of the globs; false for none."""
     if not globs:

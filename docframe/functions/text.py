@@ -2,23 +2,33 @@
 
 from __future__ import annotations
 
-import unicodedata
+import re
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, IntegerType, StringType
+
+from docframe.functions import nodes
 
 
 def words(text: Column) -> Column:
     """Runs without blanks, in order; none for a blank or null text."""
-    cut = F.split(F.coalesce(text, F.lit("")), r"\s+")
+    cut = F.split(F.coalesce(text, F.lit("")), r"(?U)\s+")
     return F.filter(cut, lambda w: w != "")
 
 
+def clean_words(text: Column) -> Column:
+    """clean_word of each of words(text), in order, by three passes over the whole text
+    instead of one over each word: blanks become single line ends, what doesn't count
+    vanishes, and the words are cut at the line ends."""
+    flat = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)^\s+|\s+$", ""), r"(?U)\s+", "\n")
+    return F.when(flat == "", F.array().cast("array<string>")).otherwise(F.split(F.lower(F.regexp_replace(flat, r"[^\p{IsAlphabetic}\p{N}_\n-]", "")), "\n"))
+
+
 def clean_word(w: Column) -> Column:
     """Letters, digits, '_' and '-' only, in lower case."""
-    return F.lower(F.regexp_replace(w, r"[^\p{L}\p{N}_-]", ""))
+    return F.lower(F.regexp_replace(w, r"[^\p{IsAlphabetic}\p{N}_-]", ""))
 
 
 def stem(w: Column) -> Column:
@@ -39,7 +49,7 @@ def term(w: Column, language: str = "en") -> Column:
 
 def collapse(s: Column) -> Column:
     """Blanks as one space each, none at the ends."""
-    return F.trim(F.regexp_replace(s, r"\s+", " "))
+    return F.trim(F.regexp_replace(s, r"(?U)\s+", " "))
 
 
 def normal_name(s: Column) -> Column:
@@ -97,10 +107,6 @@ def title_and_target(s: Column) -> tuple[Column, Column]:
     return F.when(hit, F.trim(F.regexp_extract(s, r"(?s)^(.*)<[^<]*>$", 1))), F.when(hit, F.trim(F.regexp_extract(s, r"<([^<]*)>$", 1))).otherwise(F.trim(s))
 
 
-#: Letters that normalisation alone doesn't take apart.
-_LETTERS = {"ß": "sz", "æ": "ae", "œ": "oe", "ø": "o", "đ": "d", "ł": "l", "ħ": "h", "ı": "i", "þ": "th", "ð": "d", "ŧ": "t", "ŋ": "n", "ĸ": "k", "ŀ": "l", "ƒ": "f"}
-
-
 def make_id_ascii(s: Column) -> Column:
     """An identifier of an ASCII text: lower case, runs of others than letters and
     digits as '-', no digits or '-' at the start, no '-' at the end."""
@@ -109,20 +115,105 @@ def make_id_ascii(s: Column) -> Column:
 
 
 @F.pandas_udf(StringType())
-def _plain(s: pd.Series) -> pd.Series:
-    def one(x: str | None) -> str | None:
-        if x is None:
-            return None
-        x = "".join(_LETTERS.get(c, c) for c in x.lower())
-        return unicodedata.normalize("NFKD", x).encode("ascii", "ignore").decode()
-
-    return s.map(one, na_action="ignore")
+def _id(s: pd.Series) -> pd.Series:
+    return s.map(nodes.make_id, na_action="ignore")
 
 
 def make_id(s: Column) -> Column:
     """make_id_ascii of any text: letters lose their accents, what has no ASCII form
     vanishes. Only texts with other characters than ASCII go through Python."""
-    return make_id_ascii(F.when(s.rlike(r"^\p{ASCII}*$"), s).otherwise(_plain(s)))
+    return F.when(s.rlike(r"^\p{ASCII}*$"), make_id_ascii(s)).otherwise(_id(s))
+
+
+def escape_marks(s: Column) -> Column:
+    """Each backslash with what follows it as a NUL with that."""
+    return F.regexp_replace(s, r"(?s)\\(.?)", "\0$1")
+
+
+def unescape_marks(s: Column, restore: bool = False) -> Column:
+    """The text of escape_marks without the NULs, or with the backslashes again; an
+    escaped blank or line end vanishes."""
+    return F.replace(s, F.lit("\0"), F.lit("\\")) if restore else F.replace(F.regexp_replace(s, "\0[ \n]", ""), F.lit("\0"), F.lit(""))
+
+
+def without_colons(s: Column) -> Column:
+    """A paragraph's text where '::' at its end announces a literal block: null where it
+    is '::' alone, without it after a blank, else with one colon."""
+    return F.when(~s.endswith("::"), s).when(s == "::", F.lit(None)).when(s.rlike(r"[ \n]::$"), F.rtrim(F.regexp_replace(s, r"\s*::$", ""))).otherwise(F.substring(s, F.lit(1), F.length(s) - 1))
+
+
+@F.pandas_udf(IntegerType())
+def display_width(s: pd.Series) -> pd.Series:
+    """Columns that a text takes: wide letters two, marks over others none."""
+    from docframe.functions.doctree import width
+
+    return s.map(width, na_action="ignore").astype("Int32")
+
+
+@F.pandas_udf(StringType())
+def quoted(s: pd.Series) -> pd.Series:
+    """A string as a Python literal."""
+    return s.map(repr, na_action="ignore")
+
+
+@F.pandas_udf(StringType())
+def code_point(s: pd.Series) -> pd.Series:
+    """The character that '65', '0x41', 'U+41' or '&#x41;' names; null where there is none of that number."""
+    from docframe.functions import directives
+
+    def one(x: str) -> str | None:
+        try:
+            return directives.code_point(x)
+        except directives.Wrong:
+            return None
+
+    return s.map(one, na_action="ignore")
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def uris(s: pd.Series) -> pd.Series:
+    """The URIs and e-mail addresses (as mailto:) that stand alone in a text."""
+    from docframe.functions.inlines import standalone
+
+    return s.map(standalone, na_action="ignore")
+
+
+def whole_number(s: Column) -> Column:
+    """An integer as Python reads it, of up to 38 digits: a sign, and '_' between digits; null for others."""
+    t = F.regexp_replace(s, r"(?U)^\s+|\s+$", "")
+    return F.when(t.rlike(r"^[-+]?\d+(_\d+)*$"), F.replace(t, F.lit("_"), F.lit("")).try_cast("decimal(38,0)"))
+
+
+UNITS = ("em", "ex", "ch", "rem", "vw", "vh", "vmin", "vmax", "cm", "mm", "Q", "in", "pc", "pt", "px", "%")
+
+
+def measure(s: Column) -> Column:
+    """A number with a unit of style sheets, or none, without blanks; null for others."""
+    form = r"^\s*(\d+\.?\d*|\.\d+) *(" + "|".join(UNITS) + r")?\s*$"
+    return F.when(s.rlike(form), F.concat(F.regexp_extract(s, form, 1), F.regexp_extract(s, form, 2)))
+
+
+def class_list(s: Column) -> Column:
+    """The words of a text, each as an identifier; null where one has none."""
+    ids = F.transform(words(s), make_id_ascii)
+    return F.when(~F.exists(ids, lambda x: x == ""), ids)
+
+
+def simple_name(s: Column) -> Column:
+    """Whether a text is a reference name: words joined by single marks."""
+    return s.rlike(r"^(?U)(?:(?!_)\w)+(?:[-._+:](?:(?!_)\w)+)*$")
+
+
+DATES = {"iso": "yyyy-MM-dd'T'HH:mm:ss'Z'", "date": "yyyy-MM-dd", "time": "HH:mm:ss", "datetime": "yyyy-MM-dd HH:mm:ss"}
+_CODES = {"Y": "yyyy", "m": "MM", "d": "dd", "H": "HH", "M": "mm", "S": "ss"}
+
+
+def date_text(at: Column, form: str) -> Column:
+    """A time in one of the named forms, or by %Y %m %d %H %M %S; other signs stand for themselves."""
+    if form in DATES:
+        return F.date_format(at, DATES[form])
+    parts = [p for p in re.split("(%.)", form) if p]
+    return F.concat(*[F.date_format(at, _CODES[p[1]]) if p[0] == "%" and p[1:] in _CODES else F.lit(p) for p in parts]) if parts else F.lit("")
 
 
 def line_numbers(spec: Column, total: Column) -> Column:
@@ -156,3 +247,19 @@ def ordinal(marker: Column, kind: Column) -> Column:
     alpha = F.when(text.rlike("^[a-z]$"), F.ascii(text) - 96)
     lower, upper = marker.rlike("^[a-z]+$"), marker.rlike("^[A-Z]+$")
     return F.when(kind == "arabic", F.when(marker.rlike(r"^\d{1,9}$"), marker.try_cast("int"))).when(kind == "loweralpha", F.when(lower, alpha)).when(kind == "upperalpha", F.when(upper, alpha)).when(kind == "lowerroman", F.when(lower, roman)).when(kind == "upperroman", F.when(upper, roman))
+
+
+def enumerator_kind(marker: Column) -> Column:
+    """The kind of an enumerator: a single 'i' or 'I' is roman, other single letters are
+    letters, more letters roman; null for others."""
+    roman = marker.rlike("^([ivxlcdm]+|[IVXLCDM]+)$")
+    upper = F.when(marker.rlike("^[A-Z]"), F.lit("upper")).otherwise(F.lit("lower"))
+    letters = F.when(F.lower(marker) == "i", F.lit("roman")).when(F.length(marker) == 1, F.lit("alpha")).when(roman, F.lit("roman"))
+    return F.when(marker.rlike(r"^\d+$"), F.lit("arabic")).when(marker.rlike("^([a-z]+|[A-Z]+)$"), F.concat(upper, letters))
+
+
+def option_target(s: Column) -> tuple[Column, Column]:
+    """(title, target) where a title must stand before '<target>'; otherwise all is target."""
+    form = r"(?s)^(.*\S)\s*<([^<>]*)>$"
+    hit = s.rlike(form)
+    return F.when(hit, F.trim(F.regexp_extract(s, form, 1))), F.when(hit, F.regexp_extract(s, form, 2)).otherwise(s)

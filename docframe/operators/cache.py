@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+ENTRY = "path string, hash string, mtime timestamp, cached_at timestamp, access_count long, size_bytes long, html string"
+
 
 def plan(files: DataFrame, cache: DataFrame, now, ttl_seconds: int) -> DataFrame:
     """(path, action) of files (path, hash, mtime) against cache (path, hash,
@@ -27,7 +29,7 @@ def summary(planned: DataFrame) -> DataFrame:
     return live.agg(hits.alias("hits"), (all_ - hits).alias("misses"), F.coalesce(F.floor(F.try_divide(hits * 1000, all_)).cast("long"), F.lit(0).cast("long")).alias("permille"))
 
 
-def evicted(cache: DataFrame, needed: int, buckets: int = 1024) -> DataFrame:
+def evicted(cache: DataFrame, needed: int) -> DataFrame:
     """Entries (path, access_count, size_bytes) to remove, least used first, by path
     among equals, until `needed` bytes are free.
 
@@ -48,3 +50,49 @@ def stored(cache: DataFrame, entries: DataFrame) -> DataFrame:
 
 def invalidated(cache: DataFrame, paths: DataFrame) -> DataFrame:
     return cache.join(paths.select("path").distinct(), "path", "left_anti")
+
+
+def size_of(html, title, path):
+    """Bytes that an entry counts for: its texts and 1024 more."""
+    return F.octet_length(html) + F.octet_length(title) + F.octet_length(path) + 1024
+
+
+def total(cache: DataFrame) -> DataFrame:
+    """(bytes, entries) of a cache."""
+    return cache.agg(F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("bytes"), F.count("*").alias("entries"))
+
+
+def stored_within(cache: DataFrame, entries: DataFrame, most: int) -> DataFrame:
+    """stored(), after the least used entries have gone where both would exceed `most` bytes:
+    as many as make room for what is new."""
+    new = entries.agg(F.coalesce(F.sum("size_bytes"), F.lit(0))).first()[0]
+    kept = cache.join(entries.select("path"), "path", "left_anti")
+    have = kept.agg(F.coalesce(F.sum("size_bytes"), F.lit(0))).first()[0]
+    if have + new > most:
+        kept = kept.join(evicted(kept, new).select("path"), "path", "left_anti")
+    return kept.unionByName(entries)
+
+
+def served(planned: DataFrame, cache: DataFrame) -> DataFrame:
+    """(path, html) of the hits whose cached page isn't empty, and one more use of each."""
+    hits = planned.where("action = 'hit'").join(cache.where("html <> ''"), "path")
+    return hits.select("path", "html", (F.col("access_count") + 1).alias("access_count"))
+
+
+def load(spark: SparkSession, folder: str, files: DataFrame, now, ttl_seconds: int) -> DataFrame:
+    """The entries of a persisted cache that are of use: not expired, of a file that is
+    there and has the same hash. A folder without one is an empty cache."""
+    from docframe.sources.files import there
+
+    if not there(spark, folder):
+        return spark.createDataFrame([], ENTRY)
+    rows = spark.read.schema(ENTRY).parquet(folder)
+    good = plan(files, rows, now, ttl_seconds).where("action IN ('hit', 'stale')").select("path")
+    return rows.join(good, "path", "left_semi")
+
+
+def persist(cache: DataFrame, folder: str) -> None:
+    """Writes a cache in place of the one in the folder, which it may have been read from."""
+    from docframe.operators.indexing import checkpointed
+
+    checkpointed(cache).write.mode("overwrite").parquet(folder)

@@ -11,8 +11,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _TOKEN = re.compile(r"""\s*("(?:[^"])*"|'(?:[^'])*'|==|!=|\[|\]|,|[^\s,\[\]=!]+|[=!])""")
@@ -71,7 +72,10 @@ def equals(v: Column, other: tuple[str, object]) -> Column:
     """Of one type, or both numbers; any other pair is unequal, and so are lists and objects."""
     kind, value = other
     mine = type_of(v)
-    if kind in ("int", "float"):
+    if kind == "int":
+        whole = (mine == "int") & (as_(v, "decimal(38,0)") == F.lit(value).cast("decimal(38,0)"))
+        same = whole | (mine == "float") & (F.abs(as_(v, "double") - F.lit(float(value))) < 1e-9)
+    elif kind == "float":
         same = mine.isin("int", "float") & (F.abs(as_(v, "double") - F.lit(float(value))) < 1e-9)
     elif kind == "boolean":
         same = (mine == "boolean") & (as_(v, "boolean") == F.lit(value))
@@ -167,3 +171,56 @@ def actions(checks: DataFrame) -> DataFrame:
 
     stopped = F.exists("f", lambda f: F.coalesce(F.element_at(table, f["severity"])["stop"], F.lit(False)))
     return lists.select("id", F.size("f").cast("long").alias("failures"), F.aggregate("f", F.lit(""), fold).alias("style"), stopped.alias("stopped"))
+
+
+def context(id_: Column, title: Column, content: Column, metadata: Column, docname: Column, line: Column, relationships: Column | None = None) -> Column:
+    """What a message's template sees, as JSON: the names of item(), rel_… for each
+    kind of relationship (a map to arrays), docname, and lineno where there is one."""
+    base = F.to_json(item(id_, title, content, metadata))
+    more = F.to_json(F.struct(docname.alias("docname"), line.cast("long").alias("lineno")))
+    parts = [F.regexp_replace(base, r"\}$", ""), F.regexp_replace(F.regexp_replace(more, r"^\{", ""), r"\}$", "")]
+    if relationships is not None:
+        named = F.to_json(F.transform_keys(relationships, lambda k, v: F.concat(F.lit("rel_"), k)))
+        parts.insert(1, F.nullif(F.regexp_replace(F.regexp_replace(named, r"^\{", ""), r"\}$", ""), F.lit("")))
+    return F.concat(F.concat_ws(",", *parts), F.lit("}"))
+
+
+def messages(failures: DataFrame, rules: list[dict]) -> DataFrame:
+    """failures (id, constraint, check_name, context) with the message of each: the rule's
+    template filled in, or one that names the check and the item."""
+    from docframe.functions.templates import rendered
+
+    given = [x for r in rules if r.get("template") for x in (F.lit(f"{r['constraint']}\0{r['check_name']}"), F.lit(r["template"]))]
+    plain = F.concat(F.lit("Constraint '"), "check_name", F.lit("' failed for item '"), "id", F.lit("'"))
+    if not given:
+        return failures.withColumn("message", plain)
+    template = F.element_at(F.create_map(*given), F.concat_ws("\0", "constraint", "check_name"))
+    return failures.withColumn("message", F.coalesce(rendered(template, F.col("context")), plain))
+
+
+@dataclass
+class Settings:
+    """Of an engine: without `enabled` nothing is checked; with `most` no more failures of an item are listed."""
+
+    enabled: bool = True
+    most: int | None = None
+
+    def apply(self, checks: DataFrame) -> DataFrame:
+        if not self.enabled:
+            return checks.limit(0)
+        if self.most is None:
+            return checks
+        bad = ~F.col("ok") | F.col("error").isNotNull()
+        n = F.sum(bad.cast("int")).over(Window.partitionBy("id").orderBy("constraint", "check_name"))
+        return checks.withColumn("_n", n).where(~bad | (F.col("_n") <= self.most)).drop("_n")
+
+
+def failed(checks: DataFrame) -> DataFrame:
+    """Checks that didn't hold or couldn't be made."""
+    return checks.where(~F.col("ok") | F.col("error").isNotNull())
+
+
+def halted(checks: DataFrame) -> DataFrame:
+    """(id, message): items that a failure stops, and the first such failure in order."""
+    stops = [k for k, (stop, _, _) in SEVERITIES.items() if stop]
+    return failed(checks).where(F.col("severity").isin(stops)).groupBy("id").agg(F.min(F.struct("constraint", "check_name")).alias("f")).select("id", F.concat(F.lit("Constraint '"), "f.check_name", F.lit("' failed for item '"), "id", F.lit("'")).alias("message"))

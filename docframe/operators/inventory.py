@@ -77,9 +77,11 @@ def read_v2(files: DataFrame) -> DataFrame:
 
 def index_entries(rows: DataFrame, text: str = "entry") -> DataFrame:
     """(letter, entry, subentry) of index entries such as 'single: a; b', 'pair: a; b',
-    'triple: a; b; c' or plain ones; letter is '_' where no letter begins the entry."""
-    kind = F.lower(F.regexp_extract(text, r"^(single|pair|triple|see|seealso)\s*:", 1))
-    body = F.trim(F.regexp_replace(text, r"^(?i)(single|pair|triple|see|seealso)\s*:\s*", ""))
+    'triple: a; b; c' or plain ones, of which commas divide several; '!' marks a main entry. Letter is '_' where no letter begins the entry."""
+    kind = F.lower(F.regexp_extract(text, r"(?i)^(single|pair|double|triple|seealso|see)\s*:", 1))
+    kind = F.when(kind == "double", "pair").otherwise(kind)
+    body = F.trim(F.regexp_replace(text, r"(?i)^(single|pair|double|triple|seealso|see)\s*:\s*", ""))
+    body = F.regexp_replace(body, r"^!\s*", "")
     p = F.transform(F.split(body, ";"), lambda x: F.trim(x))
     a, b, c = F.get(p, 0), F.get(p, 1), F.get(p, 2)
 
@@ -94,6 +96,7 @@ def index_entries(rows: DataFrame, text: str = "entry") -> DataFrame:
         .when((kind == "single") | (kind == ""), F.array(pair(a, b)))
         .otherwise(F.array(pair(a, none)))
     )
+    rows = rows.withColumn(text, F.explode(F.when(F.col(text).rlike(r"(?i)^(single|pair|double|triple|seealso|see)\s*:"), F.array(text)).otherwise(F.split(text, r"\s*,\s*"))))
     out = rows.select(F.explode(made).alias("x")).select("x.entry", "x.subentry").where("entry <> ''")
     first = F.upper(F.substring("entry", 1, 1))
     return out.select(F.when(first.rlike(r"^\p{L}$"), first).otherwise(F.lit("_")).alias("letter"), "entry", "subentry")

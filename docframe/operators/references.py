@@ -9,7 +9,8 @@ from docframe.functions import paths as P
 from docframe.functions import text as X
 
 ROLES = {"doc": "document", "ref": "reference", "numref": "reference", "func": "function", "meth": "method", "class": "class", "mod": "module", "attr": "attribute", "data": "data", "exc": "exception"}
-STANDARD = ["os", "sys", "json", "datetime", "collections", "itertools", "functools", "typing", "pathlib", "re", "math"]
+#: Modules whose names with a dot after them begin an external target.
+STANDARD = ["builtins", "typing", "collections", "pathlib", "os", "sys", "json", "re", "datetime", "urllib", "http"]
 
 
 def kind(role: Column, custom: bool = False) -> Column:
@@ -22,7 +23,7 @@ def kind(role: Column, custom: bool = False) -> Column:
 
 def is_external(kind_: Column, target: Column) -> Column:
     web = target.rlike("^(https?|file)://")
-    python = F.exists(F.array(*map(F.lit, STANDARD)), lambda m: (target == m) | target.startswith(F.concat(m, F.lit("."))))
+    python = F.exists(F.array(*map(F.lit, STANDARD)), lambda m: target.startswith(F.concat(m, F.lit("."))))
     return ((kind_ == "document") & web) | (kind_.isin("function", "class", "module") & python)
 
 

@@ -74,8 +74,9 @@ def bad_number(name: str) -> Column:
 
 
 def bad_length(name: str) -> Column:
-    number = F.regexp_replace(F.trim(option(name)), "(px|em|ex|in|cm|mm|pt|pc|%)$", "")
-    return option(name).isNotNull() & F.trim(number).try_cast("double").isNull()
+    number = F.trim(F.regexp_replace(F.trim(option(name)), "(px|em|ex|in|cm|mm|pt|pc|%)$", ""))
+    float_ = r"(?i)^[-+]?(inf|infinity|nan|(\d+\.?\d*|\.\d+)(e[-+]?\d+)?)$"
+    return option(name).isNotNull() & ~number.rlike(float_)
 
 
 def suffix(s: Column) -> Column:
@@ -174,3 +175,53 @@ def similar(names: list[str], asked: Column, most: int = 5) -> Column:
     """Known names that contain the one asked for, or are contained in it."""
     known = F.array(*map(F.lit, sorted(names)))
     return F.slice(F.filter(known, lambda n: F.contains(n, asked) | F.contains(asked, n)), 1, most)
+
+
+def rates(checks: DataFrame, kind: str = "kind") -> DataFrame:
+    """(scope, success): valid of all in thousandths, of each kind and of all; 1000 for none."""
+    good = F.coalesce(F.floor(F.try_divide(F.count_if(F.col("outcome") == VALID) * 1000, F.count("*"))).cast("long"), F.lit(1000).cast("long"))
+    return checks.groupBy(F.col(kind).alias("scope")).agg(good.alias("success")).union(checks.agg(F.lit("all").alias("scope"), good.alias("success")).select("scope", "success"))
+
+
+def report(checks: DataFrame, kind: str = "kind") -> DataFrame:
+    """(scope, line_no, text): for each kind its total, and of each outcome the number and share."""
+    order = [VALID, "warning", "error", UNKNOWN]
+    n = checks.groupBy(F.col(kind).alias("scope")).agg(F.count("*").alias("total"), *[F.count_if(F.col("outcome") == o).alias(o) for o in order])
+    line = lambda name, c: F.format_string(f"  {name}: %d (%.1f%%)", c, c * 100.0 / F.col("total"))
+    lines = F.array(F.format_string("  Total: %d", "total"), *[line(t, F.col(o)) for t, o in zip(("Valid", "Warnings", "Errors", "Unknown"), order, strict=True)])
+    return n.select("scope", F.posexplode(lines).alias("line_no", "text"))
+
+
+def is_directive(line: Column) -> Column:
+    return line.rlike(r"^\s*\.\. [A-Za-z][\w:.-]*::")
+
+
+def role_count(s: Column) -> Column:
+    """How many roles stand in a text."""
+    return F.regexp_count(s, F.lit(r":[A-Za-z][\w:.-]*:`[^`]+`")).cast("long")
+
+
+def similar_to(asked: DataFrame, names: list[str], most: int = 5) -> DataFrame:
+    """asked (name) with the known names (directives, roles or options) that hold it or are held by it."""
+    return asked.withColumn("similar", similar(names, F.col("name"), most))
+
+
+class Registry:
+    """Rules by name, to which others can be added; a name can be taken once."""
+
+    def __init__(self, rules: dict[str, Callable[[], Rule]] | None = None):
+        self.rules = dict(rules or {})
+
+    def add(self, name: str, rule: Callable[[], Rule]) -> None:
+        if name in self.rules:
+            raise ValueError(f"{name} is registered already")
+        self.rules[name] = rule
+
+    def __contains__(self, name: str) -> bool:
+        return name in self.rules
+
+    def __len__(self) -> int:
+        return len(self.rules)
+
+    def names(self) -> list[str]:
+        return sorted(self.rules)

@@ -13,8 +13,14 @@ TITLE_WEIGHT = 5
 def tokens(docs: DataFrame, key: str = "docname", text: str = "content", language: str = "en") -> DataFrame:
     """(docname, pos, term): the terms of each text with their places among all its
     words; terms of less than 2 bytes are left out."""
-    each = docs.select(F.col(key).alias("docname"), F.posexplode(X.words(F.col(text))).alias("pos", "word"))
-    return each.select("docname", "pos", X.term(F.col("word"), language).alias("term")).where(F.octet_length("term") >= 2)
+    each = spread(docs).select(F.col(key).alias("docname"), F.posexplode(X.clean_words(F.col(text))).alias("pos", "w"))
+    return each.select("docname", "pos", (X.stem(F.col("w")) if language == "en" else F.col("w")).alias("term")).where(F.octet_length("term") >= 2)
+
+
+def spread(docs: DataFrame) -> DataFrame:
+    """docs on as many tasks as there are cores, where they are on fewer: a small file is one task."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs._jdf.queryExecution().toRdd().getNumPartitions() < cores else docs
 
 
 def postings(docs: DataFrame, key: str = "docname", text: str = "content", language: str = "en") -> DataFrame:
@@ -34,11 +40,19 @@ def search(docs: DataFrame, query: str, limit: int = 50, key: str = "docname", t
     query's words of their number in the text, and 5 for each in the title where one
     is given. Ties go by name. A query of no terms finds nothing."""
     terms = query_terms(docs.sparkSession, query)
-    wanted = F.broadcast(terms)  # as many rows as the query has words
-    hits = tokens(docs, key, text).join(wanted, "term").groupBy("docname").agg(F.sum("weight").alias("score"))
-    if title is not None:
-        heads = tokens(docs.withColumn("_title", title), key, "_title").join(wanted, "term").groupBy("docname").agg((F.sum("weight") * TITLE_WEIGHT).alias("score"))
-        hits = hits.union(heads).groupBy("docname").agg(F.sum("score").alias("score"))
+    wanted = {r.term: r.weight for r in terms.collect()}  # as many rows as the query has words
+    forms = [t + end for t in wanted for end in ("", "ing", "ed", "s")]
+
+    def total(c: Column) -> Column:
+        """The weights of the words of a text that can have one of the terms; others are dropped before they are stemmed."""
+        some = F.filter(X.clean_words(c), lambda w: w.isin(forms))
+        weight = F.create_map(*[F.lit(x) for p in wanted.items() for x in p])
+        return F.aggregate(some, F.lit(0).cast("long"), lambda a, w: a + F.coalesce(F.element_at(weight, X.stem(w)), F.lit(0)))
+
+    if not wanted:
+        return docs.select(F.col(key).alias("docname"), F.lit(0).cast("long").alias("score")).limit(0)
+    score = total(F.col(text)) if title is None else total(F.col(text)) + TITLE_WEIGHT * total(title)
+    hits = spread(docs).select(F.col(key).alias("docname"), score.alias("score")).where("score > 0").groupBy("docname").agg(F.sum("score").alias("score"))
     return hits.orderBy(F.desc("score"), "docname").limit(limit)
 
 
@@ -53,3 +67,22 @@ def upsert(index: DataFrame, changed: DataFrame, removed: DataFrame | None = Non
     if removed is not None:
         gone = gone.union(removed.select(key))
     return index.join(gone.distinct(), key, "left_anti").unionByName(changed)
+
+
+def with_objects(index: DataFrame, objects: DataFrame) -> DataFrame:
+    """(docname) of an index's documents, and of those that only objects name, each once."""
+    return index.select("docname").union(objects.select("docname")).distinct()
+
+
+def object_rows(documents: DataFrame, objects: DataFrame) -> DataFrame:
+    """objects with idx of documents (idx, docname): those whose document is gone go."""
+    return objects.join(documents.select("idx", "docname"), "docname").drop("docname")
+
+
+def dumped(documents: DataFrame, postings_: DataFrame, titles: DataFrame) -> DataFrame:
+    """(part, json): the index as JSON: a row for each document and each term, a term's
+    with its documents' numbers in order."""
+    d = documents.join(titles, "docname", "left").select(F.lit("document").alias("part"), F.to_json(F.struct("idx", "docname", "title")).alias("json"))
+    each = postings_.join(documents.select("idx", "docname"), "docname")
+    lists = each.groupBy("term").agg(F.sort_array(F.collect_list(F.struct("idx", "tf"))).alias("documents"))
+    return d.union(lists.select(F.lit("term").alias("part"), F.to_json(F.struct("term", "documents")).alias("json")))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from docframe.functions import text as X
 
-MARKS = [":doc:", ":ref:", ":func:", ":class:", ":meth:", ":mod:", ":attr:", ":data:", ":exc:", ":numref:"]
+MARKS = [":doc:`", ":ref:`", ":func:`", ":class:`", ":meth:`", ":attr:`", ":mod:`", ":py:", ".. _", "`~"]
 
 
 def line_count(s: Column) -> Column:
@@ -19,12 +19,15 @@ def line_count(s: Column) -> Column:
 
 
 def project(files: DataFrame, path: str = "path", text: str = "content") -> DataFrame:
-    """One row: files, lines, mean and largest size in bytes, deepest folder, and
-    cross-references by the marks they begin with. A null text is a file without lines."""
+    """One row: files, lines, mean and largest size in bytes and in KB of 1024, deepest
+    folder (hidden ones and what is in them don't count), and cross-references by the
+    marks they begin with, one that has two marks twice. A null text is a file without lines."""
     t = F.col(text)
     marks = reduce(lambda a, b: a + b, [X.occurrences(t, m) for m in MARKS])
-    depth = F.size(F.split(path, "/")) - 1
-    return files.agg(F.count("*").alias("files"), F.coalesce(F.sum(line_count(t)), F.lit(0)).alias("n_lines"), F.floor(F.avg(F.octet_length(t))).cast("long").alias("mean_bytes"), F.max(F.octet_length(t)).cast("long").alias("max_bytes"), F.max(depth).cast("long").alias("max_depth"), F.coalesce(F.sum(marks), F.lit(0)).alias("cross_refs"))
+    folders = F.split(path, "/")
+    hidden = F.exists(F.slice(folders, 1, F.size(folders) - 1), lambda x: x.startswith("."))
+    files, depth = files.where(~hidden), F.size(folders) - 1
+    return files.agg(F.count("*").alias("files"), F.coalesce(F.sum(line_count(t)), F.lit(0)).alias("n_lines"), F.floor(F.avg(F.octet_length(t))).cast("long").alias("mean_bytes"), F.max(F.octet_length(t)).cast("long").alias("max_bytes"), (F.coalesce(F.avg(F.coalesce(F.octet_length(t), F.lit(0))), F.lit(0.0)) / 1024).alias("mean_kb"), (F.coalesce(F.max(F.octet_length(t)), F.lit(0)) / 1024).alias("max_kb"), F.max(depth).cast("long").alias("max_depth"), F.coalesce(F.sum(marks), F.lit(0)).alias("cross_refs"))
 
 
 def report(*phases: tuple[DataFrame, str]) -> DataFrame:
@@ -43,7 +46,9 @@ def write_report(diagnostics: DataFrame, path: str) -> None:
     diagnostics.orderBy("phase", "file", "line", "message").select("text").write.mode("overwrite").text(path)
 
 
-def exit_code(diagnostics: DataFrame, strict: bool = False) -> int:
-    """1 with an error, or with a warning where strict; else 0."""
+def exit_code(diagnostics: DataFrame | None, strict: bool = False) -> int:
+    """1 with an error, or with a warning where strict; 2 where the build itself couldn't run (None); else 0."""
+    if diagnostics is None:
+        return 2
     r = diagnostics.agg(F.count_if(F.col("severity") == "error"), F.count_if(F.col("severity") == "warning")).first()
     return int(bool(r[0] or (strict and r[1])))

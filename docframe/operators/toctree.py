@@ -9,7 +9,7 @@ from docframe.functions import globs as G
 from docframe.functions import paths as P
 
 SUFFIXES = ["rst", "md", "txt"]
-EXCLUDED = ["_build/**", "**/.git/**", "**/.svn/**", "**/.hg/**", "**/__pycache__/**", "**/.DS_Store", "**/Thumbs.db", "**/node_modules/**"]
+EXCLUDED = ["_build/**", "__pycache__/**", ".git/**", ".svn/**", ".hg/**", ".*/**", "Thumbs.db", ".DS_Store"]
 
 
 def discover(files: DataFrame, include: list[str], exclude: list[str], suffixes: list[str] | None = None, path: str = "path") -> DataFrame:
@@ -28,6 +28,13 @@ def resolved(entries: DataFrame) -> DataFrame:
     return entries.where(own).withColumn("resolved", P.resolve_docname(F.col("target"), F.col("docname")))
 
 
+def fallback(files: DataFrame, path: str = "path") -> DataFrame:
+    """Sources by their suffix alone, outside hidden folders, _build and __pycache__."""
+    parts = F.split(P.normal_path(F.col(path)), "/")
+    hidden = F.exists(F.slice(parts, 1, F.size(parts) - 1), lambda x: x.startswith(".") | x.isin("_build", "__pycache__"))
+    return files.where(F.element_at(F.split(path, r"\."), -1).isin(SUFFIXES) & F.col(path).contains(".") & ~hidden)
+
+
 def missing(entries: DataFrame, docs: DataFrame) -> DataFrame:
     """(docname, target, resolved): entries that name no document."""
     plain = resolved(entries).where(~(F.col("glob") & G.is_glob(F.col("target"))))
@@ -38,12 +45,18 @@ def missing(entries: DataFrame, docs: DataFrame) -> DataFrame:
 def glob_hits(entries: DataFrame, docs: DataFrame) -> DataFrame:
     """(docname, target, hit): what each glob entry matches; hit is null where nothing.
 
-    Patterns are translated on the driver, once for each different one; each becomes
-    one regular expression of one scan of docs, so there's no product of rows."""
+    A pattern begins with a literal piece, up to its first mark: documents meet it by
+    the folders of that piece, an equi-join, and only those that do are held against its
+    regular expression. Patterns stay rows, however many there are."""
     wild = resolved(entries).where(F.col("glob") & G.is_glob(F.col("target")))
-    patterns = [r[0] for r in wild.select("resolved").distinct().collect()]
-    found = F.filter(F.array(*[F.when(G.matches(F.col("docname"), [p]), F.lit(p)) for p in patterns]) if patterns else F.array().cast("array<string>"), lambda x: x.isNotNull())
-    hits = docs.select("docname").distinct().select(F.col("docname").alias("hit"), F.explode(found).alias("resolved"))
+    patterns = wild.select("resolved").distinct().withColumn("rule", G.regex_of("resolved"))
+    start = F.regexp_extract("resolved", r"^[^*?\[]*", 0)
+    patterns = patterns.withColumn("folder", F.regexp_extract(start, "^(.*/)?", 0))
+    names = docs.select(F.col("docname").alias("hit")).distinct()
+    parts = F.split("hit", "/")
+    folders = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda n: F.when(n == 0, F.lit("")).otherwise(F.concat(F.array_join(F.slice(parts, F.lit(1), n), "/"), F.lit("/"))))
+    met = names.select("hit", F.explode(folders).alias("folder")).join(patterns, "folder")
+    hits = met.where(F.expr("hit RLIKE rule")).select("resolved", "hit")
     return wild.join(hits, "resolved", "left").select("docname", "target", "hit")
 
 

@@ -41,10 +41,13 @@ def label_conflicts(spark, sf_dir):
     return O.name_conflicts(n).select("doc", "name", "ord", "status")
 
 
-@query("""WITH t AS (SELECT source AS doc, doc_id AS line, lang AS style FROM documents), f AS (SELECT doc, style, min(line) AS first FROM t GROUP BY 1, 2), r AS (SELECT doc, style, dense_rank() OVER (PARTITION BY doc ORDER BY first) AS level FROM f)
-SELECT doc, line, style, level FROM t JOIN r USING (doc, style)""")
+@query("""WITH RECURSIVE t AS (SELECT conv_id AS doc, turn AS line, role || length(text) % 3 AS style, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations),
+s AS (SELECT doc, line, style, n, 1::BIGINT AS level, [style] AS known, 1::BIGINT AS now FROM t WHERE n = 1
+UNION ALL SELECT doc, line, style, n, level, CASE WHEN level > len(known) THEN list_append(known, style) ELSE known END, coalesce(level, now) FROM (
+SELECT *, CASE WHEN want <= now + 1 THEN want END AS level FROM (SELECT t.doc, t.line, t.style, t.n, known, now, coalesce(nullif(list_position(known, t.style), 0), len(known) + 1)::BIGINT AS want FROM s JOIN t ON t.doc = s.doc AND t.n = s.n + 1)))
+SELECT doc, line, style, level FROM s""")
 def section_levels(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select(F.col("source").alias("doc"), F.col("doc_id").alias("line"), F.col("lang").alias("style"))
+    d = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc"), F.col("turn").alias("line"), F.concat("role", (F.length("text") % 3).cast("string")).alias("style"))
     return O.section_levels(d).select("doc", "line", "style", "level")
 
 

@@ -2,22 +2,29 @@
 
 from __future__ import annotations
 
+import json
+from functools import reduce
+
 from pyspark.sql import functions as F
 
+from docframe.functions import doctree as D
 from docframe.functions import markup as M
 from docframe.operators import rules as R
 from docframe.operators import statistics as S
-from docframe.operators import toctree as C
-from docframe.plans.checks import directives, rules_directives  # noqa: F401
+from docframe.operators import toctree as TOC
+from docframe.plans.checks import directives
 from docframe.plans.links import docs as pages
 from docframe.plans.links import entries
 from docframe.registry import _SQL, query, table
+from docframe.sources import config as C
+from docframe.sources.files import csv_cells as cells
 
 
 @query("""SELECT count(*) AS files, sum(CASE WHEN text = '' THEN 0 ELSE length(text) - length(replace(text, chr(10), '')) + CASE WHEN ends_with(text, chr(10)) THEN 0 ELSE 1 END END)::BIGINT AS n_lines,
-floor(avg(strlen(text)))::BIGINT AS mean_bytes, max(strlen(text))::BIGINT AS max_bytes, 2::BIGINT AS max_depth, 0::BIGINT AS cross_refs FROM documents""")
+floor(avg(strlen(text)))::BIGINT AS mean_bytes, max(strlen(text))::BIGINT AS max_bytes, avg(strlen(text)) / 1024 AS mean_kb, max(strlen(text)) / 1024 AS max_kb, 2::BIGINT AS max_depth, (sum(marks) * 2 + count(*) * 5)::BIGINT AS cross_refs FROM (SELECT coalesce(text, '') || chr(10) || '.. _a:' || chr(10) || ':py:func:`~a.b` :ref:`x` ' || replace(coalesce(text, ''), 'e', ' :doc:`y` :class:`z`') AS text, length(coalesce(text, '')) - length(replace(coalesce(text, ''), 'e', '')) AS marks FROM documents)""")
 def project_stats(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select(F.concat_ws("/", "source", "lang", "doc_id").alias("path"), F.col("text").alias("content"))
+    t = F.coalesce("text", F.lit(""))
+    d = table(spark, sf_dir, "documents").select(F.concat_ws("/", "source", "lang", "doc_id").alias("path"), F.concat(t, F.lit("\n.. _a:\n:py:func:`~a.b` :ref:`x` "), F.replace(t, F.lit("e"), F.lit(" :doc:`y` :class:`z`"))).alias("content"))
     return S.project(d).withColumn("n_lines", F.col("n_lines").cast("long"))
 
 
@@ -51,7 +58,36 @@ SELECT *, file || coalesce(':' || line, '') || ': ' || upper(severity) || ': ' |
 def report(spark, sf_dir):
     e, d = entries(spark, sf_dir), pages(spark, sf_dir)
     none = F.lit(None).cast("long")
-    missing = C.missing(e, d).select(F.lit("warning").alias("severity"), F.col("docname").alias("file"), none.alias("line"), F.concat(F.lit("no document "), "resolved").alias("message"))
-    lost = C.orphans(e, d).select(F.lit("warning").alias("severity"), F.col("docname").alias("file"), none.alias("line"), F.lit("in no table of contents").alias("message"))
+    missing = TOC.missing(e, d).select(F.lit("warning").alias("severity"), F.col("docname").alias("file"), none.alias("line"), F.concat(F.lit("no document "), "resolved").alias("message"))
+    lost = TOC.orphans(e, d).select(F.lit("warning").alias("severity"), F.col("docname").alias("file"), none.alias("line"), F.lit("in no table of contents").alias("message"))
     bad = R.checked(directives(spark, sf_dir), R.DIRECTIVES).where("outcome IN ('warning', 'error')").select(F.col("outcome").alias("severity"), F.lit("part").alias("file"), F.col("id").alias("line"), F.col("name").alias("message"))
     return S.report((missing, "toctree"), (lost, "orphan"), (bad, "rule"))
+
+
+@query()
+def doctree_pformat(spark, sf_dir):
+    """The dump of each document's whole tree, put together from its rows."""
+    return D.dumps(D.trees(sources(spark, sf_dir)))
+
+
+@query("""SELECT doc_id::VARCHAR AS doc, list_element(['Title ' || doc_id, 'Part'], k) AS title FROM documents, (VALUES (1), (2)) t(k)""")
+def doctree_titles(spark, sf_dir):
+    t = D.trees(sources(spark, sf_dir))
+    return D.texts(t, "title").select("doc", F.col("text").alias("title"))
+
+
+@query("""SELECT p_partkey, k AS ord, list_element([p_partkey::VARCHAR, p_name || ', "' || p_type || '"', 'line 1' || chr(10) || p_brand, ''], k)  AS cell FROM part, (VALUES (1), (2), (3), (4)) t(k)""")
+def csv_cells(spark, sf_dir):
+    """Cells that hold the delimiter, doubled quotes and line ends."""
+    quoted = F.concat(F.lit('"'), F.replace(F.concat("p_name", F.lit(', "'), "p_type", F.lit('"')), F.lit('"'), F.lit('""')), F.lit('"'))
+    line = F.concat_ws(",", F.col("p_partkey").cast("string"), quoted, F.concat(F.lit('"line 1\n'), "p_brand", F.lit('"')), F.lit(""))
+    rows = table(spark, sf_dir, "part").select("p_partkey", line.alias("content"))
+    return cells(rows, "p_partkey", "content").select("p_partkey", (F.col("column") + 1).cast("int").alias("ord"), "cell")
+
+
+@query("""SELECT * FROM (VALUES ('parallel_jobs', '8'), ('fail_on_warning', 'true'), ('project', '"x=y"'), ('output.minify_html', 'false'), ('exclude_patterns', '["a", "b"]'), ('theme.name', '"plain"'), ('author', '7')) t(key, value)""")
+def config_override(spark, sf_dir):
+    """Settings after overrides, of the types that they had."""
+    got, _ = C.override(C.defaults(), ["parallel_jobs=8", "fail_on_warning=1", "project=x=y", "output.minify_html=false", "exclude_patterns=a,b", "html_theme=plain", "author=7"])
+    keys = ["parallel_jobs", "fail_on_warning", "project", "output.minify_html", "exclude_patterns", "theme.name", "author"]
+    return spark.createDataFrame([(k, json.dumps(reduce(lambda a, p: a[p], k.split("."), got))) for k in keys], "key string, value string")

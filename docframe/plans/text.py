@@ -14,9 +14,9 @@ QUERY = "the running of the documents ofed"
 
 _STEM = "CASE WHEN w LIKE '%ing' AND strlen(w) > 4 THEN left(w, length(w) - 3) WHEN w LIKE '%ed' AND strlen(w) > 3 THEN left(w, length(w) - 2) WHEN w LIKE '%s' AND strlen(w) > 2 THEN left(w, length(w) - 1) ELSE w END"
 _TOKENS = rf"""
-words AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS a FROM documents),
+words AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[\s\x{{85}}\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]+'), lambda x: x <> '') AS a FROM documents),
 each AS (SELECT doc_id, unnest(a) AS raw, unnest(range(len(a))) AS pos FROM words),
-clean AS (SELECT doc_id, pos, lower(regexp_replace(raw, '[^\p{{L}}\p{{N}}_-]', '', 'g')) AS w FROM each),
+clean AS (SELECT doc_id, pos, lower(regexp_replace(raw, '[^\p{{L}}\p{{M}}\p{{N}}_-]', '', 'g')) AS w FROM each),
 terms AS (SELECT doc_id, pos, {_STEM} AS term FROM clean)
 """
 
@@ -43,7 +43,7 @@ def search_prune(spark, sf_dir):
     return dense_index(S.prune(docs(spark, sf_dir).select("docname", "doc_id"), good), ["doc_id"]).select("idx", "docname")
 
 
-_COUNT = r"len(list_filter(regexp_split_to_array({}, '\s+'), lambda x: x <> ''))"
+_COUNT = r"len(list_filter(regexp_split_to_array({}, '[\s\x{{85}}\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]+'), lambda x: x <> ''))"
 
 
 @query(f"""SELECT 'doc' || d.doc_id AS docname, {_COUNT.format("CASE WHEN l.quality = 1 THEN d.lang || ' ' || d.source ELSE d.text END")}::BIGINT AS n_words
@@ -76,12 +76,12 @@ def make_id(spark, sf_dir):
     return docs(spark, sf_dir).select("docname", X.make_id(F.col("content")).alias("id"))
 
 
-@query(r"""SELECT doc_id, lower(trim(regexp_replace(left(text, 200), '\s+', ' ', 'g'))) AS name,
-CASE WHEN length(text) > 60 THEN left(text, 60) || '…' ELSE text END AS snippet, replace(replace(left(text, 80), '\', '\\'), ' ', '\ ') AS serial,
+@query(r"""SELECT doc_id, lower(trim(regexp_replace(text, '[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g'))) AS name,
+CASE WHEN length(text) > 60 THEN left(text, 60) || '…' ELSE text END AS snippet, replace(replace(text, '\', '\\'), ' ', '\ ') AS serial,
 (len(text) - len(replace(text, '{', ''))) = (len(text) - len(replace(text, '}', ''))) AS balanced, ((len(text) - len(replace(text, 'the', ''))) // 3)::BIGINT AS n_the FROM documents""")
 def text_functions(spark, sf_dir):
     t = F.col("text")
-    return table(spark, sf_dir, "documents").select("doc_id", X.normal_name(F.left(t, F.lit(200))).alias("name"), X.snippet(t).alias("snippet"), X.escape_serial(F.left(t, F.lit(80))).alias("serial"), X.braces_balance(t).alias("balanced"), X.occurrences(t, "the").alias("n_the"))
+    return table(spark, sf_dir, "documents").select("doc_id", X.normal_name(t).alias("name"), X.snippet(t).alias("snippet"), X.escape_serial(t).alias("serial"), X.braces_balance(t).alias("balanced"), X.occurrences(t, "the").alias("n_the"))
 
 
 @query("""SELECT n_name, size, CASE WHEN size < 1024 THEN size || ' B' WHEN size < 1048576 THEN printf('%.1f KB', size / 1024) WHEN size < 1073741824 THEN printf('%.1f MB', size / 1048576) ELSE printf('%.1f GB', size / 1073741824) END AS shown FROM (SELECT n_name, n_nationkey::BIGINT * n_nationkey * n_nationkey * 512 * 512 + n_nationkey AS size FROM nation)""")

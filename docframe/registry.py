@@ -9,7 +9,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = ("text", "project", "links", "checks", "ordering", "building")
+MODULES = ("text", "project", "links", "checks", "ordering", "building", "site")
 
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}

@@ -7,11 +7,23 @@ import json
 import os
 
 DEFAULTS: dict = {
-    "project": "", "version": "", "release": "", "root_doc": "index", "parallel_jobs": 0, "max_cache_size_mb": 500, "cache_expiration_hours": 24,
-    "include_patterns": ["**"], "exclude_patterns": [], "fail_on_warning": False, "nitpicky": False, "validate_directives": True, "extensions": [], "language": None,
-    "output": {"html_theme": "default", "minify_html": False, "search_index": True},
+    "project": "", "version": "1.0.0", "release": "1.0.0", "copyright": "", "author": None, "root_doc": "index", "language": "en", "parallel_jobs": 0, "max_cache_size_mb": 500, "cache_expiration_hours": 24,
+    "include_patterns": ["**"], "exclude_patterns": [], "fail_on_warning": False, "nitpicky": False, "validate_directives": True, "extensions": ["autodoc", "viewcode", "intersphinx"], "tags": [], "doctree_dir": None,
+    "templates_path": ["_templates"], "template_dirs": [], "static_dirs": [], "source_suffix": [".rst"],
+    "output": {"html_theme": "default", "syntax_highlighting": True, "highlight_theme": "github", "search_index": True, "minify_html": False, "compress_output": False},
+    "theme": {"name": "default", "options": {}, "custom_css": [], "custom_js": []},
+    "optimization": {"parallel_processing": True, "incremental_builds": True, "document_caching": True, "image_optimization": False, "asset_bundling": False},
+    "html_style": [], "html_css_files": [], "html_js_files": [], "html_static_path": ["_static"], "html_extra_path": [], "html_logo": None, "html_favicon": None, "html_title": None, "html_short_title": None, "html_show_copyright": True,
+    "html_show_tool": True, "html_copy_source": True, "html_show_sourcelink": True, "html_sourcelink_suffix": ".txt", "html_use_index": True, "html_split_index": False, "html_use_opensearch": False, "html_last_updated_fmt": "%b %d, %Y",
+    "html_context": {}, "html_theme_options": {}, "html_file_suffix": ".html", "html_link_suffix": ".html", "html_output_encoding": "utf-8", "html_compact_lists": True, "html_secnumber_suffix": ". ", "html_search_language": "en",
+    "html_search_options": {}, "html_search_scorer": "", "html_scaled_image_link": True, "html_baseurl": "", "html_codeblock_linenos_style": "inline", "html_math_renderer": "mathjax", "html_math_renderer_options": {}, "locale_dirs": [],
+    "gettext_compact": True, "gettext_uuid": False, "gettext_location": True, "gettext_auto_build": True, "gettext_additional_targets": [], "needs_version": None, "numfig": False, "numfig_secnum_depth": 1, "math_number_all": False,
+    "math_eqref_format": None, "math_numfig": True, "tls_verify": True, "tls_cacerts": "", "user_agent": None,
 }
-ALIASES = {"master_doc": "root_doc", "html_theme": "output.html_theme"}
+#: Other names of settings: all that one sets.
+ALIASES = {"master_doc": ["root_doc"], "html_theme": ["output.html_theme", "theme.name"], "templates_path": ["templates_path", "template_dirs"], "html_static_path": ["html_static_path", "static_dirs"]}
+#: Lists that a Python file sets even where it doesn't name them: to nothing.
+REPLACED = ["extensions", "exclude_patterns", "html_css_files", "html_js_files"]
 FILES = ["conf.py", "config.yaml", "config.yml", "config.json"]
 
 
@@ -52,8 +64,7 @@ def load(folder: str) -> tuple[dict, list[tuple[int, str]]]:
             text = f.read()
         if name.endswith(".py"):
             values, dropped = python_literals(text)
-            known = {ALIASES.get(k, k): v for k, v in values.items() if k in DEFAULTS or k in ALIASES}
-            return _set_all(known), dropped
+            return from_python(values), dropped
         if name.endswith(".json"):
             return merged(json.loads(text)), []
         try:
@@ -64,13 +75,49 @@ def load(folder: str) -> tuple[dict, list[tuple[int, str]]]:
     return dict(DEFAULTS), []
 
 
-def _set_all(values: dict) -> dict:
-    out = merged({})
+def defaults() -> dict:
+    return merged({})
+
+
+def from_python(values: dict) -> dict:
+    """The configuration of a Python file's literals: known settings of the right type,
+    under all their names; others are left out, and the lists of REPLACED are empty
+    unless it sets them."""
+    out = merged(dict.fromkeys(REPLACED, []))
     for k, v in values.items():
-        _put(out, k, v)
+        if k not in DEFAULTS and k not in ALIASES:
+            continue
+        had = DEFAULTS.get(k)
+        if k in DEFAULTS and had is not None and v is not None and (type(had) is not type(v)) and not (isinstance(had, list) and isinstance(v, (str, tuple))):
+            continue
+        if isinstance(had, list):
+            v = [v] if isinstance(v, str) else list(v)
+        for name in ALIASES.get(k, [k]):
+            _put(out, name, v)
     return out
 
 
+def save(config: dict, path: str) -> None:
+    """As JSON, or as YAML where the name says so and a writer is installed."""
+    with open(path, "w", encoding="utf-8") as f:
+        if path.endswith((".yaml", ".yml")):
+            try:
+                import yaml
+            except ImportError:
+                raise ValueError(f"{path}: no YAML writer is installed") from None
+            yaml.safe_dump(config, f, sort_keys=False)
+        else:
+            json.dump(config, f, indent=2)
+
+
+def pair(text: str) -> tuple[str, str]:
+    """'key=value' in two, by the first '='; without a key it raises."""
+    key, eq, value = text.partition("=")
+    if not eq or not key.strip():
+        raise ValueError(f"expected key=value, got {text!r}")
+    return key.strip(), value
+
+
 def _put(config: dict, key: str, value: object) -> None:
     *above, last = key.split(".")
     for a in above:
@@ -84,11 +131,15 @@ def override(config: dict, pairs: list[str]) -> tuple[dict, list[str]]:
     that is there (for null an integer if it is one, else a string); and warnings of
     unknown keys, whole dictionaries and values of the wrong type."""
     out, warnings = merged({}, config), []
-    for pair in pairs:
-        key, eq, text = pair.partition("=")
-        if not eq or not key.strip():
-            raise ValueError(f"{pair!r} isn't key=value")
-        key = ALIASES.get(key.strip(), key.strip())
+    for one in pairs:
+        key, text = pair(one)
+        if key in ALIASES and ALIASES[key] != [key]:  # one setting for several
+            for name in ALIASES[key]:
+                if name != key:
+                    out, more = override(out, [f"{name}={text}"])
+                    warnings += more
+            if key not in DEFAULTS:
+                continue
         at: object = out
         for a in key.split("."):
             at = at.get(a, KeyError) if isinstance(at, dict) else KeyError

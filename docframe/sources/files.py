@@ -80,3 +80,9 @@ def page(content: Column) -> Column:
 def write_pages(docs: DataFrame, path: str) -> None:
     """(path, html) of each document as Parquet."""
     docs.select(P.target_uri(F.col("docname")).alias("path"), page(F.col("content")).alias("html")).write.mode("overwrite").parquet(path)
+
+
+def there(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists, on whatever file system it names."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)

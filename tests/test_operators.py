@@ -198,11 +198,12 @@ def test_ids_of_whole_texts(spark, sf):
     import re
     import unicodedata
 
-    from docframe.functions.text import _LETTERS
+    from docframe.functions.nodes import DIGRAPHS, LETTERS
     from docframe.plans.text import docs, make_id
 
     def one(s):
-        s = unicodedata.normalize("NFKD", "".join(_LETTERS.get(c, c) for c in s.lower())).encode("ascii", "ignore").decode()
+        s = "".join((DIGRAPHS | LETTERS).get(ord(c), c) for c in s.lower())
+        s = unicodedata.normalize("NFKD", s).encode("ascii", "ignore").decode()
         return re.sub("-+$", "", re.sub("^[-0-9]+", "", re.sub("[^a-z0-9]+", "-", s)))
 
     texts = {r.docname: r.content for r in docs(spark, sf).collect()}

@@ -25,7 +25,7 @@ def test_a_project_without_faults(spark, tmp_path):
     assert said(b) == [] and b.exit_code() == 0
     assert sorted(r.path for r in spark.read.parquet(str(tmp_path / "out/pages")).collect()) == ["index.html", "other.html", "sub/page.html", "sub/sibling.html"]
     s = api.stats(spark, str(tmp_path)).first()
-    assert s.cross_refs == 2 and s.max_depth == 1
+    assert s.cross_refs == 3 and s.max_depth == 1
 
 
 def test_a_project_with_faults(spark, tmp_path):
@@ -40,7 +40,7 @@ def test_a_project_with_faults(spark, tmp_path):
 
 def test_overrides():
     c, w = G.override(G.DEFAULTS, ["nitpicky=1", "parallel_jobs=4", "exclude_patterns=a,b", "language=de", "html_theme=x=y", "output=1", "odd=1", "parallel_jobs=x"])
-    assert c["nitpicky"] is True and c["parallel_jobs"] == 4 and c["exclude_patterns"] == ["a", "b"] and c["language"] == "de" and c["output"]["html_theme"] == "x=y"
+    assert c["nitpicky"] is True and c["parallel_jobs"] == 4 and c["theme"]["name"] == "x=y" and c["exclude_patterns"] == ["a", "b"] and c["language"] == "de" and c["output"]["html_theme"] == "x=y"
     assert w == ["output is a dictionary", "unknown key odd", "parallel_jobs is a number"] and G.DEFAULTS["output"]["html_theme"] == "default"
     values, dropped = G.python_literals("a = [1,\n  2]\nb = 'x' 'y'\nimport os\nc = os.name\n'doc'\nd = (1)\ne = (1,)\n")
     assert values == {"a": [1, 2], "b": "xy", "d": 1, "e": (1,)} and dropped == [(4, "Import"), (5, "value of c is no literal")]
