@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import html
 import re
-from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -51,34 +50,75 @@ def line_hashes(texts: list[str]) -> np.ndarray:
     return spans_hash(data, np.concatenate([[0], ends[:-1]]).astype(np.int64), ends) if raw else np.zeros(0, np.uint64)
 
 
+#: Bytes of the rows that an alignment is traced back through; beyond it is cut in two first.
+TRACE_BYTES = 64 << 20
+
+
+def _masks(b: list) -> dict:
+    """For each different line the bits of the places where it stands."""
+    at: dict = defaultdict(list)
+    for j, x in enumerate(b):
+        at[x].append(j)
+    out = {}
+    for x, js in at.items():
+        bits = np.zeros(len(b) + 7 >> 3, np.uint8)
+        np.bitwise_or.at(bits, np.array(js) >> 3, np.left_shift(1, np.array(js) & 7).astype(np.uint8))
+        out[x] = int.from_bytes(bits.tobytes(), "little")
+    return out
+
+
+def _rows(a: list, b: list) -> Iterator[int]:
+    """After each line of a, the bits of b: a place is 0 where the longest common
+    subsequence of what is before and up to it grows. Time is len(a) x len(b) / 64
+    whatever repeats."""
+    masks, every = _masks(b), (1 << len(b)) - 1
+    v = every
+    for x in a:
+        u = v & masks.get(x, 0)
+        v = ((v + u) | (v - u)) & every
+        yield v
+
+
+def _lengths(a: list, b: list) -> np.ndarray:
+    """The length of the longest common subsequence of a and each beginning of b."""
+    v = (1 << len(b)) - 1
+    for v in _rows(a, b):
+        pass
+    bits = np.unpackbits(np.frombuffer(v.to_bytes(len(b) + 7 >> 3, "little"), np.uint8), bitorder="little")[: len(b)]
+    return np.concatenate([[0], np.cumsum(bits == 0)])
+
+
+def _aligned(a: list, b: list, base: int) -> list[int]:
+    """Indexes (from base) into a of a longest common subsequence of a and b."""
+    if not a or not b:
+        return []
+    if len(a) > 1 and len(a) * len(b) > 8 * TRACE_BYTES:
+        half = len(a) // 2
+        cut = int(np.argmax(_lengths(a[:half], b) + _lengths(a[half:][::-1], b[::-1])[::-1]))
+        return _aligned(a[:half], b[:cut], base) + _aligned(a[half:], b[cut:], base + half)
+    rows = list(_rows(a, b))
+    i, j, out = len(a), len(b), []
+    while i and j:
+        if rows[i - 1] >> (j - 1) & 1:
+            j -= 1
+            continue
+        i -= 1
+        if not i or rows[i - 1] >> (j - 1) & 1:
+            out.append(base + i)
+            j -= 1
+    return out[::-1]
+
+
 def common(a: list, b: list) -> list[int]:
-    """Indexes into a of a longest common subsequence of a and b (Hunt and
-    Szymanski's: patience over the matches, after common ends are taken off)."""
+    """Indexes into a of a longest common subsequence of a and b: bit-parallel, after
+    common ends are taken off."""
     lo = 0
     while lo < min(len(a), len(b)) and a[lo] == b[lo]:
         lo += 1
     x, y = len(a), len(b)
     while x > lo and y > lo and a[x - 1] == b[y - 1]:
         x, y = x - 1, y - 1
-    at = defaultdict(list)
-    for j in range(y - 1, lo - 1, -1):
-        at[b[j]].append(j)
-    tails: list[int] = []
-    ends: list[tuple] = []
-    for i in range(lo, x):
-        for j in at.get(a[i], ()):
-            k = bisect_left(tails, j)
-            node = (i, ends[k - 1] if k else None)
-            if k == len(tails):
-                tails.append(j)
-                ends.append(node)
-            else:
-                tails[k], ends[k] = j, node
-    middle, node = [], ends[-1] if ends else None
-    while node:
-        middle.append(node[0])
-        node = node[1]
-    return [*range(lo), *middle[::-1], *range(x, len(a))]
+    return [*range(lo), *_aligned(a[lo:x], b[lo:y], lo), *range(x, len(a))]
 
 
 def keyed(pages: DataFrame, url: str) -> tuple[F.Column, F.Column]:

@@ -205,3 +205,28 @@ def test_pages(spark):
     assert H.main_text(df.limit(0)).count() == 0
     clash = df.selectExpr("*", "1 AS host", "2 AS path", "3 AS hashes", "4 AS near")
     assert sorted(map(str, H.main_text(clash).collect())) == sorted(map(str, H.main_text(df).collect()))
+
+
+def test_pairing_by_brute_force(spark):
+    """Each page's neighbour is the one beside it, in order, that begins like it the longest."""
+    rng = random.Random(5)
+    keys = sorted({(rng.choice(["a.org", "b.org", "c.org"]), "".join(rng.choice(["/", "x", "xy", "é", "-1", "2"]) for _ in range(rng.randint(0, 7)))) for _ in range(300)} | {("lone.org", "/p")}, key=lambda k: (k[0].encode(), k[1].encode()))
+
+    def like(a, b):
+        n = lambda x, y: next((k for k, (p, q) in enumerate(zip(x, y)) if p != q), min(len(x), len(y)))
+        return n(a.split("/"), b.split("/")), n(a, b)
+
+    want = set()
+    for k, (h, p) in enumerate(keys):
+        prev = keys[k - 1][1] if k and keys[k - 1][0] == h else None
+        after = keys[k + 1][1] if k + 1 < len(keys) and keys[k + 1][0] == h else None
+        if prev is not None or after is not None:
+            want.add((h, p, after if prev is None or after is not None and like(p, after) > like(p, prev) else prev))
+    df = spark.createDataFrame(keys, "host string, path string")
+    for rows in (10**6, 17):
+        assert {tuple(r) for r in H.neighbours(df, rows).collect()} == want
+
+
+def test_lines_that_repeat_very_often():
+    a, b = ["0"] * 20_000 + ["x"] + ["0"] * 20_000, ["y"] + ["0"] * 30_000 + ["x", "0"]
+    assert len(H.common(a, b)) == 30_000
