@@ -59,7 +59,7 @@ def build(spark: SparkSession, folder: str, output: str | None = None, overrides
     missing = entries.join(C.missing(entries, docs), ["docname", "target"]).withColumnRenamed("docname", "doc")
     dead = entries.join(C.glob_hits(entries, docs).where("hit IS NULL"), ["docname", "target"]).withColumnRenamed("docname", "doc")
     lost = C.orphans(entries, docs, config["root_doc"]).select(F.col("docname").alias("doc"), F.lit(None).cast("long").alias("line"))
-    phases = [(said, "config"), (notes(missing, "warning", F.concat(F.lit("no document "), "resolved")), "toctree"), (notes(dead, "warning", F.concat(F.lit("nothing matches "), "target")), "toctree"), (notes(lost, "warning", F.lit("in no table of contents")), "orphan")]
+    phases = [(said, "config"), (notes(missing, "warning", S.MISSING(F.col("resolved"))), "toctree"), (notes(dead, "warning", S.NO_MATCH(F.col("target"))), "toctree"), (notes(lost, "warning", F.lit(S.ORPHAN)), "orphan")]
     if config["validate_directives"]:
         for kind, table in (("directive", rules.DIRECTIVES), ("role", rules.ROLES)):
             bad = rules.checked(records.where(F.col("kind") == kind), table).where("outcome IN ('warning', 'error')")
@@ -70,7 +70,7 @@ def build(spark: SparkSession, folder: str, output: str | None = None, overrides
         names = R.targets(*(records.where(F.col("kind") == k).select("name", F.col("doc").alias("docname"), "ord") for k in ("label", "section")))
         lost_docs = R.resolve_documents(refs.where("type = 'document'"), docs).where("found IS NULL").select("docname", "target", "line")
         lost_refs = R.resolve_labels(refs.where("type = 'reference'"), names).where("found IS NULL").select("docname", "target", "line")
-        phases.append((notes(lost_docs.union(lost_refs).withColumnRenamed("docname", "doc"), "warning", F.concat(F.lit("no target "), "target")), "reference"))
+        phases.append((notes(lost_docs.union(lost_refs).withColumnRenamed("docname", "doc"), "warning", S.BROKEN(F.col("target"))), "reference"))
     phases.append((unread, "read"))
     report = S.report(*phases)
     hits = 0

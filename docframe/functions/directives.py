@@ -450,7 +450,11 @@ def _class(c: Call) -> list[Node]:
             if x.kind != "system_message":
                 x.list("classes").extend(kinds)
         return inner.children
-    return [Node("pending", classes=kinds)]
+    if c.parser.wide:  # the next sibling that shows gets them
+        c.parser.waiting = kinds
+        return []
+    shown = ", ".join(map(py_repr, kinds))
+    return [Node("pending", f".. internal attributes:\n     .transform: docutils.transforms.misc.ClassAttribute\n     .details:\n       class: [{shown}]\n       directive: {py_repr(c.name)}")]
 
 
 def _titled(c: Call, table: Node, more: list[Node] = ()) -> list[Node]:

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from docframe.functions.inlines import SIMPLE, Inliner, escaped, unescaped
 from docframe.functions.nodes import ERROR, INFO, WARNING, Node, Registry, message, normal_name, preserved
+from docframe.session import spread
 
 DEEPEST = 200
 
@@ -100,6 +101,7 @@ class Parser:
         self.styles: list[tuple[str, bool]] = []
         self.substitutions: dict[str, Node] = {}
         self.depth, self.too_deep, self.language = 0, False, "default"
+        self.waiting: list[str] | None = None
 
     def document(self, text: str) -> Node:
         root = Node("document", source=self.source)
@@ -170,6 +172,7 @@ class Parser:
             if titles:
                 node = self.sections[-1]
             s = lines[i]
+            waiting, self.waiting, first = self.waiting, None, len(node.children)
             if not s:
                 i += 1
             elif s[0] == " ":
@@ -180,6 +183,12 @@ class Parser:
                     node.add(self.unindent("Block quote", base + i + 1))
             else:
                 i = self.flush(lines, i, base, node, titles)
+            if waiting:  # a class directive without content
+                seen = next((x for x in node.children[first:] if x.kind not in ("comment", "target", "system_message", "substitution_definition")), None)
+                if seen is None:
+                    self.waiting = [*waiting, *(self.waiting or [])]
+                else:
+                    seen.list("classes").extend(waiting)
 
     def flush(self, lines: list[str], i: int, base: int, node: Node, titles: bool) -> int:
         s = lines[i]
@@ -748,7 +757,7 @@ def trees(docs: DataFrame, key: str = "docname", text: str = "content", wide: bo
                     out += ({"doc": d, **r} for r in rows(parse(t, d or "", wide, d or "")))
             yield pa.RecordBatch.from_pydict({n: [r[n] for r in out] for n in names}, schema=kinds)
 
-    return docs.select(F.col(key).cast("string"), F.col(text)).mapInArrow(run, schema)
+    return spread(docs.select(F.col(key).cast("string"), F.col(text))).mapInArrow(run, schema)
 
 
 def dumps(tree: DataFrame) -> DataFrame:
@@ -772,3 +781,9 @@ def texts(tree: DataFrame, kind: str) -> DataFrame:
     inside = spans.join(words, "doc", "left").where("node > head AND node < end")
     got = inside.groupBy("doc", "head").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("node", "text"))), lambda x: x["text"]), "").alias("text"))
     return spans.select("doc", "head").join(got, ["doc", "head"], "left").select("doc", F.col("head").alias("node"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+def substitution_counts(tree: DataFrame) -> DataFrame:
+    """(doc, name, n): how often each substitution is defined, under a name or one that was lost."""
+    rows = tree.where("kind = 'substitution_definition'").select("doc", F.explode(F.concat("names", "dupnames")).alias("name"))
+    return rows.groupBy("doc", "name").agg(F.count("*").alias("n"))

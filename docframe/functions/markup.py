@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docframe.session import spread
+
 RECORD = "doc string, ord long, kind string, name string, line long, level long, arguments array<string>, options map<string,string>, content string, target string, display string"
 _DIRECTIVE = re.compile(r"^(\s*)\.\.\s+([A-Za-z][\w:+.-]*?)\s?::(?:\s+(.*))?$")
 _LABEL = re.compile(r"^\.\.\s+_(?:`([^`]+)`|((?:\\:|[^:\\])+)):\s*(.*)$")
@@ -141,4 +143,16 @@ def parse(docs: DataFrame, key: str = "docname", text: str = "content") -> DataF
             rows = [{"doc": d, "ord": k, **r, "options": list(r["options"].items()) if "options" in r else None} for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for k, r in enumerate(records(t or ""))]
             yield pa.RecordBatch.from_pydict({n: [r.get(n) for r in rows] for n in names}, schema=kinds)
 
-    return docs.select(F.col(key).cast("string"), F.col(text)).mapInArrow(run, schema)
+    return spread(docs.select(F.col(key).cast("string"), F.col(text))).mapInArrow(run, schema)
+
+
+def statistics(rows: DataFrame) -> DataFrame:
+    """(kind, name, n) of records: directives, roles and toctree entries by name."""
+    return rows.where("kind IN ('directive', 'role', 'toctree')").groupBy("kind", F.coalesce("name", F.lit("-")).alias("name")).agg(F.count("*").alias("n"))
+
+
+def titles(docs: DataFrame, rows: DataFrame, untitled: str = "Untitled") -> DataFrame:
+    """docs (docname, format, …) with title: the first section's of markup; other formats have none of their own."""
+    first = rows.where("kind = 'section'").groupBy(F.col("doc").alias("docname")).agg(F.min_by("name", "ord").alias("_title"))
+    own = F.when(F.col("format") == "rst", F.col("_title"))
+    return docs.join(first, "docname", "left").withColumn("title", F.coalesce(own, F.lit(untitled))).drop("_title")

@@ -10,12 +10,14 @@ not false.
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docframe.session import spread
+
 _TOKEN = re.compile(r"""\s*("(?:[^"])*"|'(?:[^'])*'|==|!=|\[|\]|,|[^\s,\[\]=!]+|[=!])""")
 _NUMBER = re.compile(r"^-?\d+$"), re.compile(r"^-?(\d+\.\d*|\.\d+|\d+([eE][-+]?\d+)|\d+\.\d*[eE][-+]?\d+)$")
 
@@ -56,68 +58,73 @@ def split(parts: list[str], word: str) -> list[list[str]]:
 
 
 def field(item: Column, name: str) -> Column:
-    return F.try_variant_get(item, f"$['{name}']", "variant")
-
-
-def type_of(v: Column) -> Column:
+    """What a name of an item is: its type t, and its value as text s, number d, truth b
+    and whole number i, each null where it has none. Null for a name that isn't there."""
+    at = f"$['{name}']"
+    v = F.try_variant_get(item, at, "variant")
     kind = F.schema_of_variant(v)
-    return F.when(v.isNull(), F.lit(None)).when(kind == "STRING", "string").when(kind == "BOOLEAN", "boolean").when(kind == "BIGINT", "int").when(kind.startswith("DECIMAL") | (kind == "DOUBLE") | (kind == "FLOAT"), "float").when(kind.startswith("ARRAY"), "array").when(kind.startswith("OBJECT"), "object").otherwise("null")
-
-
-def as_(v: Column, kind: str) -> Column:
-    return F.try_variant_get(v, "$", kind)
+    t = F.when(kind == "STRING", "string").when(kind == "BOOLEAN", "boolean").when(kind == "BIGINT", "int").when(kind.startswith("DECIMAL") | (kind == "DOUBLE") | (kind == "FLOAT"), "float").when(kind.startswith("ARRAY"), "array").when(kind.startswith("OBJECT"), "object").otherwise("null")
+    return F.when(v.isNotNull(), F.struct(t.alias("t"), *[F.try_variant_get(item, at, k).alias(n) for n, k in (("s", "string"), ("d", "double"), ("b", "boolean"), ("i", "decimal(38,0)"))]))
 
 
 def equals(v: Column, other: tuple[str, object]) -> Column:
     """Of one type, or both numbers; any other pair is unequal, and so are lists and objects."""
     kind, value = other
-    mine = type_of(v)
     if kind == "int":
-        whole = (mine == "int") & (as_(v, "decimal(38,0)") == F.lit(value).cast("decimal(38,0)"))
-        same = whole | (mine == "float") & (F.abs(as_(v, "double") - F.lit(float(value))) < 1e-9)
+        whole = (v["t"] == "int") & (v["i"] == F.lit(value).cast("decimal(38,0)"))
+        same = whole | (v["t"] == "float") & (F.abs(v["d"] - F.lit(float(value))) < 1e-9)
     elif kind == "float":
-        same = mine.isin("int", "float") & (F.abs(as_(v, "double") - F.lit(float(value))) < 1e-9)
+        same = v["t"].isin("int", "float") & (F.abs(v["d"] - F.lit(float(value))) < 1e-9)
     elif kind == "boolean":
-        same = (mine == "boolean") & (as_(v, "boolean") == F.lit(value))
+        same = (v["t"] == "boolean") & (v["b"] == F.lit(value))
     else:
-        same = (mine == "string") & (as_(v, "string") == F.lit(value))
+        same = (v["t"] == "string") & (v["s"] == F.lit(value))
     return F.coalesce(same, F.lit(False))
 
 
 def truth(v: Column) -> Column:
     """Not empty, not zero, true."""
-    mine = type_of(v)
-    text = as_(v, "string")
-    return F.coalesce(F.when(mine == "boolean", as_(v, "boolean")).when(mine.isin("int", "float"), as_(v, "double") != 0).when(mine == "string", text != "").when(mine == "array", text != "[]").when(mine == "object", text != "{}"), F.lit(False))
+    t, text = v["t"], v["s"]
+    return F.coalesce(F.when(t == "boolean", v["b"]).when(t.isin("int", "float"), v["d"] != 0).when(t == "string", text != "").when(t == "array", text != "[]").when(t == "object", text != "{}"), F.lit(False))
 
 
 def result(value: Column, error: Column | None = None) -> Column:
     return F.struct(value.alias("value"), (error if error is not None else F.lit(None).cast("string")).alias("error"))
 
 
-def _names(name: str, item: Column, then: Column) -> Column:
-    v = field(item, name)
+def _named(name: str, v: Column, then: Column) -> Column:
     return F.when(v.isNull(), result(F.lit(False), F.lit(f"unknown name {name}"))).otherwise(result(then))
 
 
-def _term(parts: list[str], item: Column) -> Column:
+def _term(parts: list[str], of: Callable[[str], Column]) -> Column:
     if parts and parts[0] == "not":
-        inner = _term(parts[1:], item)
+        inner = _term(parts[1:], of)
         return result(~inner["value"], inner["error"])
     if len(parts) == 3 and parts[1] in ("==", "!="):
-        same = equals(field(item, parts[0]), literal(parts[2]))
-        return _names(parts[0], item, same if parts[1] == "==" else ~same)
+        same = equals(of(parts[0]), literal(parts[2]))
+        return _named(parts[0], of(parts[0]), same if parts[1] == "==" else ~same)
     if len(parts) >= 4 and parts[1] == "in" and parts[2] == "[" and parts[-1] == "]":
         some = F.lit(False)
         for x in split(parts[3:-1], ","):
             if x:
-                some = some | equals(field(item, parts[0]), literal(" ".join(x) if len(x) > 1 else x[0]))
-        return _names(parts[0], item, some)
+                some = some | equals(of(parts[0]), literal(" ".join(x) if len(x) > 1 else x[0]))
+        return _named(parts[0], of(parts[0]), some)
     if len(parts) == 1:
-        return _names(parts[0], item, truth(field(item, parts[0])))
+        return _named(parts[0], of(parts[0]), truth(of(parts[0])))
     raise ValueError(f"can't read {' '.join(parts)!r}")
 
 
+def names_of(expression: str) -> list[str]:
+    """The names that an expression looks at."""
+    out = []
+    for side in split(tokens(expression), "or"):
+        for term in split(side, "and"):
+            while term[:1] == ["not"]:
+                term = term[1:]
+            out += term[:1]
+    return out
+
+
 def _chain(sides: Sequence[Column], stop: bool) -> Column:
     """Left to right: the first error, or the first side that decides."""
     out = sides[-1]
@@ -126,9 +133,11 @@ def _chain(sides: Sequence[Column], stop: bool) -> Column:
     return out
 
 
-def compiled(expression: str, item: Column) -> Column:
-    """(value, error) of an expression for an item, a VARIANT object."""
-    sides = [_chain([_term(t, item) for t in split(side, "and")], False) for side in split(tokens(expression), "or")]
+def compiled(expression: str, item: Column, of: Callable[[str], Column] | None = None) -> Column:
+    """(value, error) of an expression for an item, a VARIANT object; `of` gives fields that
+    were taken from it already."""
+    of = of or (lambda name: field(item, name))
+    sides = [_chain([_term(t, of) for t in split(side, "and")], False) for side in split(tokens(expression), "or")]
     return _chain(sides, True)
 
 
@@ -147,8 +156,13 @@ def item(id_: Column, title: Column, content: Column, metadata: Column) -> Colum
 def evaluate(items: DataFrame, rules: list[dict], item_column: str = "item", constraints: str = "constraints") -> DataFrame:
     """(id, constraint, check_name, severity, ok, error): each check of each constraint
     of each item; constraints without a rule are left out. The rules are one array of
-    expressions, so items are read once whatever their number."""
-    checks = F.array(*[F.struct(F.lit(r["constraint"]).alias("constraint"), F.lit(r["check_name"]).alias("check_name"), F.lit(r.get("severity", "warning")).alias("severity"), F.when(F.array_contains(constraints, r["constraint"]), compiled(r["expression"], F.col(item_column))).alias("r")) for r in rules])
+    expressions, so items are read once whatever their number, and each name is taken from
+    an item once, whatever number of rules look at it."""
+    names = sorted({n for r in rules for n in names_of(r["expression"])})
+    at = {n: f"_field{k}" for k, n in enumerate(names)}
+    items = spread(items).select("id", F.col(constraints).alias("_constraints"), *[field(F.col(item_column), n).alias(c) for n, c in at.items()])
+    constraints = "_constraints"
+    checks = F.array(*[F.struct(F.lit(r["constraint"]).alias("constraint"), F.lit(r["check_name"]).alias("check_name"), F.lit(r.get("severity", "warning")).alias("severity"), F.when(F.array_contains(constraints, r["constraint"]), compiled(r["expression"], None, lambda n: F.col(at[n]))).alias("r")) for r in rules])
     flat = items.select("id", F.explode(F.filter(checks, lambda c: c["r"].isNotNull())).alias("c"))
     return flat.select("id", "c.constraint", "c.check_name", "c.severity", F.col("c.r.value").alias("ok"), F.col("c.r.error").alias("error"))
 

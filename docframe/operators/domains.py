@@ -115,8 +115,7 @@ def looked_up(inventory: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def dispatched(refs: DataFrame) -> DataFrame:
     """refs (kind) with the first domain that supports the kind, or null."""
-    table = F.create_map(*[F.lit(x) for d, kinds in reversed(SUPPORTED.items()) for k in kinds for x in (k, d)])
-    return refs.withColumn("domain", F.element_at(table, F.col("kind")))
+    return Registry().dispatch(refs)
 
 
 def resolved(refs: DataFrame, objects: DataFrame) -> DataFrame:
@@ -188,3 +187,23 @@ def broken(validated: DataFrame) -> DataFrame:
 
 def histogram(refs: DataFrame) -> DataFrame:
     return refs.groupBy("kind").agg(F.count("*").alias("n"))
+
+
+class Registry:
+    """Domains by name, each with the kinds that it supports; a name can be taken once."""
+
+    def __init__(self, supported: dict[str, list[str]] | None = None):
+        self.supported = dict(SUPPORTED if supported is None else supported)
+
+    def add(self, name: str, kinds: list[str]) -> None:
+        if name in self.supported:
+            raise ValueError(f"domain {name} is registered already")
+        self.supported[name] = kinds
+
+    def names(self) -> list[str]:
+        return list(self.supported)
+
+    def dispatch(self, refs: DataFrame) -> DataFrame:
+        """refs (kind) with the first domain that supports the kind, or null."""
+        table = F.create_map(*[F.lit(x) for d, kinds in reversed(self.supported.items()) for k in kinds for x in (k, d)])
+        return refs.withColumn("domain", F.element_at(table, F.col("kind")))

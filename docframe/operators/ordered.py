@@ -100,12 +100,13 @@ def first_resources(rows: DataFrame) -> DataFrame:
 
 def titles(lines: DataFrame) -> DataFrame:
     """(doc, line, title, style) of lines (doc, n, text): a line whose next is an
-    adornment of one character as wide as it, or at least 4; style is that character."""
+    adornment of one character as wide as it, or at least 4; style is that character,
+    twice where the same adornment is over the title too."""
     w = Window.partitionBy("doc").orderBy("n")
     under = F.lead("text").over(w)
-    rows = lines.withColumn("under", under)
+    rows = lines.withColumn("under", under).withColumn("over", F.lag("text").over(w))
     hit = F.col("under").rlike(r"^([!-/:-@\[-`{-~])\1*$") & ~F.col("text").rlike(r"^([!-/:-@\[-`{-~])\1*$") & F.col("text").rlike(r"^\S") & ((F.length("under") >= F.length(F.rtrim("text"))) | (F.length("under") >= 4))
-    return rows.where(hit).select("doc", F.col("n").alias("line"), F.rtrim("text").alias("title"), F.substring("under", 1, 1).alias("style"))
+    return rows.where(hit).select("doc", F.col("n").alias("line"), F.trim("text").alias("title"), F.repeat(F.substring("under", 1, 1), F.when(F.rtrim("over") == F.rtrim("under"), 2).otherwise(1)).alias("style"))
 
 
 def sequences(items: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docframe.functions import text as X
+from docframe.session import spread
 
 VALID, WARNING, ERROR, UNKNOWN = "valid", "warning", "error", "unknown"
 IMAGES = ["png", "jpg", "jpeg", "gif", "svg", "webp", "bmp"]
@@ -157,7 +158,7 @@ def checked(records: DataFrame, rules: dict[str, Callable[[], Rule]], name: str
     for k, rule in rules.items():
         out = F.when(F.col(name) == k, rule().column()) if out is None else out.when(F.col(name) == k, rule().column())
     unknown = F.struct(F.lit(UNKNOWN).alias("outcome"), F.lit(None).cast("string").alias("message"))
-    both = records.withColumn("_check", unknown if out is None else out.otherwise(unknown))
+    both = spread(records).withColumn("_check", unknown if out is None else out.otherwise(unknown))
     return both.withColumn("outcome", F.col("_check.outcome")).withColumn("message", F.col("_check.message")).drop("_check")
 
 
@@ -225,3 +226,11 @@ class Registry:
 
     def names(self) -> list[str]:
         return sorted(self.rules)
+
+
+def similar_option(options: Column, known: list[str]) -> Column:
+    """For each option that isn't known, the first known one that holds it or is held by it: (option, similar)."""
+    names = F.array(*map(F.lit, known))
+    unknown = F.filter(F.map_keys(options), lambda o: ~o.isin(known))
+    hits = F.transform(unknown, lambda o: F.struct(o.alias("option"), F.get(F.filter(names, lambda n: F.contains(n, o) | F.contains(o, n)), F.lit(0)).alias("similar")))
+    return F.filter(hits, lambda x: x["similar"].isNotNull())

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docframe.functions import text as X
+from docframe.operators.indexing import dense_index
+from docframe.session import spread
 
 TITLE_WEIGHT = 5
 
@@ -17,12 +19,6 @@ def tokens(docs: DataFrame, key: str = "docname", text: str = "content", languag
     return each.select("docname", "pos", (X.stem(F.col("w")) if language == "en" else F.col("w")).alias("term")).where(F.octet_length("term") >= 2)
 
 
-def spread(docs: DataFrame) -> DataFrame:
-    """docs on as many tasks as there are cores, where they are on fewer: a small file is one task."""
-    cores = docs.sparkSession.sparkContext.defaultParallelism
-    return docs.repartition(cores) if docs._jdf.queryExecution().toRdd().getNumPartitions() < cores else docs
-
-
 def postings(docs: DataFrame, key: str = "docname", text: str = "content", language: str = "en") -> DataFrame:
     """(docname, term, tf, positions): a document's rows lie together, so partial
     aggregation leaves one row for each posting before the exchange."""
@@ -86,3 +82,12 @@ def dumped(documents: DataFrame, postings_: DataFrame, titles: DataFrame) -> Dat
     each = postings_.join(documents.select("idx", "docname"), "docname")
     lists = each.groupBy("term").agg(F.sort_array(F.collect_list(F.struct("idx", "tf"))).alias("documents"))
     return d.union(lists.select(F.lit("term").alias("part"), F.to_json(F.struct("term", "documents")).alias("json")))
+
+
+def pruned(documents: DataFrame, postings_: DataFrame, objects: DataFrame, keep: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """An index's documents (idx, docname), postings (term, idx, …) and objects (…, idx) of
+    the documents in keep, numbered anew without gaps; terms and objects of others go."""
+    left = dense_index(prune(documents, keep).withColumnRenamed("idx", "old"), ["old"])
+    number = left.select(F.col("old").alias("idx"), F.col("idx").alias("_new"))
+    again = lambda df: df.join(number, "idx").drop("idx").withColumnRenamed("_new", "idx")
+    return left.drop("old"), again(postings_), again(objects)

@@ -140,3 +140,16 @@ def extension_settings(names: list[str]) -> tuple[dict, list[str]]:
         else:
             lost.append(n)
     return out, lost
+
+#: What is written when a build is finished, in this order.
+FINISH = ("indices", "static", "inventory", "search", "info")
+
+
+def finish(parts: dict[str, object]) -> list[str]:
+    """Calls what is there of FINISH, in order; the names of what was done."""
+    done = []
+    for name in FINISH:
+        if name in parts:
+            parts[name]()
+            done.append(name)
+    return done

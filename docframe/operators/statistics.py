@@ -10,6 +10,19 @@ from pyspark.sql import functions as F
 from docframe.functions import text as X
 
 MARKS = [":doc:`", ":ref:`", ":func:`", ":class:`", ":meth:`", ":attr:`", ":mod:`", ":py:", ".. _", "`~"]
+ORPHAN = "document isn't included in any toctree"
+
+
+def MISSING(name: Column) -> Column:  # noqa: N802
+    return F.concat(F.lit("toctree contains reference to nonexisting document '"), name, F.lit("'"))
+
+
+def NO_MATCH(pattern: Column) -> Column:  # noqa: N802
+    return F.concat(F.lit("toctree glob pattern '"), pattern, F.lit("' didn't match any documents"))
+
+
+def BROKEN(target: Column) -> Column:  # noqa: N802
+    return F.concat(F.lit("cross-reference target not found: '"), target, F.lit("'"))
 
 
 def line_count(s: Column) -> Column:

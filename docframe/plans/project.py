@@ -46,20 +46,19 @@ def parse_rst_records(spark, sf_dir):
 
 @query("""SELECT kind, coalesce(name, '-') AS name, count(*) * n AS n FROM (SELECT count(*) AS n FROM documents) d, (VALUES ('directive', 'note'), ('directive', 'toctree'), ('directive', 'code-block'), ('role', 'doc'), ('role', 'ref'), ('toctree', NULL), ('toctree', NULL)) t(kind, name) GROUP BY kind, name, n""")
 def parse_stats(spark, sf_dir):
-    r = M.parse(sources(spark, sf_dir)).where("kind IN ('directive', 'role', 'toctree')")
-    return r.groupBy("kind", F.coalesce("name", F.lit("-")).alias("name")).agg(F.count("*").alias("n"))
+    return M.statistics(M.parse(sources(spark, sf_dir)))
 
 
 @query(f"""WITH b AS ({_SQL["rules_directives"]}), m AS ({_SQL["toctree_missing"]}), o AS ({_SQL["orphans"]}),
-x AS (SELECT 0::BIGINT AS phase, 'toctree' AS source, 'warning' AS severity, docname AS file, NULL::BIGINT AS line, 'no document ' || resolved AS message FROM m
-UNION ALL SELECT 1, 'orphan', 'warning', docname, NULL, 'in no table of contents' FROM o
+x AS (SELECT 0::BIGINT AS phase, 'toctree' AS source, 'warning' AS severity, docname AS file, NULL::BIGINT AS line, 'toctree contains reference to nonexisting document ''' || resolved || '''' AS message FROM m
+UNION ALL SELECT 1, 'orphan', 'warning', docname, NULL, 'document isn''t included in any toctree' FROM o
 UNION ALL SELECT CASE WHEN outcome = 'error' THEN 3 ELSE 2 END, 'rule', outcome, 'part', id, name FROM b WHERE outcome IN ('warning', 'error'))
 SELECT *, file || coalesce(':' || line, '') || ': ' || upper(severity) || ': ' || message AS text FROM x""")
 def report(spark, sf_dir):
     e, d = entries(spark, sf_dir), pages(spark, sf_dir)
     none = F.lit(None).cast("long")
-    missing = TOC.missing(e, d).select(F.lit("warning").alias("severity"), F.col("docname").alias("file"), none.alias("line"), F.concat(F.lit("no document "), "resolved").alias("message"))
-    lost = TOC.orphans(e, d).select(F.lit("warning").alias("severity"), F.col("docname").alias("file"), none.alias("line"), F.lit("in no table of contents").alias("message"))
+    missing = TOC.missing(e, d).select(F.lit("warning").alias("severity"), F.col("docname").alias("file"), none.alias("line"), S.MISSING(F.col("resolved")).alias("message"))
+    lost = TOC.orphans(e, d).select(F.lit("warning").alias("severity"), F.col("docname").alias("file"), none.alias("line"), F.lit(S.ORPHAN).alias("message"))
     bad = R.checked(directives(spark, sf_dir), R.DIRECTIVES).where("outcome IN ('warning', 'error')").select(F.col("outcome").alias("severity"), F.lit("part").alias("file"), F.col("id").alias("line"), F.col("name").alias("message"))
     return S.report((missing, "toctree"), (lost, "orphan"), (bad, "rule"))
 

@@ -22,9 +22,9 @@ from docframe.registry import query, table
 @query("""WITH l AS (SELECT doc_id, lang, k AS line, CASE k WHEN 1 THEN 'é :ref:`l' || doc_id || '` and :doc:`T <d' || doc_id || '>`' WHEN 2 THEN NULL ELSE ':py:func:`os.f' || doc_id || '` :odd:`' || lang || '`' END AS s FROM documents, (VALUES (1), (2), (3)) t(k))
 SELECT doc_id::VARCHAR AS docname, line::BIGINT AS line, col::BIGINT AS col, kind, target, display, kind = 'function' AS external FROM (
 SELECT doc_id, line, 3 AS col, 'section' AS kind, 'l' || doc_id AS target, NULL AS display FROM l WHERE line = 1
-UNION ALL SELECT doc_id, line, 17 + length('' || doc_id), 'document', 'd' || doc_id, 'T' FROM l WHERE line = 1
+UNION ALL SELECT doc_id, line, 16 + length('' || doc_id), 'document', 'd' || doc_id, 'T' FROM l WHERE line = 1
 UNION ALL SELECT doc_id, line, 0, 'function', 'os.f' || doc_id, NULL FROM l WHERE line = 3
-UNION ALL SELECT doc_id, line, 15 + length('' || doc_id), 'odd', lang, NULL FROM l WHERE line = 3)""")
+UNION ALL SELECT doc_id, line, 16 + length('' || doc_id), 'odd', lang, NULL FROM l WHERE line = 3)""")
 def xref_scan(spark, sf_dir):
     n = F.col("doc_id").cast("string")
     text = F.concat(F.lit("é :ref:`l"), n, F.lit("` and :doc:`T <d"), n, F.lit(">`\n\n:py:func:`os.f"), n, F.lit("` :odd:`"), "lang", F.lit("`"))

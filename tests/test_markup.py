@@ -57,8 +57,9 @@ def test_blocks():
     assert tree(">>> 1\n1\n") == '<doctest_block xml:space="preserve">\n    >>> 1\n    1' and tree("..\n\n  q\n").startswith('<comment xml:space="preserve">\n<block_quote>')
     assert tree(".. note to self\n   more\n") == '<comment xml:space="preserve">\n    note to self\n    more'
     assert said("- " * 1 + "a\n  b\n c\n")[0][2].endswith("unexpected unindent.")
-    grid = "+---+---+\n| a | b |\n+===+===+\n| c     |\n+---+---+\n"
-    assert said(grid)[0][2].startswith("Malformed table.")
+    assert said("+---+---+\n| a | b\n+---+---+\n")[0][2] == "Malformed table.\nRight border not aligned or missing."
+    spans = "+---+---+\n| a | b |\n+===+===+\n| c     |\n+---+---+\n"
+    assert [(x.get("morecols"), x.astext()) for x in T.parse(spans).walk() if x.kind == "entry"] == [(None, "a"), (None, "b"), (1, "c")]
     grid = "+---+---+\n| a | b |\n+===+===+\n| c | d |\n|   +---+\n|   | e |\n+---+---+\n"
     assert [(x.kind, x.get("morerows"), x.astext()) for x in T.parse(grid).walk() if x.kind == "entry"] == [("entry", None, "a"), ("entry", None, "b"), ("entry", 1, "c"), ("entry", None, "d"), ("entry", None, "e")]
     simple = "=== ===\n a   b\n--- ---\n c   d\n     e\n=== ===\n"
@@ -107,6 +108,7 @@ def test_directives():
     assert tree(".. versionadded:: 2.1\n   more\n", wide=True) == '<versionmodified type="versionadded" version="2.1">\n    <paragraph translatable="0">\n        <inline classes="versionmodified added">\n            Added in version 2.1: \n        more'
     g = T.parse(".. glossary::\n\n   a\n   b\n     text\n", wide=True)
     assert [x.get("ids") for x in g.walk() if x.kind == "term"] == [["term-a"], ["term-b"]]
+    assert tree(".. class:: k\n\n.. c\n\nx\n", wide=True) == '<comment xml:space="preserve">\n    c\n<paragraph classes="k">\n    x' and kinds(".. class:: k\n\nx\n") == ["pending", "paragraph"]
     assert kinds(".. class:: k\n\n   x\n") == ["paragraph"] and kinds(".. only:: html\n\n   x\n", wide=True) == ["only", "paragraph"] and kinds(".. raw:: html\n\n   <b>\n") == ["raw"]
     assert D.names_of_lines("1,3-5,-2,6-", 7) == [1, 3, 4, 5, 1, 2, 6, 7]
     with pytest.raises(D.Wrong):
@@ -137,6 +139,16 @@ def test_rows_of_trees(spark):
     assert [r.text for r in T.texts(rows, "document").where("doc = 'c'").collect()] == [""]
 
 
+def test_records_of_projects(spark):
+    from docframe.functions import markup as M
+
+    docs = spark.createDataFrame([("a", "rst", "T\n=\n\n.. |x| replace:: y\n.. |x| replace:: z\n\n:doc:`b`\n"), ("b", "md", "# M"), ("c", "rst", "no title")], "docname string, format string, content string")
+    rows = M.parse(docs)
+    assert {r.docname: r.title for r in M.titles(docs, rows).collect()} == {"a": "T", "b": "Untitled", "c": "Untitled"}
+    assert {(r.kind, r.name): r.n for r in M.statistics(rows).collect()} == {("role", "doc"): 1}
+    assert {(r.doc, r.name): r.n for r in T.substitution_counts(T.trees(docs)).collect()} == {("a", "x"): 2}
+
+
 def test_ids():
     assert [N.make_id(x) for x in ("ƀx", "þing", "Straße", "Über 2 Œuvres", "123", "a--b", "日本", "ȸ")] == ["bx", "ing", "strasze", "uber-2-oeuvres", "", "a-b", "", "db"]
 

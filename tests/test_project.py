@@ -32,8 +32,8 @@ def test_a_project_with_faults(spark, tmp_path):
     write(tmp_path, {"conf.py": "import os\nnitpicky = True\n", "index.rst": "Home\n====\n\n.. toctree::\n   :glob:\n   :odd: 1\n\n   nope\n   dead*\n   a*\n\n.. note::\n\n:ref:`lost` and :ref:`home` and :py:mod:`os`\n", "a1.rst": "x\n", "lost.rst": "y\n", "bad.rst": b"\xff\xfe"})
     b = api.build(spark, str(tmp_path))
     assert said(b) == sorted([
-        ("config", "conf.py:1: WARNING: Import"), ("toctree", "index.rst:8: WARNING: no document nope"), ("toctree", "index.rst:9: WARNING: nothing matches dead*"), ("orphan", "lost.rst: WARNING: in no table of contents"),
-        ("directive", "index.rst:4: WARNING: toctree: unknown option"), ("directive", "index.rst:12: WARNING: note: no content"), ("reference", "index.rst:14: WARNING: no target lost"), ("read", "bad.rst: ERROR: isn't UTF-8"),
+        ("config", "conf.py:1: WARNING: Import"), ("toctree", "index.rst:8: WARNING: toctree contains reference to nonexisting document 'nope'"), ("toctree", "index.rst:9: WARNING: toctree glob pattern 'dead*' didn't match any documents"), ("orphan", "lost.rst: WARNING: document isn't included in any toctree"),
+        ("directive", "index.rst:4: WARNING: toctree: unknown option"), ("directive", "index.rst:12: WARNING: note: no content"), ("reference", "index.rst:14: WARNING: cross-reference target not found: 'lost'"), ("read", "bad.rst: ERROR: isn't UTF-8"),
     ])
     assert b.exit_code() == 1
 

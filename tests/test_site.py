@@ -12,6 +12,7 @@ from docframe.operators import cache as C
 from docframe.operators import constraints as K
 from docframe.operators import domains as M
 from docframe.operators import ordered as O
+from docframe.operators import rules as U
 from docframe.operators import search as S
 from docframe.operators import site
 from docframe.operators import statistics
@@ -137,6 +138,34 @@ def test_ordered_state(spark):
     assert sorted((r.filename, r.ord) for r in O.first_resources(res).collect()) == [("a.css", 1), ("b.css", 3)]
 
 
+def test_pruned_index(spark):
+    docs = spark.createDataFrame([(0, "a"), (1, "b"), (2, "c")], "idx long, docname string")
+    posts = spark.createDataFrame([("x", 0, 1), ("x", 2, 2), ("y", 1, 1)], "term string, idx long, tf long")
+    objs = spark.createDataFrame([("o", 2), ("p", 1)], "name string, idx long")
+    d, p, o = S.pruned(docs, posts, objs, docs.where("docname <> 'b'"))
+    assert {(r.idx, r.docname) for r in d.collect()} == {(0, "a"), (1, "c")} and {(r.term, r.idx, r.tf) for r in p.collect()} == {("x", 0, 1), ("x", 1, 2)} and [(r.name, r.idx) for r in o.collect()] == [("o", 1)]
+    done = []
+    assert site.finish({"info": lambda: done.append(2), "indices": lambda: done.append(1)}) == ["indices", "info"] and done == [1, 2]
+
+
+def test_registries(spark):
+    r = M.Registry()
+    r.add("js", ["wild"])
+    with pytest.raises(ValueError):
+        r.add("rst", [])
+    df = spark.createDataFrame([("wild",), ("document",), ("odd",)], "kind string")
+    assert {x.kind: x.domain for x in r.dispatch(df).collect()} == {"wild": "js", "document": "rst", "odd": None} and r.names() == ["rst", "python", "js"]
+    u = U.Registry(U.ROLES)
+    with pytest.raises(ValueError):
+        u.add("doc", U.ROLES["doc"])
+    u.add("mine", U.ROLES["ref"])
+    assert "mine" in u and len(u) == 11 and u.names() == sorted([*U.ROLES, "mine"])
+    o = spark.createDataFrame([({"lineno": "1", "name": "x", "zzz": ""},)], "o map<string,string>")
+    assert [tuple(x) for x in o.select(U.similar_option(F.col("o"), ["linenos", "lineno-start", "name"]).alias("x")).first().x] == [("lineno", "linenos")]
+    lines = spark.createDataFrame([("d", k + 1, t) for k, t in enumerate(["====", "Top", "====", "", "Sub", "---", "x"])], "doc string, n long, text string")
+    assert sorted((r.line, r.title, r.style) for r in O.titles(lines).collect()) == [(2, "Top", "=="), (5, "Sub", "-")]
+
+
 def test_rules_of_discovery(spark):
     files = spark.createDataFrame([(p,) for p in (".venv/x.rst", ".git/a.rst", "a/.git/b.rst", "_build/c.rst", "d.rst", "e/_build/f.rst", "Thumbs.db", "g.py", "__pycache__/h.rst")], "path string")
     assert {r.path for r in toctree.discover(files, ["**"], toctree.EXCLUDED, toctree.SUFFIXES).collect()} == {"a/.git/b.rst", "d.rst", "e/_build/f.rst"}
