@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docframe.llm.common import GROUP_BYTES, answered, deflated, inflated, mix, packed, powers, rows_of, split_by, unpacked, written
+from docframe.llm.common import GROUP_BYTES, answered, column, deflated, inflated, mix, packed, powers, rows_of, split_by, unpacked, written
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Words of more characters are folded in Python, by a heap or an array: the
@@ -468,14 +468,36 @@ def decode(rows: DataFrame, model: str = MODEL, ids: str = "ids", text: str = "t
 
     Control pieces are nothing, the unknown piece is ' ⁇ ', and bytes that are
     no UTF-8 are U+FFFD. Null ids give a null text, none an empty one; an id that
-    the model doesn't have raises.
+    the model doesn't have raises. Other columns stay; no rows give no rows.
     """
     v = vocabulary(model)
     raw = []
     for p, k in zip(v.pieces, v.kinds, strict=True):
-        s = bytes([int(p[3:5], 16)]) if k == 6 else b"" if k == 3 else " ⁇ ".encode() if k == 2 else p.replace(SPACE, " ").encode()
-        raw.append(s.hex())
-    table = F.array(*[F.lit(x) for x in raw]) if len(raw) < 64 else F.split(F.lit(",".join(raw)), ",")
-    whole = F.make_valid_utf8(F.unhex(F.array_join(F.transform(ids, lambda i: F.element_at(table, i + 1)), "")).cast("string"))
-    first = F.lit(v.prefix) & F.startswith(whole, F.lit(" "))
-    return rows.withColumn(text, F.when(first, F.substring(whole, 2, 1 << 30)).otherwise(whole))
+        raw.append(bytes([int(p[3:5], 16)]) if k == 6 else b"" if k == 3 else " ⁇ ".encode() if k == 2 else p.replace(SPACE, " ").encode())
+    shared = rows.sparkSession.sparkContext.broadcast((raw, [k == 6 for k in v.kinds]))
+    names = [c for c in rows.columns if c.lower() != text.lower()]
+    prefix = v.prefix
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces, single = pa.array(shared.value[0], pa.binary()), np.array(shared.value[1])
+        for b in batches:
+            lists = column(b, ids)
+            n = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(lists), 0)).astype(np.int64)
+            flat = lists.flatten()
+            begin = np.concatenate([[0], np.cumsum(n)])
+            made = pa.compute.binary_join(pa.LargeListArray.from_arrays(pa.array(begin), pieces.take(flat)), b"")
+            # only bytes of a piece each can be no UTF-8
+            odd = np.flatnonzero(np.diff(np.concatenate([[0], np.cumsum(single[np.asarray(flat)])])[begin]))
+            if len(odd):
+                whole = made.to_pylist()
+                for i in odd:
+                    whole[i] = whole[i].decode("utf-8", "replace").encode()
+                made = pa.array(whole, pa.binary())
+            made = made.cast(pa.string())
+            if prefix:
+                made = pa.compute.if_else(pa.compute.starts_with(made, " "), pa.compute.utf8_slice_codeunits(made, 1), made)
+            made = pa.compute.if_else(lists.is_valid(), made, pa.scalar(None, pa.string()))
+            yield pa.RecordBatch.from_arrays([*(column(b, c) for c in names), made], [*names, text])
+
+    schema = T.StructType([*(rows.schema[c] for c in names), T.StructField(text, T.StringType())])
+    return rows.select(*dict.fromkeys([*names, ids])).mapInArrow(run, schema)
