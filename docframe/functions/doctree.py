@@ -727,17 +727,17 @@ def parse(text: str, source: str = "<snippet>", wide: bool = False, docname: str
     return Parser(source, wide, docname).document(text)
 
 
-ROWS = "doc string, node long, parent long, depth int, kind string, text string, ids array<string>, names array<string>, dupnames array<string>, classes array<string>, backrefs array<string>, extra map<string,string>, line string"
+ROWS = "doc string, node long, parent long, path array<long>, depth int, kind string, text string, ids array<string>, names array<string>, dupnames array<string>, classes array<string>, backrefs array<string>, extra map<string,string>, line string"
 
 
 def rows(root: Node) -> Iterator[dict]:
-    """A row for each node in the order of the dump."""
-    stack, n = [(root, None, 0)], 0
+    """A row for each node in the order of the dump; path: the nodes above it, from the root."""
+    stack, n = [(root, ())], 0
     while stack:
-        x, parent, depth = stack.pop()
+        x, path = stack.pop()
         extra = [(k, str(v)) for k, v in x.attrs.items() if k not in ("ids", "names", "dupnames", "classes", "backrefs")]
-        yield {"node": n, "parent": parent, "depth": depth, "kind": x.kind, "text": x.text, **{k: list(x.get(k) or []) for k in ("ids", "names", "dupnames", "classes", "backrefs")}, "extra": extra, "line": x.line() if x.kind != "#text" else None}
-        stack.extend((c, n, depth + 1) for c in reversed(x.children))
+        yield {"node": n, "parent": path[-1] if path else None, "path": path, "depth": len(path), "kind": x.kind, "text": x.text, **{k: list(x.get(k) or []) for k in ("ids", "names", "dupnames", "classes", "backrefs")}, "extra": extra, "line": x.line() if x.kind != "#text" else None}
+        stack.extend((c, (*path, n)) for c in reversed(x.children))
         n += 1
 
 
@@ -770,17 +770,11 @@ def dumps(tree: DataFrame) -> DataFrame:
 
 
 def texts(tree: DataFrame, kind: str) -> DataFrame:
-    """(doc, node, text): what is written within each node of a kind, from the rows alone: a
-    row's descendants are those after it that are deeper, up to the next that isn't."""
-    heads = tree.where(F.col("kind") == kind).select("doc", F.col("node").alias("head"), F.col("depth").alias("level"))
-    # the end of a node: the next one of its depth or less, found from each document's own rows
-    depths = tree.groupBy("doc").agg(F.transform(F.sort_array(F.collect_list(F.struct("node", "depth"))), lambda x: x["depth"]).alias("depths"))
-    spans = heads.join(depths, "doc").withColumn("size", F.expr("array_position(transform(slice(depths, CAST(head + 2 AS INT), size(depths)), d -> d <= level), true)"))
-    spans = spans.select("doc", "head", F.when(F.col("size") > 0, F.col("head") + F.col("size")).otherwise(F.size("depths")).alias("end"))
-    words = tree.where("kind = '#text'").select("doc", "node", "text")
-    inside = spans.join(words, "doc", "left").where("node > head AND node < end")
-    got = inside.groupBy("doc", "head").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("node", "text"))), lambda x: x["text"]), "").alias("text"))
-    return spans.select("doc", "head").join(got, ["doc", "head"], "left").select("doc", F.col("head").alias("node"), F.coalesce("text", F.lit("")).alias("text"))
+    """(doc, node, text): what is written within each node of a kind: the texts whose path leads through it."""
+    heads = tree.where(F.col("kind") == kind).select("doc", "node")
+    words = tree.where("kind = '#text'").select("doc", F.explode("path").alias("node"), F.struct(F.col("node").alias("at"), "text").alias("x"))
+    got = words.join(heads, ["doc", "node"]).groupBy("doc", "node").agg(F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["text"]), "").alias("text"))
+    return heads.join(got, ["doc", "node"], "left").select("doc", "node", F.coalesce("text", F.lit("")).alias("text"))
 
 
 def substitution_counts(tree: DataFrame) -> DataFrame:

@@ -12,9 +12,13 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType
 from docframe.functions import nodes
 
 
+#: What divides words: all blanks of Unicode, named one by one, which is matched faster than by property.
+BLANKS = r"[\t-\r\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]+"
+
+
 def words(text: Column) -> Column:
     """Runs without blanks, in order; none for a blank or null text."""
-    cut = F.split(F.coalesce(text, F.lit("")), r"(?U)\s+")
+    cut = F.split(F.coalesce(text, F.lit("")), BLANKS)
     return F.filter(cut, lambda w: w != "")
 
 
@@ -22,8 +26,21 @@ def clean_words(text: Column) -> Column:
     """clean_word of each of words(text), in order, by three passes over the whole text
     instead of one over each word: blanks become single line ends, what doesn't count
     vanishes, and the words are cut at the line ends."""
-    flat = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)^\s+|\s+$", ""), r"(?U)\s+", "\n")
-    return F.when(flat == "", F.array().cast("array<string>")).otherwise(F.split(F.lower(F.regexp_replace(flat, r"[^\p{IsAlphabetic}\p{N}_\n-]", "")), "\n"))
+    return F.when(_flat(text) == "", F.array().cast("array<string>")).otherwise(F.split(_clean(text), "\n"))
+
+
+def _flat(text: Column) -> Column:
+    return F.btrim(F.regexp_replace(F.coalesce(text, F.lit("")), BLANKS, "\n"), F.lit("\n"))
+
+
+def _clean(text: Column) -> Column:
+    return F.lower(F.regexp_replace(_flat(text), r"[^a-zA-Z0-9_\n\p{IsAlphabetic}\p{N}-]", ""))
+
+
+def counts_of(text: Column, forms: list[str]) -> list[Column]:
+    """How often each form stands among clean_words(text): by lengths, without cutting the text."""
+    line = F.concat(F.lit("\n"), F.replace(_clean(text), F.lit("\n"), F.lit("\n\n")), F.lit("\n"))
+    return [((F.length(line) - F.length(F.replace(line, F.lit(f"\n{f}\n"), F.lit("")))) / (len(f) + 2)).cast("long") for f in forms]
 
 
 def clean_word(w: Column) -> Column:
@@ -42,6 +59,12 @@ def stem(w: Column) -> Column:
     return F.when(w.endswith("ing") & (n > 4), cut(3)).when(w.endswith("ed") & (n > 3), cut(2)).when(w.endswith("s") & (n > 2), cut(1)).otherwise(w)
 
 
+def stem_of(w: str) -> str:
+    """stem() of a word on the driver."""
+    n = len(w.encode())
+    return w[:-3] if w.endswith("ing") and n > 4 else w[:-2] if w.endswith("ed") and n > 3 else w[:-1] if w.endswith("s") and n > 2 else w
+
+
 def term(w: Column, language: str = "en") -> Column:
     """The index term of a word; other languages than English are only lower-cased."""
     return stem(clean_word(w)) if language == "en" else clean_word(w)
@@ -49,7 +72,7 @@ def term(w: Column, language: str = "en") -> Column:
 
 def collapse(s: Column) -> Column:
     """Blanks as one space each, none at the ends."""
-    return F.trim(F.regexp_replace(s, r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(s, BLANKS, " "))
 
 
 def normal_name(s: Column) -> Column:

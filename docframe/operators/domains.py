@@ -143,26 +143,21 @@ def suggested(refs: DataFrame, objects: DataFrame, most: int = 5) -> DataFrame:
     Python's also by qualified name, which is what is suggested."""
     broken = refs.where("found IS NULL AND domain IS NOT NULL").select("domain", "kind", "target").distinct()
 
-    def near(asked: DataFrame, names: DataFrame, lower: bool = False) -> DataFrame:
-        """(target, give) of names (name, give) that meet the asked ones."""
-        low = F.lower if lower else (lambda c: F.col(c))
-        hits = R.suggestions(asked.select(low("target").alias("target")), names.select(low("name").alias("name")), 1 << 30)
-        pairs = hits.select("target", F.explode("suggestions").alias("name"))
-        back = asked.select(F.col("target").alias("asked"), low("target").alias("target")).distinct()
-        return pairs.join(back, "target").join(names.select(low("name").alias("name"), "give").distinct(), "name").select(F.col("asked").alias("target"), "name", "give", F.col("target").alias("t"))
+    def near(of: str, mine: DataFrame, name: str, give: str, lower: bool = False, whole: bool = True) -> DataFrame:
+        """(domain, kind, target, give) of references and the names that they meet; not `whole`: only names that hold the target."""
+        low = F.lower if lower else F.col
+        asked = broken.where(of).select("domain", "kind", F.col("target").alias("asked"), low("target").alias("target"))
+        hits = R.containing(asked, mine.where(F.col(name).isNotNull()).select(low(name).alias("name"), F.col(give).alias("give")))
+        hits = hits if whole else hits.where(F.col("name").contains(F.col("target")))
+        return hits.select("domain", "kind", F.col("asked").alias("target"), "give")
 
     parts = []
-    for kind, of in (("document", "object_type = 'document'"), ("section", "object_type <> 'document'")):
-        asked = broken.where("domain = 'rst'").where((F.col("kind") == "document") if kind == "document" else (F.col("kind") != "document")).select("domain", "kind", "target")
-        mine = objects.where("domain = 'rst'").where(of)
-        by_name = near(asked, mine.select("name", F.col("name").alias("give")))
-        by_title = near(asked, mine.where("title IS NOT NULL").select(F.col("title").alias("name"), F.col("name").alias("give")), True).where(F.col("name").contains(F.col("t")))
-        parts.append(asked.join(by_name.union(by_title).select("target", "give"), "target"))
-    asked = broken.where("domain = 'python'")
+    for is_document in (True, False):
+        mine = objects.where("domain = 'rst'").where((F.col("object_type") == "document") == is_document)
+        of = f"domain = 'rst' AND (kind = 'document') = {is_document}"
+        parts += [near(of, mine, "name", "name"), near(of, mine, "title", "name", lower=True, whole=False)]
     mine = objects.where("domain = 'python'")
-    by_name = near(asked, mine.select("name", F.col("qualified_name").alias("give")))
-    by_whole = near(asked, mine.select(F.col("qualified_name").alias("name"), F.col("qualified_name").alias("give"))).where(F.col("name").contains(F.col("t")))
-    parts.append(asked.join(by_name.union(by_whole).select("target", "give"), "target"))
+    parts += [near("domain = 'python'", mine, "name", "qualified_name"), near("domain = 'python'", mine, "qualified_name", "qualified_name", whole=False)]
     all_ = parts[0]
     for p in parts[1:]:
         all_ = all_.unionByName(p)

@@ -57,15 +57,13 @@ def resolve_objects(refs: DataFrame, objects: DataFrame) -> DataFrame:
     return out.withColumn("found", F.coalesce("exact", "simple")).drop("exact", "simple")
 
 
-def suggestions(refs: DataFrame, names: DataFrame, most: int = 5, grams: int = 3) -> DataFrame:
-    """(target, suggestions): for each target the first `most` names that it contains
-    or that contain it, in order.
+def containing(refs: DataFrame, names: DataFrame, grams: int = 3) -> DataFrame:
+    """The pairs of rows of refs (target, …) and names (name, …) of which one's text
+    contains the other's; a pair may come twice.
 
     Of two strings one of which contains the other, the shorter one's first `grams`
     characters stand in the longer one: that key joins them without a product of
     rows; shorter strings are keyed by all their runs of their own length."""
-    refs = refs.select("target").distinct()
-    names = names.select("name").distinct()
 
     def starts(c: str) -> Column:
         return F.substring(c, 1, grams)
@@ -74,9 +72,15 @@ def suggestions(refs: DataFrame, names: DataFrame, most: int = 5, grams: int = 3
         every = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(grams)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - n + 1)), lambda i: F.substring(F.col(c), i, n))))
         return F.explode(F.array_distinct(every))
 
-    inside = refs.select("target", runs("target").alias("k")).join(names.select("name", starts("name").alias("k")), "k").where(F.col("target").contains(F.col("name")))
-    around = refs.select("target", starts("target").alias("k")).join(names.select("name", runs("name").alias("k")), "k").where(F.col("name").contains(F.col("target")))
-    hits = inside.select("target", "name").union(around.select("target", "name"))
+    inside = refs.withColumn("_k", runs("target")).join(names.withColumn("_k", starts("name")), "_k").where(F.col("target").contains(F.col("name")))
+    around = refs.withColumn("_k", starts("target")).join(names.withColumn("_k", runs("name")), "_k").where(F.col("name").contains(F.col("target")))
+    return inside.unionByName(around).drop("_k")
+
+
+def suggestions(refs: DataFrame, names: DataFrame, most: int = 5, grams: int = 3) -> DataFrame:
+    """(target, suggestions): for each target the first `most` names that it contains
+    or that contain it, in order."""
+    hits = containing(refs.select("target").distinct(), names.select("name").distinct(), grams)
     return hits.groupBy("target").agg(F.slice(F.array_sort(F.collect_set("name")), 1, most).alias("suggestions"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,15 +39,14 @@ def search(docs: DataFrame, query: str, limit: int = 50, key: str = "docname", t
     is given. Ties go by name. A query of no terms finds nothing."""
     terms = query_terms(docs.sparkSession, query)
     wanted = {r.term: r.weight for r in terms.collect()}  # as many rows as the query has words
-    forms = [t + end for t in wanted for end in ("", "ing", "ed", "s")]
+    # all words that have one of the terms
+    forms = {f: wanted[t] for t in wanted for f in (t, t + "ing", t + "ed", t + "s") if X.stem_of(f) == t}
 
     def total(c: Column) -> Column:
-        """The weights of the words of a text that can have one of the terms; others are dropped before they are stemmed."""
-        some = F.filter(X.clean_words(c), lambda w: w.isin(forms))
-        weight = F.create_map(*[F.lit(x) for p in wanted.items() for x in p])
-        return F.aggregate(some, F.lit(0).cast("long"), lambda a, w: a + F.coalesce(F.element_at(weight, X.stem(w)), F.lit(0)))
+        """The weights of the words of a text that have one of the terms; no other word is cut out of it."""
+        return reduce(lambda a, b: a + b, [n * w for n, w in zip(X.counts_of(c, list(forms)), forms.values(), strict=True)])
 
-    if not wanted:
+    if not forms:
         return docs.select(F.col(key).alias("docname"), F.lit(0).cast("long").alias("score")).limit(0)
     score = total(F.col(text)) if title is None else total(F.col(text)) + TITLE_WEIGHT * total(title)
     hits = spread(docs).select(F.col(key).alias("docname"), score.alias("score")).where("score > 0").groupBy("docname").agg(F.sum("score").alias("score"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docframe.functions import text as X
+from docframe.session import spread
 
 MARKS = [":doc:`", ":ref:`", ":func:`", ":class:`", ":meth:`", ":attr:`", ":mod:`", ":py:", ".. _", "`~"]
 ORPHAN = "document isn't included in any toctree"
@@ -39,7 +40,7 @@ def project(files: DataFrame, path: str = "path", text: str = "content") -> Data
     marks = reduce(lambda a, b: a + b, [X.occurrences(t, m) for m in MARKS])
     folders = F.split(path, "/")
     hidden = F.exists(F.slice(folders, 1, F.size(folders) - 1), lambda x: x.startswith("."))
-    files, depth = files.where(~hidden), F.size(folders) - 1
+    files, depth = spread(files).where(~hidden), F.size(folders) - 1
     return files.agg(F.count("*").alias("files"), F.coalesce(F.sum(line_count(t)), F.lit(0)).alias("n_lines"), F.floor(F.avg(F.octet_length(t))).cast("long").alias("mean_bytes"), F.max(F.octet_length(t)).cast("long").alias("max_bytes"), (F.coalesce(F.avg(F.coalesce(F.octet_length(t), F.lit(0))), F.lit(0.0)) / 1024).alias("mean_kb"), (F.coalesce(F.max(F.octet_length(t)), F.lit(0)) / 1024).alias("max_kb"), F.max(depth).cast("long").alias("max_depth"), F.coalesce(F.sum(marks), F.lit(0)).alias("cross_refs"))
 
 

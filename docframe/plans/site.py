@@ -16,6 +16,7 @@ from docframe.operators import search as S
 from docframe.operators import site
 from docframe.operators import statistics as ST
 from docframe.operators import toctree as T
+from docframe.operators.indexing import checkpointed
 from docframe.registry import query, table
 
 
@@ -39,17 +40,22 @@ r AS (SELECT 'document' AS kind, lower(n_name) || '.rst' AS target FROM nation U
 UNION SELECT 'numref', lower(n_name) FROM nation UNION SELECT 'function', lower(s_name) FROM supplier UNION SELECT 'class', 'm' || s_nationkey || '.' FROM supplier UNION SELECT 'wild', 'x')"""
 
 
-def _domains(spark, sf_dir):
+def _objects(spark, sf_dir):
     n, r, s = (table(spark, sf_dir, t) for t in ("nation", "region", "supplier"))
     low, one = F.lower, F.lit(1)
     docs = M.documents(n.select(low("n_name").alias("docname"), F.col("n_name").alias("title"), one.alias("line"), F.col("n_nationkey").alias("ord")))
     labels = M.sections(r.select(low("r_name").alias("label"), F.concat(F.lit("Part of "), "r_name").alias("title"), low("r_name").alias("docname"), one.alias("line"), F.col("r_regionkey").alias("ord")))
     py = M.python(s.select(low("s_name").alias("name"), F.concat(F.lit("m"), "s_nationkey").alias("module"), F.lit("api").alias("docname"), one.alias("line"), F.col("s_suppkey").alias("ord")), "function")
-    objects, _ = M.registered(docs.unionByName(labels).unionByName(py))
+    return checkpointed(M.registered(docs.unionByName(labels).unionByName(py))[0])
+
+
+def _domains(spark, sf_dir):
+    n, r, s = (table(spark, sf_dir, t) for t in ("nation", "region", "supplier"))
+    low, objects = F.lower, _objects(spark, sf_dir)
     ask = lambda df, kind, target: df.select(F.lit(kind).alias("kind"), target.alias("target"))
     refs = ask(n, "document", F.concat(low("n_name"), F.lit(".rst"))).union(ask(n, "document", low(F.substring("n_name", 2, 3)))).union(ask(r, "section", low("r_name"))).union(ask(r, "section", F.concat(F.lit("T OF "), F.left("r_name", F.lit(2)))))
     refs = refs.union(ask(n, "numref", low("n_name"))).union(ask(s, "function", low("s_name"))).union(ask(s, "class", F.concat(F.lit("m"), "s_nationkey", F.lit(".")))).union(spark.createDataFrame([("wild", "x")], "kind string, target string"))
-    got = M.resolved(refs.distinct().withColumn("external", R.is_external(F.col("kind"), F.col("target"))), objects)
+    got = checkpointed(M.resolved(refs.distinct().withColumn("external", R.is_external(F.col("kind"), F.col("target"))), objects))
     return objects, M.messages(got, M.suggested(got, objects))
 
 
@@ -67,7 +73,7 @@ def domain_messages(spark, sf_dir):
 
 @query("""SELECT n, whole FROM (SELECT lower(s_name) AS n, 'm' || s_nationkey || '.' || lower(s_name) AS whole FROM supplier UNION ALL SELECT lower(n_name), lower(n_name) FROM nation UNION ALL SELECT lower(r_name), lower(r_name) || '#' || lower(r_name) FROM region) WHERE contains(n, 'r0') OR contains(whole, 'a#')""")
 def object_search(spark, sf_dir):
-    o = _domains(spark, sf_dir)[0]
+    o = _objects(spark, sf_dir)
     return M.containing(o, "r0").union(M.containing(o, "a#")).select(F.col("name").alias("n"), F.col("qualified_name").alias("whole"))
 
 

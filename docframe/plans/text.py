@@ -9,6 +9,7 @@ from docframe.functions import text as X
 from docframe.operators import search as S
 from docframe.operators.indexing import dense_index
 from docframe.registry import query, table
+from docframe.session import spread
 
 QUERY = "the running of the documents ofed"
 
@@ -73,7 +74,7 @@ def make_id_ascii(spark, sf_dir):
 
 @query()
 def make_id(spark, sf_dir):
-    return docs(spark, sf_dir).select("docname", X.make_id(F.col("content")).alias("id"))
+    return spread(docs(spark, sf_dir)).select("docname", X.make_id(F.col("content")).alias("id"))
 
 
 @query(r"""SELECT doc_id, lower(trim(regexp_replace(text, '[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g'))) AS name,
