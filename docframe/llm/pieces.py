@@ -345,7 +345,7 @@ def _words(docs: DataFrame, shared: Broadcast) -> DataFrame:
         for b in batches:
             texts = b.column(0).to_pylist()
             size = np.cumsum([len(t) for t in texts])
-            for lo, hi in _spans(np.concatenate([[0], size]).astype(np.int64), 8 << 20):
+            for lo, hi in _spans(np.concatenate([[0], size]).astype(np.int64), 4 << 20):
                 w = Words(texts[lo:hi], v)
                 if len(w.one):
                     yield pa.RecordBatch.from_arrays([pa.array(w.distinct(), pa.string()), pa.array(np.bincount(w.which).astype(np.int64))], ["word", "n"])
@@ -396,7 +396,7 @@ def _codes(parts: list[bytes]) -> Codes:
 BLOCK_WORDS = 1 << 16
 
 
-def encode(docs: DataFrame, model: str = MODEL, group_bytes: int = GROUP_BYTES // 2, cache: int = CACHE, key: str = "doc_id", text: str = "text") -> DataFrame:
+def encode(docs: DataFrame, model: str = MODEL, group_bytes: int = GROUP_BYTES // 4, cache: int = CACHE, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, ids) of every row: the same ids as the model's own library gives.
 
     A null text has null ids, an empty text none. Rows that repeat an id are
@@ -480,7 +480,7 @@ def decode(rows: DataFrame, model: str = MODEL, ids: str = "ids", text: str = "t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, single = pa.array(shared.value[0], pa.binary()), np.array(shared.value[1])
-        for b in batches:
+        for b in (x.slice(lo, 1000) for x in batches for lo in range(0, x.num_rows, 1000)):
             lists = column(b, ids)
             n = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(lists), 0)).astype(np.int64)
             flat = lists.flatten()
