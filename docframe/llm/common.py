@@ -1,12 +1,11 @@
-"""Shared pieces: the shared folder, table access, vectorised tokenising and
-hashing over Arrow buffers, and the column-block exchange."""
+"""Shared pieces: the shared folder, table access, vectorised tokenising and hashing
+over Arrow buffers, groups of texts, and what they ask of blocks."""
 
 from __future__ import annotations
 
 import atexit
 import itertools
 import os
-import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -20,7 +19,7 @@ from pyspark.sql import types as T
 #: Texts are worked on in slices of about this many bytes; a longer text is a slice of its own.
 SLICE_BYTES = 4 << 20
 
-# ---------------------------------------------------------------- shared folder
+# shared folder
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -123,7 +122,7 @@ def blocks_for(df: DataFrame, text: str, bytes_each: int) -> int:
     return max(16, size // bytes_each)
 
 
-# ---------------------------------------------------------------- Arrow helpers
+# Arrow helpers
 
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
@@ -261,33 +260,7 @@ def fresh(df: DataFrame, stem: str) -> str:
     return next(x for x in itertools.chain([stem], (f"{stem}_{i}" for i in itertools.count(1))) if x.lower() not in have)
 
 
-# ---------------------------------------------------------------- column blocks
-
-
-def blob_rows(block: np.ndarray, columns: list[np.ndarray]) -> tuple[np.ndarray, list[bytes]]:
-    """Columns cut by block number: (block numbers, one blob for each). Order within a block is kept."""
-    if not len(block):
-        return np.zeros(0, np.int64), []
-    order = np.argsort(block, kind="stable")
-    block = block[order]
-    edge = np.flatnonzero(np.diff(block)) + 1
-    edge = np.concatenate([[0], edge, [len(block)]])
-    columns = [c[order] for c in columns]
-    blobs = []
-    for a, b in zip(edge[:-1], edge[1:], strict=True):
-        blobs.append(np.int64(b - a).tobytes() + b"".join(c[a:b].tobytes() for c in columns))
-    return block[edge[:-1]].astype(np.int64), blobs
-
-
-def read_blobs(blobs: list[bytes], types: list[np.dtype]) -> list[np.ndarray]:
-    """The concatenated columns of blobs written by blob_rows."""
-    parts: list[list[np.ndarray]] = [[] for _ in types]
-    for x in blobs:
-        n, at = int(np.frombuffer(x, np.int64, 1)[0]), 8
-        for k, t in enumerate(types):
-            parts[k].append(np.frombuffer(x, t, n, at))
-            at += n * np.dtype(t).itemsize
-    return [np.concatenate(p) if p else np.zeros(0, t) for p, t in zip(parts, types, strict=True)]
+# column blocks
 
 
 def deflated(arrays: list[np.ndarray], rising: int = 0) -> bytes:
@@ -328,39 +301,17 @@ def split_by(block: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return order, np.append(edge, len(b)), b[edge].astype(np.int64)
 
 
-BLOCK_SCHEMA = "block long, part binary"
-
-
-def block_batch(block: np.ndarray, columns: list[np.ndarray]) -> pa.RecordBatch:
-    ids, blobs = blob_rows(block, columns)
-    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(blobs, pa.binary())], ["block", "part"])
-
-
-def by_block(df: DataFrame, reduce: Callable[[list[bytes]], pa.RecordBatch], schema: str) -> DataFrame:
-    """reduce over all parts of each block, one block in memory at a time."""
-
-    def run(t: pa.Table) -> pa.Table:
-        return pa.Table.from_batches([reduce(t.column("part").to_pylist())])
-
-    return df.groupBy("block").applyInArrow(run, schema)
-
-
 def arrow_type(schema: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 
     return to_arrow_schema(T._parse_datatype_string(schema))
 
 
-def words_sql(text: str) -> str:
-    """The number of words of a text in SQL: runs without blanks."""
-    return re.sub(r"\s+", " ", f"CASE WHEN {text} IS NULL THEN 0 ELSE size(filter(split({text}, '[ \\\\t\\\\n\\\\r]+'), x -> x <> '')) END")
-
-
 def rows_of(df: DataFrame, name: str = "rows") -> int:
     return df.select(F.count("*").alias(name)).first()[0]
 
 
-# ---------------------------------------------------------------- groups of texts
+# groups of texts
 
 #: A group's texts hold about this many bytes; a longer text is a group of its own.
 GROUP_BYTES = 16 << 20

@@ -143,7 +143,7 @@ def counts(docs: DataFrame, order: int, blocks: int, text: str = "text", lang: s
     return first.applyInArrow(some, schema).groupBy("lang", "block").applyInArrow(some, schema)
 
 
-# ---------------------------------------------------------------- models
+# models
 
 
 class Level(NamedTuple):
@@ -332,7 +332,7 @@ def block_levels(kind: Katz | KneserNey, part: bytes, bottom: Bottom, order: int
     return levels
 
 
-# ---------------------------------------------------------------- scores
+# scores
 
 
 def asked(texts: pa.Array, order: int, block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

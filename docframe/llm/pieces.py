@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docframe.llm.common import GROUP_BYTES, answered, column, deflated, inflated, mix, packed, powers, rows_of, split_by, unpacked, written
+from docframe.llm.common import GROUP_BYTES, answered, deflated, fresh, inflated, mix, packed, powers, rows_of, split_by, unpacked, written
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Words of more characters are folded in Python, by a heap or an array: the
@@ -96,7 +96,7 @@ def vocabulary(path: str = MODEL) -> Vocabulary:
     return Vocabulary([p.piece for p in m.pieces], [p.score for p in m.pieces], [p.type for p in m.pieces], t.model_type == 2, n.add_dummy_prefix, unknown, t.byte_fallback)
 
 
-# ---------------------------------------------------------------- words of texts
+# words of texts
 
 
 def normalised(text: str, v: Vocabulary) -> str:
@@ -232,7 +232,7 @@ def encode_long(word: str, v: Vocabulary) -> list[int]:
     return out
 
 
-# ---------------------------------------------------------------- the lattice
+# the lattice
 
 
 def piece_table(spark: SparkSession, v: Vocabulary) -> DataFrame:
@@ -471,33 +471,21 @@ def decode(rows: DataFrame, model: str = MODEL, ids: str = "ids", text: str = "t
     the model doesn't have raises. Other columns stay; no rows give no rows.
     """
     v = vocabulary(model)
-    raw = []
-    for p, k in zip(v.pieces, v.kinds, strict=True):
-        raw.append(bytes([int(p[3:5], 16)]) if k == 6 else b"" if k == 3 else " ⁇ ".encode() if k == 2 else p.replace(SPACE, " ").encode())
-    shared = rows.sparkSession.sparkContext.broadcast((raw, [k == 6 for k in v.kinds]))
-    names = [c for c in rows.columns if c.lower() != text.lower()]
-    prefix = v.prefix
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, single = pa.array(shared.value[0], pa.binary()), np.array(shared.value[1])
-        for b in (x.slice(lo, 1000) for x in batches for lo in range(0, x.num_rows, 1000)):
-            lists = column(b, ids)
-            n = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(lists), 0)).astype(np.int64)
-            flat = lists.flatten()
-            begin = np.concatenate([[0], np.cumsum(n)])
-            made = pa.compute.binary_join(pa.LargeListArray.from_arrays(pa.array(begin), pieces.take(flat)), b"")
-            # only bytes of a piece each can be no UTF-8
-            odd = np.flatnonzero(np.diff(np.concatenate([[0], np.cumsum(single[np.asarray(flat)])])[begin]))
-            if len(odd):
-                whole = made.to_pylist()
-                for i in odd:
-                    whole[i] = whole[i].decode("utf-8", "replace").encode()
-                made = pa.array(whole, pa.binary())
-            made = made.cast(pa.string())
-            if prefix:
-                made = pa.compute.if_else(pa.compute.starts_with(made, " "), pa.compute.utf8_slice_codeunits(made, 1), made)
-            made = pa.compute.if_else(lists.is_valid(), made, pa.scalar(None, pa.string()))
-            yield pa.RecordBatch.from_arrays([*(column(b, c) for c in names), made], [*names, text])
-
-    schema = T.StructType([*(rows.schema[c] for c in names), T.StructField(text, T.StringType())])
-    return rows.select(*dict.fromkeys([*names, ids])).mapInArrow(run, schema)
+    single = [i for i, k in enumerate(v.kinds) if k == 6]
+    shown = [bytes([int(p[3:5], 16)]) if k == 6 else b"" if k == 3 else " ⁇ ".encode() if k == 2 else p.replace(SPACE, " ").encode() for p, k in zip(v.pieces, v.kinds, strict=True)]
+
+    def joined(parts: list[str]) -> F.Column:
+        """The entries of the ids in one text; parts are divided by a sign that no entry has."""
+        table = F.split(F.lit("\1".join(parts)), "\1")
+        return F.array_join(F.transform(ids, lambda i: F.element_at(table, i + 1)), "")
+
+    if any(b"\1" in x for x in shown if len(x) > 1):
+        raise ValueError("a piece has the sign U+0001")
+    # pieces that are a byte each may be parts of a character: such texts are put together as bytes
+    exact = F.make_valid_utf8(F.unhex(joined([x.hex() for x in shown])).cast("string"))
+    plain = joined(["" if k == 6 else x.decode() for x, k in zip(shown, v.kinds, strict=True)])
+    whole = F.when(F.exists(ids, lambda i: i.between(min(single), max(single))), exact).otherwise(plain) if single else plain
+    name = fresh(rows, "decoded")
+    done = rows.withColumn(name, whole)
+    cut = F.when(F.lit(v.prefix) & F.startswith(name, F.lit(" ")), F.substring(name, 2, 1 << 30)).otherwise(F.col(name))
+    return done.withColumn(text, cut).drop(name)
