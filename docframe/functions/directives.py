@@ -19,7 +19,7 @@ class Wrong(ValueError):
     """What is wrong in a directive, for its message."""
 
 
-# ---------------------------------------------------------------- option values
+# option values
 
 
 def flag(x: str | None) -> None:
@@ -268,7 +268,7 @@ def run(parser, given: str, mark: int, lines: list[str], i: int, base: int, subs
         return [parser.say(ERROR, text, line, preserved("literal_block", raw))], b.end, b.finished
 
 
-# ---------------------------------------------------------------- nodes
+# nodes
 
 
 def _unbuilt(c: Call) -> list[Node]:

@@ -58,7 +58,7 @@ def _next(a: Column, hit: Column) -> Column:
     return F.struct((here + F.length(hit)).cast("int").alias("at"), F.concat(a["out"], F.array(F.octet_length(F.substr(F.col("s"), F.lit(1), here)).cast("int"))).alias("out"))
 
 
-# ---------------------------------------------------------------- objects
+# objects
 
 OBJECT = ["id", "name", "object_type", "domain", "qualified_name", "title", "docname", "line"]
 
@@ -110,7 +110,7 @@ def looked_up(inventory: DataFrame, wanted: DataFrame) -> DataFrame:
     return wanted.join(inventory, ["type", "name"], "left")
 
 
-# ---------------------------------------------------------------- resolution
+# resolution
 
 
 def dispatched(refs: DataFrame) -> DataFrame:
