@@ -16,6 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# what Arrow frees goes back to the system: workers that wait stay small
+pa.set_memory_pool(pa.system_memory_pool())
+
 #: Texts are worked on in slices of about this many bytes; a longer text is a slice of its own.
 SLICE_BYTES = 4 << 20
 
@@ -314,7 +317,7 @@ def rows_of(df: DataFrame, name: str = "rows") -> int:
 # groups of texts
 
 #: A group's texts hold about this many bytes; a longer text is a group of its own.
-GROUP_BYTES = 16 << 20
+GROUP_BYTES = 8 << 20
 #: Of zstd: texts are exchanged, and a group is compressed once.
 LEVEL = 3
 
