@@ -33,6 +33,8 @@ UNKNOWN = "und"
 LOW = 3
 #: Counts of so many tasks are combined at first, then those sums.
 FAN = 64
+#: n-grams that a task holds besides merged ones, and at most: some 16 bytes each, and as much again while they are merged.
+MORE, MOST = 1_500_000, 3_000_000
 
 
 def codes(data: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -121,9 +123,9 @@ def counts(docs: DataFrame, order: int, blocks: int, text: str = "text", lang: s
                 for _, _, data, offsets in slices(texts, 2 << 20):
                     held[name].append(runs(codes(data, offsets, order)[0]))
                     size[name] += len(held[name][-1][0])
-                    if size[name] > 2 * len(held[name][0][0]) + 2_000_000:
+                    if size[name] > len(held[name][0][0]) + MORE:
                         shrink(name)
-                    if size[name] > 8_000_000:  # what is held is sent on, to be merged with the rest
+                    if size[name] > MOST:  # what is held is sent on, to be merged with the rest
                         yield out(name)
                         held[name], size[name] = [], 0
         for name in sorted(held):
