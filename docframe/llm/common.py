@@ -4,6 +4,7 @@ over Arrow buffers, groups of texts, and what they ask of blocks."""
 from __future__ import annotations
 
 import atexit
+import ctypes
 import itertools
 import os
 import tempfile
@@ -19,8 +20,20 @@ from pyspark.sql import types as T
 # what Arrow frees goes back to the system: workers that wait stay small
 pa.set_memory_pool(pa.system_memory_pool())
 
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # another C library
+    _trim = None
+
+
+def lightened() -> None:
+    """Gives the memory that NumPy's freed arrays have left in the C library back too."""
+    if _trim is not None:
+        _trim(0)
+
+
 #: Texts are worked on in slices of about this many bytes; a longer text is a slice of its own.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = (1 << 20) - 1
 
 # shared folder
 
@@ -137,20 +150,24 @@ _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64)
 _P = np.uint64(0x9E3779B97F4A7C15)
 _Q = np.uint64(0xC2B2AE3D27D4EB4F)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: Workers are used again and again: tables of more powers than this aren't kept.
+KEPT = 1 << 20
 
 
 def _power(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i <= n."""
     have = _powers.get(int(base))
     if have is None or len(have[0]) <= n:
-        size = 1 << (n + 1).bit_length()
+        size = 1 << n.bit_length()
         inv = np.uint64(pow(int(base), -1, 1 << 64))
         out = []
         for x in (base, inv):
             a = np.full(size, x, np.uint64)
             a[0] = 1
             out.append(np.multiply.accumulate(a))
-        have = _powers[int(base)] = (out[0], out[1])
+        have = (out[0], out[1])
+        if size <= KEPT:
+            _powers[int(base)] = have
     return have
 
 
@@ -393,7 +410,9 @@ def questions(groups: DataFrame, ask: Callable) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for g, blob in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                yield from _asked(g, list(ask(blob.as_py())))
+                asked = _asked(g, list(ask(blob.as_py())))
+                lightened()
+                yield from asked
 
     return groups.mapInArrow(run, ASKED)
 
@@ -412,7 +431,9 @@ def concluded(groups: DataFrame, answers: DataFrame, finish: Callable, schema: T
 
     def end(left: pa.Table, right: pa.Table) -> pa.Table:
         got = dict(zip(right.column("block").to_pylist(), right.column("part").to_pylist(), strict=True))
-        return pa.concat_tables([finish(g, blob.as_py(), got) for g, blob in zip(left.column("g").to_pylist(), left.column("blob"), strict=True)])
+        out = pa.concat_tables([finish(g, blob.as_py(), got) for g, blob in zip(left.column("g").to_pylist(), left.column("blob"), strict=True)])
+        lightened()
+        return out
 
     return groups.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(end, schema)
 
@@ -440,7 +461,10 @@ def answered(groups: DataFrame, ask: Callable, tables: DataFrame, answer: Callab
 
     def reply(left: pa.Table, right: pa.Table) -> pa.Table:
         one = answer(right) if left.num_rows else None
-        return _replies(left, [one(x.as_py()) for x in left.column("part")])
+        out = _replies(left, [one(x.as_py()) for x in left.column("part")])
+        del one
+        lightened()
+        return out
 
     answers = questions(groups, ask).groupBy("block").cogroup(tables.groupBy("block")).applyInArrow(reply, ASKED)
     return concluded(groups, answers, lambda _, blob, got: finish(blob, got), schema)

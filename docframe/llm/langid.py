@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docframe.llm.common import column, folded, fresh, slices
+from docframe.llm.common import column, folded, fresh, lightened, slices
 
 BITS = 13
 SAMPLE = 500
@@ -72,44 +72,76 @@ def _owner(offsets: np.ndarray, n: int) -> np.ndarray:
     return row[:n]
 
 
-def features(text: pa.Array, bits: int = BITS) -> np.ndarray:
+class Sparse:
+    """Rows of a matrix by their entries other than 0: first (where each row's start, and
+    the end), at (columns, ascending in a row) and value. A text has far fewer trigrams
+    than there are columns, so no row of all columns is ever made."""
+
+    def __init__(self, first: np.ndarray, at: np.ndarray, value: np.ndarray, width: int):
+        self.first, self.at, self.value, self.width = first, at, value, width
+        self._some = np.flatnonzero(np.diff(first))
+        self._begin = first[:-1][self._some]
+
+    def __len__(self) -> int:
+        return len(self.first) - 1
+
+    def times(self, v: np.ndarray) -> np.ndarray:
+        """The product of each row and v."""
+        out = np.zeros(len(self), np.float32)
+        if len(self._some):
+            out[self._some] = np.add.reduceat(self.value * v[self.at], self._begin)
+        return out
+
+    def transposed(self) -> Sparse:
+        order = np.argsort(self.at, kind="stable")
+        row = np.repeat(np.arange(len(self), dtype=np.int32), np.diff(self.first))[order]
+        return Sparse(np.concatenate([[0], np.cumsum(np.bincount(self.at, minlength=self.width))]), row, self.value[order], len(self))
+
+
+def features(text: pa.Array, bits: int = BITS) -> Sparse:
     """A row of relative trigram frequencies for each text."""
-    out = np.zeros((len(text), 1 << bits), np.float32)
+    first, ats, values = [np.zeros(1, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.float32)]
     for i, j, data, offsets in slices(text):
-        code, first = grams(data, offsets, bits)
-        row = np.repeat(np.arange(i, j), np.diff(first))
-        np.add.at(out, (row, code), 1)
-    return out / np.maximum(out.sum(axis=1, keepdims=True), 1)
+        code, start = grams(data, offsets, bits)
+        n = np.diff(start)
+        key, count = np.unique(np.repeat(np.arange(j - i) << bits, n) | code, return_counts=True)
+        row = key >> bits
+        ats.append((key & ((1 << bits) - 1)).astype(np.int32))
+        values.append((count / n[row]).astype(np.float32))
+        first.append(first[-1][-1] + np.cumsum(np.bincount(row, minlength=j - i)))
+    return Sparse(np.concatenate(first), np.concatenate(ats), np.concatenate(values), 1 << bits)
 
 
-def svm(x: np.ndarray, y: np.ndarray, regular: float = 1e-2, rounds: int = 200) -> tuple[np.ndarray, float, float]:
+def svm(x: Sparse | np.ndarray, y: np.ndarray, regular: float = 1e-2, rounds: int = 200) -> tuple[np.ndarray, float, float]:
     """Weights, bias, and the variance of a trigram's weight over the rows, of a linear support vector machine with squared hinge
     loss, labels -1 and 1, both classes weighted alike; by accelerated gradients."""
-    x = x.astype(np.float32)  # the only copy
-    scale = np.float32(1 / max(1e-12, float(np.sqrt(np.einsum("ij,ij->", x, x, dtype=np.float64) / len(x)))))
-    x *= scale
+    if not isinstance(x, Sparse):
+        row, at = np.nonzero(x)
+        x = Sparse(np.searchsorted(row, np.arange(len(x) + 1)), at, x[row, at].astype(np.float32), x.shape[1])
+    scale = np.float32(1 / max(1e-12, float(np.sqrt(np.einsum("i,i->", x.value, x.value, dtype=np.float64) / len(x)))))
+    by_column = x.transposed()
     each = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32)
 
     def forward(v: np.ndarray) -> np.ndarray:
-        return x @ v[:-1] + v[-1]  # the last weight is the bias
+        return x.times(v[:-1] * scale) + v[-1]  # the last weight is the bias
 
     def back(r: np.ndarray) -> np.ndarray:
-        return np.append(r @ x, r.sum()).astype(np.float32)
+        return np.append(by_column.times(r) * scale, r.sum()).astype(np.float32)
 
-    v = np.random.default_rng(0).standard_normal(x.shape[1] + 1).astype(np.float32)
+    v = np.random.default_rng(0).standard_normal(x.width + 1).astype(np.float32)
     for _ in range(20):  # the largest curvature
         v = back(each * forward(v))
         top = float(np.linalg.norm(v))
         v /= max(top, 1e-30)
     step = 1 / (2 * top * 1.1 + regular)
-    w = z = np.zeros(x.shape[1] + 1, np.float32)
+    w = z = np.zeros(x.width + 1, np.float32)
     for t in range(rounds):
         slack = np.maximum(0, 1 - y * forward(z))
         new = z - step * (back(-2 * each * y * slack) + regular * z)
         z = new + t / (t + 3) * (new - w)
         w = new
     v = w[:-1] * scale
-    share = x.mean(axis=0, dtype=np.float64) / scale
+    share = np.bincount(x.at, weights=x.value, minlength=x.width) / len(x)
     return v, float(w[-1]), float(share @ v.astype(np.float64) ** 2 - (share @ v) ** 2)
 
 
@@ -194,10 +226,8 @@ def train(docs: DataFrame, sample: int = SAMPLE, bits: int = BITS, text: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for x in features(column(b, "text"), bits):
-                at = np.flatnonzero(x)
-                rows.append(at.astype(np.int32).tobytes() + x[at].astype(np.float32).tobytes())
+            x = features(column(b, "text"), bits)
+            rows = [x.at[i:j].tobytes() + x.value[i:j].tobytes() for i, j in zip(x.first[:-1], x.first[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([column(b, "lang"), pa.array(rows, pa.binary())], ["lang", "x"])
 
     rows = some.select("lang", "text").mapInArrow(run, "lang string, x binary")
@@ -211,11 +241,11 @@ def train(docs: DataFrame, sample: int = SAMPLE, bits: int = BITS, text: str = "
     def fit(key: tuple, t: pa.Table) -> pa.Table:
         side, xs = np.asarray(t.column("side")), t.column("x").to_pylist()
         order = sorted(range(len(xs)), key=lambda i: (side[i], xs[i]))  # the same fit whatever the partitions
-        x = np.zeros((len(xs), 1 << bits), np.float32)
-        for row, i in enumerate(order):
-            m = len(xs[i]) // 8
-            x[row, np.frombuffer(xs[i], np.int32, m)] = np.frombuffer(xs[i], np.float32, m, 4 * m)
-        w, bias, usual = svm(x, side[order].astype(np.float32))
+        size = [len(xs[i]) // 8 for i in order]
+        at, value = (np.concatenate([np.frombuffer(xs[i], kind, m, skip * m) for i, m in zip(order, size, strict=True)]) for kind, skip in ((np.int32, 0), (np.float32, 4)))
+        del xs
+        lightened()
+        w, bias, usual = svm(Sparse(np.concatenate([[0], np.cumsum(size)]), at, value, 1 << bits), side[order].astype(np.float32))
         return pa.table({"pair": [key[0].as_py()], "w": pa.array([w.astype(np.float32).tobytes()], pa.binary()), "bias": [bias], "usual": [usual]})
 
     to = F.broadcast(spark.createDataFrame(sides, "name string, pair long, side int"))  # two rows a pair and language

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docframe.llm.common import deflated, inflated, mix, slices, split_by
+from docframe.llm.common import deflated, inflated, lightened, mix, slices, split_by
 
 START, END = 0xFF, 0xFE  # bytes that UTF-8 never has
 VOCABULARY = 255  # 254 bytes that may occur, and END
@@ -35,6 +35,8 @@ LOW = 3
 FAN = 64
 #: n-grams that a task holds besides merged ones, and at most: some 16 bytes each, and as much again while they are merged.
 MORE, MOST = 1_500_000, 3_000_000
+#: Texts are coded and scored in slices of so many bytes: of each byte some 16 and 40 are held at once.
+CODED, SCORED = 2 << 20, 1 << 20
 
 
 def codes(data: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -88,7 +90,7 @@ def context_block(code: np.ndarray, order: int, blocks: int) -> np.ndarray:
 
 def text_counts(texts: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray]:
     """The distinct n-grams of texts in order, and their counts."""
-    parts = [runs(codes(data, offsets, order)[0]) for _, _, data, offsets in slices(texts)]
+    parts = [runs(codes(data, offsets, order)[0]) for _, _, data, offsets in slices(texts, CODED)]
     return runs(*(np.concatenate(x) for x in zip(*parts, strict=True))) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
@@ -120,7 +122,7 @@ def counts(docs: DataFrame, order: int, blocks: int, text: str = "text", lang: s
             names = b.column(0)
             for name in names.unique().to_pylist():
                 texts = b.column(1).filter(pc.equal(names, name))
-                for _, _, data, offsets in slices(texts, 2 << 20):
+                for _, _, data, offsets in slices(texts, CODED):
                     held[name].append(runs(codes(data, offsets, order)[0]))
                     size[name] += len(held[name][-1][0])
                     if size[name] > len(held[name][0][0]) + MORE:
@@ -131,6 +133,8 @@ def counts(docs: DataFrame, order: int, blocks: int, text: str = "text", lang: s
         for name in sorted(held):
             if held[name]:
                 yield out(name)
+            del held[name]
+        lightened()
 
     def merge(t: pa.Table) -> bytes:
         parts = [inflated(x.as_py(), [np.uint64, np.int64], 1) for x in t.column("part")]
@@ -350,7 +354,7 @@ def sums(texts: pa.Array, code: np.ndarray, p: np.ndarray, order: int) -> tuple[
     at = np.argsort(code)
     code, p = code[at], p[at].astype(np.float64)
     n, total = np.zeros(len(texts), np.int64), np.zeros(len(texts))
-    for i, j, data, offsets in slices(texts):
+    for i, j, data, offsets in slices(texts, SCORED):
         c, first = codes(data, offsets, order)
         back = np.argsort(c)  # a distinct code is looked up once
         s = c[back]

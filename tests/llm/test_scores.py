@@ -1,13 +1,15 @@
 import math
 import random
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from docframe.llm import katz, ngrams
+from docframe.llm import common, katz, ngrams
 from docframe.llm.common import inflated, table
-from docframe.llm.langid import in_declared_language, languages, predicted, svm, train
+from docframe.llm.langid import features, in_declared_language, languages, predicted, svm, train
 from docframe.llm.quality import LOWER, SPREAD, UPPER, in_band, perplexity_bands
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -269,3 +271,28 @@ def test_languages_edges(spark, sf):
     assert languages(docs.limit(0)).count() == 0
     clash = docs.selectExpr("*", "1 AS lead", "2 AS lang_kept", "3 AS predicted_lang", "4 AS langid_text")
     assert in_declared_language(clash).columns == clash.columns
+
+
+def test_what_workers_hold():
+    """Memory of what workers do again and again: in proportion to the texts' trigrams, to a slice, and kept within bounds."""
+    rng = np.random.default_rng(2)
+    words = np.array(["".join(map(chr, rng.integers(97, 123, 6))) for _ in range(500)])
+    texts = [" ".join(rng.choice(words, 40)) for _ in range(4000)]
+
+    def most(f):
+        tracemalloc.start()
+        out = f()
+        peak = tracemalloc.get_traced_memory()[1] / 1e6
+        tracemalloc.stop()
+        return out, peak
+
+    x, peak = most(lambda: features(pa.array(texts)))
+    assert len(x) == 4000 and peak < 80  # 4,000 rows of all columns take 131 MB
+    _, peak = most(lambda: svm(x, np.where(np.arange(4000) % 2, 1, -1).astype(np.float32), rounds=2))
+    assert peak < 40
+    large = pa.array([" ".join(texts)] * 8)
+    code, _ = ngrams.text_counts(large, 6)
+    (n, total), peak = most(lambda: ngrams.sums(large, code, np.zeros(len(code), np.float32), 6))
+    assert len(set(n.tolist())) == 1 and not total.any() and peak < 150
+    common.spans_hash(np.zeros(5 << 20, np.uint8), np.zeros(1, np.int64), np.full(1, 5 << 20))
+    assert sum(len(p) for pair in common._powers.values() for p in pair) <= 4 * common.KEPT
