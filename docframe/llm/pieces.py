@@ -24,7 +24,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401  (pa.compute)
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,6 +69,7 @@ class Vocabulary:
         self.classes[chars] = np.arange(1, len(chars) + 1)
         self.joined = np.zeros((len(chars) + 1, len(chars) + 1), bool)
         self.joined[self.classes[self.bigrams >> 21], self.classes[self.bigrams & 0x1FFFFF]] = True
+        self.apart = ~self.joined.ravel()
         self.single = np.full(0x110000, -1, np.int32)
         for p, (i, _) in self.table.items():
             if len(p) == 1:
@@ -117,8 +118,8 @@ class Words:
         for lo, hi in _spans(starts):
             c = np.frombuffer(self.text[starts[lo] : starts[hi]].encode("utf-32-le", "surrogatepass"), np.uint32)
             cut = np.ones(len(c) + 1, bool)
-            k = v.classes[c]
-            cut[1:-1] = ~v.joined[k[:-1], k[1:]]
+            k = v.classes[c].astype(np.int32)
+            cut[1:-1] = v.apart[k[:-1] * np.int32(len(v.joined)) + k[1:]]
             cut[starts[lo : hi + 1] - starts[lo]] = True
             at = np.flatnonzero(cut)
             if len(at) > 1:
@@ -129,7 +130,15 @@ class Words:
         self.first = np.searchsorted(self.start[:-1], starts)
         none = np.zeros(0, np.uint64)
         one, two = np.concatenate([*ones, none]), np.concatenate([*twos, none])
-        self.one, self.at, self.which = np.unique(one, return_index=True, return_inverse=True)
+        # by a hash table: only the distinct ones are sorted
+        met = pa.array(one).dictionary_encode()
+        found = met.dictionary.to_numpy()
+        order = np.argsort(found)
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        self.one, self.which = found[order], rank[met.indices.to_numpy()]
+        self.at = np.empty(len(order), np.int64)
+        self.at[self.which] = np.arange(len(one))
         self.two = two[self.at]
         if (two != self.two[self.which]).any():  # half a digest in common
             both, self.at, self.which = np.unique(np.rec.fromarrays([one, two]), return_index=True, return_inverse=True)
@@ -139,7 +148,7 @@ class Words:
         return [self.text[a:b] for a, b in zip(self.start[self.at].tolist(), self.start[self.at + 1].tolist(), strict=True)]
 
 
-def _spans(starts: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def _spans(starts: np.ndarray, most: int = 1 << 17) -> Iterator[tuple[int, int]]:
     """Runs of texts of about `most` characters."""
     lo, n = 0, len(starts) - 1
     while lo < n:
@@ -357,6 +366,27 @@ def _ids(words: list[str], codes: list[list[int] | None], v: Vocabulary) -> list
     return [expanded(encode_long(w, v) if x is None else x, v) for w, x in zip(words, codes, strict=True)]
 
 
+def _flat_ids(words: list[str], codes: pa.Array, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """What _ids gives, as how many each word has, and all one after another: only words
+    with characters that have no piece, and long ones, are taken one by one."""
+    n = pc.fill_null(pc.list_value_length(codes), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = codes.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
+    left = np.flatnonzero(flat < 0)
+    flat[left] = np.where(v.single[-1 - flat[left]] >= 0, v.single[-1 - flat[left]], flat[left])
+    ends = np.cumsum(n)
+    odd = np.union1d(np.searchsorted(ends, left[flat[left] < 0], side="right"), np.flatnonzero(codes.is_null()))
+    if not len(odd):
+        return n, flat
+    lists = _ids([words[i] for i in odd.tolist()], codes.take(pa.array(odd)).to_pylist(), v)
+    more = np.array([len(x) for x in lists], np.int64)
+    begin = ends - n
+    begin[odd] = len(flat) + np.cumsum(more) - more
+    n[odd] = more
+    flat = np.concatenate([flat, np.array([y for x in lists for y in x], np.int32)])
+    ends = np.cumsum(n)
+    return n, flat[np.repeat(begin - ends + n, n) + np.arange(ends[-1])]
+
+
 def _parts(shared: Broadcast, blocks: int):
     """(word, n, codes) to (block, part): words' digests and ids."""
 
@@ -366,9 +396,7 @@ def _parts(shared: Broadcast, blocks: int):
                 continue
             words = b.column(0).to_pylist()
             one, two = digests(words)
-            ids = _ids(words, b.column(2).to_pylist(), shared.value)
-            many = np.array([len(x) for x in ids], np.int32)
-            table = Codes(one, two, many, np.array([y for x in ids for y in x], np.int32))
+            table = Codes(one, two, *_flat_ids(words, b.column(2), shared.value))
             order, edge, block = split_by((table.one % np.uint64(blocks)).astype(np.int64))
             parts = []
             for a, e in zip(edge[:-1], edge[1:], strict=True):
@@ -411,8 +439,8 @@ def encode(docs: DataFrame, model: str = MODEL, group_bytes: int = GROUP_BYTES /
     blocks = max(16, rows_of(coded) // BLOCK_WORDS)
     top = coded.orderBy(F.desc("n"), "word").limit(cache).toArrow()  # at most `cache` words
     one, two = digests(top.column("word").to_pylist())
-    ids = _ids(top.column("word").to_pylist(), top.column("codes").to_pylist(), v)
-    known = docs.sparkSession.sparkContext.broadcast(Codes(one, two, np.array([len(x) for x in ids], np.int64), np.array([y for x in ids for y in x], np.int32)))
+    ids = _flat_ids(top.column("word").to_pylist(), top.column("codes").combine_chunks(), v) if top.num_rows else (np.zeros(0, np.int64), np.zeros(0, np.int32))
+    known = docs.sparkSession.sparkContext.broadcast(Codes(one, two, *ids))
     del top, ids
     tables = coded.mapInArrow(_parts(shared, blocks), "block long, part binary")
 
@@ -479,12 +507,13 @@ def decode(rows: DataFrame, model: str = MODEL, ids: str = "ids", text: str = "t
     def joined(parts: list[str]) -> F.Column:
         """The entries of the ids in one text."""
         table = F.split(F.lit(sign.join(parts)), sign)
-        return F.array_join(F.transform(ids, lambda i: F.element_at(table, i + 1)), "")
+        return F.array_join(F.transform(ids, lambda i: table[i]), "")
 
-    # pieces that are a byte each may be parts of a character: such texts are put together as bytes
+    # pieces that are a byte each may be parts of a character: texts that may have some (one test of the
+    # least id tells, a test of each id takes as long as decoding) are put together as bytes, which is right for all
     exact = F.make_valid_utf8(F.unhex(joined([x.hex() for x in shown])).cast("string"))
     plain = joined(["" if k == 6 else x.decode() for x, k in zip(shown, v.kinds, strict=True)])
-    whole = F.when(F.exists(ids, lambda i: i.between(min(single), max(single))), exact).otherwise(plain) if single else plain
+    whole = F.when(F.array_min(ids) <= max(single), exact).otherwise(plain) if single else plain
     name = fresh(rows, "decoded")
     done = rows.withColumn(name, whole)
     cut = F.when(F.lit(v.prefix) & F.startswith(name, F.lit(" ")), F.substring(name, 2, 1 << 30)).otherwise(F.col(name))

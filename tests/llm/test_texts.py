@@ -46,6 +46,28 @@ def test_decoding_is_the_inverse(spark):
     assert sorted(map(str, P.encode(clash).collect())) == sorted(map(str, P.encode(docs).collect()))
 
 
+def test_words_are_sorted_and_expanded_once(monkeypatch):
+    """Only distinct words are sorted; codes become ids all at once, as they do one by one."""
+    v = P.vocabulary()
+    sizes, sort = [], P.np.argsort
+    monkeypatch.setattr(P.np, "argsort", lambda x, *a, **k: sizes.append(len(x)) or sort(x, *a, **k))
+    monkeypatch.setattr(P.np, "unique", lambda x, *a, **k: sizes.append(len(x)))
+    w = P.Words(["one two one two one two"] * 50, v)
+    assert sizes == [len(w.one)] and len(w.which) > 10 * len(w.one) and (w.one[1:] > w.one[:-1]).all()
+    assert "".join(w.distinct()[i] for i in w.which) == P.normalised("one two one two one two", v) * 50
+    monkeypatch.undo()
+    rows = [("ab", [5, 300]), ("xyz" * 100, None), ("☃", [-1 - ord("☃")]), ("a☃b", [-1 - ord("a"), -1 - ord("☃"), 9]), ("", []), ("é", [-1 - ord("é")])]
+    for codes in ([c for _, c in rows], [[7] for _ in rows], [None for _ in rows]):
+        n, flat = P._flat_ids([x for x, _ in rows], P.pa.array(codes, P.pa.list_(P.pa.int32())), v)
+        cut = P.np.cumsum(n)
+        assert [flat[e - k : e].tolist() for k, e in zip(n, cut, strict=True)] == P._ids([x for x, _ in rows], codes, v)
+
+
+def test_decoding_takes_ids_once(spark):
+    ids = spark.createDataFrame([([5, 300],)], "ids array<int>")
+    assert "exists(" not in P.decode(ids)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_viterbi_finds_the_best_path(spark, tmp_path):
     """A unigram model of random scores: the fold against all segmentations."""
     rng = random.Random(3)
