@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docframe.llm.common import GROUP_BYTES, answered, deflated, fresh, inflated, mix, packed, powers, rows_of, split_by, unpacked, written
+from docframe.llm.common import GROUP_BYTES, answered, deflated, fresh, inflated, lightened, mix, packed, powers, rows_of, split_by, unpacked, written
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Words of more characters are folded in Python, by a heap or an array: the
@@ -67,9 +67,10 @@ class Vocabulary:
         chars = sorted({ord(c) for p in self.table for c in p})
         self.classes = np.zeros(0x110000, np.uint16)
         self.classes[chars] = np.arange(1, len(chars) + 1)
-        self.joined = np.zeros((len(chars) + 1, len(chars) + 1), bool)
-        self.joined[self.classes[self.bigrams >> 21], self.classes[self.bigrams & 0x1FFFFF]] = True
-        self.apart = ~self.joined.ravel()
+        self.across = len(chars) + 1
+        self.apart = np.ones((self.across, self.across), bool)
+        self.apart[self.classes[self.bigrams >> 21], self.classes[self.bigrams & 0x1FFFFF]] = False
+        self.apart = self.apart.ravel()
         self.single = np.full(0x110000, -1, np.int32)
         for p, (i, _) in self.table.items():
             if len(p) == 1:
@@ -114,12 +115,13 @@ class Words:
         whole = [normalised(t, v) for t in texts]
         starts = np.concatenate([[0], np.cumsum([len(t) for t in whole])]).astype(np.int64)
         self.text = "".join(whole)
+        del whole
         marks, ones, twos = [], [], []
         for lo, hi in _spans(starts):
             c = np.frombuffer(self.text[starts[lo] : starts[hi]].encode("utf-32-le", "surrogatepass"), np.uint32)
             cut = np.ones(len(c) + 1, bool)
             k = v.classes[c].astype(np.int32)
-            cut[1:-1] = v.apart[k[:-1] * np.int32(len(v.joined)) + k[1:]]
+            cut[1:-1] = v.apart[k[:-1] * np.int32(v.across) + k[1:]]
             cut[starts[lo : hi + 1] - starts[lo]] = True
             at = np.flatnonzero(cut)
             if len(at) > 1:
@@ -130,13 +132,15 @@ class Words:
         self.first = np.searchsorted(self.start[:-1], starts)
         none = np.zeros(0, np.uint64)
         one, two = np.concatenate([*ones, none]), np.concatenate([*twos, none])
+        del marks, ones, twos
         # by a hash table: only the distinct ones are sorted
         met = pa.array(one).dictionary_encode()
         found = met.dictionary.to_numpy()
         order = np.argsort(found)
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
         self.one, self.which = found[order], rank[met.indices.to_numpy()]
+        del met, found, rank
         self.at = np.empty(len(order), np.int64)
         self.at[self.which] = np.arange(len(one))
         self.two = two[self.at]
@@ -346,20 +350,31 @@ class Codes:
         return n, self.flat[np.repeat(self.begin[at] - ends + n, n) + np.arange(ends[-1] if len(n) else 0)]
 
 
+def counted(batches: Iterator[pa.RecordBatch], v: Vocabulary) -> Iterator[pa.RecordBatch]:
+    """(word, n) of the texts in the first column, which has no nulls: their distinct words
+    and how often they occur, run of texts by run. Only one run's texts are Python's strings
+    at a time, and what was in use goes back to the system at the end: the worker waits
+    while Spark folds, which needs the memory."""
+
+    def one(texts: list[str]) -> pa.RecordBatch:
+        w = Words(texts, v)
+        return pa.RecordBatch.from_arrays([pa.array(w.distinct(), pa.string()), pa.array(np.bincount(w.which).astype(np.int64))], ["word", "n"])
+
+    for b in batches:
+        texts = b.column(0)
+        del b
+        size = np.cumsum(pc.utf8_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
+        for lo, hi in _spans(np.concatenate([[0], size]).astype(np.int64), 4 << 20):
+            if size[hi - 1] > (size[lo - 1] if lo else 0):
+                yield one(texts.slice(lo, hi - lo).to_pylist())
+        del texts
+    lightened()
+
+
 def _words(docs: DataFrame, shared: Broadcast) -> DataFrame:
     """(word, n): the distinct words of all texts and how often they occur."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = shared.value
-        for b in batches:
-            texts = b.column(0).to_pylist()
-            size = np.cumsum([len(t) for t in texts])
-            for lo, hi in _spans(np.concatenate([[0], size]).astype(np.int64), 4 << 20):
-                w = Words(texts[lo:hi], v)
-                if len(w.one):
-                    yield pa.RecordBatch.from_arrays([pa.array(w.distinct(), pa.string()), pa.array(np.bincount(w.which).astype(np.int64))], ["word", "n"])
-
-    return docs.where("text IS NOT NULL").select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    found = docs.where("text IS NOT NULL").select("text").mapInArrow(lambda batches: counted(batches, shared.value), "word string, n long")
+    return found.groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def _ids(words: list[str], codes: list[list[int] | None], v: Vocabulary) -> list[list[int]]:

@@ -1,6 +1,11 @@
 import random
 import re
+import subprocess
+import sys
+from pathlib import Path
+from types import SimpleNamespace
 
+import pyarrow as pa
 import sentencepiece
 from brute import tokens
 from sentencepiece import sentencepiece_model_pb2 as pb
@@ -34,6 +39,50 @@ def test_words_that_share_half_a_digest():
     assert [None if i < 0 else table.take(P.np.array([i]))[1].tolist() for i in at] == [[8, 9], [7], None, [], None]
 
 
+class Taken:
+    """In a table's place: keeps the function that mapInArrow gets."""
+
+    run = None
+
+    def mapInArrow(self, run, _):  # noqa: N802
+        self.run = run
+        return self
+
+    def __getattr__(self, _):
+        return lambda *_: self
+
+
+def held_by_words():
+    """MB that a worker holds after it has found the words of 16 MB of texts, beyond what it held before;
+    and whether the words are right."""
+
+    def held():
+        return sum(map(int, re.findall(r"\nPss_(?:Anon|Shmem):\s+(\d+)", Path("/proc/self/smaps_rollup").read_text()))) / 1024
+
+    rng = random.Random(1)
+    known = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzé") for _ in range(rng.randint(2, 9))) for _ in range(50_000)]
+    texts = [" ".join(rng.choices(known, k=600)) for _ in range(4000)] + ["", "日本語"]
+    batches = [pa.RecordBatch.from_arrays([pa.array(texts)], ["text"]), pa.RecordBatch.from_arrays([pa.array([], pa.string())], ["text"])]
+    del texts, known
+    v = P.vocabulary()
+    taken, P.F = Taken(), Taken()  # there is no Spark in this process
+    P._words(taken, SimpleNamespace(value=v))
+    before, n, total = held(), 0, 0
+    for b in taken.run(iter(batches)):
+        n += int(pa.compute.sum(b.column("n")).as_py())
+        total += sum(len(w) * k for w, k in zip(b.column("word").to_pylist(), b.column("n").to_pylist(), strict=True))
+    b = None
+    after = held()
+    want = sum(len(P.normalised(t, v)) for x in batches for t in x.column(0).to_pylist())
+    return after - before, n > 4000 * 600 and total == want
+
+
+def test_a_worker_that_has_found_words_holds_little():
+    code = f"import sys; sys.path[:0] = {sys.path!r}; import test_texts; print(*test_texts.held_by_words())"
+    more, right = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=120, check=True).stdout.split()
+    assert right == "True" and float(more) < 50, more
+
+
 def test_decoding_is_the_inverse(spark):
     docs = make(spark, ODD)
     got = sorted((str(r.doc_id), str(r.text)) for r in P.decode(P.encode(docs)).collect())
