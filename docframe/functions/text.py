@@ -23,26 +23,21 @@ def words(text: Column) -> Column:
 
 
 def clean_words(text: Column) -> Column:
-    """clean_word of each of words(text), in order, by three passes over the whole text
-    instead of one over each word: blanks become single line ends, what doesn't count
-    vanishes, and the words are cut at the line ends."""
-    return F.when(_flat(text) == "", F.array().cast("array<string>")).otherwise(F.split(_clean(text), "\n"))
+    """clean_word of each of words(text), in order; none for a blank or null text."""
+    return F.when(_flat(text) == "", F.array().cast("array<string>")).otherwise(F.split(clean_lines(text), "\n"))
 
 
 def _flat(text: Column) -> Column:
     return F.btrim(F.regexp_replace(F.coalesce(text, F.lit("")), BLANKS, "\n"), F.lit("\n"))
 
 
-def _clean(text: Column) -> Column:
+def clean_lines(text: Column) -> Column:
+    """clean_word of each of words(text) on a line of its own, by three passes over the
+    whole text instead of one over each word: blanks become single line ends, and what
+    doesn't count vanishes. An empty line is a word of which nothing counts."""
     return F.lower(F.regexp_replace(_flat(text), r"[^a-zA-Z0-9_\n\p{IsAlphabetic}\p{N}-]", ""))
 
 
-def counts_of(text: Column, forms: list[str]) -> list[Column]:
-    """How often each form stands among clean_words(text): by lengths, without cutting the text."""
-    line = F.concat(F.lit("\n"), F.replace(_clean(text), F.lit("\n"), F.lit("\n\n")), F.lit("\n"))
-    return [((F.length(line) - F.length(F.replace(line, F.lit(f"\n{f}\n"), F.lit("")))) / (len(f) + 2)).cast("long") for f in forms]
-
-
 def clean_word(w: Column) -> Column:
     """Letters, digits, '_' and '-' only, in lower case."""
     return F.lower(F.regexp_replace(w, r"[^\p{IsAlphabetic}\p{N}_-]", ""))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,15 +40,19 @@ def search(docs: DataFrame, query: str, limit: int = 50, key: str = "docname", t
     # all words that have one of the terms
     forms = {f: wanted[t] for t in wanted for f in (t, t + "ing", t + "ed", t + "s") if X.stem_of(f) == t}
 
-    def total(c: Column) -> Column:
-        """The weights of the words of a text that have one of the terms; no other word is cut out of it."""
-        return reduce(lambda a, b: a + b, [n * w for n, w in zip(X.counts_of(c, list(forms)), forms.values(), strict=True)])
-
     if not forms:
         return docs.select(F.col(key).alias("docname"), F.lit(0).cast("long").alias("score")).limit(0)
-    score = total(F.col(text)) if title is None else total(F.col(text)) + TITLE_WEIGHT * total(title)
-    hits = spread(docs).select(F.col(key).alias("docname"), score.alias("score")).where("score > 0").groupBy("docname").agg(F.sum("score").alias("score"))
-    return hits.orderBy(F.desc("score"), "docname").limit(limit)
+    docs = spread(docs)
+    weight = F.element_at(F.create_map(*[F.lit(x) for p in forms.items() for x in p]), F.col("w"))
+
+    def found(c: Column, times: int) -> DataFrame:
+        """A row for each word that counts. No predicate over the text itself: Spark would
+        clean the text once more for each time it is named, before it is spread."""
+        each = docs.select(F.col(key).alias("docname"), F.explode(X.clean_words(c)).alias("w"))
+        return each.where(F.col("w").isin(list(forms))).select("docname", (weight * times).cast("long").alias("score"))
+
+    hits = found(F.col(text), 1) if title is None else found(F.col(text), 1).union(found(title, TITLE_WEIGHT))
+    return hits.groupBy("docname").agg(F.sum("score").alias("score")).orderBy(F.desc("score"), "docname").limit(limit)
 
 
 def prune(index: DataFrame, keep: DataFrame, key: str = "docname") -> DataFrame:
