@@ -15,3 +15,19 @@ def test_a_search_cleans_each_text_once(spark):
     assert plan(found).count("regexp_replace") <= 2 * 2
     assert [tuple(r) for r in found.collect()] == [("a", 7)]
     assert [tuple(r) for r in S.search(docs, "cat cats", title=F.col("docname")).collect()] == [("a", 6)]
+
+
+def test_postings_exchange_texts_and_nothing_else(spark):
+    docs = spark.createDataFrame([("a", "Cats run, x cat"), ("b", None), ("b", " "), ("a", "the cat"), (None, "dogs"), (None, "dog ! dog")], "docname string, content string")
+    got = S.postings(docs)
+    assert "Aggregate" not in plan(got) and plan(got).count("Repartition") == 1
+    want = {("a", "cat"): (3, [0, 1, 3]), ("a", "run"): (1, [1]), ("a", "the"): (1, [0]), (None, "dog"): (3, [0, 0, 2])}
+    assert {(r.docname, r.term): (r.tf, r.positions) for r in got.collect()} == want
+    assert {r.term for r in S.postings(docs.limit(1), language="de").collect()} == {"cats", "run", "cat"}
+
+
+def test_postings_of_a_document_that_goes_on_in_other_batches(spark):
+    docs = spark.range(25_000).select(F.when(F.col("id") < 24_000, "a").otherwise(F.concat(F.lit("b"), F.col("id") % 500)).alias("docname"), F.lit("one two " + "w " * 50).alias("content"))
+    got = S.postings(docs).select("docname", "term", "tf", F.size("positions").alias("n")).collect()
+    assert {(r.docname, r.term) for r in got} == {(d, t) for d in ("a", *[f"b{i}" for i in range(500)]) for t in ("one", "two")} and len(got) == 1002
+    assert {(r.tf, r.n) for r in got} == {(24_000, 24_000), (2, 2)}
