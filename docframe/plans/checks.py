@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from docframe.operators import constraints as K
 from docframe.operators import rules as R
 from docframe.registry import query, table
+from docframe.session import spread
 
 _NAMES = ["code-block", "note", "image", "figure", "toctree", "include", "literalinclude", "admonition", "math", "custom", "warning"]
 _OPTIONS = [("linenos", ""), ("linenos", "yes"), ("lineno-start", "7"), ("lineno-start", "x"), ("class", "a"), ("width", "50%"), ("width", "wide"), ("scale", "1.5"), ("align", "middle"), ("align", "under"), ("maxdepth", "12"), ("maxdepth", "2"), ("glob", ""), ("hidden", "on"), ("language", "c"), ("odd", "1"), ("force", "x"), ("dedent", "q"), ("name", "n")]
@@ -101,7 +102,7 @@ UNION ALL SELECT id, 'large', 'e_quoted', 'warning', coalesce(k <> 0, false), CA
 
 def _items(spark, sf_dir):
     content = F.when(F.col("value") > 50, "high").otherwise("low")
-    e = table(spark, sf_dir, "events")
+    e = spread(table(spark, sf_dir, "events"))  # an item is made where there are cores
     names = F.when((content == "high") | (F.col("event_type") == "signup"), F.array(F.lit("typed"), F.lit("large"), F.lit("unheard"))).otherwise(F.array(F.lit("typed")))
     return e.select(F.col("event_id").cast("string").alias("id"), K.item(F.col("event_id"), F.col("event_type"), content, F.col("props")).alias("item"), names.alias("constraints"))
 

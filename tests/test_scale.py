@@ -63,3 +63,11 @@ def test_a_worker_holds_a_piece_of_a_batch_at_a_time():
     schema = pa.schema([("k", pa.string()), ("n", pa.int64())])
     out = list(rows_of([b], lambda k, t: ({"k": k, "n": i} for i in range(len(t or "") // 100_000)), schema, 4))
     assert max(x.num_rows for x in out) <= 4 and sum(x.num_rows for x in out) == 6 + 4 + 30
+
+
+def test_constraints_take_each_value_once(spark, sf):
+    from docframe.plans import checks
+
+    p = plan(checks.constraints_eval(spark, sf))
+    assert p.count("schemaOfVariant(") == 4 and p.count("VariantType, false") == 4  # names that the rules look at
+    assert "filter(" not in p and p.index("parseJson") < p.index("Repartition")  # items are made after the exchange
