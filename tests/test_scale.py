@@ -71,3 +71,18 @@ def test_constraints_take_each_value_once(spark, sf):
     p = plan(checks.constraints_eval(spark, sf))
     assert p.count("schemaOfVariant(") == 4 and p.count("VariantType, false") == 4  # names that the rules look at
     assert "filter(" not in p and p.index("parseJson") < p.index("Repartition")  # items are made after the exchange
+
+
+def test_pages_are_filled_in_pieces(spark):
+    import json
+
+    import pyarrow as pa
+
+    from docframe.functions import templates as E
+
+    texts = [json.dumps({"x": c * 700_000}) for c in "abc"]
+    out = list(E.filled(iter([(pa.array(["{{ x }}"] * 4), pa.array([*texts, None]))])))
+    assert [len(x) for x in out] == [1, 1, 2] and [(x or "")[:1] for y in out for x in y.to_pylist()] == ["a", "b", "c", ""]
+    df = spark.range(25_000).coalesce(1).select("id", F.to_json(F.struct("id", F.lit("w" * 200).alias("w"))).alias("c"))
+    got = df.select("id", E.rendered("{{ id }}", F.col("c")).alias("x"))
+    assert got.where("x = id").count() == got.count() == 25_000
