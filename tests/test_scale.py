@@ -86,3 +86,17 @@ def test_pages_are_filled_in_pieces(spark):
     df = spark.range(25_000).coalesce(1).select("id", F.to_json(F.struct("id", F.lit("w" * 200).alias("w"))).alias("c"))
     got = df.select("id", E.rendered("{{ id }}", F.col("c")).alias("x"))
     assert got.where("x = id").count() == got.count() == 25_000
+
+
+def test_records_are_made_in_pieces(spark):
+    import pyarrow as pa
+
+    from docframe.functions import markup as M
+    from docframe.functions.batches import rows_of
+
+    texts = ["T\n====\n\n" + "x " * 600_000, None, "", ":ref:`a` " * 9000]
+    schema = pa.schema([("doc", pa.string()), ("ord", pa.int64()), ("kind", pa.string())])
+    out = list(rows_of([pa.RecordBatch.from_pydict({"d": list("abcd"), "t": texts})], M._rows, schema))
+    assert [x.num_rows for x in out] == [1, 4096, 4096, 808]
+    docs = spark.createDataFrame(list(zip("abcd", texts, strict=True)), "docname string, content string")
+    assert {(r.doc, r.kind): r["count"] for r in M.parse(docs).groupBy("doc", "kind").count().collect()} == {("a", "section"): 1, ("d", "role"): 9000}
